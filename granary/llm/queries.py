@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, sentencepieces, simhash, toxicity
+from . import langid, packing, passages, quality, sentencepieces, simhash, toxicity
 from .common import documents
 
 
@@ -45,6 +45,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.cut_passages(documents(spark, sf_dir), digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
