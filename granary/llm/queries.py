@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, passages, quality, sentencepieces, simhash, toxicity
+from . import langid, licenses, packing, passages, quality, sentencepieces, simhash, sketches, toxicity, urls
 from .common import documents
 
 
+#: Rules of the URL query: host and path, and what they say.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -30,12 +34,20 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_edited(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", "flagged")
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.classes(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -49,6 +61,10 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.cut_passages(documents(spark, sf_dir), digest=True)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
