@@ -116,31 +116,27 @@ def scan(docs: DataFrame, max_negative: int = MAX_NEGATIVE) -> DataFrame:
     docs = texts.withColumn("_lines", lines)
     docs = docs.withColumn("_hits", F.transform(F.filter("_lines", lambda p: F.lower(p).rlike("|".join(map(re.escape, triggers)))), normal_column))
 
-    def score(p: Column, family: str) -> Column:
+    # one SQL expression: thousands of calls for its parts would take far longer than the scan of a small table
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    families = sorted(TEMPLATES)
+
+    def score(family: str) -> str:
         bias, w = model[family]
-        out = F.lit(bias)
-        for i in np.flatnonzero(w):
-            out = out + F.when(F.concat(F.lit(" "), p, F.lit(" ")).contains(f" {vocabulary[i]} "), F.lit(float(w[i]))).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-out))
+        parts = [f"if(contains(concat(' ', p, ' '), {quoted(f' {vocabulary[i]} ')}), {float(w[i])!r}D, 0D)" for i in np.flatnonzero(w)]
+        return f"1 / (1 + exp(-({bias!r}D + {' + '.join(parts) or '0D'})))"
 
-    def shared(p: Column, family: str) -> Column:
-        words = F.split(p, " ")
-        have = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-        each = [F.size(F.array_intersect(F.array(*map(F.lit, bigrams(t))), have)) / F.lit(len(bigrams(t))) for t in TEMPLATES[family]]
-        return F.greatest(*each) if len(each) > 1 else each[0]
+    def shared(family: str) -> str:
+        have = "transform(sequence(1, greatest(size(split(e.p, ' ')) - 1, 1)), i -> concat_ws(' ', get(split(e.p, ' '), i - 1), get(split(e.p, ' '), i)))"
+        each = [f"size(array_intersect(array({', '.join(map(quoted, bigrams(t)))}), {have})) / {len(bigrams(t))}" for t in TEMPLATES[family]]
+        return f"greatest({', '.join(each)})" if len(each) > 1 else each[0]
 
-    families = sorted(TEMPLATES)
-    docs = docs.withColumn("_each", F.transform("_hits", lambda p: F.struct(p.alias("p"), F.array_max(F.array(*[F.struct(score(p, f).alias("score"), F.lit(-i).alias("at")) for i, f in enumerate(families)])).alias("best"))))
+    best = ", ".join(f"struct({score(f)} as score, {-i} as at)" for i, f in enumerate(families))
+    docs = docs.withColumn("_each", F.expr(f"transform(_hits, p -> struct(p as p, array_max(array({best})) as best))"))
     docs = docs.withColumn("_known", F.filter("_each", lambda e: e["best"]["score"] > threshold))
-    names = F.array(*map(F.lit, families))
-
-    def confirmed(e: Column) -> Column:
-        out = F.lit(0.0)
-        for i, f in enumerate(families):
-            out = F.when(e["best"]["at"] == -i, shared(e["p"], f)).otherwise(out)
-        return out >= CONFIRM
-
-    docs = docs.withColumn("_found", F.transform("_known", lambda e: F.struct(confirmed(e).alias("confirmed"), e["best"]["score"].alias("score"), e["best"]["at"].alias("at"), F.get(names, -e["best"]["at"]).alias("family"))))
+    cases = " ".join(f"when {-i} then {shared(f)}" for i, f in enumerate(families))
+    names = ", ".join(map(quoted, families))
+    found = f"struct((case e.best.at {cases} end) >= {CONFIRM}D as confirmed, e.best.score as score, e.best.at as at, get(array({names}), -e.best.at) as family)"
+    docs = docs.withColumn("_found", F.expr(f"transform(_known, e -> {found})"))
     docs = docs.withColumn("_top", F.array_max("_found"))
     sure = F.filter("_found", lambda e: e["confirmed"])
     return docs.select(
