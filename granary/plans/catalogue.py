@@ -1 +1,233 @@
-QUERIES = {}
+"""The registered queries, each over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunking, retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable) -> Callable:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+@query
+def doc_load(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", F.length(T.trim(F.col("text"))).cast("long").alias("n_chars_trimmed")).where("n_chars_trimmed > 0")
+
+
+@query
+def tokens_df(spark, sf):
+    postings = retrieval.term_frequencies(_read(spark, sf, "documents"), "doc_id")
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query
+def sentences(spark, sf):
+    df = _read(spark, sf, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    longest = F.coalesce(F.array_max(F.transform("s", lambda x: F.length(x))), F.lit(0))
+    return df.select("doc_id", F.size("s").cast("long").alias("n_sentences"), longest.cast("long").alias("max_len"))
+
+
+@query
+def chunks_fixed(spark, sf):
+    return chunking.fixed(_read(spark, sf, "documents")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+@query
+def chunks_newline(spark, sf):
+    return chunking.newline(_read(spark, sf, "documents")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def chunks_agentic_fallback(spark, sf):
+    out = chunking.planned(_read(spark, sf, "documents"))
+    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("n_sent").cast("long").alias("n_sent"), "text")
+
+
+@query
+def adjacent_similarity(spark, sf):
+    return chunking.sentence_gaps(_read(spark, sf, "embeddings"), "label", "vec_id")
+
+
+@query
+def semantic_breakpoints(spark, sf):
+    gaps = chunking.sentence_gaps(_read(spark, sf, "embeddings"), "label", "vec_id")
+    cut = gaps.groupBy("label").agg(F.expr("percentile(sim, 0.7)").alias("threshold"))
+    out = gaps.join(cut, "label").groupBy("label", "threshold").agg(F.count(F.when(F.col("sim") <= F.col("threshold"), 1)).alias("n_breaks"))
+    return out.select("label", F.round("threshold", 6).alias("threshold"), "n_breaks")
+
+
+@query
+def chunks_semantic_ranges(spark, sf):
+    out = chunking.semantic_ranges(_read(spark, sf, "embeddings"), "label", "vec_id")
+    return out.select("label", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "first", "last")])
+
+
+@query
+def bm25_topk(spark, sf):
+    return retrieval.bm25(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"), ["doc_id"])
+
+
+@query
+def bm25_chunk_topk(spark, sf):
+    return retrieval.bm25(chunking.fixed(_read(spark, sf, "documents")), _read(spark, sf, "benchmark"), ["doc_id", "chunk_index"])
+
+
+def _asked(vectors: DataFrame) -> DataFrame:
+    """The query set of the searches: every row whose id is divisible by 100."""
+    return vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query
+def vector_topk_l2(spark, sf):
+    v = _read(spark, sf, "embeddings")
+    return retrieval.vectors(v, _asked(v), T.squared_l2)
+
+
+@query
+def vector_topk_cosine(spark, sf):
+    v = _read(spark, sf, "embeddings")
+    return retrieval.vectors(v, _asked(v), T.cosine, descending=True)
+
+
+@query
+def hyde_topk(spark, sf):
+    """The passage's vector is stood in for by the mean vector of a label."""
+    v = _read(spark, sf, "embeddings")
+    means = v.select("label", F.posexplode("embedding").alias("at", "x")).groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    passages = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("query_vector"))
+    out = retrieval.vectors(v, passages.select((-F.col("label").cast("long") - 1).alias("query_id"), "query_vector"), T.squared_l2)
+    return out.select((-F.col("query_id") - 1).cast("int").alias("label"), "rank", "vec_id", "distance")
+
+
+@query
+def hybrid_union(spark, sf):
+    docs, items = _read(spark, sf, "documents"), _read(spark, sf, "benchmark")
+    chunks = retrieval.bm25(chunking.fixed(docs), items, ["doc_id", "chunk_index"])
+    out = retrieval.hybrid({"documents": retrieval.bm25(docs, items, ["doc_id"]), "chunks": chunks}, ["item_id", "rank", "doc_id"])
+    return retrieval.first_of(out, ["item_id", "doc_id"], ["method_order", "rank"]).select("item_id", "method", "rank", "doc_id")
+
+
+def _hits(spark, sf, ranked: DataFrame, bodies: DataFrame, key: list[str]) -> DataFrame:
+    """Every item's ranks, and whether the text there holds the item's text."""
+    items = _read(spark, sf, "benchmark")
+    hits = ranked.join(bodies, key).join(items.withColumnRenamed("text", "item"), "item_id").select("item_id", "rank", F.coalesce(F.contains("text", "item").cast("int"), F.lit(0)).alias("hit"))
+    return items.select("item_id").join(hits, "item_id", "left")
+
+
+@query
+def retrieval_metrics(spark, sf):
+    docs = _read(spark, sf, "documents").select("doc_id", "text")
+    return retrieval.single_metrics(_hits(spark, sf, bm25_topk(spark, sf), docs, ["doc_id"]), "item_id")
+
+
+@query
+def pipeline_summary(spark, sf):
+    docs = _read(spark, sf, "documents").select("doc_id", "text")
+    chunks = chunking.fixed(docs)
+    parts = [("documents+bm25", retrieval_metrics(spark, sf)), ("fixed+bm25", retrieval.single_metrics(_hits(spark, sf, bm25_chunk_topk(spark, sf), chunks, ["doc_id", "chunk_index"]), "item_id"))]
+    rows = None
+    for name, df in parts:
+        df = df.withColumn("pipeline", F.lit(name))
+        rows = df if rows is None else rows.unionByName(df)
+    return rows.groupBy("pipeline").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("hit_rate", "mrr", "precision", "ndcg")])
+
+
+@query
+def retrieval_metrics_multi(spark, sf):
+    v = _read(spark, sf, "embeddings")
+    labels = v.select("vec_id", "label")
+    ranked = vector_topk_cosine(spark, sf).join(labels, "vec_id").withColumnRenamed("label", "found")
+    truth = labels.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    hits = ranked.join(truth, "query_id").select("query_id", "rank", (F.col("found") == F.col("label")).cast("int").alias("hit"))
+    return retrieval.multi_metrics(hits, truth.join(sizes, "label").select("query_id", "n_relevant"), "query_id")
+
+
+@query
+def source_matching(spark, sf):
+    names = _read(spark, sf, "part").select(F.col("p_name").alias("name"))
+    return retrieval.match_names(names, _read(spark, sf, "part").select(F.concat(F.col("p_brand"), F.lit(" "), F.col("p_type")).alias("file")))
+
+
+@query
+def url_filename(spark, sf):
+    links = _read(spark, sf, "pages").select("url").where("url is not null").distinct()
+    return links.select("url", T.safe_file_name(F.col("url")).alias("file_name"))
+
+
+@query
+def dedupe_first(spark, sf):
+    docs = _read(spark, sf, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id", "source")
+    return retrieval.first_of(docs, ["digest"], ["doc_id"])
+
+
+@query
+def last_message(spark, sf):
+    return _read(spark, sf, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+
+
+@query
+def context_blocks(spark, sf):
+    turns = _read(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    texts = F.transform("t", lambda x: x["text"])
+    return turns.select("conv_id", T.context_block(texts).alias("context"), T.judge_context(texts).alias("judge_context"))
+
+
+@query
+def previews(spark, sf):
+    text = F.col("text")
+    return _read(spark, sf, "documents").select("doc_id", T.preview(text).alias("preview"), T.hard_cut(text).alias("cut"), T.prompt_sentence(text).alias("for_prompt"), F.sha2(T.sanitize(text), 256).alias("clean_sha256"))
+
+
+@query
+def name_tokens(spark, sf):
+    return _read(spark, sf, "part").select("p_partkey", T.normal_name(F.col("p_type")).alias("normal"), F.array_join(F.array_sort(T.name_tokens(F.concat_ws(" ", "p_type", "p_name"))), " ").alias("tokens"))
+
+
+@query
+def judge_summary(spark, sf):
+    rows = _read(spark, sf, "documents").join(_read(spark, sf, "labels"), "doc_id", "left").where("coalesce(lang, '') <> '' and coalesce(source, '') <> ''")
+    clean = 1 - F.col("toxic")
+    passed = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    out = retrieval.summary(rows, ["lang", "source"], {"avg_quality": F.col("quality"), "avg_clean": clean, "avg_pass": passed})
+    return out.withColumn("label", F.concat_ws("+", "lang", "source"))
+
+
+@query
+def judge_rank(spark, sf):
+    out = judge_summary(spark, sf)
+    order = Window.partitionBy("lang").orderBy(F.desc("avg_pass"), "label")
+    return out.select("lang", "label", "avg_pass", F.row_number().over(order).alias("place"))
+
+
+@query
+def sample_rows(spark, sf):
+    """A seeded sample of 50 documents without replacement, sorted by id."""
+    key = F.pmod(F.col("doc_id") * 48271 + 42, F.lit(2147483647))
+    return _read(spark, sf, "documents").select("doc_id", key.alias("key")).orderBy("key", "doc_id").limit(50).select("doc_id").orderBy("doc_id")
+
+
+@query
+def json_breaks(spark, sf):
+    """Break positions of a planner's answer, here built from the digits of an event's id, in a code fence."""
+    answer = F.concat(F.lit('```json\n{"break_after": ['), F.concat_ws(", ", F.col("event_id") % 10, F.col("event_id") % 7 - 1), F.lit("]}\n```"))
+    return _read(spark, sf, "events").select("event_id", F.array_join(T.parsed_breaks(answer, F.lit(8)), ",").alias("breaks"))
+
+
+@query
+def unique_sources(spark, sf):
+    ranked = bm25_topk(spark, sf).join(_read(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return ranked.groupBy("item_id").agg(F.countDistinct("source").alias("n_sources"))

@@ -1 +1,123 @@
-SQL = {}
+"""What each query must equal, in SQL."""
+
+from __future__ import annotations
+
+_TRIM = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_TOKENS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda t: regexp_full_match(t, '[a-z0-9]+'))"
+_SENTENCES = f"list_filter(list_transform(string_split(regexp_replace({_TRIM.format('text')}, '([.!?])[\\s\\p{{Z}}]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_TRIM.format('s')}), lambda s: s <> '')"
+_CHUNKS = f"""chunks as (
+  select doc_id, row_number() over (partition by doc_id order by s) - 1 as chunk_index, text from (
+    select doc_id, s, {_TRIM.format("substring(text, s + 1, 1000)")} as text
+    from documents, unnest(range(0, greatest(0, length(text) - 201) + 1, 800)) as t(s)) where text <> '')"""
+_STOP = "['annual','report','quarterly','current','form','corp','section','sections','statement','income','q','k']"
+_NORMAL = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
+_NAME_TOKENS = f"list_filter(list_distinct(regexp_extract_all(lower({{}}), '[a-z0-9]+')), lambda t: not list_contains({_STOP}, t))"
+_CLEAN = r"trim(regexp_replace({}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), ' ')"
+
+
+def _bm25(name: str, rows: str, key: str) -> str:
+    """Common table expressions up to `name`: item_id, rank, key, score."""
+    n = name
+    return f"""{n}_bags as (select {key}, {_TOKENS.format("text")} as bag from {rows}),
+{n}_size as (select count(*) as n, sum(len(bag)) / count(*) as mean from {n}_bags),
+{n}_tf as (select {key}, length, term, count(*) as tf from (select {key}, len(bag) as length, unnest(bag) as term from {n}_bags) group by all),
+{n}_df as (select term, count(*) as df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as idf0 from {n}_tf, {n}_size group by term),
+{n}_idf as (select term, case when idf0 < 0 then 0.25 * (select avg(idf0) from {n}_df) else idf0 end as idf from {n}_df),
+{n}_asked as (select item_id, term, count(*) as qtf from (select item_id, unnest({_TOKENS.format("text")}) as term from benchmark) group by all),
+{n}_scored as (select item_id, {key}, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) as score
+  from {n}_tf join {n}_asked using (term) join {n}_idf using (term), {n}_size group by item_id, {key}),
+{n} as (select item_id, cast(row_number() over (partition by item_id order by score desc, {key}) as int) as rank, {key}, score from {n}_scored
+  qualify row_number() over (partition by item_id order by score desc, {key}) <= 5)"""
+
+
+def _metrics(name: str, ranked: str, bodies: str, key: str) -> str:
+    return f"""{name}_hits as (select b.item_id, r.rank, case when r.rank is null then null else cast(coalesce(contains(d.text, b.text), false) as int) end as hit
+  from benchmark b left join {ranked} r on r.item_id = b.item_id left join {bodies} d using ({key})),
+{name} as (select item_id, cast(coalesce(max(hit), 0) as double) as hit_rate, round(coalesce(1.0::double / min(case when hit = 1 then rank end), 0), 6) as mrr,
+  round(coalesce(sum(hit), 0)::double / 5, 6) as precision, round(coalesce(sum(hit / log2(rank + 1)), 0), 6) as ndcg from {name}_hits group by item_id)"""
+
+
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::double * p[2]::double))"
+_GAPS = f"""pairs as (select label, vec_id, embedding as b, lag(embedding) over (partition by label order by vec_id) as a from embeddings),
+gaps as (select label, vec_id, round({_DOT.format("a", "b")} / (sqrt({_DOT.format("a", "a")}) * sqrt({_DOT.format("b", "b")})), 6) as sim from pairs where a is not null)"""
+_COSINE = f"{_DOT.format('q.v', 'e.embedding')} / (sqrt({_DOT.format('q.v', 'q.v')}) * sqrt({_DOT.format('e.embedding', 'e.embedding')}))"
+_L2 = "list_sum(list_transform(list_zip(q.v, e.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))"
+
+
+def _nearest(asked: str, distance: str, order: str) -> str:
+    return f"""asked as ({asked}),
+near as (select q.query_id, e.vec_id, round({distance}, 6) as distance from asked q, embeddings e where e.vec_id <> q.query_id),
+top as (select query_id, cast(row_number() over (partition by query_id order by distance {order}, vec_id) as int) as rank, vec_id, distance from near
+  qualify row_number() over (partition by query_id order by distance {order}, vec_id) <= 5)"""
+
+
+_EACH_100 = "select vec_id as query_id, embedding as v from embeddings where vec_id % 100 = 0"
+_CUT = "(gaps join (select label, quantile_cont(sim::double, 0.7) as threshold from gaps group by label) using (label))"
+_JUDGE = """judged as (select lang, source, count(*) as rows, round(sum(coalesce(quality, 0))::double / count(*), 4) as avg_quality, round(sum(coalesce(1 - toxic, 0))::double / count(*), 4) as avg_clean,
+  round(sum(case when quality = 1 and toxic = 0 then 1 else 0 end)::double / count(*), 4) as avg_pass, lang || '+' || source as label
+  from documents left join labels using (doc_id) where coalesce(lang, '') <> '' and coalesce(source, '') <> '' group by lang, source)"""
+
+SQL: dict[str, str] = {
+    "doc_load": f"select doc_id, length({_TRIM.format('text')}) as n_chars_trimmed from documents where length({_TRIM.format('text')}) > 0",
+    "tokens_df": f"""with tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest({_TOKENS.format("text")}) as term from documents) group by all)
+select term, count(*) as df, cast(sum(tf) as bigint) as cf from tf group by term""",
+    "sentences": f"select doc_id, len(s) as n_sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) as max_len from (select doc_id, {_SENTENCES} as s from documents)",
+    "chunks_fixed": f"with {_CHUNKS} select doc_id, chunk_index, text from chunks",
+    "chunks_agentic_fallback": f"""with s as (select doc_id, {_SENTENCES} as s from documents), n as (select doc_id, s, len(s) as n from s where len(s) > 0),
+r as (select doc_id, s, n, j from n, unnest(range(0, cast(ceil(n / 6.0) as bigint))) as t(j))
+select doc_id, j as chunk_index, len(part) as n_sent, array_to_string(part, ' ') as text from (select doc_id, j, list_slice(s, greatest(0, 6 * j - 1) + 1, least(6 * j + 5, n - 1) + 1) as part from r)""",
+    "adjacent_similarity": f"with {_GAPS} select label, vec_id, sim from gaps",
+    "semantic_breakpoints": f"with {_GAPS} select label, round(threshold, 6) as threshold, count(case when sim <= threshold then 1 end) as n_breaks from {_CUT} group by label, threshold",
+    "chunks_semantic_ranges": f"""with recursive {_GAPS},
+marks as (select label, row_number() over (partition by label order by vec_id) - 1 as i, sim <= threshold as brk from {_CUT}),
+sizes as (select label, max(i) + 2 as n from marks group by label),
+walk(label, i, size, first, last) as (
+  select label, cast(0 as bigint), cast(1 as bigint), cast(null as bigint), cast(null as bigint) from sizes
+  union all
+  select label, i, case when closes then least(2, grown) else grown end, case when closes then i - grown + 1 end, case when closes then i end from (
+    select w.label, w.i + 1 as i, w.size + 1 as grown, w.size + 1 >= 8 or (coalesce(m.brk, false) and w.size + 1 >= 2) as closes
+    from walk w join sizes s on s.label = w.label left join marks m on m.label = w.label and m.i = w.i + 1 where w.i + 1 < s.n)),
+ranges as (select label, first, last from walk where last is not null union all select w.label, w.i - w.size + 1, w.i from walk w join sizes s on s.label = w.label and w.i = s.n - 1)
+select label, row_number() over (partition by label order by last, first) - 1 as chunk_index, first, last from ranges""",
+    "bm25_topk": f"with {_bm25('top', 'documents', 'doc_id')} select * from top",
+    "bm25_chunk_topk": f"with {_CHUNKS}, {_bm25('top', 'chunks', 'doc_id, chunk_index')} select item_id, rank, doc_id, cast(chunk_index as int) as chunk_index, score from top",
+    "vector_topk_l2": f"with {_nearest(_EACH_100, _L2, 'asc')} select * from top",
+    "vector_topk_cosine": f"with {_nearest(_EACH_100, _COSINE, 'desc')} select * from top",
+    "hyde_topk": "with means as (select label, pos, avg(x) as x from (select label, unnest(range(1, len(embedding) + 1)) as pos, unnest(embedding)::double as x from embeddings) group by all), "
+    + _nearest("select -label - 1 as query_id, list(x order by pos) as v from means group by label", _L2, "asc")
+    + " select cast(-query_id - 1 as int) as label, rank, vec_id, distance from top",
+    "hybrid_union": f"""with {_CHUNKS}, {_bm25("a", "documents", "doc_id")}, {_bm25("b", "chunks", "doc_id, chunk_index")},
+both_lists as (select item_id, 'documents' as method, 0 as o, rank, doc_id from a union all select item_id, 'chunks', 1, rank, doc_id from b)
+select item_id, method, rank, doc_id from both_lists qualify row_number() over (partition by item_id, doc_id order by o, rank) = 1""",
+    "retrieval_metrics": f"with {_bm25('top', 'documents', 'doc_id')}, {_metrics('m', 'top', 'documents', 'doc_id')} select * from m",
+    "pipeline_summary": f"""with {_CHUNKS}, {_bm25("a", "documents", "doc_id")}, {_bm25("b", "chunks", "doc_id, chunk_index")}, {_metrics("ma", "a", "documents", "doc_id")}, {_metrics("mb", "b", "chunks", "doc_id, chunk_index")},
+rows as (select 'documents+bm25' as pipeline, * from ma union all select 'fixed+bm25', * from mb)
+select pipeline, round(avg(hit_rate), 4) as hit_rate, round(avg(mrr), 4) as mrr, round(avg(precision), 4) as precision, round(avg(ndcg), 4) as ndcg from rows group by pipeline""",
+    "retrieval_metrics_multi": f"""with {_nearest(_EACH_100, _COSINE, "desc")},
+rel as (select a.vec_id as query_id, a.label, (select count(*) from embeddings b where b.label = a.label) - 1 as n from embeddings a where a.vec_id % 100 = 0),
+h as (select rel.query_id, n, rank, cast(e.label = rel.label as int) as hit from rel left join top using (query_id) left join embeddings e using (vec_id))
+select query_id, round(coalesce(sum(hit), 0)::double / 5, 6) as precision, round(case when n > 0 then coalesce(sum(hit), 0)::double / n else 0 end, 6) as recall, cast(coalesce(max(hit), 0) as double) as hit_rate,
+round(coalesce(1.0::double / min(case when hit = 1 then rank end), 0), 6) as mrr, round(case when n > 0 then coalesce(sum(hit / log2(rank + 1)), 0) / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))) else 0 end, 6) as ndcg
+from h group by query_id, n""",
+    "source_matching": f"""with names as (select distinct p_name as name, {_NORMAL.format("p_name")} as a, {_NAME_TOKENS.format("p_name")} as ta from part),
+files as (select distinct file, {_NORMAL.format("file")} as b, {_NAME_TOKENS.format("file")} as tb from (select p_brand || ' ' || p_type as file from part)),
+hits as (select name, file from names, files where a <> '' and b <> '' and (contains(a, b) or contains(b, a) or len(list_intersect(ta, tb)) >= 3))
+select name, coalesce(string_agg(file, '|' order by file), '') as files, cast(count(file) as int) as n_files, case count(file) when 1 then 'confident' when 0 then 'unmatched' else 'ambiguous' end as match_class
+from names left join hits using (name) group by name""",
+    "url_filename": r"""select url, regexp_replace(case when contains(lower(tail), '.pdf') then digest || '_' || tail else digest || '.pdf' end, '[^\p{L}\p{N}._-]', '_', 'g') as file_name
+from (select distinct url, sha256(url)[1:12] as digest, url_decode(regexp_extract(url, '^[^:]+://[^/?#]*(?:[^?#]*/)?([^/?#]*)', 1)) as tail from pages where url is not null)""",
+    "dedupe_first": "select sha256(text) as digest, doc_id, source from documents qualify row_number() over (partition by text order by doc_id) = 1",
+    "last_message": "select conv_id, arg_max(text, turn) as text from conversations group by conv_id",
+    "context_blocks": f"""with t as (select conv_id, text, row_number() over (partition by conv_id order by turn, text) as i from conversations)
+select conv_id, string_agg('[' || i || '] ' || substring({_CLEAN.format("text")}, 1, 2000), chr(10) || chr(10) order by i) as context,
+coalesce(string_agg('[Context ' || i || ']' || chr(10) || substring(text, 1, 1200), chr(10) || chr(10) order by i) filter (i <= 3), '[No retrieved context]') as judge_context from t group by conv_id""",
+    "previews": rf"""with t as (select doc_id, text, {_TRIM.format("regexp_replace(text, '[" + chr(92) + "s" + chr(92) + "p{Z}]+', ' ', 'g')")} as flat from documents)
+select doc_id, case when length(flat) > 240 then substring(flat, 1, 240) || '...' else flat end as preview, substring(text, 1, 500) || '...' as cut,
+case when length(text) <= 500 then text else regexp_replace(substring(text, 1, 497), '[\s\p{{Z}}]+$', '') || '...' end as for_prompt, sha256({_CLEAN.format("text")}) as clean_sha256 from t""",
+    "name_tokens": f"select p_partkey, {_NORMAL.format('p_type')} as normal, array_to_string(list_sort({_NAME_TOKENS.format(chr(40) + 'p_type || chr(32) || p_name' + chr(41))}), ' ') as tokens from part",
+    "judge_summary": f"with {_JUDGE} select * from judged",
+    "judge_rank": f"with {_JUDGE} select lang, label, avg_pass, cast(row_number() over (partition by lang order by avg_pass desc, label) as int) as place from judged",
+    "sample_rows": "select doc_id from documents order by (doc_id * 48271 + 42) % 2147483647, doc_id limit 50",
+    "json_breaks": "select event_id, array_to_string(list_filter([event_id % 10, event_id % 7 - 1], lambda b: b >= 0 and b < 8), ',') as breaks from events",
+    "unique_sources": f"with {_bm25('top', 'documents', 'doc_id')} select item_id, count(distinct source) as n_sources from top join documents using (doc_id) group by item_id",
+}
