@@ -16,6 +16,9 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 #: The same for Spark's regular expressions.
 GAP_SQL = r"[\x20\x09-\x0D]+"
 
+#: Rows that a task turns into Python values at once.
+ROWS_AT_ONCE = 1_000
+
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _local_dir: list[str] = []
 
@@ -63,8 +66,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(step(batch.to_pydict()), schema=target)
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield pa.RecordBatch.from_pydict(step(batch.slice(begin, ROWS_AT_ONCE).to_pydict()), schema=target)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -79,8 +82,9 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(step(batch), pa.bool_()))
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(begin, ROWS_AT_ONCE)
+                yield part.filter(pa.array(step(part), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

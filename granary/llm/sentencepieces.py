@@ -29,7 +29,7 @@ _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
 _NEVER = np.iinfo(np.int64).max
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words kept by a task, and their characters, at most.
-CACHED_WORDS, CACHED_CHARS = 400_000, 8_000_000
+CACHED_WORDS, CACHED_CHARS = 200_000, 4_000_000
 
 
 def read_model(path: str) -> dict:
