@@ -17,6 +17,7 @@ first in alphabetical order; repeated rows each give their row.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ from .common import share_order
 MAX_NEGATIVE = 3_000
 L1, STEPS, RATE = 0.002, 600, 1.0
 THRESHOLD, CONFIRM = 0.5, 0.8
+#: n-grams that more than this part of the sample's paragraphs have are no features.
+MAX_COMMON = 0.01
 # Short notices and opening paragraphs of well-known licences.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
@@ -75,7 +78,8 @@ def fit(negatives: list[str], seed: int = 7) -> tuple[list[str], dict[str, tuple
                 kept = [w for w in words if n < 4 or rng.random() > 0.05]
                 rows.append(grams(" ".join([*around[0], *kept, *around[1]])))
                 families.append(family)
-    vocabulary = sorted({g for t in sum(TEMPLATES.values(), []) for g in grams(t)})
+    common = Counter(g for row in rows[: len(negatives) - 5 * len(GENERIC)] for g in row)
+    vocabulary = sorted({g for t in sum(TEMPLATES.values(), []) for g in grams(t) if common[g] <= MAX_COMMON * len(negatives)})
     index = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)))
     for i, row in enumerate(rows):
@@ -110,11 +114,17 @@ def scan(docs: DataFrame, max_negative: int = MAX_NEGATIVE) -> DataFrame:
     some = texts.where(share_order("text") < max_negative / 2 / max(total, 1)).select(F.explode(lines).alias("p"))
     known = "|".join(re.escape(normal(t)) for t in sum(TEMPLATES.values(), []))
     sample = some.where(~normal_column(F.col("p")).rlike(known)).where(share_order("p") < 0.5).select("p").distinct().orderBy(share_order("p"), "p").limit(max_negative)
-    vocabulary, model, threshold = fit([r["p"] for r in sample.collect()])
-
-    triggers = sorted({max(vocabulary[i].split(" "), key=lambda v: (len(v), v)) for _, w in model.values() for i in np.flatnonzero(w > 0)})
+    negatives = [r["p"] for r in sample.collect()]
+    vocabulary, model, threshold = fit(negatives)
+
+    # of each n-gram of positive weight the word that is rarest in the sample, or all of it if none is rare
+    common = Counter(w for p in negatives for w in set(normal(p).split(" ")))
+    positive = {vocabulary[i] for _, w in model.values() for i in np.flatnonzero(w > 0)}
+    rarest = {g: min(g.split(" "), key=lambda v: (common[v], -len(v), v)) for g in positive}
+    triggers = sorted({w if common[w] <= MAX_COMMON * len(negatives) else g.replace(" ", "[^a-z0-9]+") for g, w in rarest.items()})
+    trigger = f"(?<![a-z0-9])(?:{'|'.join(triggers)})(?![a-z0-9])"
     docs = texts.withColumn("_lines", lines)
-    docs = docs.withColumn("_hits", F.transform(F.filter("_lines", lambda p: F.lower(p).rlike("|".join(map(re.escape, triggers)))), normal_column))
+    docs = docs.withColumn("_hits", F.transform(F.filter("_lines", lambda p: F.lower(p).rlike(trigger)), normal_column))
 
     # one SQL expression: thousands of calls for its parts would take far longer than the scan of a small table
     quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
