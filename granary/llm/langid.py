@@ -107,22 +107,53 @@ class CharModel:
     def _context(cls, points, places, n):
         return cls._hash_at(points, places - 1, n - 1)
 
+    def log_probabilities(self, points: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probability of the character at each place, given those before it."""
+        return Models([self]).log_probabilities(points, places)[:, 0]
+
+
+def _side_by_side(tables: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Tables of sorted keys and columns as one: all keys, and for each column a matrix with a column for each table."""
+    keys = np.unique(np.concatenate([t[0] for t in tables]))
+    out = [np.zeros((len(keys), len(tables))) for _ in tables[0][1:]]
+    for i, (own, *columns) in enumerate(tables):
+        at = np.searchsorted(keys, own)
+        for matrix, column in zip(out, columns, strict=True):
+            matrix[at, i] = column
+    return keys, *out
+
+
+class Models:
+    """Several models as one set of sorted arrays, so that one search finds an n-gram in all of them."""
+
+    def __init__(self, models: list[CharModel]):
+        self.letters = np.array([m.letters for m in models], np.float64)
+        self.grams, self.contexts, self.discounts = [], [], []
+        for level in range(ORDER if models else 0):
+            parts = [m.levels[level] for m in models]
+            self.grams.append(_side_by_side([(full, counts) for full, counts, *_ in parts]))
+            self.contexts.append(_side_by_side([(keys, totals, backoff) for _, _, keys, totals, backoff, _ in parts]))
+            self.discounts.append(np.array([x[-1] for x in parts]))
+
     @staticmethod
-    def _look(keys, values, wanted):
+    def _look(table: tuple[np.ndarray, ...], wanted: np.ndarray) -> list[np.ndarray]:
+        keys, *columns = table
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], 0.0)
+        found = (keys[at] == wanted)[:, None]
+        return [np.where(found, c[at], 0.0) for c in columns]
 
     def log_probabilities(self, points: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the probability of the character at each place, given those before it."""
-        p = np.full(len(places), 1.0 / self.letters)
+        """A row for each place, a column for each model. Equal n-grams of the highest order are looked up once."""
+        _, first, back = np.unique(CharModel._hash_at(points, places, ORDER), return_index=True, return_inverse=True)
+        places = places[first]
+        p = np.repeat(1.0 / self.letters[None], len(places), axis=0)
         for n in range(1, ORDER + 1):
-            full, counts, keys, totals, backoff, discount = self.levels[ORDER - n]
-            context = self._context(points, places, n)
-            total = self._look(keys, totals, context)
-            seen = np.maximum(self._look(full, counts, self._hash_at(points, places, n)) - discount, 0.0)
+            level = ORDER - n
+            total, backoff = self._look(self.contexts[level], CharModel._context(points, places, n))
+            seen = np.maximum(self._look(self.grams[level], CharModel._hash_at(points, places, n))[0] - self.discounts[level], 0.0)
             safe = np.maximum(total, 1.0)
-            p = np.where(total > 0, seen / safe + self._look(keys, backoff, context) / safe * p, p)
-        return np.log(p)
+            p = np.where(total > 0, seen / safe + backoff / safe * p, p)
+        return np.log(p)[back]
 
 
 class Scorer:
@@ -131,12 +162,12 @@ class Scorer:
     MAX_WORDS = 300_000
 
     def __init__(self, models: dict[str, CharModel]):
-        self.models = [models[k] for k in sorted(models)]
+        self.models = Models([models[k] for k in sorted(models)])
         self.clear()
 
     def clear(self):
         self.index: dict[str, int] = {}
-        self.sums = np.zeros((0, len(self.models) + 1))
+        self.sums = np.zeros((0, len(self.models.letters) + 1))
 
     def add(self, rows: list[list[str]]) -> None:
         if len(self.index) > self.MAX_WORDS:
@@ -147,14 +178,14 @@ class Scorer:
         points, starts = _points(fresh)
         ok, owner = _places(points, starts, None)
         places, owner = np.flatnonzero(ok) + ORDER - 1, owner[ok]
-        sums = [np.bincount(owner, m.log_probabilities(points, places), len(fresh)) for m in self.models]
+        sums = [np.bincount(owner, x, len(fresh)) for x in self.models.log_probabilities(points, places).T]
         sums.append(np.bincount(owner, minlength=len(fresh)))
         self.index.update(zip(fresh, range(len(self.sums), len(self.sums) + len(fresh)), strict=True))
         self.sums = np.concatenate((self.sums, np.stack(sums, axis=1)))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: the sum for each language, and the number of characters."""
-        out = np.zeros((len(texts), len(self.models) + 1))
+        out = np.zeros((len(texts), len(self.models.letters) + 1))
         for begin in range(0, len(texts), 200):
             rows = [words_of(t) for t in texts[begin : begin + 200]]
             self.add(rows)
