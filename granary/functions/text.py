@@ -81,11 +81,12 @@ def parsed_breaks(answer: Column, size: Column | None = None) -> Column:
 
 
 def safe_file_name(url: Column) -> Column:
-    """First 12 digits of the sha256 and the decoded tail of the path, if it names a PDF."""
+    """First 12 digits of the sha256, and the decoded tail of the path; one that doesn't end in .pdf gives way to the digits."""
     digest = F.substring(F.sha2(url, 256), 1, 12)
-    tail = F.url_decode(F.regexp_extract(url, r"^[^:]+://[^/?#]*(?:[^?#]*/)?([^/?#]*)", 1))
-    named = F.when(F.lower(tail).contains(".pdf"), F.concat(digest, F.lit("_"), tail)).otherwise(F.concat(digest, F.lit(".pdf")))
-    return F.regexp_replace(named, r"[^\p{L}\p{N}._-]", "_")
+    raw = F.regexp_extract(url, r"^[^:]+://[^/?#]*(?:[^?#]*/)?([^/?#;]+)(?:;[^/?#]*)?/*(?:[?#]|$)", 1)
+    tail = F.coalesce(F.try_url_decode(raw), raw)
+    named = F.when(F.lower(tail).endswith(".pdf"), tail).otherwise(F.concat(digest, F.lit(".pdf")))
+    return F.concat(digest, F.lit("_"), F.regexp_replace(named, r"[^\p{L}\p{N}._-]", "_"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -97,3 +98,31 @@ def cosine(a: Column, b: Column) -> Column:
 def squared_l2(a: Column, b: Column) -> Column:
     each = F.zip_with(a, b, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double")))
     return F.aggregate(each, F.lit(0.0), lambda s, v: s + v)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared part of the distinct entries of two arrays; 0 for two empty ones."""
+    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
+
+
+def array_percentile(values: Column, share: float) -> Column:
+    """Percentile of an array with linear interpolation; 0 for an empty one."""
+    ordered, rank = F.array_sort(values), (F.size(values) - 1) * F.lit(share)
+    low = F.floor(rank).cast("int")
+    a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(values) - 1))
+    return F.when(F.size(values) == 0, F.lit(0.0)).otherwise(a * (1 - (rank - low)) + b * (rank - low))
+
+
+def message_text(content: Column) -> Column:
+    """Text of a message: a JSON list gives its parts, or their `text`, line by line; anything else stays as it is."""
+    parts = F.from_json(content, "array<string>")
+    said = F.transform(parts, lambda p: F.coalesce(F.get_json_object(p, "$.text"), p))
+    return F.when(content.startswith("[") & parts.isNotNull(), F.array_join(said, "\n")).otherwise(content)
+
+
+def search_report(name: str, hits: Column) -> Column:
+    """What a search tool answers: hits is an array of structs of rank, score, source, chunk and text."""
+    score = lambda h: F.format_string("%.4f", F.floor(h["score"] * 10000 + 0.5) / 10000)
+    line = lambda h: F.concat(F.lit("["), h["rank"].cast("string"), F.lit("] score="), score(h), F.lit(" | source="), F.coalesce(h["source"], F.lit("unknown")), F.lit(" | chunk="), F.coalesce(h["chunk"].cast("string"), F.lit("unknown")), F.lit("\n"), F.coalesce(preview(h["text"], 300), F.lit("")), F.lit("\n-"))
+    head = F.concat(F.lit("Top "), F.size(hits).cast("string"), F.lit(f" {name} chunks:\n"))
+    return F.when(F.size(hits) == 0, F.lit(f"No relevant chunks found in {name}.")).otherwise(F.concat(head, F.array_join(F.transform(hits, line), "\n")))

@@ -93,7 +93,8 @@ def enforced_breaks(breaks: Column, n: Column, least: int = 2, most: int = 6) ->
     first = F.aggregate(normal_breaks(breaks, n), F.struct(F.lit(-1).alias("last"), none.alias("kept")), apart)["kept"]
 
     def capped(state: Column, b: Column) -> Column:
-        more = F.filter(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: state["last"] + k * most), lambda x: x < b)
+        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil((b - state["last"]) / most).cast("int")))
+        more = F.filter(F.transform(steps, lambda k: state["last"] + k * most), lambda x: x < b)
         real = F.when(b < n - 1, F.array(b)).otherwise(none)
         return F.struct(b.alias("last"), F.concat(state["kept"], more, real).alias("kept"))
 
@@ -112,11 +113,54 @@ def from_breaks(docs: DataFrame, breaks: Column, small: int = 6) -> DataFrame:
     return df.select("doc_id", "chunk_index", F.size(part).alias("n_sent"), F.array_join(part, " ").alias("text"))
 
 
+def window_breaks(sentences: Column, planner, size: int = 80, overlap: int = 10, to_end: bool = False) -> Column:
+    """Breaks that a planner (Column of sentences -> Column of breaks) proposes window by window, as sentence numbers.
+
+    A window starts every size - overlap sentences; the last one is that which reaches the end, or, if to_end is set, the
+    last one that has a sentence. What a planner proposes outside its window counts for nothing.
+    """
+    n, step = F.size(sentences), size - overlap
+    last = F.greatest(n - 1, F.lit(0)) if to_end else F.greatest(n - 1 - overlap, F.lit(0))
+    starts = F.sequence(F.lit(0), last, F.lit(step))
+    found = F.transform(starts, lambda s: F.transform(F.filter(planner(F.slice(sentences, s + 1, F.lit(size))), lambda b: (b >= 0) & (b < F.least(n - s, F.lit(size)))), lambda b: s + b))
+    return F.array_sort(F.array_distinct(F.flatten(found)))
+
+
+def _joined(docs: DataFrame, ranges: Column, least: int) -> DataFrame:
+    """Chunks of ranges of sentences; documents of fewer sentences than `least` stay as they are. docs has doc_id, text, sentences."""
+    cut = F.transform(ranges, lambda r: F.array_join(F.slice("sentences", r["begin"] + 1, r["end"] - r["begin"] + 1), " "))
+    chunks = F.when(F.size("sentences") < least, F.array("text")).otherwise(cut)
+    return docs.select("doc_id", F.posexplode(chunks).alias("chunk_index", "text"))
+
+
+def agentic_eval(docs: DataFrame, planner, most: int = 6, least: int = 2, overlap: int = 1, size: int = 80, window_overlap: int = 10) -> DataFrame:
+    """Chunks closed by a planner's break or at `most` sentences, carried ones included; no fallback, texts of up to two sentences stay whole."""
+    df = docs.where("text is not null").select("doc_id", "text", T.sentences(F.col("text")).alias("sentences"))
+    df = df.withColumn("breaks", window_breaks(F.col("sentences"), planner, size, window_overlap, to_end=True))
+    return _joined(df, fold_ranges(F.size("sentences"), F.col("breaks"), most, least, overlap), 3)
+
+
+def semantic(docs: DataFrame, prepare, likeness, percentile: float = 0.7, most: int = 8, overlap: int = 2) -> DataFrame:
+    """Chunks broken where neighbouring sentences are at most as alike as the percentile within the document.
+
+    prepare makes of a sentence what likeness compares, e.g. providers.hashed_embedding and text.cosine, or text.tokens and
+    text.jaccard. Texts of up to one sentence stay whole.
+    """
+    df = docs.where("text is not null").select("doc_id", "text", T.sentences(F.col("text")).alias("sentences"))
+    df = df.withColumn("ready", F.transform("sentences", prepare))
+    pairs = F.sequence(F.lit(0), F.greatest(F.size("ready") - 2, F.lit(0)))
+    df = df.withColumn("sims", F.transform(pairs, lambda i: F.round(likeness(F.get("ready", i), F.get("ready", i + 1)), 6)))
+    df = df.withColumn("cut", F.round(T.array_percentile(F.col("sims"), percentile), 9))
+    breaks = F.filter(F.transform("sims", lambda s, i: F.when(s <= F.col("cut"), i)), lambda i: i.isNotNull())
+    df = df.withColumn("breaks", breaks)
+    return _joined(df, fold_ranges(F.size("sentences"), F.col("breaks"), most, 2, overlap), 2)
+
+
 def planned(docs: DataFrame, planner=None) -> DataFrame:
-    """Chunks at the breaks that a planner (Column of sentences -> Column of breaks) proposes; none: every sixth sentence."""
+    """Chunks at the breaks that a planner proposes window by window; none: after every sixth sentence."""
     df = docs.select("doc_id", T.sentences(F.col("text")).alias("sentences"))
     n = F.size("sentences")
     if planner is None:
         return from_breaks(df, fallback_breaks(n))
-    df = df.withColumn("plan", normal_breaks(planner(F.col("sentences")), n))
+    df = df.withColumn("plan", normal_breaks(window_breaks(F.col("sentences"), planner), n))
     return from_breaks(df, F.when(F.size("plan") == 0, fallback_breaks(n)).otherwise(enforced_breaks(F.col("plan"), n)))

@@ -29,8 +29,11 @@ def top_k(scored: DataFrame, query: str, order: list[Column], k: int) -> DataFra
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= max(1, k))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: list[str], query: str = "item_id", k: int = 5) -> DataFrame:
-    """The k best rows of docs for every query, by Okapi BM25. Rows that share no term with a query are no matches."""
+def bm25(docs: DataFrame, queries: DataFrame, key: list[str], query: str = "item_id", k: int = 5, pad: bool = False) -> DataFrame:
+    """The k best rows of docs for every query, by Okapi BM25.
+
+    Rows that share no term with a query are no matches; with pad they have score 0 and fill up the k, in order of the key.
+    """
     postings = term_frequencies(docs, *key)
     n, tokens = docs.select(F.size(T.tokens(F.coalesce("text", F.lit("")))).alias("n")).agg(F.count("*"), F.sum("n")).first()
     if not n:
@@ -40,9 +43,60 @@ def bm25(docs: DataFrame, queries: DataFrame, key: list[str], query: str = "item
     mean = max(tokens, 1) / n
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
     scored = postings.join(terms, "term").groupBy(query, *key).agg(F.round(F.sum(weight), 6).alias("score"))
+    if pad:
+        scored = padded(scored, docs, queries, key, query, k)
     return top_k(scored, query, [F.desc("score"), *map(F.asc, key)], k).select(query, "rank", *key, "score")
 
 
+def padded(scored: DataFrame, docs: DataFrame, queries: DataFrame, key: list[str], query: str, k: int) -> DataFrame:
+    """Adds score 0 for rows of docs without a score, as many as the k best of a query can need.
+
+    A query lacks at most k rows; they are among the first k + (its matches) rows of docs in order of the key.
+    """
+    found = queries.select(query).distinct().join(scored.groupBy(query).agg(F.count("*").alias("n"), F.count(F.when(F.col("score") >= 0, 1)).alias("good")), query, "left")
+    lacking = found.where(F.coalesce("good", F.lit(0)) < k)
+    most = lacking.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] if not lacking.isEmpty() else None
+    if most is None:
+        return scored
+    first = docs.select(*key).orderBy(*key).limit(k + most).withColumn("_at", F.lit(0))
+    zeros = lacking.select(query, F.lit(0).alias("_at")).join(first, "_at").drop("_at").join(scored, [query, *key], "left_anti")
+    return scored.unionByName(zeros.withColumn("score", F.lit(0.0)))
+
+
+def agentic(searches: DataFrame, fallback: DataFrame, query: str, key: list[str]) -> DataFrame:
+    """What an agent found in all its calls (query, call, rank, key), each row once where it came first.
+
+    Queries whose calls found nothing get the fallback's rows (query, rank, key).
+    """
+    found = first_of(searches.select(query, "call", "rank", *key), [query, *key], ["call", "rank"])
+    rest = fallback.join(searches.select(query).distinct(), query, "left_anti").withColumn("call", F.lit(0))
+    both = found.unionByName(rest.select(*found.columns))
+    place = F.row_number().over(Window.partitionBy(query).orderBy("call", "rank", *key))
+    return both.select(query, place.alias("place"), "call", *key)
+
+
+def answers(ranked: DataFrame, bodies: DataFrame, queries: DataFrame, key: list[str], answer, query: str = "item_id") -> DataFrame:
+    """answer, retrieved_contexts and retrieved_sources of every query. bodies: key, source, text; answer: (text, contexts) -> Column."""
+    hits = ranked.join(bodies.select(*key, F.coalesce("source", F.lit("")).alias("source"), "text"), key)
+    hits = hits.groupBy(query).agg(F.sort_array(F.collect_list(F.struct("rank", "source", "text"))).alias("hits"))  # k entries at most
+    out = queries.select(query, F.col("text").alias("_asked")).join(hits, query, "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumn("retrieved_contexts", F.coalesce(F.transform("hits", lambda h: h["text"]), none))
+    out = out.withColumn("retrieved_sources", F.coalesce(F.transform("hits", lambda h: h["source"]), none))
+    return out.select(query, answer(F.col("_asked"), F.col("retrieved_contexts")).alias("answer"), "retrieved_contexts", "retrieved_sources")
+
+
+#: Retrieval methods by name; each takes (docs, queries, ...) and gives ranked rows.
+METHODS = {"bm25": lambda *a, **k: bm25(*a, **k), "traditional-rag": lambda *a, **k: vectors(*a, **k), "agentic-rag": lambda *a, **k: agentic(*a, **k)}
+
+
+def retrieve(method: str, *args, **options) -> DataFrame:
+    """Plans the method of this name; an unknown one raises."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}; there are {', '.join(sorted(METHODS))}")
+    return METHODS[method](*args, **options)
+
+
 def vectors(corpus: DataFrame, queries: DataFrame, distance, k: int = 5, descending: bool = False) -> DataFrame:
     """The k nearest rows (vec_id, embedding) for every query (query_id, query_vector), exactly, block by block.
 
@@ -105,6 +159,27 @@ def summary(rows: DataFrame, group: list[str], metrics: dict[str, Column]) -> Da
     return rows.groupBy(*group).agg(F.count("*").alias("rows"), *each)
 
 
+def means(rows: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
+    """Means of those of the columns that rows has; nulls and NaN count for nothing."""
+    have = [c for c in columns if c in rows.columns]
+    return rows.groupBy(*(group or [])).agg(*[F.round(F.avg(F.nullif(F.col(c).cast("double"), F.lit(float("nan")))), 6).alias(c) for c in have])
+
+
+def metric_map(entries: Column) -> Column:
+    """A judge's list of structs of key, score and value as a map; the score wins, and of repeated keys the last one."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    last = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(last(k)["score"], last(k)["value"])))
+
+
+def judge_pass(*scores: Column) -> Column:
+    """1 if all scores are 1, else 0."""
+    out = F.lit(True)
+    for s in scores:
+        out = out & F.coalesce(s == 1, F.lit(False))
+    return out.cast("int")
+
+
 def match_names(names: DataFrame, catalog: DataFrame, shared: int = 3) -> DataFrame:
     """Catalogue entries (file) that may belong to each name: one normalised form holds the other, or enough words agree.
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import providers
 from ..functions import text as T
 from ..operators import chunking, retrieval
+from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -231,3 +233,90 @@ def json_breaks(spark, sf):
 def unique_sources(spark, sf):
     ranked = bm25_topk(spark, sf).join(_read(spark, sf, "documents").select("doc_id", "source"), "doc_id")
     return ranked.groupBy("item_id").agg(F.countDistinct("source").alias("n_sources"))
+
+
+@query
+def chunks_agentic_eval(spark, sf):
+    """The planner is stood in for by word overlap of neighbouring sentences."""
+    out = chunking.agentic_eval(_read(spark, sf, "documents"), providers.overlap_planner)
+    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+@query
+def chunks_semantic(spark, sf):
+    """Likeness of sentences is that of their sets of tokens, which SQL can also tell."""
+    out = chunking.semantic(_read(spark, sf, "documents"), T.tokens, T.jaccard)
+    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+@query
+def bm25_padded(spark, sf):
+    return retrieval.bm25(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"), ["doc_id"], pad=True)
+
+
+@query
+def agentic_retrieval(spark, sf):
+    """The agent is stood in for by two calls: one asks for the first half of an item's tokens, one for the second."""
+    docs, items = _read(spark, sf, "documents"), _read(spark, sf, "benchmark")
+    bag = items.select("item_id", T.tokens(F.coalesce("text", F.lit(""))).alias("bag")).withColumn("half", F.floor(F.size("bag") / 2).cast("int"))
+    calls = None
+    for n, part in ((1, F.slice("bag", F.lit(1), F.col("half"))), (2, F.slice("bag", F.col("half") + 1, F.size("bag")))):
+        got = retrieval.bm25(docs, bag.select("item_id", F.array_join(part, " ").alias("text")), ["doc_id"]).withColumn("call", F.lit(n))
+        calls = got if calls is None else calls.unionByName(got)
+    return retrieval.agentic(calls, bm25_topk(spark, sf), "item_id", ["doc_id"])
+
+
+@query
+def grounded_answers(spark, sf):
+    """Answers over the best documents; the answering model is stood in for by question and contexts."""
+    docs, items = _read(spark, sf, "documents"), _read(spark, sf, "benchmark")
+    out = retrieval.answers(bm25_topk(spark, sf), docs, items, ["doc_id"], providers.answer)
+    return out.select("item_id", F.sha2("answer", 256).alias("answer_sha256"), F.size("retrieved_contexts").cast("long").alias("n_contexts"), F.array_join("retrieved_sources", ",").alias("sources"))
+
+
+@query
+def search_reports(spark, sf):
+    chunks = chunking.fixed(_read(spark, sf, "documents"))
+    sources = _read(spark, sf, "documents").select("doc_id", "source")
+    hits = bm25_chunk_topk(spark, sf).join(chunks, ["doc_id", "chunk_index"]).join(sources, "doc_id")
+    hits = hits.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "source", F.col("chunk_index").alias("chunk"), "text"))).alias("hits"))
+    return hits.select("item_id", T.search_report("BM25", F.col("hits")).alias("report"))
+
+
+@query
+def usable_questions(spark, sf):
+    """Conversations as question rows: first and last turn, with the roles of their turns as evidence."""
+    turns = _read(spark, sf, "conversations")
+    named = F.struct(F.when(F.col("role") == "user", F.lit("")).otherwise(F.col("role")).alias("doc_name"), F.concat("role", F.lit("_"), (F.col("turn") % 3).cast("string")).alias("evidence_doc_name"))
+    rows = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"), F.max_by("text", "turn").alias("answer"), F.collect_list(named).alias("evidence"))
+    out = files.usable_questions(rows.withColumn("dataset_subset_label", F.lit("OPEN_SOURCE")))
+    return out.select("conv_id", "question", "answer", F.array_join("evidence_doc_names", ",").alias("evidence_doc_names"))
+
+
+@query
+def eval_examples(spark, sf):
+    items = _read(spark, sf, "benchmark").select(F.col("text").alias("query"), F.col("item_id").cast("string").alias("reference_answer"), F.lit(None).cast("string").alias("source"))
+    return files.eval_examples(items).select("inputs.query", "outputs.reference_answer", "metadata.source")
+
+
+@query
+def judge_metrics(spark, sf):
+    """Labels as a judge's list of metrics, back as columns, with the verdict of all of them."""
+    entry = lambda k, s, v: F.struct(F.lit(k).alias("key"), s.cast("double").alias("score"), v.cast("double").alias("value"))
+    labels = _read(spark, sf, "labels")
+    got = labels.select("doc_id", retrieval.metric_map(F.array(entry("good", F.col("quality"), F.lit(-1)), entry("clean", F.lit(None), 1 - F.col("toxic")))).alias("m"))
+    return got.select("doc_id", F.col("m.good").alias("good"), F.col("m.clean").alias("clean"), retrieval.judge_pass(F.col("m.good"), F.col("m.clean")).alias("passed"))
+
+
+@query
+def score_means(spark, sf):
+    rows = _read(spark, sf, "documents").join(_read(spark, sf, "labels"), "doc_id", "left")
+    return retrieval.means(rows, ["quality", "toxic", "faithfulness"], ["lang"])
+
+
+@query
+def question_prompts(spark, sf):
+    """Prompts for writing questions about every document of 200 characters or more."""
+    template = "Document ({name}):\n{text}\n\nWrite 2 questions that only this document answers."
+    docs = _read(spark, sf, "documents").where(F.length("text") >= 200)
+    return docs.select("doc_id", F.sha2(T.prompt(template, name=F.col("source"), text=F.substring("text", 1, 4000)), 256).alias("prompt_sha256"))

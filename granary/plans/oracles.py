@@ -15,7 +15,7 @@ _NAME_TOKENS = f"list_filter(list_distinct(regexp_extract_all(lower({{}}), '[a-z
 _CLEAN = r"trim(regexp_replace({}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), ' ')"
 
 
-def _bm25(name: str, rows: str, key: str) -> str:
+def _bm25(name: str, rows: str, key: str, asked: str = "benchmark") -> str:
     """Common table expressions up to `name`: item_id, rank, key, score."""
     n = name
     return f"""{n}_bags as (select {key}, {_TOKENS.format("text")} as bag from {rows}),
@@ -23,7 +23,7 @@ def _bm25(name: str, rows: str, key: str) -> str:
 {n}_tf as (select {key}, length, term, count(*) as tf from (select {key}, len(bag) as length, unnest(bag) as term from {n}_bags) group by all),
 {n}_df as (select term, count(*) as df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as idf0 from {n}_tf, {n}_size group by term),
 {n}_idf as (select term, case when idf0 < 0 then 0.25 * (select avg(idf0) from {n}_df) else idf0 end as idf from {n}_df),
-{n}_asked as (select item_id, term, count(*) as qtf from (select item_id, unnest({_TOKENS.format("text")}) as term from benchmark) group by all),
+{n}_asked as (select item_id, term, count(*) as qtf from (select item_id, unnest({_TOKENS.format("text")}) as term from {asked}) group by all),
 {n}_scored as (select item_id, {key}, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) as score
   from {n}_tf join {n}_asked using (term) join {n}_idf using (term), {n}_size group by item_id, {key}),
 {n} as (select item_id, cast(row_number() over (partition by item_id order by score desc, {key}) as int) as rank, {key}, score from {n}_scored
@@ -57,6 +57,34 @@ _JUDGE = """judged as (select lang, source, count(*) as rows, round(sum(coalesce
   round(sum(case when quality = 1 and toxic = 0 then 1 else 0 end)::double / count(*), 4) as avg_pass, lang || '+' || source as label
   from documents left join labels using (doc_id) where coalesce(lang, '') <> '' and coalesce(source, '') <> '' group by lang, source)"""
 
+
+
+def _walk(key: str, most: int, overlap: int) -> str:
+    """ranges(key, first, last) of a walk over `sizes` (key, n) that closes a range at `most` or at a mark (key, i, brk)."""
+    return f"""walk({key}, i, size, first, last) as (
+  select {key}, cast(0 as bigint), cast(1 as bigint), cast(null as bigint), cast(null as bigint) from sizes
+  union all
+  select {key}, i, case when closes then least({overlap}, grown) else grown end, case when closes then i - grown + 1 end, case when closes then i end from (
+    select w.{key}, w.i + 1 as i, w.size + 1 as grown, w.size + 1 >= {most} or (coalesce(m.brk, false) and w.size + 1 >= 2) as closes
+    from walk w join sizes s on s.{key} = w.{key} left join marks m on m.{key} = w.{key} and m.i = w.i + 1 where w.i + 1 < s.n)),
+ranges as (select {key}, first, last from walk where last is not null union all select w.{key}, w.i - w.size + 1, w.i from walk w join sizes s on s.{key} = w.{key} and w.i = s.n - 1)"""
+
+
+_PAIRS = f"""split as materialized (select doc_id, text, {_SENTENCES} as s from documents where text is not null), sizes as materialized (select doc_id, len(s) as n from split where len(s) > 0),
+each_one as (select doc_id, i, list_distinct({_TOKENS.format("s[i + 1]")}) as bag from (select doc_id, s, unnest(range(len(s))) as i from split)),
+pairs as materialized (select a.doc_id, a.i, len(list_intersect(a.bag, b.bag)) as shared, greatest(len(list_distinct(list_concat(a.bag, b.bag))), 1) as either from each_one a join each_one b on b.doc_id = a.doc_id and b.i = a.i + 1)"""
+
+
+def _text_chunks(least: int) -> str:
+    return f"""numbered as (select doc_id, row_number() over (partition by doc_id order by last, first) - 1 as chunk_index, first, last from ranges)
+select doc_id, chunk_index, array_to_string(list_slice(s, first + 1, last + 1), ' ') as text from numbered join split using (doc_id) where len(s) >= {least}
+union all select doc_id, 0, text from split where len(s) < {least}"""
+
+
+_HALVES = f"""bags as (select item_id, {_TOKENS.format("text")} as bag from benchmark),
+one as (select item_id, array_to_string(list_slice(bag, 1, len(bag) // 2), ' ') as text from bags), two as (select item_id, array_to_string(list_slice(bag, len(bag) // 2 + 1, len(bag)), ' ') as text from bags)"""
+_FLAT = r"regexp_replace(c.text, '[\s\p{Z}]+', ' ', 'g')"
+
 SQL: dict[str, str] = {
     "doc_load": f"select doc_id, length({_TRIM.format('text')}) as n_chars_trimmed from documents where length({_TRIM.format('text')}) > 0",
     "tokens_df": f"""with tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest({_TOKENS.format("text")}) as term from documents) group by all)
@@ -70,15 +98,12 @@ select doc_id, j as chunk_index, len(part) as n_sent, array_to_string(part, ' ')
     "semantic_breakpoints": f"with {_GAPS} select label, round(threshold, 6) as threshold, count(case when sim <= threshold then 1 end) as n_breaks from {_CUT} group by label, threshold",
     "chunks_semantic_ranges": f"""with recursive {_GAPS},
 marks as (select label, row_number() over (partition by label order by vec_id) - 1 as i, sim <= threshold as brk from {_CUT}),
-sizes as (select label, max(i) + 2 as n from marks group by label),
-walk(label, i, size, first, last) as (
-  select label, cast(0 as bigint), cast(1 as bigint), cast(null as bigint), cast(null as bigint) from sizes
-  union all
-  select label, i, case when closes then least(2, grown) else grown end, case when closes then i - grown + 1 end, case when closes then i end from (
-    select w.label, w.i + 1 as i, w.size + 1 as grown, w.size + 1 >= 8 or (coalesce(m.brk, false) and w.size + 1 >= 2) as closes
-    from walk w join sizes s on s.label = w.label left join marks m on m.label = w.label and m.i = w.i + 1 where w.i + 1 < s.n)),
-ranges as (select label, first, last from walk where last is not null union all select w.label, w.i - w.size + 1, w.i from walk w join sizes s on s.label = w.label and w.i = s.n - 1)
+sizes as (select label, max(i) + 2 as n from marks group by label), {_walk("label", 8, 2)}
 select label, row_number() over (partition by label order by last, first) - 1 as chunk_index, first, last from ranges""",
+    "chunks_agentic_eval": f"""with recursive {_PAIRS}, marks as (select doc_id, i, shared < 0.15 * either as brk from pairs), {_walk("doc_id", 6, 1)}, {_text_chunks(3)}""",
+    "chunks_semantic": f"""with recursive {_PAIRS}, sims as (select doc_id, i, round(shared::double / either, 6) as sim from pairs),
+cuts as (select doc_id, round(quantile_cont(sim, 0.7), 9) as cut from sims group by doc_id),
+marks as (select doc_id, i, sim <= cut as brk from sims join cuts using (doc_id)), {_walk("doc_id", 8, 2)}, {_text_chunks(2)}""",
     "bm25_topk": f"with {_bm25('top', 'documents', 'doc_id')} select * from top",
     "bm25_chunk_topk": f"with {_CHUNKS}, {_bm25('top', 'chunks', 'doc_id, chunk_index')} select item_id, rank, doc_id, cast(chunk_index as int) as chunk_index, score from top",
     "vector_topk_l2": f"with {_nearest(_EACH_100, _L2, 'asc')} select * from top",
@@ -104,8 +129,8 @@ files as (select distinct file, {_NORMAL.format("file")} as b, {_NAME_TOKENS.for
 hits as (select name, file from names, files where a <> '' and b <> '' and (contains(a, b) or contains(b, a) or len(list_intersect(ta, tb)) >= 3))
 select name, coalesce(string_agg(file, '|' order by file), '') as files, cast(count(file) as int) as n_files, case count(file) when 1 then 'confident' when 0 then 'unmatched' else 'ambiguous' end as match_class
 from names left join hits using (name) group by name""",
-    "url_filename": r"""select url, regexp_replace(case when contains(lower(tail), '.pdf') then digest || '_' || tail else digest || '.pdf' end, '[^\p{L}\p{N}._-]', '_', 'g') as file_name
-from (select distinct url, sha256(url)[1:12] as digest, url_decode(regexp_extract(url, '^[^:]+://[^/?#]*(?:[^?#]*/)?([^/?#]*)', 1)) as tail from pages where url is not null)""",
+    "url_filename": r"""select url, digest || '_' || regexp_replace(case when ends_with(lower(tail), '.pdf') then tail else digest || '.pdf' end, '[^\p{L}\p{N}._-]', '_', 'g') as file_name
+from (select distinct url, sha256(url)[1:12] as digest, url_decode(regexp_extract(url, '^[^:]+://[^/?#]*(?:[^?#]*/)?([^/?#;]+)(?:;[^/?#]*)?/*(?:[?#]|$)', 1)) as tail from pages where url is not null)""",
     "dedupe_first": "select sha256(text) as digest, doc_id, source from documents qualify row_number() over (partition by text order by doc_id) = 1",
     "last_message": "select conv_id, arg_max(text, turn) as text from conversations group by conv_id",
     "context_blocks": f"""with t as (select conv_id, text, row_number() over (partition by conv_id order by turn, text) as i from conversations)
@@ -120,4 +145,25 @@ case when length(text) <= 500 then text else regexp_replace(substring(text, 1, 4
     "sample_rows": "select doc_id from documents order by (doc_id * 48271 + 42) % 2147483647, doc_id limit 50",
     "json_breaks": "select event_id, array_to_string(list_filter([event_id % 10, event_id % 7 - 1], lambda b: b >= 0 and b < 8), ',') as breaks from events",
     "unique_sources": f"with {_bm25('top', 'documents', 'doc_id')} select item_id, count(distinct source) as n_sources from top join documents using (doc_id) group by item_id",
+    "bm25_padded": f"""with {_bm25("top", "documents", "doc_id")}, every as (select b.item_id, d.doc_id, coalesce(s.score, 0) as score from benchmark b, documents d left join top_scored s on s.item_id = b.item_id and s.doc_id = d.doc_id)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from every qualify row_number() over (partition by item_id order by score desc, doc_id) <= 5""",
+    "agentic_retrieval": f"""with {_HALVES}, {_bm25("a", "documents", "doc_id", "one")}, {_bm25("b", "documents", "doc_id", "two")}, {_bm25("f", "documents", "doc_id")},
+calls as (select item_id, doc_id, rank, 1 as call from a union all select item_id, doc_id, rank, 2 from b),
+found as (select * from calls qualify row_number() over (partition by item_id, doc_id order by call, rank) = 1),
+everything as (select * from found union all select item_id, doc_id, rank, 0 from f where item_id not in (select item_id from calls))
+select item_id, cast(row_number() over (partition by item_id order by call, rank, doc_id) as int) as place, cast(call as int) as call, doc_id from everything""",
+    "grounded_answers": f"""with {_bm25("top", "documents", "doc_id")}, hits as (select t.item_id, rank, coalesce(source, '') as source, text from top t join documents using (doc_id)),
+blocks as (select item_id, count(*) as n, string_agg('[' || rank || '] ' || substring({_CLEAN.format("text")}, 1, 2000), chr(10) || chr(10) order by rank) as block, string_agg(source, ',' order by rank) as sources from hits group by item_id)
+select b.item_id, sha256('Question: ' || b.text || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(block, '')) as answer_sha256, coalesce(n, 0) as n_contexts, coalesce(sources, '') as sources from benchmark b left join blocks using (item_id)""",
+    "search_reports": f"""with {_CHUNKS}, {_bm25("top", "chunks", "doc_id, chunk_index")},
+lines as (select t.item_id, rank, '[' || rank || '] score=' || printf('%.4f', floor(score * 10000 + 0.5) / 10000) || ' | source=' || coalesce(source, 'unknown') || ' | chunk=' || t.chunk_index || chr(10) || case when length(flat) > 300 then substring(flat, 1, 300) || '...' else flat end || chr(10) || '-' as line
+  from top t join (select c.doc_id, c.chunk_index, {_TRIM.format(_FLAT)} as flat from chunks c) c on c.doc_id = t.doc_id and c.chunk_index = t.chunk_index join documents d on d.doc_id = t.doc_id)
+select item_id, 'Top ' || count(*) || ' BM25 chunks:' || chr(10) || string_agg(line, chr(10) order by rank) as report from lines group by item_id""",
+    "usable_questions": f"""with c as (select conv_id, {_TRIM.format("arg_min(text, turn)")} as question, {_TRIM.format("arg_max(text, turn)")} as answer,
+list_sort(list_distinct(list(case when role = 'user' then role || '_' || (turn % 3) else role end))) as names from conversations group by conv_id)
+select conv_id, question, answer, array_to_string(names, ',') as evidence_doc_names from c where question <> '' and answer <> ''""",
+    "eval_examples": "select text as query, cast(item_id as varchar) as reference_answer, '' as source from benchmark where coalesce(text, '') <> ''",
+    "judge_metrics": "select doc_id, coalesce(quality, -1)::double as good, (1 - toxic)::double as clean, cast(coalesce(quality = 1 and toxic = 0, false) as int) as passed from labels",
+    "score_means": "select lang, round(avg(quality), 6) as quality, round(avg(toxic), 6) as toxic from documents left join labels using (doc_id) group by lang",
+    "question_prompts": "select doc_id, sha256('Document (' || coalesce(source, '') || '):' || chr(10) || substring(text, 1, 4000) || chr(10) || chr(10) || 'Write 2 questions that only this document answers.') as prompt_sha256 from documents where length(text) >= 200",
 }

@@ -69,3 +69,36 @@ def merge_results(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     names = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c != key]
     pick = [F.coalesce(*[d[c] for d in (new, old) if c in d.columns]).alias(c) for c in names]
     return old.join(new, old[key] == new[key], "full").select(F.coalesce(new[key], old[key]).alias(key), *pick)
+
+
+def usable_questions(rows: DataFrame) -> DataFrame:
+    """Question rows with question and answer, of the open subset or none; evidence becomes its sorted document names.
+
+    rows: question, answer, dataset_subset_label, evidence (array of structs of doc_name and evidence_doc_name), and any other
+    columns; of these, null strings become empty.
+    """
+    text = lambda c: F.coalesce(T.trim(F.col(c)), F.lit(""))
+    kept = rows.withColumns({c: text(c) for c in ("question", "answer")}).where("question <> '' and answer <> ''")
+    kept = kept.where("coalesce(dataset_subset_label, '') in ('', 'OPEN_SOURCE')")
+    names = F.transform("evidence", lambda e: T.trim(F.coalesce(F.nullif(e["doc_name"], F.lit("")), e["evidence_doc_name"], F.lit(""))))
+    kept = kept.withColumn("evidence_doc_names", F.coalesce(F.array_sort(F.array_distinct(F.filter(names, lambda x: x != ""))), F.array().cast("array<string>")))
+    return kept.drop("evidence").na.fill("", [c for c, t in rows.dtypes if t == "string"])
+
+
+def eval_examples(items: DataFrame) -> DataFrame:
+    """inputs, outputs and metadata of every item (query, reference_answer, source) that has a query."""
+    has = items.where("coalesce(query, '') <> ''")
+    return has.select(F.struct("query").alias("inputs"), F.struct(F.coalesce("reference_answer", F.lit("")).alias("reference_answer")).alias("outputs"), F.struct(F.coalesce("source", F.lit("")).alias("source")).alias("metadata"))
+
+
+def sample(rows: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
+    """A seeded sample without replacement, sorted by key; raises if there are too few rows."""
+    out = rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(size)
+    if (n := out.count()) < size:
+        raise ValueError(f"{size} rows were asked for, there are {n}")
+    return out.orderBy(key)
+
+
+def sorted_results(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows by the columns, nulls like empty strings."""
+    return rows.orderBy(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])

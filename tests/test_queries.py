@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.operators import chunking, retrieval
 from granary.plans import catalogue, oracles
+from granary.sources import files
 from tests.oracle_check import compare
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +88,84 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "one two"), (2, "two three")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     index_stream(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "out"), str(tmp_path / "at")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/chunks")).count() == 2
+
+
+def test_long_runs_are_capped(spark):
+    breaks = one(spark, chunking.enforced_breaks(F.array(F.lit(997)), F.lit(1000)))
+    ends = [-1, *breaks, 999]
+    assert max(b - a for a, b in zip(ends, ends[1:])) <= 6 and 997 in breaks
+
+
+def test_planner_windows(spark):
+    sentences = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: i.cast("string"))
+    sizes = lambda s: F.array(F.size(s) - 1)
+    assert one(spark, chunking.window_breaks(sentences, sizes)) == [79, 99]
+    assert one(spark, chunking.window_breaks(F.slice(sentences, 1, 80), sizes)) == [79]
+    assert one(spark, chunking.window_breaks(F.slice(sentences, 1, 80), sizes, to_end=True)) == [79]
+    assert one(spark, chunking.window_breaks(sentences, lambda s: F.array(F.lit(-1), F.lit(80), F.lit(3)))) == [3, 73]
+
+
+def test_whole_texts_stay(spark):
+    docs = spark.createDataFrame([(1, " One. Two. "), (2, None), (3, ""), (4, "A a. B b. C c.")], "doc_id long, text string")
+    none = lambda s: F.array().cast("array<int>")
+    got = {(r["doc_id"], r["chunk_index"]): r["text"] for r in chunking.agentic_eval(docs, none).collect()}
+    assert got == {(1, 0): " One. Two. ", (3, 0): "", (4, 0): "A a. B b. C c."}
+    got = {(r["doc_id"], r["chunk_index"]): r["text"] for r in chunking.semantic(docs, T.tokens, T.jaccard).collect()}
+    assert got == {(1, 0): "One. Two.", (3, 0): "", (4, 0): "A a. B b.", (4, 1): "A a. B b. C c."}  # both sentences before are carried
+
+
+def test_percentile(spark):
+    values = F.array(*map(F.lit, [0.1, 0.5, 0.2, 0.9, 0.7]))
+    assert one(spark, T.array_percentile(values, 0.7)) == pytest.approx(0.66)
+    assert one(spark, T.array_percentile(F.array().cast("array<double>"), 0.7)) == 0.0
+
+
+@pytest.mark.parametrize(("url", "tail"), [("https://h.com/a/b%20c.PDF?x=1", "b_c.PDF"), ("https://h.com/a.pdf.html", None), ("https://h.com/d/e.pdf/", "e.pdf"), ("https://h.com/f.pdf;v=1", "f.pdf"), ("https://h.com", None), ("https://h.com/%zz.pdf", "_zz.pdf")])
+def test_file_names(spark, url, tail):
+    import hashlib
+
+    digest = hashlib.sha256(url.encode()).hexdigest()[:12]
+    assert one(spark, T.safe_file_name(F.lit(url))) == f"{digest}_{tail or digest + '.pdf'}"
+
+
+def test_messages(spark):
+    assert one(spark, T.message_text(F.lit('["a", {"type": "text", "text": "b"}]'))) == "a\nb"
+    assert one(spark, T.message_text(F.lit("[not a list"))) == "[not a list"
+
+
+def test_padding(spark):
+    docs = spark.createDataFrame([(i, "word" if i == 3 else "other thing" if i % 2 else None) for i in range(9)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "word"), (2, "unknown"), (3, None)], "item_id long, text string")
+    got: dict = {}
+    for r in retrieval.bm25(docs, asked, ["doc_id"], pad=True).orderBy("item_id", "rank").collect():
+        got.setdefault(r["item_id"], []).append(r["doc_id"])
+    assert got == {1: [3, 0, 1, 2, 4], 2: [0, 1, 2, 3, 4], 3: [0, 1, 2, 3, 4]}
+
+
+def test_agent(spark):
+    calls = spark.createDataFrame([(1, 1, 1, 7), (1, 1, 2, 8), (1, 2, 1, 8), (1, 2, 2, 9)], "item_id long, call int, rank int, doc_id long")
+    fallback = spark.createDataFrame([(1, 1, 5), (2, 1, 6)], "item_id long, rank int, doc_id long")
+    rows = retrieval.agentic(calls, fallback, "item_id", ["doc_id"]).orderBy("item_id", "place").collect()
+    assert [(r["item_id"], r["place"], r["doc_id"]) for r in rows] == [(1, 1, 7), (1, 2, 8), (1, 3, 9), (2, 1, 6)]
+    with pytest.raises(ValueError):
+        retrieval.retrieve("magic")
+
+
+def test_judges(spark):
+    entry = "array<struct<key:string,score:double,value:double>>"
+    df = spark.createDataFrame([([("a", 1.0, None), ("b", None, 2.0), ("a", 0.0, 5.0)],), ([],)], f"e {entry}")
+    assert [r["m"] for r in df.select(retrieval.metric_map(F.col("e")).alias("m")).collect()] == [{"a": 0.0, "b": 2.0}, {}]
+    assert one(spark, retrieval.judge_pass(F.lit(1), F.lit(None))) == 0
+    scores = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (2.0,)], "x double")
+    assert retrieval.means(scores, ["x", "gone"]).first().asDict() == {"x": 1.5}
+
+
+def test_questions(spark):
+    columns = "id string, question string, answer string, dataset_subset_label string, evidence array<struct<doc_name:string,evidence_doc_name:string>>"
+    rows = [("1", " q ", "a", None, [("", "z"), ("y", "x"), (None, None)]), ("2", "q", " ", None, None), ("3", "q", "a", "CLOSED", None), (None, "q", "a", "OPEN_SOURCE", None)]
+    got = files.usable_questions(spark.createDataFrame(rows, columns)).orderBy("id").collect()
+    assert [(r["id"], r["question"], r["evidence_doc_names"]) for r in got] == [("", "q", []), ("1", "q", ["y", "z"])]
+    few = spark.range(5)
+    assert files.sample(few, "id", 3).count() == 3
+    with pytest.raises(ValueError):
+        files.sample(few, "id", 6)
