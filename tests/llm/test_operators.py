@@ -53,6 +53,42 @@ def test_pipeline_on_odd_tables(spark, tables):
     corpus_pipeline.run(spark, tables[0]).collect()
 
 
+def test_pipeline(spark, docs, rows):
+    """The trained models' verdicts come from the operators' own queries; all else is computed plainly."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    good = [r["doc_id"] for r in quality.judge(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("kept").collect()]
+    docs = docs.where(docs["doc_id"].isin(good))
+    known = {r["doc_id"] for r in langid.predict(docs, langid.train(docs)).where("not rejected").collect()}
+    assert 0 < len(known) <= len(good) < len(rows)
+    left = [(i, t) for i, t in rows if i in known]
+    low = plain_components({i: plain_fingerprint(t) for i, t in left})
+    left = [(i, t) for i, t in left if low[i] == i]
+    assert len(left) < len(known)
+    want, some_gone = {}, False
+    for doc_id, b, gone in plain_cut(left):
+        some_gone |= bool(gone)
+        text = bytes(c for k, c in enumerate(b) if k not in gone).decode("utf-8", "ignore")
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        want |= {(doc_id, n): (start, zlib.crc32(np.array(ids[start : start + 2048], "<u4").tobytes())) for n, start in enumerate(range(0, len(ids), 2048))}
+    assert some_gone
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["ids_crc32"]) for r in out} == want and len(out) == len(want)
+    ends: dict = {}
+    for r in sorted(out, key=lambda r: r["offset"]):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 2048
+
+
+def test_stages_return_documents(spark, docs):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).dtypes == docs.dtypes
+
+
 def test_sentencepieces(docs, rows):
     import sentencepiece
 
@@ -125,6 +161,15 @@ def test_toxicity():
     assert ahead.mean() > 0.9
 
 
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    out = queries.op5_toxicity(spark, sf).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = [r for r in out if r["toxic"]], [r for r in out if not r["toxic"]]
+    ahead = np.array([r["score"] for r in toxic])[:, None] > np.array([r["score"] for r in clean])[None, :]
+    assert ahead.mean() > 0.9 and np.mean([r["predicted"] for r in toxic]) > 0.7 and np.mean([r["predicted"] for r in clean]) < 0.02
+
+
 def test_urls(spark):
     data = [(1, "https://a.b.net/x"), (2, "http://example.net/en/1"), (3, "http://EXAMPLE.com/de/x?y"), (4, "ftp://q.org/fr/"), (5, "http://net"), (6, "http://xnet/")]
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(data, "page_id long, url string"), queries.URL_RULES).collect()}
@@ -136,22 +181,37 @@ def test_urls(spark):
     assert all((base + sum(value(t, row) for t in trees) > 0) == (row[0] > 1) for row in x)
 
 
-def test_simhash(docs, rows):
-    def whole(text):
-        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
-        parts = [" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, min(len(words), 1)))]
-        hashes = [xxhash.xxh64_intdigest(p, 42) for p in parts]
-        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-    fps = {i: whole(t) for i, t in rows}
-    low = {i: i for i in fps}
-    changed = True
+def plain_fingerprint(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    parts = [" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, min(len(words), 1)))]
+    hashes = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(fps):
+    low, changed = {i: i for i in fps}, True
     while changed:
         changed = False
         for a in fps:
             for b in fps:
                 if (fps[a] ^ fps[b]).bit_count() <= 4 and low[b] < low[a]:
                     low[a], changed = low[b], True
+    return low
+
+
+def plain_cut(rows):
+    """doc_id, bytes, numbers of bytes that go, of each text in order of doc_id."""
+    seen: set = set()
+    for doc_id, text in rows:
+        b = text.encode()
+        windows = [b[k : k + 50] for k in range(len(b) - 49)]
+        yield doc_id, b, {x for k, w in enumerate(windows) if w in seen for x in range(k, k + 50)}
+        seen.update(windows)
+
+
+def test_simhash(docs, rows):
+    fps = {i: plain_fingerprint(t) for i, t in rows}
+    low = plain_components(fps)
     got = {r["doc_id"]: (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.classes(docs).collect()}
     assert got == {i: (fps[i], low[i]) for i in fps}
 
@@ -201,12 +261,7 @@ def test_passages(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(passages, "RUN_DOCS", 200)
     many = docs.repartition(5)  # several runs
     got = {r["doc_id"]: r for r in passages.cut_passages(many, digest=True).collect()}
-    seen: set = set()
-    for doc_id, text in rows:
-        b = text.encode()
-        windows = [b[k : k + 50] for k in range(len(b) - 49)]
-        gone = {x for k, w in enumerate(windows) if w in seen for x in range(k, k + 50)}
-        seen.update(windows)
+    for doc_id, b, gone in plain_cut(rows):
         kept = bytes(c for k, c in enumerate(b) if k not in gone)
         spans = sum(k - 1 not in gone for k in gone)
         assert tuple(got[doc_id])[1:] == (len(b), len(gone), spans, hashlib.sha256(kept).hexdigest())
