@@ -147,7 +147,7 @@ class Models:
         _, first, back = np.unique(CharModel._hash_at(points, places, ORDER), return_index=True, return_inverse=True)
         places = places[first]
         p = np.repeat(1.0 / self.letters[None], len(places), axis=0)
-        for n in range(1, ORDER + 1):
+        for n in range(1, len(self.contexts) + 1):
             level = ORDER - n
             total, backoff = self._look(self.contexts[level], CharModel._context(points, places, n))
             seen = np.maximum(self._look(self.grams[level], CharModel._hash_at(points, places, n))[0] - self.discounts[level], 0.0)

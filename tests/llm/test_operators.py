@@ -128,6 +128,13 @@ def test_langid(spark):
     assert 0.5 < total <= 1.0
 
 
+def test_langid_without_languages(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, None, None), (3, "more", "")], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert {(r["lang_pred"], r["score"], r["rejected"]) for r in langid.predict(docs, model).collect()} == {("und", 0.0, True)}
+    assert langid.keep_known(docs, model).count() == 0
+
+
 def test_sketches(spark, docs, rows):
     def shingles(text):
         words = WORD.findall(text.lower())
