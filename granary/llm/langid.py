@@ -17,6 +17,7 @@ first language in alphabetical order.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -156,10 +157,24 @@ class Models:
         return np.log(p)[back]
 
 
+def _slices(sizes: list[int], most: int) -> Iterator[slice]:
+    """Cuts a list into parts whose sizes sum up to `most` at most, or of one entry."""
+    begin = total = 0
+    for i, size in enumerate(sizes):
+        if i > begin and total + size > most:
+            yield slice(begin, i)
+            begin, total = i, 0
+        total += size
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
 class Scorer:
     """Sums log-probabilities of texts under all languages; remembers words it has seen, up to a bound."""
 
     MAX_WORDS = 300_000
+    #: Characters of texts, and of new words, that are worked on at once.
+    TEXTS_AT_ONCE, NEW_AT_ONCE = 1_000_000, 200_000
 
     def __init__(self, models: dict[str, CharModel]):
         self.models = Models([models[k] for k in sorted(models)])
@@ -173,25 +188,29 @@ class Scorer:
         if len(self.index) > self.MAX_WORDS:
             self.clear()
         fresh = sorted(set().union(*rows).difference(self.index))
-        if not fresh:
-            return
+        sums = [self.sums]
+        for part in _slices(list(map(len, fresh)), self.NEW_AT_ONCE):
+            sums.append(self._sums_of(fresh[part]))
+        self.index.update(zip(fresh, range(len(self.sums), len(self.sums) + len(fresh)), strict=True))
+        self.sums = np.concatenate(sums)
+
+    def _sums_of(self, fresh: list[str]) -> np.ndarray:
         points, starts = _points(fresh)
         ok, owner = _places(points, starts, None)
         places, owner = np.flatnonzero(ok) + ORDER - 1, owner[ok]
         sums = [np.bincount(owner, x, len(fresh)) for x in self.models.log_probabilities(points, places).T]
         sums.append(np.bincount(owner, minlength=len(fresh)))
-        self.index.update(zip(fresh, range(len(self.sums), len(self.sums) + len(fresh)), strict=True))
-        self.sums = np.concatenate((self.sums, np.stack(sums, axis=1)))
+        return np.stack(sums, axis=1)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: the sum for each language, and the number of characters."""
         out = np.zeros((len(texts), len(self.models.letters) + 1))
-        for begin in range(0, len(texts), 200):
-            rows = [words_of(t) for t in texts[begin : begin + 200]]
+        for part in _slices([len(t or "") for t in texts], self.TEXTS_AT_ONCE):
+            rows = [words_of(t) for t in texts[part]]
             self.add(rows)
             for i, words in enumerate(rows):
                 if words:
-                    out[begin + i] = self.sums[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                    out[part.start + i] = self.sums[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(axis=0)
         return out
 
 
