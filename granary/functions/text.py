@@ -17,8 +17,7 @@ def trim(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of a-z and 0-9 that no other letter or digit touches, in order, repeats included."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.filter(runs, lambda t: t.rlike("^[a-z0-9]+$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z0-9]++(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 def sentences(text: Column) -> Column:

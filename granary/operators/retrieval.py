@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms of queries that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def term_frequencies(docs: DataFrame, *key: str) -> DataFrame:
-    """key, length, term, tf of every term of every row of docs."""
+def term_frequencies(docs: DataFrame, *key: str, only: DataFrame | None = None) -> DataFrame:
+    """key, length, term, tf of every term of every row of docs, or of those in a table of terms small enough to broadcast."""
     bags = docs.select(*key, T.tokens(F.coalesce("text", F.lit(""))).alias("bag"))
-    return bags.select(*key, F.size("bag").alias("length"), F.explode("bag").alias("term")).groupBy(*key, "length", "term").agg(F.count("*").alias("tf"))
+    each = bags.select(*key, F.size("bag").alias("length"), F.explode("bag").alias("term"))
+    if only is not None:
+        each = each.join(F.broadcast(only), "term", "left_semi")
+    return each.groupBy(*key, "length", "term").agg(F.count("*").alias("tf"))
 
 
-def term_statistics(postings: DataFrame, n_docs: int) -> DataFrame:
-    """term, df, cf and idf; a negative idf becomes EPSILON times the mean over the vocabulary."""
-    stats = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def term_statistics(docs: DataFrame, n_docs: int) -> DataFrame:
+    """term, df and idf; a negative idf becomes EPSILON times the mean over the vocabulary."""
+    each = docs.select(F.explode(F.array_distinct(T.tokens(F.coalesce("text", F.lit(""))))).alias("term"))
+    stats = each.groupBy("term").agg(F.count("*").alias("df"))
     stats = stats.withColumn("idf0", F.log(F.lit(n_docs + 0.5) - F.col("df")) - F.log(F.col("df") + 0.5))
     mean = F.broadcast(stats.agg(F.avg("idf0").alias("mean_idf")))  # one row
     return stats.join(mean, F.lit(True)).withColumn("idf", F.when(F.col("idf0") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf0"))).drop("idf0", "mean_idf")
@@ -34,13 +40,13 @@ def bm25(docs: DataFrame, queries: DataFrame, key: list[str], query: str = "item
 
     Rows that share no term with a query are no matches; with pad they have score 0 and fill up the k, in order of the key.
     """
-    postings = term_frequencies(docs, *key)
     n, tokens = docs.select(F.size(T.tokens(F.coalesce("text", F.lit("")))).alias("n")).agg(F.count("*"), F.sum("n")).first()
-    if not n:
-        n, tokens = 1, 0
     asked = queries.select(query, F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    terms = asked.join(term_statistics(postings, n), "term").select(query, "term", "qtf", "idf")
-    mean = max(tokens, 1) / n
+    few = asked.count() <= BROADCAST_ROWS  # then only tokens that a query has are shuffled
+    postings = term_frequencies(docs, *key, only=asked.select("term").distinct() if few else None)
+    terms = asked.join(term_statistics(docs, n), "term").select(query, "term", "qtf", "idf")
+    terms = F.broadcast(terms) if few else terms
+    mean = max(tokens or 0, 1) / max(n, 1)
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
     scored = postings.join(terms, "term").groupBy(query, *key).agg(F.round(F.sum(weight), 6).alias("score"))
     if pad:
