@@ -19,7 +19,8 @@ Hashes only choose places and bring candidates together; windows are grouped wit
 hash of their LENGTH bytes.
 
 Defined results: null texts are empty; a null doc_id counts as larger than all others; rows of equal doc_id never remove
-from one another; texts under LENGTH bytes lose nothing; empty tables give no rows; other columns stay as they are.
+from one another; texts under LENGTH bytes lose nothing; characters of
+which only some bytes go are dropped from the text that is left; empty tables give no rows; other columns stay as they are.
 """
 
 from __future__ import annotations
