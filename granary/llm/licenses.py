@@ -1,6 +1,8 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line of the text. For each licence family a logistic regression over the word unigrams and bigrams of a
+A paragraph is a line of the text, or a run of lines between blank ones (lines of comment marks alone are blank), so that
+notices broken over lines are found: runs are read in overlapping windows of WINDOW words, and a template of any line
+breaks stands whole in one. For each licence family a logistic regression over the word unigrams and bigrams of a
 paragraph is trained (numpy, on the driver; L1 keeps few weights) from the templates below, shortened and embedded in
 other words, against a bounded sample of at most about MAX_NEGATIVE paragraphs of the corpus and generic sentences about
 licences. The unknown class is calibrated: a paragraph belongs to a family only if its probability is beyond THRESHOLD and
@@ -11,7 +13,8 @@ A family's score can't pass the threshold without at least one n-gram of positiv
 of those are scored; this drops no case.
 
 Defined results: null and empty texts have no paragraphs that count, and no licence; ties between families go to the
-first in alphabetical order; repeated rows each give their row.
+first in alphabetical order; repeated rows each give their row. n_paragraphs counts lines; n_license counts lines that
+belong to a family, and runs that do though none of their lines does.
 """
 
 from __future__ import annotations
@@ -44,6 +47,11 @@ TEMPLATES = {
 }
 # Sentences about licences that name none.
 GENERIC = ["All rights reserved.", "Please read the license terms before use.", "A license is required to drive.", "This work is under review.", "Released last year to the public.", "The driver's license was lost.", "He is licensed to sell cars.", "Version 2.0 of the plan was released.", "The software is free of charge.", "This program is shown on television.", "The general public is welcome.", "Terms and conditions apply.", "The source code is not available.", "You may not use this file."]
+#: Words of a window and from one to the next: one and a half of the longest template's length stand whole in a window.
+LONGEST = max(len(re.findall("[a-z0-9]+", t.lower())) for t in sum(TEMPLATES.values(), []))
+WINDOW, STRIDE = 2 * LONGEST, LONGEST // 2
+#: What stands between runs of lines, and words that mark a comment at the start of a line.
+BLANK, MARK = r"\n[^\p{L}\p{N}]*\n", r"(?m)^[^\p{L}\p{N}\n]*(?:dnl|rem)\b"
 
 
 def normal(text: str) -> str:
@@ -54,6 +62,14 @@ def normal_column(column: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(column), "[^a-z0-9]+", " "))
 
 
+def windows(run: Column) -> Column:
+    """The windows of a run of lines in lower case; none for a single line."""
+    words = F.array(F.split(normal_column(F.regexp_replace(run, MARK, " ")), " "))
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - WINDOW, F.lit(0)) + (STRIDE - 1), F.lit(STRIDE))
+    cut = F.flatten(F.transform(words, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i + 1, WINDOW), " "))))
+    return F.when(F.contains(run, F.lit("\n")), cut).otherwise(F.array().cast("array<string>"))
+
+
 def grams(text: str) -> set[str]:
     words = normal(text).split(" ")
     return {w for w in words if w} | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
@@ -73,8 +89,9 @@ def fit(negatives: list[str], seed: int = 7) -> tuple[list[str], dict[str, tuple
     for family, texts in sorted(TEMPLATES.items()):
         for text in texts:
             words = normal(text).split(" ")
-            for n in range(12):
-                around = [rng.choice(filler, rng.integers(0, 6)).tolist() for _ in range(2)] if n else [[], []]
+            for n in range(18):
+                most = 6 if n < 12 else max((WINDOW - len(words)) // 2, 6)  # as in a line, or as in a window
+                around = [rng.choice(filler, rng.integers(0, most)).tolist() for _ in range(2)] if n else [[], []]
                 kept = [w for w in words if n < 4 or rng.random() > 0.05]
                 rows.append(grams(" ".join([*around[0], *kept, *around[1]])))
                 families.append(family)
@@ -111,7 +128,8 @@ def scan(docs: DataFrame, max_negative: int = MAX_NEGATIVE) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
     total = texts.count()
-    some = texts.where(share_order("text") < max_negative / 2 / max(total, 1)).select(F.explode(lines).alias("p"))
+    runs = F.split(F.lower("text"), BLANK)
+    some = texts.where(share_order("text") < max_negative / 2 / max(total, 1)).select(F.explode(F.concat(lines, F.flatten(F.transform(runs, windows)))).alias("p"))
     known = "|".join(re.escape(normal(t)) for t in sum(TEMPLATES.values(), []))
     sample = some.where(~normal_column(F.col("p")).rlike(known)).where(share_order("p") < 0.5).select("p").distinct().orderBy(share_order("p"), "p").limit(max_negative)
     negatives = [r["p"] for r in sample.collect()]
@@ -123,8 +141,14 @@ def scan(docs: DataFrame, max_negative: int = MAX_NEGATIVE) -> DataFrame:
     rarest = {g: min(g.split(" "), key=lambda v: (common[v], -len(v), v)) for g in positive}
     triggers = sorted({w if common[w] <= MAX_COMMON * len(negatives) else g.replace(" ", "[^a-z0-9]+") for g, w in rarest.items()})
     trigger = f"(?<![a-z0-9])(?:{'|'.join(triggers)})(?![a-z0-9])"
-    docs = texts.withColumn("_lines", lines)
-    docs = docs.withColumn("_hits", F.transform(F.filter("_lines", lambda p: F.lower(p).rlike(trigger)), normal_column))
+    # lines and windows of the runs that have a trigger, each with the number of its run
+    docs = texts.withColumn("_runs", F.filter(runs, lambda r: r.rlike(trigger)))
+    hit = lambda parts: F.filter(parts, lambda p: p.rlike(trigger))
+    entry = lambda p, i, line: F.struct(p.alias("p"), i.alias("run"), F.lit(line).alias("line"))
+    entries = lambda r, i: F.concat(
+        F.transform(hit(F.split(r, "\n")), lambda p: entry(normal_column(p), i, True)), F.transform(hit(windows(r)), lambda p: entry(p, i, False))
+    )
+    docs = docs.withColumn("_hits", F.flatten(F.transform("_runs", entries)))
 
     # one SQL expression: thousands of calls for its parts would take far longer than the scan of a small table
     quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -132,25 +156,26 @@ def scan(docs: DataFrame, max_negative: int = MAX_NEGATIVE) -> DataFrame:
 
     def score(family: str) -> str:
         bias, w = model[family]
-        parts = [f"if(contains(concat(' ', p, ' '), {quoted(f' {vocabulary[i]} ')}), {float(w[i])!r}D, 0D)" for i in np.flatnonzero(w)]
+        parts = [f"if(contains(concat(' ', h.p, ' '), {quoted(f' {vocabulary[i]} ')}), {float(w[i])!r}D, 0D)" for i in np.flatnonzero(w)]
         return f"1 / (1 + exp(-({bias!r}D + {' + '.join(parts) or '0D'})))"
 
     def shared(family: str) -> str:
-        have = "transform(sequence(1, greatest(size(split(e.p, ' ')) - 1, 1)), i -> concat_ws(' ', get(split(e.p, ' '), i - 1), get(split(e.p, ' '), i)))"
-        each = [f"size(array_intersect(array({', '.join(map(quoted, bigrams(t)))}), {have})) / {len(bigrams(t))}" for t in TEMPLATES[family]]
+        each = [f"({' + '.join(f"""if(contains(concat(' ', e.p, ' '), {quoted(f' {b} ')}), 1, 0)""" for b in bigrams(t))}) / {len(bigrams(t))}" for t in TEMPLATES[family]]
         return f"greatest({', '.join(each)})" if len(each) > 1 else each[0]
 
     best = ", ".join(f"struct({score(f)} as score, {-i} as at)" for i, f in enumerate(families))
-    docs = docs.withColumn("_each", F.expr(f"transform(_hits, p -> struct(p as p, array_max(array({best})) as best))"))
+    docs = docs.withColumn("_each", F.expr(f"transform(_hits, h -> struct(h.p as p, h.run as run, h.line as line, array_max(array({best})) as best))"))
     docs = docs.withColumn("_known", F.filter("_each", lambda e: e["best"]["score"] > threshold))
     cases = " ".join(f"when {-i} then {shared(f)}" for i, f in enumerate(families))
     names = ", ".join(map(quoted, families))
-    found = f"struct((case e.best.at {cases} end) >= {CONFIRM}D as confirmed, e.best.score as score, e.best.at as at, get(array({names}), -e.best.at) as family)"
+    found = f"struct((case e.best.at {cases} end) >= {CONFIRM}D as confirmed, e.best.score as score, e.best.at as at, get(array({names}), -e.best.at) as family, e.run as run, e.line as line)"
     docs = docs.withColumn("_found", F.expr(f"transform(_known, e -> {found})"))
     docs = docs.withColumn("_top", F.array_max("_found"))
     sure = F.filter("_found", lambda e: e["confirmed"])
+    of = lambda line: F.transform(F.filter("_found", lambda e: e["line"] == F.lit(line)), lambda e: e["run"])
+    n_found = F.size(of(True)) + F.size(F.array_except(of(False), of(True)))
     return docs.select(
-        "doc_id", F.size("_lines").cast("long").alias("n_paragraphs"), F.size("_found").cast("long").alias("n_license"),
+        "doc_id", F.size(lines).cast("long").alias("n_paragraphs"), n_found.cast("long").alias("n_license"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda e: e["family"]))), ",").alias("licenses"),
         F.when(F.col("_top.confirmed"), F.col("_top.family")).alias("license"), F.coalesce("_top.score", F.lit(0.0)).alias("score"), F.coalesce("_top.confirmed", F.lit(False)).alias("confirmed"),
     )

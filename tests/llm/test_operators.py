@@ -291,3 +291,38 @@ def test_licenses(spark, docs):
     want = [f for f, some in licenses.TEMPLATES.items() for _ in some]
     assert [got[i] for i in range(len(want))] == want
     assert all(got[i] == "" for i in range(len(want), len(texts)))
+
+
+# Opening notices as their authors break them.
+WRAPPED = {
+    "MIT": """Copyright (c) 2020 A. Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "BSD-3-Clause": """/*
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ *
+ * 1. Redistributions of source code must retain the above notice.
+ */""",
+    "GPL-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "MPL-2.0": """dnl This Source Code Form is subject to the terms of the Mozilla
+dnl Public License, v. 2.0.""",
+}
+
+
+def test_wrapped_licenses(spark, docs):
+    some = docs.orderBy("doc_id").limit(1).collect()[0]["text"]
+    data = [(i, t, f) for i, (f, t) in enumerate(WRAPPED.items())] + [(10 + i, f"{some}\n{t}\n{some}", f) for i, (f, t) in enumerate(WRAPPED.items())]
+    df = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df.union(docs.selectExpr("doc_id + 1000", "text"))).collect()}
+    assert [f for _, _, f in data] == [got[i]["license"] for i, _, _ in data]
+    assert all(f in got[i]["licenses"].split(",") and got[i]["n_license"] > 0 for i, _, f in data)
