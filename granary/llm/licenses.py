@@ -9,8 +9,9 @@ licences. The unknown class is calibrated: a paragraph belongs to a family only
 beyond that of all negatives of the calibration half. A template comparison confirms: the share of the template's word
 bigrams that the paragraph has must reach CONFIRM.
 
-A family's score can't pass the threshold without at least one n-gram of positive weight, so only lines with a word of one
-of those are scored; this drops no case.
+All n-grams of the templates are features, however common in the corpus. A family's score can't pass the threshold by n-grams
+whose positive weights sum up to too little; the commonest that do are no triggers, and only lines and windows with one of
+the other n-grams of positive weight are scored. This drops no case.
 
 Defined results: null and empty texts have no paragraphs that count, and no licence; ties between families go to the
 first in alphabetical order; repeated rows each give their row. n_paragraphs counts lines; n_license counts lines that
@@ -31,8 +32,8 @@ from .common import share_order
 MAX_NEGATIVE = 3_000
 L1, STEPS, RATE = 0.002, 600, 1.0
 THRESHOLD, CONFIRM = 0.5, 0.8
-#: n-grams that more than this part of the sample's paragraphs have are no features.
-MAX_COMMON = 0.01
+#: A word that at most this part of the sample's paragraphs have may stand for an n-gram in the search for triggers.
+RARE = 0.01
 # Short notices and opening paragraphs of well-known licences.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
@@ -95,8 +96,7 @@ def fit(negatives: list[str], seed: int = 7) -> tuple[list[str], dict[str, tuple
                 kept = [w for w in words if n < 4 or rng.random() > 0.05]
                 rows.append(grams(" ".join([*around[0], *kept, *around[1]])))
                 families.append(family)
-    common = Counter(g for row in rows[: len(negatives) - 5 * len(GENERIC)] for g in row)
-    vocabulary = sorted({g for t in sum(TEMPLATES.values(), []) for g in grams(t) if common[g] <= MAX_COMMON * len(negatives)})
+    vocabulary = sorted(set().union(*(grams(t) for t in sum(TEMPLATES.values(), []))))
     index = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)))
     for i, row in enumerate(rows):
@@ -123,6 +123,16 @@ def fit(negatives: list[str], seed: int = 7) -> tuple[list[str], dict[str, tuple
     return vocabulary, model, min(worst, 0.99)
 
 
+def needed(weights: dict[str, float], room: float, common: Counter) -> set[str]:
+    """n-grams of positive weight of which a paragraph must have one if its weights are to sum up to more than room."""
+    out = {g for g, w in weights.items() if w > 0}
+    for g in sorted(out, key=lambda g: (-common[g], g)):
+        if weights[g] <= room:
+            room -= weights[g]
+            out.discard(g)
+    return out
+
+
 def scan(docs: DataFrame, max_negative: int = MAX_NEGATIVE) -> DataFrame:
     """doc_id, n_paragraphs, n_license, licenses, license, score and confirmed of every row of docs."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -135,11 +145,13 @@ def scan(docs: DataFrame, max_negative: int = MAX_NEGATIVE) -> DataFrame:
     negatives = [r["p"] for r in sample.collect()]
     vocabulary, model, threshold = fit(negatives)
 
-    # of each n-gram of positive weight the word that is rarest in the sample, or all of it if none is rare
-    common = Counter(w for p in negatives for w in set(normal(p).split(" ")))
-    positive = {vocabulary[i] for _, w in model.values() for i in np.flatnonzero(w > 0)}
-    rarest = {g: min(g.split(" "), key=lambda v: (common[v], -len(v), v)) for g in positive}
-    triggers = sorted({w if common[w] <= MAX_COMMON * len(negatives) else g.replace(" ", "[^a-z0-9]+") for g, w in rarest.items()})
+    # of each n-gram that is needed the word that is rarest in the sample, or all of it if none is rare
+    common = Counter(g for p in negatives for g in grams(p))
+    room = {f: float(np.log(threshold / (1 - threshold))) - bias - 1e-6 for f, (bias, _) in model.items()}
+    triggering = set().union(*(needed(dict(zip(vocabulary, w.tolist(), strict=True)), room[f], common) for f, (_, w) in model.items()))
+    rarest = {g: min(g.split(" "), key=lambda v: (common[v], -len(v), v)) for g in triggering}
+    triggers = {w if common[w] <= RARE * len(negatives) else g for g, w in rarest.items()}
+    triggers = sorted(g.replace(" ", "[^a-z0-9]+") for g in triggers if " " not in g or not triggers.intersection(g.split(" ")))
     trigger = f"(?<![a-z0-9])(?:{'|'.join(triggers)})(?![a-z0-9])"
     # lines and windows of the runs that have a trigger, each with the number of its run
     docs = texts.withColumn("_runs", F.filter(runs, lambda r: r.rlike(trigger)))

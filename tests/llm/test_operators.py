@@ -326,3 +326,20 @@ def test_wrapped_licenses(spark, docs):
     got = {r["doc_id"]: r for r in licenses.scan(df.union(docs.selectExpr("doc_id + 1000", "text"))).collect()}
     assert [f for _, _, f in data] == [got[i]["license"] for i, _, _ in data]
     assert all(f in got[i]["licenses"].split(",") and got[i]["n_license"] > 0 for i, _, f in data)
+
+
+def test_common_license_words_stay_features():
+    hot = [f"Copyright {1900 + i} Name{i}. Licensed under the Apache License 2.0" for i in range(100)]
+    vocabulary, *_ = licenses.fit(hot + [f"some text {i}" for i in range(100)])
+    assert set(vocabulary) == set().union(*(licenses.grams(t) for some in licenses.TEMPLATES.values() for t in some))
+
+
+def test_needed_license_words_drop_no_case():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        weights = {f"g{i}": float(w) for i, w in enumerate(rng.normal(0.3, 1, 8))}
+        common = licenses.Counter({g: int(rng.integers(0, 50)) for g in weights})
+        needed = licenses.needed(weights, 1.5, common)
+        for bits in range(256):
+            has = {g for i, g in enumerate(weights) if bits >> i & 1}
+            assert sum(weights[g] for g in has) <= 1.5 + 1e-9 or has & needed
