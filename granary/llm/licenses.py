@@ -4,9 +4,10 @@ A paragraph is a line of the text, or a run of lines between blank ones (lines o
 notices broken over lines are found: runs are read in overlapping windows of WINDOW words, and a template of any line
 breaks stands whole in one. For each licence family a logistic regression over the word unigrams and bigrams of a
 paragraph is trained (numpy, on the driver; L1 keeps few weights) from the templates below, shortened and embedded in
-other words, against a bounded sample of at most about MAX_NEGATIVE paragraphs of the corpus and generic sentences about
-licences. The unknown class is calibrated: a paragraph belongs to a family only if its probability is beyond THRESHOLD and
-beyond that of all negatives of the calibration half. A template comparison confirms: the share of the template's word
+other words, against known negatives: generic sentences about licences, and of a bounded sample of at most about MAX_NEGATIVE
+paragraphs of the corpus those that a rule (`known_negative`) says are none, as they share little with any template. The
+unknown class is calibrated for each family by itself: a paragraph belongs to a family only if its probability is beyond
+THRESHOLD and beyond that of TOLERATED of the negatives of the calibration half. A template comparison confirms: the share of the template's word
 bigrams that the paragraph has must reach CONFIRM.
 
 All n-grams of the templates are features, however common in the corpus. A family's score can't pass the threshold by n-grams
@@ -32,6 +33,10 @@ from .common import share_order
 MAX_NEGATIVE = 3_000
 L1, STEPS, RATE = 0.002, 600, 1.0
 THRESHOLD, CONFIRM = 0.5, 0.8
+#: Part of the negatives that a threshold lies above; the others may be notices that the rule didn't see.
+TOLERATED = 0.98
+#: From this part or number of a template's bigrams, or this part of its own in one template, a paragraph is no known negative.
+OVERLAP, MANY, OWN = 0.25, 5, 0.4
 #: A word that at most this part of the sample's paragraphs have may stand for an n-gram in the search for triggers.
 RARE = 0.01
 # Short notices and opening paragraphs of well-known licences.
@@ -81,10 +86,19 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def fit(negatives: list[str], seed: int = 7) -> tuple[list[str], dict[str, tuple[float, np.ndarray]], float]:
-    """n-grams, bias and weights of each family, and the threshold."""
+TEMPLATE_BIGRAMS = [set(bigrams(t)) for t in sum(TEMPLATES.values(), [])]
+
+
+def known_negative(text: str) -> bool:
+    """Whether a paragraph shares too little with each template to be a notice or a line of one."""
+    own = set(bigrams(text))
+    return all(len(own & t) < min(OVERLAP * len(t), MANY) and (len(own & t) < 2 or len(own & t) < OWN * len(own)) for t in TEMPLATE_BIGRAMS)
+
+
+def fit(negatives: list[str], seed: int = 7) -> tuple[list[str], dict[str, tuple[float, np.ndarray]], dict[str, float]]:
+    """n-grams, bias and weights of each family, and its threshold."""
     rng = np.random.default_rng(seed)
-    negatives = sorted(set(negatives)) + GENERIC * 5
+    negatives = sorted(filter(known_negative, set(negatives))) + GENERIC * 5
     rows, families = [grams(t) for t in negatives], [""] * len(negatives)
     filler = [w for t in negatives[:200] for w in normal(t).split(" ")] or ["text"]
     for family, texts in sorted(TEMPLATES.items()):
@@ -103,7 +117,7 @@ def fit(negatives: list[str], seed: int = 7) -> tuple[list[str], dict[str, tuple
         x[i, [index[g] for g in row if g in index]] = 1
     labels = np.array(families)
     tests = (np.arange(len(rows)) % 2 == 0) & (labels == "")
-    model, worst = {}, THRESHOLD
+    model, thresholds = {}, dict.fromkeys(TEMPLATES, THRESHOLD)
     for family in sorted(TEMPLATES):
         y = (labels == family).astype(float)
         use = ~tests
@@ -119,8 +133,9 @@ def fit(negatives: list[str], seed: int = 7) -> tuple[list[str], dict[str, tuple
             bias = min(bias - RATE * e.sum(), -1.0)
         model[family] = (float(bias), w)
         if tests.any():
-            worst = max(worst, float((1 / (1 + np.exp(-(x[tests] @ w + bias)))).max()))
-    return vocabulary, model, min(worst, 0.99)
+            p = 1 / (1 + np.exp(-(x[tests] @ w + bias)))
+            thresholds[family] = min(max(THRESHOLD, float(np.quantile(p, TOLERATED, method="lower"))), 0.99)
+    return vocabulary, model, thresholds
 
 
 def needed(weights: dict[str, float], room: float, common: Counter) -> set[str]:
@@ -140,17 +155,16 @@ def scan(docs: DataFrame, max_negative: int = MAX_NEGATIVE) -> DataFrame:
     total = texts.count()
     runs = F.split(F.lower("text"), BLANK)
     some = texts.where(share_order("text") < max_negative / 2 / max(total, 1)).select(F.explode(F.concat(lines, F.flatten(F.transform(runs, windows)))).alias("p"))
-    known = "|".join(re.escape(normal(t)) for t in sum(TEMPLATES.values(), []))
-    sample = some.where(~normal_column(F.col("p")).rlike(known)).where(share_order("p") < 0.5).select("p").distinct().orderBy(share_order("p"), "p").limit(max_negative)
-    negatives = [r["p"] for r in sample.collect()]
-    vocabulary, model, threshold = fit(negatives)
+    sample = some.where(share_order("p") < 0.5).select("p").distinct().orderBy(share_order("p"), "p").limit(max_negative)
+    sampled = [r["p"] for r in sample.collect()]
+    vocabulary, model, thresholds = fit(sampled)
 
     # of each n-gram that is needed the word that is rarest in the sample, or all of it if none is rare
-    common = Counter(g for p in negatives for g in grams(p))
-    room = {f: float(np.log(threshold / (1 - threshold))) - bias - 1e-6 for f, (bias, _) in model.items()}
+    common = Counter(g for p in sampled for g in grams(p))
+    room = {f: float(np.log(thresholds[f] / (1 - thresholds[f]))) - bias - 1e-6 for f, (bias, _) in model.items()}
     triggering = set().union(*(needed(dict(zip(vocabulary, w.tolist(), strict=True)), room[f], common) for f, (_, w) in model.items()))
     rarest = {g: min(g.split(" "), key=lambda v: (common[v], -len(v), v)) for g in triggering}
-    triggers = {w if common[w] <= RARE * len(negatives) else g for g, w in rarest.items()}
+    triggers = {w if common[w] <= RARE * len(sampled) else g for g, w in rarest.items()}
     triggers = sorted(g.replace(" ", "[^a-z0-9]+") for g in triggers if " " not in g or not triggers.intersection(g.split(" ")))
     trigger = f"(?<![a-z0-9])(?:{'|'.join(triggers)})(?![a-z0-9])"
     # lines and windows of the runs that have a trigger, each with the number of its run
@@ -175,9 +189,10 @@ def scan(docs: DataFrame, max_negative: int = MAX_NEGATIVE) -> DataFrame:
         each = [f"({' + '.join(f"""if(contains(concat(' ', e.p, ' '), {quoted(f' {b} ')}), 1, 0)""" for b in bigrams(t))}) / {len(bigrams(t))}" for t in TEMPLATES[family]]
         return f"greatest({', '.join(each)})" if len(each) > 1 else each[0]
 
-    best = ", ".join(f"struct({score(f)} as score, {-i} as at)" for i, f in enumerate(families))
-    docs = docs.withColumn("_each", F.expr(f"transform(_hits, h -> struct(h.p as p, h.run as run, h.line as line, array_max(array({best})) as best))"))
-    docs = docs.withColumn("_known", F.filter("_each", lambda e: e["best"]["score"] > threshold))
+    scores, limits = ", ".join(map(score, families)), ", ".join(f"{thresholds[f]!r}D" for f in families)
+    best = f"transform(array({scores}), (s, i) -> struct(s > get(array({limits}), i) as over, s as score, -i as at))"
+    docs = docs.withColumn("_each", F.expr(f"transform(_hits, h -> struct(h.p as p, h.run as run, h.line as line, array_max({best}) as best))"))
+    docs = docs.withColumn("_known", F.filter("_each", lambda e: e["best"]["over"]))
     cases = " ".join(f"when {-i} then {shared(f)}" for i, f in enumerate(families))
     names = ", ".join(map(quoted, families))
     found = f"struct((case e.best.at {cases} end) >= {CONFIRM}D as confirmed, e.best.score as score, e.best.at as at, get(array({names}), -e.best.at) as family, e.run as run, e.line as line)"

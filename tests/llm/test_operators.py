@@ -343,3 +343,18 @@ def test_needed_license_words_drop_no_case():
         for bits in range(256):
             has = {g for i, g in enumerate(weights) if bits >> i & 1}
             assert sum(weights[g] for g in has) <= 1.5 + 1e-9 or has & needed
+
+
+def test_hot_license_wording_lifts_no_threshold(spark, docs):
+    """A source whose documents say the licence in other words, and bring wrapped notices, hides no exact ones."""
+    lines = [line for t in WRAPPED.values() for line in t.split("\n") if any(len(t & set(licenses.bigrams(line))) > 3 for t in licenses.TEMPLATE_BIGRAMS)]
+    assert not any(map(licenses.known_negative, ["Licensed under Apache License 2.0", *lines]))
+    hot = [f"Copyright {1900 + i} Name{i}. Licensed under Apache License 2.0\n{lines[i % len(lines)]}" for i in range(150)]
+    exact = [t for some in licenses.TEMPLATES.values() for t in some]
+    df = spark.createDataFrame(list(enumerate(exact + hot)), "doc_id long, text string").union(docs.selectExpr("doc_id + 1000", "text"))
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(exact))] == [f for f, some in licenses.TEMPLATES.items() for _ in some]
+    own = [f"Name{i} other word{i}" for i in range(100)]
+    _, _, plain = licenses.fit(own)
+    _, _, thresholds = licenses.fit(own + hot)
+    assert all(abs(thresholds[f] - plain[f]) < 0.05 for f in plain)
