@@ -7,7 +7,11 @@ language's calibrated limit, or if it has no letters. The score is the best lang
 temperature fitted so that scores are right as often as they say.
 
 Training takes a bounded sample: at most about MAX_TRAIN documents of each language for counts and MAX_CALIBRATE for
-limits and temperature, picked by a hash of the doc_id, whole texts. Texts are scored whole.
+limits and temperature, picked by a hash of the doc_id, whole texts. A language with fewer documents than both bounds
+together learns from all of them, and is calibrated by cross-fitting: each of FOLDS parts is scored by a model of the
+others. Where a language has fewer than ENOUGH calibration texts its limit is at least that of the calibration texts of
+all languages together; without any such text it is that of a guess among the language's letters. So every language
+has a limit, at any size of the input. Texts are scored whole.
 
 Defined results: a null text, or one without letters, is `und` with score 0 and rejected; a language that is null or
 empty teaches nothing; no labelled text at all: everything is `und`. Repeated rows each give their row; ties go to the
@@ -27,6 +31,7 @@ from .common import filter_batches, held_out, map_batches, share_order
 
 ORDER = 5
 MAX_TRAIN, MAX_CALIBRATE = 400, 200
+FOLDS, ENOUGH = 3, 10
 #: Limit of the cross-entropy: the mean of calibration texts plus so many standard deviations, and SLACK nats.
 DEVIATIONS, SLACK = 6.0, 0.5
 #: The same in shorter texts, whose cross-entropy scatters more: SPREAD / sqrt(characters) more.
@@ -220,26 +225,41 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, max_calibrate: int = MAX_
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit((max_train + max_calibrate) / n)).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min((max_train + max_calibrate) / n, 1.0))).otherwise(share)
     share_of = share_order("doc_id")
     picked = rows.where(share_of < share).withColumn("part", share_of / share).orderBy("part").collect() if counts else []
     split = max_train / (max_train + max_calibrate)
-    words: dict[str, list[str]] = {}
-    for r in picked:
-        if r["part"] < split and (got := words_of(r["text"])):
-            words.setdefault(r["lang"], []).extend(got)
-    models = {k: CharModel(v) for k, v in words.items()}
+    small = {k for k, n in counts.items() if n < max_train + max_calibrate}
+
+    def learn(of: set[str], unless: int | None = None) -> dict[str, CharModel]:
+        """Models of some languages; small ones leave out one fold."""
+        words: dict[str, list[str]] = {}
+        for r in picked:
+            if r["lang"] in of and (int(r["part"] * FOLDS) != unless if r["lang"] in small else r["part"] < split) and (got := words_of(r["text"])):
+                words.setdefault(r["lang"], []).extend(got)
+        return {k: CharModel(v) for k, v in words.items()}
+
+    models = learn(set(counts))
     names = sorted(models)
-    rest = [r for r in picked if (r["part"] >= split or len(picked) < 50) and r["lang"] in models]
-    limits, temperature = {k: (10.0, 1.0) for k in names}, 1.0
-    if rest:
-        got = Scorer(models).score([r["text"] for r in rest])
-        use = got[:, -1] > 0
-        per = got[use, :-1] / got[use, -1:]
-        truth = np.array([names.index(r["lang"]) for r in rest])[use]
+    limits, temperature = {k: (float(np.log(models[k].letters)), 0.0) for k in names}, 1.0
+    scored = []  # of calibration texts: cross-entropies under all languages, and the right one
+    for fold in [None, *(range(FOLDS) if small else [])]:
+        fresh = models if fold is None else learn(small, fold)
+        rest = [r for r in picked if r["lang"] in fresh and (r["lang"] not in small and r["part"] >= split if fold is None else int(r["part"] * FOLDS) == fold)]
+        if rest:
+            got = Scorer(models | fresh).score([r["text"] for r in rest])
+            use = got[:, -1] > 0
+            scored.append((got[use, :-1] / got[use, -1:], np.array([names.index(r["lang"]) for r in rest])[use]))
+    if scored and sum(map(len, (t for _, t in scored))):
+        per, truth = (np.concatenate(x) for x in zip(*scored, strict=True))
+        right = -per[np.arange(len(per)), truth]
+        spread = {k: (float(x.mean()), float(x.std())) for k, x in ((k, right[truth == i]) for i, k in enumerate(names)) if len(x)}
+        enough = np.isin(truth, np.flatnonzero(np.bincount(truth, minlength=len(names)) >= ENOUGH))
+        common = right[enough] if enough.any() else right
+        pooled = float(common.mean()), float(common.std())
         for i, k in enumerate(names):
-            if (mine := -per[truth == i, i]).size:
-                limits[k] = (float(mine.mean()), float(mine.std()))
+            mean, deviation = spread.get(k, pooled)
+            limits[k] = (mean, deviation) if (truth == i).sum() >= ENOUGH else (max(mean, pooled[0]), max(deviation, pooled[1]))
         losses = []
         for t in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
             z = per / t

@@ -358,3 +358,20 @@ def test_hot_license_wording_lifts_no_threshold(spark, docs):
     _, _, plain = licenses.fit(own)
     _, _, thresholds = licenses.fit(own + hot)
     assert all(abs(thresholds[f] - plain[f]) < 0.05 for f in plain)
+
+
+def test_langid_rejects_unlearned_languages_beside_rare_ones(spark):
+    """However few texts a language has, texts of scripts that nothing was learned of are rejected, and its own aren't."""
+    rng = np.random.default_rng(4)
+    word = lambda first, n: "".join(chr(first + int(c)) for c in rng.integers(0, 24, n))
+    cyrillic, greek = ([word(first, n) for n in rng.integers(2, 9, 60)] for first in (0x430, 0x3B1))
+    text = lambda words: " ".join(rng.choice(words, 150))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    for n_rare in (1, 3, 40):
+        rare = [(100_000 + i, text(cyrillic), "rare") for i in range(4 * n_rare)]
+        unlearned = [(200_000 + i, text(greek), None) for i in range(5)]
+        for table in (docs.union(spark.createDataFrame(rare + unlearned, docs.schema)), spark.createDataFrame(rare + unlearned, docs.schema)):
+            model = langid.train(table)
+            got = {r["doc_id"]: r for r in langid.predict(table, model).collect()}
+            assert all(got[i]["rejected"] for i, _, _ in unlearned)
+            assert not any(got[i]["rejected"] or got[i]["lang_pred"] != "rare" for i, _, _ in rare)
