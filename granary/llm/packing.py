@@ -10,9 +10,10 @@ length; the pieces then find their place by their rank among those of their leng
 Ranks: pieces of a length are dealt to SALTS parts by a hash, counted, and numbered inside their part, so that a length
 that very many documents share doesn't land in one task.
 
-Token ids: `tokenizers` with the file of the given path, without special tokens, then END. Special tokens' strings in a
-text count as ordinary text. Texts of characters up to U+017F are cut into the tokenizer's own words and each distinct
-word goes to the library once per task (a table of bounded size); all other texts go to it whole.
+Token ids: `tokenizers` with the file of the given path and add_special_tokens=False, then END. The string of an added token
+in a text is that token, as the library has it. Texts of characters up to U+017F without such a string are cut into the
+tokenizer's own words and each distinct word goes to the library once per task (a table of bounded size); all other texts
+go to it whole.
 
 Defined results: null and empty texts are the single id END. Repeated rows are packed each for itself. Empty tables give
 no rows.
@@ -54,7 +55,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json)
-        self.library.encode_special_tokens = True
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: Texts of which lower-cased parts look like added tokens go to the library whole, whether or not it finds one.
+        self.added = re.compile("|".join(re.escape(t.lower()) for t in added) or "(?!)")
         self.known: dict[str, bytes] = {}
         tokens = self.library.get_vocab()
         self.ends = np.zeros(max(tokens.values()) + 1, bool)
@@ -72,7 +75,7 @@ class Encoder:
             self.known.update(zip(some, (data[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        fast = [None if _SLOW.search(t) else _WORDS.findall(t.lower()) for t in texts]
+        fast = [None if _SLOW.search(t) or self.added.search(low := t.lower()) else _WORDS.findall(low) for t in texts]
         if len(self.known) > MAX_WORDS:
             self.known.clear()
         if fresh := list(set().union(*(x for x in fast if x)).difference(self.known)):

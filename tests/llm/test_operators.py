@@ -375,3 +375,15 @@ def test_langid_rejects_unlearned_languages_beside_rare_ones(spark):
             got = {r["doc_id"]: r for r in langid.predict(table, model).collect()}
             assert all(got[i]["rejected"] for i, _, _ in unlearned)
             assert not any(got[i]["rejected"] or got[i]["lang_pred"] != "rare" for i, _, _ in rare)
+
+
+def test_packing_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    strings = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = [f(t) for t in strings for f in (lambda t: t, lambda t: f"some {t} text", lambda t: f"a{t}{t}b\n", str.upper, lambda t: t[:-1])] + ["plain text"]
+    with open(path, encoding="utf-8") as file:
+        got = packing.Encoder(file.read()).encode(texts)
+    assert strings and [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
