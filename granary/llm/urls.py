@@ -1,9 +1,10 @@
 """URL verdicts: host and path rules first, then gradient-boosted trees on lexical features.
 
-In DataFrame functions only. The trees learn from the URLs that a rule judges: at most about MAX_TRAIN of them, picked by
-a hash of the URL. Their features (length, depth, digit ratio, entropy, parameter counts, host labels, and how often the
+In DataFrame functions only. The trees learn from the URLs that a rule judges: at most about MAX_TRAIN distinct ones, picked
+by a hash of the URL, each with the number of its rows as weight. Their features (length, depth, digit ratio, entropy, parameter counts, host labels, and how often the
 host's suffixes are blocked among the labelled URLs) come to the driver, where histogram boosting fits shallow trees with
-the logistic loss; the trees become one SQL expression. The suffix statistics have at most as many rows as the sample.
+the logistic loss; the trees become one SQL expression. The suffix statistics are of all labelled URLs; they are written to
+a work table, so that Spark joins them by broadcast only if they are small.
 
 Defined results: a null url, or one without `://`, has empty host and path, fits no rule, and gets the trees' verdict on
 an empty host; where the labelled URLs have no or only one verdict, that one (allow, if none) is given to all others.
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share_order, sql_ascii_lower
+from .common import materialize, share_order, sql_ascii_lower
 
 MAX_TRAIN = 20_000
 ROUNDS, DEPTH, RATE, BINS, RIDGE = 20, 3, 0.3, 16, 1.0
@@ -57,20 +58,34 @@ def with_features(pages: DataFrame) -> DataFrame:
         "labels": count("host", "."), "hyphens": count("_url", "-"), "path_length": F.length("path"),
     }
     df = df.withColumns({k: c.cast("double") for k, c in columns.items()})
-    return df.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2)).drop("_url", "_chars")
+    return with_suffixes(df).drop("_url", "_chars")
 
 
-def suffix_rates(sample: DataFrame, column: str, prior: float) -> DataFrame:
-    """How often labelled URLs with this suffix are blocked, drawn towards the common rate."""
-    rate = (F.sum("blocked") + F.lit(PRIOR_WEIGHT * prior)) / (F.count("*") + F.lit(PRIOR_WEIGHT))
-    return sample.groupBy(column).agg(rate.alias(f"{column}_rate"))
+def with_suffixes(pages: DataFrame) -> DataFrame:
+    """Adds the host's suffixes of one and two labels."""
+    return pages.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
+def suffix_rates(labelled: DataFrame, column: str, prior: float) -> DataFrame:
+    """How often labelled URLs (n rows of each) with this suffix are blocked, drawn towards the common rate."""
+    rate = (F.sum(F.col("blocked") * F.col("n")) + F.lit(PRIOR_WEIGHT * prior)) / (F.sum("n") + F.lit(PRIOR_WEIGHT))
+    return with_suffixes(labelled).groupBy(column).agg(rate.alias(f"{column}_rate"))
+
+
+def weighted_cuts(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Distinct inner quantiles, each value as often as its weight says."""
+    order = np.argsort(values, kind="stable")
+    ends = np.cumsum(weights[order])
+    places = np.floor(np.linspace(0, 1, BINS + 1)[1:-1] * (ends[-1] - 1))
+    return np.unique(values[order][np.searchsorted(ends, places, "right")])
+
+
+def fit_trees(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, list]:
     """Base score and trees; a tree is a number or (feature, threshold, tree up to it, tree beyond it)."""
-    share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
+    weights = np.ones(len(y), np.int64) if weights is None else weights
+    share = float(np.clip(np.average(y, weights=weights), 1e-6, 1 - 1e-6))
     base = float(np.log(share / (1 - share)))
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
+    cuts = [weighted_cuts(x[:, j], weights) for j in range(x.shape[1])]
     bins = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1)
     score, trees = np.full(len(y), base), []
 
@@ -94,7 +109,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
 
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-score))
-        trees.append(grow(np.arange(len(y)), p - y, p * (1 - p), DEPTH))
+        trees.append(grow(np.arange(len(y)), weights * (p - y), weights * p * (1 - p), DEPTH))
     return base, trees
 
 
@@ -110,24 +125,24 @@ def judge(pages: DataFrame, rules: dict[str, str], max_train: int = MAX_TRAIN) -
     rule, by_rule = rule_columns(rules)
     parts = with_parts(pages.select("page_id", "url")).withColumn("rule", rule).withColumn("by_rule", by_rule)
     known = parts.where("by_rule is not null").withColumn("blocked", (F.col("by_rule") == "block").cast("int"))
-    sizes = {r["blocked"]: r["count"] for r in known.groupBy("blocked").count().collect()}
-    total = sum(sizes.values())
+    labelled = materialize(known.groupBy("url", "host", "path", "blocked").agg(F.count("*").alias("n")), "labelled-urls")
+    totals = labelled.groupBy("blocked").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()
+    sizes = {r["blocked"]: r["n"] for r in totals}
     if len(sizes) < 2:
         only = "block" if sizes.get(1) else "allow"
         return parts.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    sample = with_features(known.where(share_order("url") < max_train / total))
-    prior = sizes[1] / total
-    rates = {c: suffix_rates(sample, c, prior) for c in ("suffix", "domain")}
+    sample = with_features(labelled.where(share_order("url") < max_train / sum(r["distinct"] for r in totals)))
+    prior = sizes[1] / sum(sizes.values())
+    rates = {c: materialize(suffix_rates(labelled, c, prior), f"{c}-rates") for c in ("suffix", "domain")}
 
     def with_rates(df: DataFrame) -> DataFrame:
-        for c, table in rates.items():  # at most as many rows as the sample
-            df = df.join(F.broadcast(table), c, "left").withColumn(f"{c}_rate", F.coalesce(f"{c}_rate", F.lit(prior)))
+        for c, table in rates.items():
+            df = df.join(table, c, "left").withColumn(f"{c}_rate", F.coalesce(f"{c}_rate", F.lit(prior)))
         return df
 
-    rows = with_rates(sample).groupBy(*FEATURES, "blocked").count().orderBy(*FEATURES, "blocked").collect()
+    rows = with_rates(sample).groupBy(*FEATURES, "blocked").agg(F.sum("n").alias("n")).orderBy(*FEATURES, "blocked").collect()
     x, y = np.array([[r[f] for f in FEATURES] for r in rows]), np.array([float(r["blocked"]) for r in rows])
-    repeat = np.array([r["count"] for r in rows])
-    base, trees = fit_trees(np.repeat(x, repeat, axis=0), np.repeat(y, repeat))
+    base, trees = fit_trees(x, y, np.array([r["n"] for r in rows]))
     score = F.lit(base)
     for tree in trees:
         score = score + tree_column(tree)

@@ -387,3 +387,24 @@ def test_packing_of_added_tokens():
     with open(path, encoding="utf-8") as file:
         got = packing.Encoder(file.read()).encode(texts)
     assert strings and [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_url_rates_are_of_all_labelled_urls(spark):
+    """A domain's labelled URLs count, whether or not the trees' sample has them."""
+    part = lambda i: "b" if i % 2 else "a"
+    known = [(1000 * i + k, f"http://d{i:03}.org/{part(i)}/{k}") for i in range(200) for k in range(5)]
+    asked = [(-i - 1, f"http://d{i:03}.org/q/1") for i in range(200)]
+    df = spark.createDataFrame(known + asked, "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df, {"org/b/": "block", "org/a/": "allow"}, max_train=60).collect()}
+    assert [got[-i - 1] for i in range(200)] == ["block" if i % 2 else "allow" for i in range(200)]
+
+
+def test_url_weights_stand_for_copies():
+    rng = np.random.default_rng(6)
+    x, y, n = rng.integers(0, 30, (80, 3)).astype(float), rng.integers(0, 2, 80).astype(float), rng.integers(1, 9, 80)
+    many = np.repeat(x, n, axis=0)
+    for j in range(3):
+        assert (urls.weighted_cuts(x[:, j], n) == np.unique(np.quantile(many[:, j], np.linspace(0, 1, urls.BINS + 1)[1:-1], method="lower"))).all()
+    value = lambda t, row: t if isinstance(t, float) else value(t[2] if row[t[0]] <= t[1] else t[3], row)
+    (a, some), (b, all_) = urls.fit_trees(x, y, n), urls.fit_trees(many, np.repeat(y, n))
+    assert all(abs(a + sum(value(t, r) for t in some) - b - sum(value(t, r) for t in all_)) < 1e-6 for r in x)
