@@ -7,16 +7,18 @@ tables indexed by the gap. It uses such a combination as often as the availabili
 fits, it puts in the longest available length that fits (best fit) and looks again. A plan has a few recipes for each
 length; the pieces then find their place by their rank among those of their length.
 
-Ranks: pieces of a length are dealt to SALTS parts by a hash, counted, and numbered inside their part, so that a length
-that very many documents share doesn't land in one task.
+Ranks: pieces of a length are dealt by a hash to as many parts as their count needs, counted, and numbered inside their
+part, so that a length that very many documents share doesn't land in one task. The driver gets at most CAPACITY + PARTS
+counts.
 
 Token ids: `tokenizers` with the file of the given path and add_special_tokens=False, then END. The string of an added token
-in a text is that token, as the library has it. Texts of characters up to U+017F without such a string are cut into the
-tokenizer's own words and each distinct word goes to the library once per task (a table of bounded size); all other texts
-go to it whole.
+in a text is that token, as the library has it. Texts are cut at ASCII white space, the distinct chunks of a batch into the
+tokenizer's own words, and each distinct word goes to the library's model once per worker (a table of bounded size). Texts
+with a character beyond U+017F or such a string go to the library whole.
 
-Defined results: null and empty texts are the single id END. Repeated rows are packed each for itself. Empty tables give
-no rows.
+Defined results: null and empty texts are the single id END; texts of any length are encoded whole. Repeated rows are packed
+each for itself; pieces of equal length, id and number take any order among themselves. A null doc_id stays null. Empty
+tables give no rows. Columns other than doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +26,24 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import map_batches, materialize
 
 CAPACITY, END = 2048, 0
-SALTS = 64
-MAX_WORDS, WORDS_AT_ONCE = 250_000, 500
+#: Pieces of a length that are numbered in one part, or so many as make PARTS of all pieces.
+RANKED, PARTS = 20_000, 20_000
+#: Words that a Python worker remembers, and bytes of texts that it works on at once.
+MAX_WORDS, BYTES_AT_ONCE = 400_000, 12_000_000
 #: Characters up to here go the fast way, but for those that the tokenizer's lower case and Python's treat unlike.
 FAST_LIMIT = 0x180
 
@@ -45,9 +55,17 @@ def _class(kind: str) -> str:
 
 _SPACE = "\\t-\\r\\u0020\\u0085\\u00a0"
 _WORDS = re.compile(f"[{_class('L')}]+|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACE}{_class('L')}{_class('N')}]+")
+_WORDS_AND_ENDS = re.compile(f"{_WORDS.pattern}|\n")
 _SLOW = re.compile("[^\u0000-\u012f\u0131-\u017f]")
 
 
+def _byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + n for n, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of texts, exactly as the library gives them, with a table of words seen."""
 
@@ -55,38 +73,91 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json)
+        self.model = self.library.model
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         #: Texts of which lower-cased parts look like added tokens go to the library whole, whether or not it finds one.
         self.added = re.compile("|".join(re.escape(t.lower()) for t in added) or "(?!)")
-        self.known: dict[str, bytes] = {}
-        tokens = self.library.get_vocab()
-        self.ends = np.zeros(max(tokens.values()) + 1, bool)
-        self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+        self.bytes = _byte_characters()
+        self.clear()
+
+    def clear(self) -> None:
+        #: Words by number; the numbers' ids lie end to end in flat, from starts on. Number 0 is a gap, without ids.
+        self.known: dict[str, int] = {"\n": 0}
+        self.flat, self.sizes = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words side by side; a token that ends a word says so."""
-        for begin in range(0, len(words), WORDS_AT_ONCE):
-            some = words[begin : begin + WORDS_AT_ONCE]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some) or cuts[-1] != len(ids):
-                raise ValueError("the tokenizer doesn't end every word by its own token")
-            data, cuts = ids.tobytes(), (4 * cuts).tolist()
-            self.known.update(zip(some, (data[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        fast = [None if _SLOW.search(t) or self.added.search(low := t.lower()) else _WORDS.findall(low) for t in texts]
+        ids, sizes = [], []
+        for word in words:
+            symbols = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.bytes)
+            got = [t.id for t in self.model.tokenize(symbols)]
+            ids += got
+            sizes.append(len(got))
+        self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.flat, self.sizes = np.concatenate((self.flat, np.array(ids, "<u4"))), np.concatenate((self.sizes, np.array(sizes, np.int64)))
+
+    def encode(self, texts: pa.Array, end: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each followed by `end`, and the texts' bounds."""
+        lists = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        chunks = lists.flatten().dictionary_encode()
+        chunk, n_distinct = chunks.indices.to_numpy(), len(chunks.dictionary)
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, n_distinct], chunks.dictionary), "\n")[0].as_py()
+        low = joined.lower()
+        slow = {}
+        if _SLOW.search(joined) or self.added.search(low):
+            slow = {i: t for i, t in enumerate(texts.to_pylist()) if _SLOW.search(t) or self.added.search(t.lower())}
+            low = _SLOW.sub(" ", joined).lower()  # keeps one line a chunk; texts with these go to the library
+        words = _WORDS_AND_ENDS.findall(low)
         if len(self.known) > MAX_WORDS:
-            self.known.clear()
-        if fresh := list(set().union(*(x for x in fast if x)).difference(self.known)):
-            self.learn(fresh)
-        out = []
-        for text, words in zip(texts, fast, strict=True):
-            if words is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4"))
-            else:
-                out.append(np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4"))
-        return out
+            self.clear()
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(fresh := np.flatnonzero(number < 0)):
+            new = [words[i] for i in fresh.tolist()]
+            self.learn(list(set(new)))
+            number[fresh] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        # ids of the distinct chunks, then of the end, then of the texts that went to the library
+        last = np.append(np.flatnonzero(number == 0), len(number))[:n_distinct]
+        flat, word_bounds = _gather(self.flat, self.sizes, number)
+        tail = [np.array(end or [], "<u4")] + [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") for t in slow.values()]
+        sizes = np.append(np.diff(word_bounds[last], prepend=0), list(map(len, tail)))
+        flat = np.concatenate((flat, *tail))
+        each = [chunk[a:b] for a, b in zip(bounds, bounds[1:], strict=False)] if slow else []
+        for n, i in enumerate(slow):
+            each[i] = np.array([n_distinct + 1 + n])
+        if slow:
+            chunk, bounds = np.concatenate(each), np.cumsum([0, *map(len, each)])
+        chunk = np.insert(chunk.astype(np.int64), bounds[1:], n_distinct)
+        ids, ends = _gather(flat, sizes, chunk)
+        return ids, ends[bounds + np.arange(len(bounds))]
+
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of flat (of these sizes, end to end) with the given numbers end to end, and their bounds."""
+    starts, own = np.cumsum(sizes) - sizes, sizes[number]
+    bounds = np.concatenate(([0], np.cumsum(own)))
+    return flat[np.repeat(starts[number] - bounds[:-1], own) + np.arange(bounds[-1])], bounds
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(tokenizer_json: str) -> Encoder:
+    """One encoder a Python worker, so that later tasks find the words of earlier ones."""
+    if tokenizer_json not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer_json] = Encoder(tokenizer_json)
+    return _ENCODERS[tokenizer_json]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of about BYTES_AT_ONCE of text, or of one row."""
+    before = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        done = before[begin - 1] if begin else 0
+        end = max(int(np.searchsorted(before, done + BYTES_AT_ONCE, "right")), begin + 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -94,27 +165,28 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer_json = file.read()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-
-    def make():
-        encoder = Encoder(tokenizer_json)
-        end = np.array([END], "<u4")
-
-        def step(batch: dict) -> dict:
-            out: dict[str, list] = {x.split()[0]: [] for x in schema.split(", ")}
-            texts = [t or "" for t in batch["text"]]
-            for begin in range(0, len(texts), 200):
-                for doc_id, ids in zip(batch["doc_id"][begin : begin + 200], encoder.encode(texts[begin : begin + 200]), strict=True):
-                    ids = np.concatenate((ids, end))
-                    for n, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start : start + capacity]
-                        row = (doc_id, n, start, len(part), zlib.crc32(part.tobytes()), part.tolist())
-                        for column, value in zip(out.values(), row, strict=False):
-                            column.append(value)
-            return out
-
-        return step
-
-    return map_batches(docs.select("doc_id", "text"), make, schema)
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(tokenizer_json)
+        for part in (p for batch in batches for p in _slices(batch)):
+            ids, bounds = encoder.encode(pc.fill_null(part.column("text"), ""), [END])
+            sizes = np.diff(bounds)
+            counts = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), counts)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = piece * capacity
+            length = np.minimum(sizes[row] - start, capacity)
+            at = bounds[row] + start
+            data = memoryview(ids.tobytes())
+            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            columns = [part.column("doc_id").take(pa.array(row)), piece, start, length, crc]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.astype(np.int64))))
+            arrays = [(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, target, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=target)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 class _Available:
@@ -207,8 +279,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows that have doc_id, piece and length."""
-    parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = parts.groupBy("length", "salt").count().collect()  # at most capacity x SALTS rows
+    lengths = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most capacity rows
+    most = max(RANKED, sum(lengths.values()) // PARTS)
+    table = parts.sparkSession.createDataFrame([(k, -(-n // most)) for k, n in sorted(lengths.items())], "length long, salts int")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int")
+    parts = parts.join(F.broadcast(table), "length").select(*parts.columns, salt.alias("salt"))
+    counts = parts.groupBy("length", "salt").count().collect()  # at most capacity + PARTS rows
     sizes: dict[int, int] = {}
     offsets = []
     for r in sorted(counts, key=lambda r: (r["length"], r["salt"])):

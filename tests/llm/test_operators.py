@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -59,7 +60,6 @@ def test_pipeline(spark, docs, rows):
 
     path = queries.tokenizer_path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     good = [r["doc_id"] for r in quality.judge(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("kept").collect()]
     docs = docs.where(docs["doc_id"].isin(good))
     known = {r["doc_id"] for r in langid.predict(docs, langid.train(docs)).where("not rejected").collect()}
@@ -246,7 +246,6 @@ def test_packing(docs, rows):
 
     path = queries.tokenizer_path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     out = packing.pack_documents(docs, path).collect()
     by_doc: dict = {}
     for r in sorted(out, key=lambda r: (r["doc_id"], r["piece"])):
@@ -377,16 +376,23 @@ def test_langid_rejects_unlearned_languages_beside_rare_ones(spark):
             assert not any(got[i]["rejected"] or got[i]["lang_pred"] != "rare" for i, _, _ in rare)
 
 
-def test_packing_of_added_tokens():
+def test_packing_ids_are_those_of_the_library():
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     strings = [t.content for t in library.get_added_tokens_decoder().values()]
     texts = [f(t) for t in strings for f in (lambda t: t, lambda t: f"some {t} text", lambda t: f"a{t}{t}b\n", str.upper, lambda t: t[:-1])] + ["plain text"]
+    rng = np.random.default_rng(8)
+    signs = [*"abcXYZ '.,!?s t re ve'm\n\t\x0b\x0c\r\x1c\x1d\x1f\x85\xa0\xad\u2003\u3000\x00\x7f09½²ªºéÉßİıſ日本\u0301--''\"", *strings, "don't", "we'll"]
+    texts += ["".join(rng.choice(signs, rng.integers(0, 50))) for _ in range(3000)]
+    texts += ["".join(map(chr, rng.integers(0, 0x180, 60))) for _ in range(3000)] + ["", " ", "x" * 50_000, "many words " * 5_000]
     with open(path, encoding="utf-8") as file:
-        got = packing.Encoder(file.read()).encode(texts)
-    assert strings and [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        encoder = packing.Encoder(file.read())
+    for begin in range(0, len(texts), 700):
+        some = texts[begin : begin + 700]
+        ids, bounds = encoder.encode(pa.array(some), [packing.END])
+        assert strings and [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [[*library.encode(t, add_special_tokens=False).ids, packing.END] for t in some]
 
 
 def test_url_rates_are_of_all_labelled_urls(spark):
