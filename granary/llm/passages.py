@@ -7,20 +7,23 @@ Which suffixes are sorted: every window of LENGTH bytes has one anchor, the plac
 each with the bytes before it that its windows need: about a sixteenth of all suffixes, and no repeat is lost.
 
  1. Documents are packed into runs of RUN_BYTES, a row each, in a table bucketed by run; texts are never shuffled.
- 2. Each run sends its anchors' hashes, sorted and delta-coded; a hash that two documents have marks its anchors.
+ 2. Each run sends its anchors' hashes, sorted and delta-coded; a hash that two documents have marks its anchors. Hashes
+    with more than HOT different surroundings are marked as hot.
  3. Each run sorts the suffixes at marked anchors, keeps one of equal ones (that of the smallest doc_id), and sends them
-    front-coded: the length of the prefix shared with the one before, and the rest.
- 4. A task merges the sorted runs of its part of the hashes with a loser tree that knows how many bytes each head shares
-    with the last output, and compares on only from there. Among neighbours in that order, windows of equal bytes find
-    their smallest doc_id.
+    front-coded: the length of the prefix shared with the one before, and the rest. Of a hot anchor it sends the windows
+    themselves, each to the task of its own bytes, so that no task gets all surroundings of a common passage.
+ 4. A task merges the sorted runs of its part with a loser tree that knows how many bytes each head shares with the last
+    output, and compares on only from there. Two windows are equal if the suffixes at their anchors share as many bytes as
+    they have from the anchor on, as the merge tells, and the bytes before the anchors, sorted backwards, share the others.
+    Equal windows so find their smallest doc_id.
  5. Each run hears which windows go, and cuts them from its texts.
 
-Hashes only choose places and bring candidates together; windows are grouped within equal anchor strings by a 64-bit
-hash of their LENGTH bytes.
+Hashes only choose places and bring candidates together; which windows are equal is decided by shared bytes alone.
 
 Defined results: null texts are empty; a null doc_id counts as larger than all others; rows of equal doc_id never remove
-from one another; texts under LENGTH bytes lose nothing; characters of
-which only some bytes go are dropped from the text that is left; empty tables give no rows; other columns stay as they are.
+from one another; texts under LENGTH bytes lose nothing; texts of any length are one row of a run, whole; characters of
+which only some bytes go are dropped from the text that is left; empty tables give no rows; other columns stay as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -42,6 +46,8 @@ from .common import materialize, work_dir
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM
 RUN_BYTES, RUN_DOCS = 3_000_000, 4_000
+#: Different surroundings of an anchor from which on its windows are sorted by themselves, and runs that a part is made for.
+HOT, RUNS_A_PART = 5_000, 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
 
@@ -82,7 +88,7 @@ class Run:
         sizes = np.maximum(self.ends - self.starts - LENGTH + 1, 0)
         if n < LENGTH or not sizes.sum():
             self.places = self.first = self.last = self.doc = np.zeros(0, np.int64)
-            self.grams = np.zeros(0, np.uint64)
+            self.grams = self.around = self.gram = np.zeros(0, np.uint64)
             return
         h = {1: (self.bytes.astype(np.uint64) + np.uint64(1)) * _MIX}
         for k in (1, 2, 4, 8):  # hashes of 2, 4, 8 and 16 bytes
@@ -105,13 +111,19 @@ class Run:
         fresh = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1]))))
         self.places, self.doc = owner[fresh], doc[fresh]
         self.first, self.last = window[fresh], window[np.append(fresh[1:], len(owner)) - 1]
-        self.grams = gram[self.places] >> np.uint64(24)
+        self.gram, self.grams = gram, gram[self.places] >> np.uint64(24)
+        self.around = self._window_hash(self.first) ^ (self._window_hash(self.last) * _MIX)
 
-    def hashes(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes by part and value, their parts, the anchors' places among them, and which two documents have."""
-        order = np.lexsort((self.grams, self.grams % np.uint64(parts)))
-        g = self.grams[order]
+    def _window_hash(self, begin: np.ndarray) -> np.ndarray:
+        return (self.gram[begin] * (_MIX + np.uint64(2))) ^ self.gram[begin + SPAN]
+
+    def hashes(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes by part and value, their parts, the anchors' places among them, which two documents have, and in how
+        many different surroundings."""
+        order = np.lexsort((self.around, self.grams, self.grams % np.uint64(parts)))
+        g, around = self.grams[order], self.around[order]
         fresh = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
+        other = fresh | np.concatenate(([True], around[1:] != around[:-1])) if len(g) else fresh
         back = np.empty(len(g), np.int64)
         back[order] = np.cumsum(fresh) - 1
         distinct = g[fresh]
@@ -119,13 +131,22 @@ class Run:
         low, high = np.full(len(distinct), _LAST), np.full(len(distinct), -_LAST)
         np.minimum.at(low, back, ids)
         np.maximum.at(high, back, ids)
-        return distinct, (distinct % np.uint64(parts)).astype(np.int64), back, low < high
-
-    def suffixes(self, marked: np.ndarray, parts: int) -> dict:
-        """Sorted distinct suffixes at the marked anchors, with the bytes before them, and which anchors they stand for."""
-        at = np.flatnonzero(marked)
-        p, o1, o2 = self.places[at], self.places[at] - self.last[at], self.places[at] - self.first[at]
-        right_len, left_len = LENGTH - o1, o2
+        times = np.add.reduceat(other.astype(np.int64), np.flatnonzero(fresh)) if len(g) else np.zeros(0, np.int64)
+        return distinct, (distinct % np.uint64(parts)).astype(np.int64), back, low < high, times
+
+    def suffixes(self, marked: np.ndarray, hot: np.ndarray, parts: int) -> dict:
+        """Sorted distinct suffixes at the marked anchors, with the bytes before them, and which anchors they stand for.
+
+        Of a hot anchor each window is such a suffix, with nothing before it; their parts are numbered from `parts` on.
+        """
+        at, wide = np.flatnonzero(marked & ~hot), np.flatnonzero(marked & hot)
+        sizes = self.last[wide] - self.first[wide] + 1
+        alone = np.repeat(self.first[wide] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        p, first, last = (np.concatenate((x[at], alone)) for x in (self.places, self.first, self.last))
+        doc = np.concatenate((self.doc[at], np.repeat(self.doc[wide], sizes)))
+        part = np.concatenate((self.grams[at] % np.uint64(parts), np.uint64(parts) + (self._window_hash(alone) >> np.uint64(24)) % np.uint64(parts))).astype(np.int64)
+        at = np.arange(len(p))
+        right_len, left_len = LENGTH - (p - last), p - first
         padded = np.concatenate((np.zeros(SPAN, np.uint8), self.bytes, np.zeros(LENGTH, np.uint8)))
         # wide enough for whole 8-byte words
         right, left = np.zeros((len(at), 56), np.uint8), np.zeros((len(at), 32), np.uint8)
@@ -133,7 +154,6 @@ class Run:
             view = np.lib.stride_tricks.sliding_window_view(padded, SPAN + LENGTH)[p]
             right[:, :LENGTH] = np.where(np.arange(LENGTH) < right_len[:, None], view[:, SPAN:], 0)
             left[:, :SPAN] = np.where(np.arange(SPAN) >= SPAN - left_len[:, None], view[:, :SPAN], 0)
-        part = (self.grams[at] % np.uint64(parts)).astype(np.int64)
         keys = [left_len, *left.view(">u8").T[::-1], right_len, *right.view(">u8").T[::-1], part]
         order = np.lexsort(keys)
         fresh = np.zeros(len(order), bool)
@@ -144,12 +164,12 @@ class Run:
             fresh[1:] |= k[1:] != k[:-1]
         group = np.cumsum(fresh) - 1
         lead = np.flatnonzero(fresh)
-        ids = self.ids[self.doc[at]][order]
-        low = np.minimum.reduceat(ids, lead) if len(lead) else ids
+        ids = self.ids[doc]
+        low = np.minimum.reduceat(ids[order], lead) if len(lead) else ids
         back = np.empty(len(order), np.int64)
         back[order] = group
         top = order[lead]
-        return {"at": at, "back": back, "ids": low, "part": part[top], "right": right[top, :LENGTH], "left": left[top, :SPAN], "right_len": right_len[top], "left_len": left_len[top]}
+        return {"place": p, "first": first, "last": last, "own": ids, "back": back, "ids": low, "part": part[top], "right": right[top, :LENGTH], "left": left[top, :SPAN], "right_len": right_len[top], "left_len": left_len[top]}
 
 
 def front_code(s: dict, own: np.ndarray) -> bytes:
@@ -248,81 +268,90 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
     return out_run, out_place, out_shared
 
 
-def window_flags(group: np.ndarray, right: np.ndarray, left: np.ndarray, right_len: np.ndarray, left_len: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """A bit for each distance of a window's start before its anchor, set if a smaller id has the window."""
-    whole = np.concatenate((left, right), axis=1).astype(np.uint64) + np.uint64(1)
-    prefix = np.zeros((len(whole), LENGTH + SPAN + 1), np.uint64)
-    for j in range(LENGTH + SPAN):
-        prefix[:, j + 1] = prefix[:, j] * _MIX + whole[:, j]
-    power = np.uint64(1)
-    for _ in range(LENGTH):
-        power = np.uint64((int(power) * int(_MIX)) & 0xFFFFFFFFFFFFFFFF)
-    flags = np.zeros(len(whole), np.uint32)
+def window_flags(shared: np.ndarray, left: np.ndarray, right_len: np.ndarray, left_len: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A bit for each distance of a window's start before its anchor, set if a smaller id has the window.
+
+    The suffixes come in their order; shared says how many bytes from the anchor on each shares with the one before, left has
+    the bytes before the anchor. Equal windows at a distance lie between two places that share too little, and so they do in
+    the order of the bytes before the anchors, read backwards.
+    """
+    n = len(ids)
+    back = np.zeros((n, 32), np.uint8)
+    back[:, :SPAN] = left[:, ::-1]
+    order = np.lexsort(back.view(">u8").T[::-1])
+    before = back[order]
+    differ = np.concatenate((before[1:] != before[:-1], np.ones((max(n - 1, 0), 1), bool)), axis=1)
+    common = np.concatenate(([0], differ.argmax(axis=1))) if n else np.zeros(0, np.int64)
+    flags, left_class = np.zeros(n, np.uint32), np.empty(n, np.int64)
     for o in range(SPAN + 1):
         own = np.flatnonzero((LENGTH - right_len <= o) & (o <= left_len))
         if len(own) < 2:
             continue
-        key = prefix[own, LENGTH + SPAN - o] - prefix[own, SPAN - o] * power
-        order = np.lexsort((key, group[own]))
-        k, g, at = key[order], group[own][order], own[order]
-        lead = np.concatenate(([True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])))
+        left_class[order] = np.cumsum(common < o)
+        key = (np.cumsum(shared < LENGTH - o) * (n + 1) + left_class)[own]
+        place = np.argsort(key, kind="stable")
+        k, at = key[place], own[place]
+        lead = np.concatenate(([True], k[1:] != k[:-1]))
         low = np.minimum.reduceat(ids[at], np.flatnonzero(lead))[np.cumsum(lead) - 1]
         flags[at[ids[at] > low]] |= np.uint32(1 << o)
     return flags
 
 
-def merge_part(blobs: list[bytes]) -> list[np.ndarray]:
-    """For each run's suffixes the flags of their windows."""
+def merge_part(blobs: list[bytes], hot: bool = False) -> list[np.ndarray]:
+    """For each run's suffixes the flags of their windows. Suffixes of a hot part are windows."""
     runs = [front_decode(b) for b in blobs]
     out = [np.zeros(len(r[0]), np.uint32) for r in runs]
     run, place, shared = (np.array(x, np.int64) for x in merge([(r[0], r[1]) for r in runs]))
-    group = np.cumsum(shared < GRAM)
+    group = np.cumsum(shared < (LENGTH if hot else GRAM))
     begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
     alone = np.repeat(np.diff(np.append(begin, len(group))) < 2, np.diff(np.append(begin, len(group))))
     keep = np.flatnonzero(~alone)
     at = 0
-    while at < len(keep):  # about 50,000 suffixes at once, whole groups
+    while at < len(keep):  # about 50,000 suffixes at once, whole groups; a group has at most about HOT, or one of each run
         end = min(at + 50_000, len(keep))
         while end < len(keep) and group[keep[end]] == group[keep[end - 1]]:
             end += 1
         own = keep[at:end]
         pairs = list(zip(run[own].tolist(), place[own].tolist(), strict=True))
-        right = np.frombuffer(b"".join(runs[r][0][i].ljust(LENGTH, b"\0") for r, i in pairs), np.uint8).reshape(-1, LENGTH)
         left = np.frombuffer(b"".join(runs[r][3][i].rjust(SPAN, b"\0") for r, i in pairs), np.uint8).reshape(-1, SPAN)
         numbers = [np.array([runs[r][k][i] for r, i in pairs], np.int64) for k in (4, 5, 2)]
-        flags = window_flags(group[own], right, left, *numbers)
+        fresh = np.concatenate(([True], np.diff(group[own]) > 0))
+        flags = window_flags(np.where(fresh, 0, shared[own]), left, *numbers)
         for (r, i), f in zip(pairs, flags.tolist(), strict=True):
             out[r][i] = f
         at = end
     return out
 
 
-def _cut(run: Run, marks: dict[int, bytes], flags: dict[int, bytes], parts: int) -> np.ndarray:
+def _cut(run: Run, marks: dict[int, tuple[bytes, bytes]], flags: dict[int, bytes], parts: int) -> np.ndarray:
     """Which bytes of the run go."""
     s = _marked(run, marks, parts)
     gone = np.zeros(len(run.bytes) + 1, np.int64)
-    at, ids = s["at"], run.ids[run.doc[s["at"]]]
-    local = ids > s["ids"][s["back"]]
-    np.add.at(gone, run.first[at[local]], 1)
-    np.add.at(gone, run.last[at[local]] + LENGTH, -1)
+    local = s["own"] > s["ids"][s["back"]]
+    np.add.at(gone, s["first"][local], 1)
+    np.add.at(gone, s["last"][local] + LENGTH, -1)
     told = np.zeros(len(s["ids"]), np.uint32)
+    bounds = np.searchsorted(s["part"], np.arange(2 * parts + 1))
     for part, data in flags.items():
-        told[np.flatnonzero(s["part"] == part)] = _unplanes(_unzip(data), "<u4")
+        told[bounds[part] : bounds[part + 1]] = _unplanes(_unzip(data), "<u4")
     mine = told[s["back"]]
     for o in range(SPAN + 1):
-        hit = run.places[at[~local & ((mine >> np.uint32(o)) & np.uint32(1) > 0)]] - o
+        hit = s["place"][~local & ((mine >> np.uint32(o)) & np.uint32(1) > 0)] - o
         np.add.at(gone, hit, 1)
         np.add.at(gone, hit + LENGTH, -1)
     return np.cumsum(gone)[:-1] > 0
 
 
-def _marked(run: Run, marks: dict[int, bytes], parts: int) -> dict:
-    distinct, part, back, _ = run.hashes(parts)
-    hit = np.zeros(len(distinct), bool)
-    for p, bits in marks.items():
-        own = np.flatnonzero(part == p)
-        hit[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
-    return run.suffixes(hit[back], parts)
+def _marked(run: Run, marks: dict[int, tuple[bytes, bytes]], parts: int) -> dict:
+    distinct, part, back, *_ = run.hashes(parts)
+    bounds = np.searchsorted(part, np.arange(parts + 1))
+    hit, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+    for p, both in marks.items():
+        for into, bits in zip((hit, hot), both, strict=True):
+            if bits:
+                a, b = bounds[p], bounds[p + 1]
+                into[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+    return run.suffixes(hit[back], hot[back], parts)
 
 
 def _read(blob: bytes) -> pa.Table:
@@ -359,7 +388,9 @@ def _runs(docs: DataFrame, buckets: int) -> DataFrame:
     name = f"granary_runs_{uuid.uuid4().hex}"
     spark = docs.sparkSession
     docs.mapInArrow(pack, "run long, blob binary").write.bucketBy(buckets, "run").option("path", f"{work_dir(spark)}/granary/{name}").saveAsTable(name)
-    return spark.table(name)
+    runs = spark.table(name)
+    spark.sql(f"drop table {name}")  # its files stay, and so do its buckets in the plan
+    return runs
 
 
 def _over_runs(runs: DataFrame, told: DataFrame, step: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
@@ -377,23 +408,24 @@ def cut_passages(docs: DataFrame, digest: bool = False) -> DataFrame:
     if digest:
         docs = docs.select("doc_id", "text")
     workers = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * workers
     runs = _runs(docs, workers)
+    parts = max(4 * workers, runs.count() // RUNS_A_PART)
 
     def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column("run").to_pylist(), batch.column("blob"), strict=True):
-                distinct, part, _, twice = Run(_read(blob.as_py())).hashes(parts)
+                distinct, part, _, twice, times = Run(_read(blob.as_py())).hashes(parts)
                 bounds = np.searchsorted(part, np.arange(parts + 1))
-                rows = [(p, distinct[a:b], twice[a:b]) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+                rows = [(p, distinct[a:b], twice[a:b], times[a:b]) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": [r[0] for r in rows],
                         "run": [number] * len(rows),
                         "hashes": [_zip(_planes(np.diff(r[1], prepend=np.uint64(0)).astype("<u8"))) for r in rows],
                         "twice": [np.packbits(r[2]).tobytes() for r in rows],
+                        "times": [_zip(_planes(r[3].astype("<u4"))) for r in rows],
                     },
-                    schema=pa.schema([("part", pa.int32()), ("run", pa.int64()), ("hashes", pa.binary()), ("twice", pa.binary())]),
+                    schema=pa.schema([("part", pa.int32()), ("run", pa.int64()), ("hashes", pa.binary()), ("twice", pa.binary()), ("times", pa.binary())]),
                 )
 
     def mark(table: pa.Table) -> pa.Table:
@@ -401,35 +433,42 @@ def cut_passages(docs: DataFrame, digest: bool = False) -> DataFrame:
         twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(table["twice"].to_pylist(), each, strict=True)]
         _, back, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
         hit = (counts + np.bincount(back, np.concatenate(twice))) > 1
+        hot = hit & (np.bincount(back, np.concatenate([_unplanes(_unzip(x), "<u4") for x in table["times"].to_pylist()])) > HOT)
         ends = np.cumsum([len(h) for h in each])
-        bits = [np.packbits(hit[back[a:b]]).tobytes() for a, b in zip([0, *ends], ends)]
-        return pa.table({"run": table["run"], "part": table["part"], "bits": pa.array(bits, pa.binary())})
+        bounds = list(zip([0, *ends], ends))
+        bits = [np.packbits(hit[back[a:b]]).tobytes() for a, b in bounds]
+        hots = [np.packbits(x).tobytes() if (x := hot[back[a:b]]).any() else b"" for a, b in bounds]
+        return pa.table({"run": table["run"], "part": table["part"], "bits": pa.array(bits, pa.binary()), "hots": pa.array(hots, pa.binary())})
 
-    marks = runs.mapInArrow(send_hashes, "part int, run long, hashes binary, twice binary").groupBy("part").applyInArrow(mark, "run long, part int, bits binary")
+    marks = runs.mapInArrow(send_hashes, "part int, run long, hashes binary, twice binary, times binary").groupBy("part").applyInArrow(mark, "run long, part int, bits binary, hots binary")
     marks = materialize(marks, "marks")
 
+    def told_marks(told: pa.Table) -> dict[int, tuple[bytes, bytes]]:
+        return dict(zip(told["part"].to_pylist(), zip(told["bits"].to_pylist(), told["hots"].to_pylist(), strict=True), strict=True))
+
     def send_suffixes(docs: pa.Table, told: pa.Table) -> pa.Table:
-        s = _marked(Run(docs), dict(zip(told["part"].to_pylist(), told["bits"].to_pylist(), strict=True)), parts)
+        s = _marked(Run(docs), told_marks(told), parts)
         number = told["run"][0].as_py() if told.num_rows else 0
-        bounds = np.searchsorted(s["part"], np.arange(parts + 1))
+        bounds = np.searchsorted(s["part"], np.arange(2 * parts + 1))
         rows = [(p, front_code(s, np.arange(a, b))) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "run": pa.array([number] * len(rows), pa.int64()), "suffixes": pa.array([r[1] for r in rows], pa.binary())})
 
     def sort(table: pa.Table) -> pa.Table:
-        flags = [_zip(_planes(f.astype("<u4"))) for f in merge_part(table["suffixes"].to_pylist())]
+        flags = [_zip(_planes(f.astype("<u4"))) for f in merge_part(table["suffixes"].to_pylist(), table["part"][0].as_py() >= parts)]
         return pa.table({"run": table["run"], "part": table["part"], "flags": pa.array(flags, pa.binary())})
 
     sent = _over_runs(runs, marks, send_suffixes, "part int, run long, suffixes binary")
     flags = materialize(sent.groupBy("part").applyInArrow(sort, "run long, part int, flags binary"), "flags")
-    told = marks.join(flags, ["run", "part"], "left")
+    told = marks.withColumn("flags", F.lit(None).cast("binary")).unionByName(flags.selectExpr("run", "part", "null as bits", "null as hots", "flags"))
 
     target = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string") if digest else docs.schema
     arrow = to_arrow_schema(target)
 
     def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
         run = Run(docs)
-        rows = list(zip(told["part"].to_pylist(), told["bits"].to_pylist(), told["flags"].to_pylist(), strict=True))
-        gone = _cut(run, {p: b for p, b, _ in rows}, {p: f for p, _, f in rows if f is not None}, parts)
+        is_mark = pc.is_valid(told["bits"])
+        flagged = told.filter(pc.invert(is_mark))
+        gone = _cut(run, told_marks(told.filter(is_mark)), dict(zip(flagged["part"].to_pylist(), flagged["flags"].to_pylist(), strict=True)), parts)
         total = np.concatenate(([0], np.cumsum(gone)))
         begins = gone & ~np.concatenate(([False], gone[:-1]))
         inside = run.starts[run.starts < run.ends]
