@@ -1,20 +1,31 @@
-"""SimHash fingerprints and exact near-duplicate links by tiled comparison.
+"""SimHash fingerprints and near-duplicate links by tiled comparison.
 
-Fingerprints: 64 bits, each the majority of that bit over the XXH64 hashes of all word shingles. Equal fingerprints are
-one node. To link at a radius r, a fingerprint is dealt to r + 1 bands of its bits: two that differ in at most r bits
-agree on a band. Within a band's value, rows are sorted by their population count and compared tile by tile (exclusive-or
-and bit counts in numpy); a tile pair whose population counts differ by more than the radius is skipped. A task hands on
-a spanning forest of what it finds, never all pairs. Band values with more rows than a block are cut into blocks, and all
-pairs of blocks are compared in tasks of their own, so no group lands in one task. The number of band values is bounded
-by the width of a band, so their counts may go to the driver.
+Fingerprints: each bit is the majority of that bit over the XXH64 hashes of all word shingles. Equal fingerprints are one
+node. Nodes are dealt to bands of their bits; within a band's value, rows are sorted by their population count and compared
+tile by tile (exclusive-or and bit counts in numpy); a tile pair whose population counts differ by more than the radius is
+skipped. A task hands on a spanning forest of what it finds, never all pairs. Band values with more rows than a block are
+cut into blocks, and all pairs of blocks are compared in tasks of their own, so no group lands in one task. There are at
+most as many such values as blocks, so their counts may go to the driver.
+
+classes: 64 bits over SHINGLE words, repeats included. radius + 1 bands that share out the bits: two that differ in at most
+radius bits agree on a band, so no link is lost.
+
+keep_first: WIDE bits over WIDE_SHINGLE words, each shingle once, for texts that share SIMILARITY of their shingles or more.
+Two texts of Jaccard likeness J differ in a bit with a chance of acos(2 J / (1 + J)) / pi; the radius is what SIMILARITY
+gives, and SLACK standard deviations. As no few bands could promise an agreement at that radius, there are as many bands
+of random bits as bring two texts at the very radius together with a chance of RECALL; nearer ones meet almost surely.
+The bits of a band grow with the logarithm of the number of nodes, and so do the bands, for the same chance at any size.
 
 Defined results: null texts and texts without words have fingerprint zero, which links like any other; fewer words than
-a shingle: the whole sequence; repeated rows each give their row; a null doc_id never names a component unless it has no
-other; empty tables give no rows.
+a shingle: the whole sequence; texts of any length are read whole; empty tables give no rows. classes: repeated rows each
+give their row; a null doc_id never names a component unless it has no other. keep_first: one row of each group stays, that
+of the smallest doc_id, where a null counts as larger than all others and ties are broken by a row's place in the work
+table; repeated rows, and rows of one doc_id, are rows like others. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,32 +33,60 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WORD, ascii_lower, map_batches, materialize
+from .common import ROWS_AT_ONCE, WORD, ascii_lower, map_batches, materialize
 from .graph import components, forest
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
+WIDE, WIDE_SHINGLE, SIMILARITY, SLACK, RECALL = 256, 5, 0.8, 1.3, 0.9
+#: Rows that a band value of random bits has about, and the fewest bits of such a band.
+BAND_ROWS, LEAST_BITS = 512, 13
+#: Row numbers that may be broadcast.
+MAX_BROADCAST = 4_000_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 TILE = 256
 #: Rows that a task compares at once before it hands on its links, unless one group has more.
 CHUNK = 65_536
 LEAST_BLOCK = 512
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle."""
     words = WORD.findall(ascii_lower(text or ""))
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = " ".join(words).encode("utf-8", "surrogatepass")
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     k = min(shingle, len(words))
     starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(joined))
     hashed = xxhash.xxh64_intdigest
-    h = np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
-    votes = np.zeros(BITS, np.int64)
-    for begin in range(0, len(h), 1 << 16):
-        part = h[begin : begin + (1 << 16)]
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * votes > len(h), bitorder="little").tobytes(), "little")
+    return np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The words of the fingerprint of rows of hashes, as many words in each row."""
+    votes = np.zeros(64 * hashes.shape[1], np.int64)
+    for begin in range(0, len(hashes), 1 << 14):
+        part = np.ascontiguousarray(hashes[begin : begin + (1 << 14)])
+        votes += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return int(majority(shingle_hashes(text, shingle)[:, None])[0])
+
+
+def wide_fingerprint(text: str | None) -> np.ndarray:
+    """WIDE bits, as words, over the distinct shingles; each hash gives all its words by mixing."""
+    h = np.unique(shingle_hashes(text, WIDE_SHINGLE))
+    words = [h]
+    for k in range(1, WIDE // 64):
+        x = (h ^ np.uint64(k)) * _MIX
+        x = (x ^ (x >> np.uint64(29))) * _MIX
+        words.append(x ^ (x >> np.uint64(32)))
+    return majority(np.stack(words, axis=1))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -64,7 +103,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def tile_links(fps: np.ndarray, pops: np.ndarray, groups: np.ndarray, radius: int) -> np.ndarray:
-    """Smallest row reachable from each row, over links within the same group. Rows are sorted by group and pops."""
+    """Smallest row reachable from each row, over links within the same group. Rows are sorted by group and pops.
+
+    fps has a row for each fingerprint, or is its only word.
+    """
+    fps = fps.astype(np.int64).view(np.uint64).reshape(len(fps), -1)  # bit counts of negative numbers are those of their absolute values
     n, a, b = len(fps), [], []
     for i in range(0, n, TILE):
         last = min(i + TILE, n) - 1
@@ -72,7 +115,12 @@ def tile_links(fps: np.ndarray, pops: np.ndarray, groups: np.ndarray, radius: in
             end = min(j + TILE, n)
             if groups[j] > groups[last] or (groups[i] == groups[end - 1] and pops[j] - pops[last] > radius and j > i):
                 break
-            near = np.bitwise_count(fps[i : last + 1, None] ^ fps[None, j:end]) <= radius
+            differ = np.bitwise_count(fps[i : last + 1, None, 0] ^ fps[None, j:end, 0])
+            if fps.shape[1] > 1:
+                differ = differ.astype(np.uint16)
+                for w in range(1, fps.shape[1]):
+                    differ += np.bitwise_count(fps[i : last + 1, None, w] ^ fps[None, j:end, w])
+            near = differ <= radius
             near &= groups[i : last + 1, None] == groups[None, j:end]
             x, y = np.nonzero(near)
             if j == i:
@@ -89,65 +137,134 @@ def tile_links(fps: np.ndarray, pops: np.ndarray, groups: np.ndarray, radius: in
     return forest(n, np.concatenate(a), np.concatenate(b)) if a else np.arange(n)
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links a, b between the distinct fingerprints fp, enough to connect all that differ in at most radius bits."""
-    spark = fps.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def sharing_bands(radius: int) -> list[list[int]]:
+    """radius + 1 bands that share out the bits of a fingerprint of one word."""
     edges = np.linspace(0, BITS, radius + 2).astype(int).tolist()
-    wide = max(y - x for x, y in zip(edges, edges[1:], strict=False)) + 1
-    bands = [F.lit(k << wide) + F.shiftrightunsigned("fp", x).bitwiseAND(F.lit((1 << (y - x)) - 1)) for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False))]
-    rows = fps.select("fp", F.explode(F.array(*bands)).alias("band"))
+    return [list(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def random_bands(nodes: int, radius: int) -> list[list[int]]:
+    """Bands of random bits of a wide fingerprint, for so many nodes; see the module's text."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(nodes, 1) / BAND_ROWS)))
+    agree = math.prod((WIDE - radius - i) / (WIDE - i) for i in range(bits))
+    rng = np.random.default_rng(bits)
+    return [sorted(rng.choice(WIDE, bits, replace=False).tolist()) for _ in range(math.ceil(math.log(1 - RECALL) / math.log1p(-agree)))]
+
+
+def wide_radius() -> int:
+    share = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+    return int(WIDE * share + SLACK * math.sqrt(WIDE * share * (1 - share)))
+
+
+def _band_value(words: list[str], number: int, band: list[int]):
+    """The band's bits of the fingerprint behind the band's number."""
+    out = F.lit(number)
+    runs = [[band[0], 0]] if band else []
+    for bit in band:  # neighbouring bits of a word at once
+        if bit == sum(runs[-1]) and bit % 64:
+            runs[-1][1] += 1
+        else:
+            runs.append([bit, 1])
+    for bit, n in (r for r in runs if r[1]):
+        part = F.shiftrightunsigned(words[bit // 64], bit % 64)
+        out = F.shiftleft(out, n).bitwiseOR(part.bitwiseAND(F.lit((1 << n) - 1)) if n < 64 else part)
+    return out
+
+
+def links(nodes: DataFrame, bands: list[list[int]], radius: int) -> DataFrame:
+    """Links a, b between the nodes (columns node, and words w0, w1 ... of distinct fingerprints), enough to connect all that
+    share a band and differ in at most radius bits."""
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = [c for c in nodes.columns if c != "node"]
+    rows = nodes.select("node", *words, F.explode(F.array(*[_band_value(words, k, band).cast("long") for k, band in enumerate(bands)])).alias("band"))
     counts = rows.groupBy("band").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
     block = max(LEAST_BLOCK, total // (4 * parts))
-    hot = {r["band"]: -(-r["count"] // block) for r in counts.where(F.col("count") > block).collect()}
+    hot = {r["band"]: -(-r["count"] // block) for r in counts.where(F.col("count") > block).collect()}  # at most total / block
     if hot:
-        table = spark.createDataFrame(sorted(hot.items()), "band long, blocks int")  # at most (radius + 1) << wide rows
+        table = spark.createDataFrame(sorted(hot.items()), "band long, blocks int")  # as many rows at most
         rows = rows.join(F.broadcast(table), "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     else:
         rows = rows.withColumn("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("fp", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.bit_count("fp").alias("pop"))
+    pop = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
+    rows = rows.select("node", *words, "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), pop.alias("pop"))
     dealt = rows.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "pop")
+    keys = ("band", "i", "j")
+    names = dealt.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def found(held: list[np.ndarray]) -> pa.RecordBatch:
-            fp, pop, *keys = held
-            change = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-            low = tile_links(fp, pop, np.concatenate(([0], np.cumsum(change))), radius)
-            a, b = fp, fp[low]
+        def found(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+            change = np.any([held[k][1:] != held[k][:-1] for k in keys], axis=0)
+            fps = np.stack([held[w] for w in words], axis=1)
+            low = tile_links(fps, held["pop"], np.concatenate(([0], np.cumsum(change))), radius)
+            a, b = held["node"], held["node"][low]
             return pa.RecordBatch.from_pydict({"a": a[a != b], "b": b[a != b]}, schema=schema)
 
-        held = [np.zeros(0, np.int64)] * 5
+        held = {c: np.zeros(0, np.int64) for c in names}
         for batch in batches:
-            fresh = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", "pop", "band", "i", "j")]
-            held = [np.concatenate(x) for x in zip(held, fresh, strict=True)]
-            if len(held[0]) >= CHUNK:
-                same = np.all([k == k[-1] for k in held[2:]], axis=0)
-                cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            held = {c: np.concatenate((x, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64))) for c, x in held.items()}
+            n = len(held["node"])
+            if n >= CHUNK:
+                same = np.all([held[k] == held[k][-1] for k in keys], axis=0)
+                cut = n - int(np.argmin(same[::-1])) if not same.all() else 0
                 if cut:
-                    yield found([x[:cut] for x in held])
-                    held = [x[cut:] for x in held]
-        if len(held[0]):
+                    yield found({c: x[:cut] for c, x in held.items()})
+                    held = {c: x[cut:] for c, x in held.items()}
+        if len(held["node"]):
             yield found(held)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def with_roots(nodes: DataFrame, bands: list[list[int]], radius: int) -> DataFrame:
+    """Adds root, the smallest node that links reach."""
+    roots = components(links(nodes.select("node", *[c for c in nodes.columns if c.startswith("w")]), bands, radius))
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of all that links reach) of every row of docs."""
     each = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    nodes = with_roots(nodes.select(F.col("fp").alias("node"), F.col("fp").alias("w0"), "first"), sharing_bands(radius), radius)
     firsts = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return each.join(nodes.join(firsts, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return each.join(nodes.join(firsts, "root").select(F.col("node").alias("fp"), "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _numbered(docs: DataFrame, row: str, words: list[str]) -> DataFrame:
+    """The rows of docs with a row number and the words of their wide fingerprint, in a work table."""
+    arrow = to_arrow_schema(StructType([StructField(w, LongType()) for w in words]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(begin, ROWS_AT_ONCE)
+                fps = np.stack([wide_fingerprint(t) for t in part.column("text").to_pylist()]).view(np.int64)
+                for k, field in enumerate(arrow):
+                    part = part.append_column(field, pa.array(np.ascontiguousarray(fps[:, k])))
+                yield part
+
+    schema = StructType([*docs.schema.fields, *[StructField(w, LongType()) for w in words]])
+    return materialize(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs that aren't near-duplicates of one with a smaller doc_id, with all their columns."""
-    later = classes(docs, radius, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those that are near-duplicates of an earlier one, with all their columns."""
+    free = "_" * (1 + max(len(c) for c in docs.columns))
+    row, words = f"{free}row", [f"{free}w{k}" for k in range(WIDE // 64)]
+    written = _numbered(docs, row, words)
+    each = written.select(F.col(row).alias("row"), F.col("doc_id"), *[F.col(w).alias(f"w{k}") for k, w in enumerate(words)])
+    short = [f"w{k}" for k in range(len(words))]
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    nodes = materialize(each.groupBy(*short).agg(best.alias("best"), F.min("row").alias("node")), "nodes")
+    radius = wide_radius()
+    rooted = with_roots(nodes, random_bands(nodes.count(), radius), radius)
+    stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
+    later = materialize(each.select("row").join(stay, "row", "left_anti").withColumnRenamed("row", row), "later")
+    later = F.broadcast(later) if later.count() <= MAX_BROADCAST else later.hint("shuffle_merge")
+    return written.join(later, row, "left_anti").select(*docs.columns)
