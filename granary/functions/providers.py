@@ -5,29 +5,41 @@ Pass other functions of the same form to use a model.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import context_block, tokens
 
 
-def hashed_embedding(text: Column, dims: int = 64) -> Column:
-    """Counts of tokens by hash, as a vector of length one (all zeros for a text without tokens)."""
-    buckets = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c))
-    return F.transform(counts, lambda c: F.when(norm == 0, F.lit(0.0)).otherwise(c / norm).cast("float"))
+#: Entries of the vectors that stand in for a hosted model's.
+DIMS = 64
+
+
+def bucket(term: Column) -> Column:
+    """The entry of a vector that a term counts in: the first 32 bits of its md5."""
+    return (F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long") % DIMS).cast("int")
+
+
+def hashed_embeddings(postings: DataFrame, key: list[str]) -> DataFrame:
+    """key and embedding, the counts of terms by bucket, of every key that has a term; from term and tf, not from texts."""
+    counts = postings.groupBy(*key, bucket(F.col("term")).alias("at")).agg(F.sum("tf").cast("double").alias("x"))
+    entries = F.map_from_entries(F.collect_list(F.struct("at", "x")))  # DIMS entries at most
+    each = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.coalesce(F.element_at(F.col("entries"), i), F.lit(0.0)))
+    return counts.groupBy(*key).agg(entries.alias("entries")).select(*key, each.alias("embedding"))
 
 
 def overlap_planner(sentences: Column, least: float = 0.15) -> Column:
     """Breaks where neighbouring sentences share less than this part of their words."""
-    places = F.sequence(F.lit(0), F.greatest(F.size(sentences) - 2, F.lit(0)))
+    bags = F.transform(sentences, lambda s: F.array_distinct(tokens(s)))
 
-    def apart(i: Column) -> Column:
-        a, b = F.array_distinct(tokens(F.get(sentences, i))), F.array_distinct(tokens(F.get(sentences, i + 1)))
+    def apart(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
         return F.size(F.array_intersect(a, b)) < least * F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
-    return F.filter(places, apart)
+    # neighbours by zip, so that every sentence is cut into tokens twice only, however often places are asked for
+    pairs = F.zip_with(F.slice(bags, F.lit(1), F.greatest(F.size(sentences) - 1, F.lit(0))), F.slice(bags, F.lit(2), F.greatest(F.size(sentences) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    flagged = F.transform(pairs, lambda p, i: F.when(apart(p), i))
+    return F.when(F.size(sentences) > 1, F.filter(flagged, lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
 
 
 def passage(query: Column) -> Column:

@@ -2,30 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from ..functions import providers
 from ..functions import text as T
+from ..sources.work import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Terms of queries that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Numbers of query vectors that go to every task at once, and rows that a task compares with them at once.
+MATRIX_CELLS, ROWS_AT_ONCE = 4_000_000, 4_096
+
+
+def term_frequencies(docs: DataFrame, *key: str) -> DataFrame:
+    """key, length, term, tf of every term of every row of docs."""
+    return _postings(docs, *key).where("term is not null").drop("first")
 
 
-def term_frequencies(docs: DataFrame, *key: str, only: DataFrame | None = None) -> DataFrame:
-    """key, length, term, tf of every term of every row of docs, or of those in a table of terms small enough to broadcast."""
+def _postings(docs: DataFrame, *key: str) -> DataFrame:
+    """The same, and whether a posting has the row's first token; a row without tokens has one of a null term."""
     bags = docs.select(*key, T.tokens(F.coalesce("text", F.lit(""))).alias("bag"))
-    each = bags.select(*key, F.size("bag").alias("length"), F.explode("bag").alias("term"))
-    if only is not None:
-        each = each.join(F.broadcast(only), "term", "left_semi")
-    return each.groupBy(*key, "length", "term").agg(F.count("*").alias("tf"))
+    each = bags.select(*key, F.size("bag").alias("length"), F.posexplode_outer("bag").alias("at", "term"))
+    return each.groupBy(*key, "length", "term").agg(F.count("at").alias("tf"), (F.coalesce(F.min("at"), F.lit(0)) == 0).alias("first"))
+
+
+class Index(NamedTuple):
+    """Postings (key, length, term, tf) in a work table, and what else BM25 needs of all rows."""
+
+    postings: DataFrame
+    key: list[str]
+    rows: int
+    mean_length: float
 
 
-def term_statistics(docs: DataFrame, n_docs: int) -> DataFrame:
+def lexical_index(docs: DataFrame, key: list[str]) -> Index:
+    """Reads and cuts all texts once; every search and statistic comes from the postings."""
+    postings = materialize(_postings(docs, *key), "postings")
+    n, tokens = postings.agg(F.count(F.when(F.col("first"), 1)), F.sum("tf")).first()
+    return Index(postings.where("term is not null").drop("first"), key, n, max(tokens or 0, 1) / max(n, 1))
+
+
+def term_statistics(index: Index) -> DataFrame:
     """term, df and idf; a negative idf becomes EPSILON times the mean over the vocabulary."""
-    each = docs.select(F.explode(F.array_distinct(T.tokens(F.coalesce("text", F.lit(""))))).alias("term"))
-    stats = each.groupBy("term").agg(F.count("*").alias("df"))
-    stats = stats.withColumn("idf0", F.log(F.lit(n_docs + 0.5) - F.col("df")) - F.log(F.col("df") + 0.5))
+    stats = index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    stats = stats.withColumn("idf0", F.log(F.lit(index.rows + 0.5) - F.col("df")) - F.log(F.col("df") + 0.5))
     mean = F.broadcast(stats.agg(F.avg("idf0").alias("mean_idf")))  # one row
     return stats.join(mean, F.lit(True)).withColumn("idf", F.when(F.col("idf0") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf0"))).drop("idf0", "mean_idf")
 
@@ -35,22 +64,24 @@ def top_k(scored: DataFrame, query: str, order: list[Column], k: int) -> DataFra
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= max(1, k))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: list[str], query: str = "item_id", k: int = 5, pad: bool = False) -> DataFrame:
-    """The k best rows of docs for every query, by Okapi BM25.
+def query_terms(queries: DataFrame, query: str) -> DataFrame:
+    return queries.select(query, F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
+
 
-    Rows that share no term with a query are no matches; with pad they have score 0 and fill up the k, in order of the key.
+def bm25(docs: DataFrame | Index, queries: DataFrame, key: list[str], query: str = "item_id", k: int = 5, pad: DataFrame | None = None) -> DataFrame:
+    """The k best rows of docs, or of their index, for every query, by Okapi BM25.
+
+    Rows that share no term with a query are no matches; given as pad they have score 0 and fill up the k, in order of the key.
     """
-    n, tokens = docs.select(F.size(T.tokens(F.coalesce("text", F.lit("")))).alias("n")).agg(F.count("*"), F.sum("n")).first()
-    asked = queries.select(query, F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    few = asked.count() <= BROADCAST_ROWS  # then only tokens that a query has are shuffled
-    postings = term_frequencies(docs, *key, only=asked.select("term").distinct() if few else None)
-    terms = asked.join(term_statistics(docs, n), "term").select(query, "term", "qtf", "idf")
+    index = docs if isinstance(docs, Index) else lexical_index(docs, key)
+    asked = query_terms(queries, query)
+    few = asked.count() <= BROADCAST_ROWS  # then the postings aren't shuffled to meet them
+    terms = term_statistics(index).join(F.broadcast(asked) if few else asked, "term").select(query, "term", "qtf", "idf")
     terms = F.broadcast(terms) if few else terms
-    mean = max(tokens or 0, 1) / max(n, 1)
-    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    scored = postings.join(terms, "term").groupBy(query, *key).agg(F.round(F.sum(weight), 6).alias("score"))
-    if pad:
-        scored = padded(scored, docs, queries, key, query, k)
+    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / index.mean_length))
+    scored = index.postings.join(terms, "term").groupBy(query, *key).agg(F.round(F.sum(weight), 6).alias("score"))
+    if pad is not None:
+        scored = padded(scored, pad, queries, key, query, k)
     return top_k(scored, query, [F.desc("score"), *map(F.asc, key)], k).select(query, "rank", *key, "score")
 
 
@@ -103,17 +134,75 @@ def retrieve(method: str, *args, **options) -> DataFrame:
     return METHODS[method](*args, **options)
 
 
-def vectors(corpus: DataFrame, queries: DataFrame, distance, k: int = 5, descending: bool = False) -> DataFrame:
-    """The k nearest rows (vec_id, embedding) for every query (query_id, query_vector), exactly, block by block.
+def vectors(corpus: DataFrame, queries: DataFrame, distance: str, k: int = 5, key: tuple[str, ...] = ("vec_id",)) -> DataFrame:
+    """The k nearest rows (key, embedding) for every query (query_id, query_vector), exactly; distance: cosine or l2.
 
-    Rows are dealt to one block for each shuffle partition; every query meets every block.
+    Few queries go to every task as a matrix, in work tables' Arrow batches, and each batch hands on its k best of each query;
+    more queries than MATRIX_CELLS numbers make are taken in blocks of so many, a pass over the rows for each. A row is no
+    neighbour of the query with its own vec_id. Cosine with a vector of zeros is 0; rows without a vector are left out.
     """
-    blocks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = corpus.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = queries.select("query_id", "query_vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = rows.join(asked, "block").where("vec_id <> query_id").withColumn("distance", F.round(distance(F.col("query_vector"), F.col("embedding")), 6))
-    order = [F.desc("distance") if descending else F.asc("distance"), F.asc("vec_id")]
-    return top_k(pairs.select("query_id", "vec_id", "distance"), "query_id", order, k).select("query_id", "rank", "vec_id", "distance")
+    asked = queries.select("query_id", "query_vector").where("query_vector is not null")
+    dims = asked.agg(F.max(F.size("query_vector"))).first()[0] or 1
+    block = max(MATRIX_CELLS // dims, 1)
+    n = asked.count()
+    if n > block:
+        numbered = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block) * 2)))
+        parts = [numbered.where(F.col("_block") == i).drop("_block") for i in range(-(-n // block) * 2)]
+    else:
+        parts = [asked]
+    out = None
+    for part in parts:
+        got = _nearest(corpus, part.collect(), distance, k, key)  # MATRIX_CELLS numbers or so
+        out = got if out is None else out.unionByName(got)
+    order = [F.desc("distance") if distance == "cosine" else F.asc("distance"), *map(F.asc, key)]
+    return top_k(out, "query_id", order, k).select("query_id", "rank", *key, "distance")
+
+
+def _nearest(corpus: DataFrame, asked: list, distance: str, k: int, key: tuple[str, ...]) -> DataFrame:
+    """The k best rows of each batch for each query, and those that are as near as the last of them."""
+    ids = np.array([r["query_id"] for r in asked], np.int64)
+    matrix = np.array([r["query_vector"] for r in asked], np.float64).reshape(len(asked), -1)
+    schema = StructType([StructField("query_id", LongType()), *[corpus.schema[c] for c in key], StructField("distance", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(begin, ROWS_AT_ONCE)
+                part = part.filter(part.column("embedding").is_valid())
+                if not part.num_rows or not len(ids):
+                    continue
+                rows = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                if distance == "cosine":
+                    near = -np.round(unit(matrix) @ unit(rows).T, 6)
+                else:
+                    near = np.round(np.stack([((rows - q) ** 2).sum(axis=1) for q in matrix]), 6)
+                if key == ("vec_id",):
+                    near[ids[:, None] == part.column("vec_id").to_numpy(zero_copy_only=False)[None]] = np.inf
+                last = np.partition(near, min(k, part.num_rows) - 1, axis=1)[:, min(k, part.num_rows) - 1]
+                q, at = np.nonzero((near <= last[:, None]) & np.isfinite(near))
+                found = -near[q, at] if distance == "cosine" else near[q, at]
+                columns = [pa.array(ids[q]), *[part.column(c).take(pa.array(at)) for c in key], pa.array(found + 0.0)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return corpus.select(*key, "embedding").mapInArrow(run, schema)
+
+
+def text_vectors(index: Index, queries: DataFrame, query: str = "item_id", k: int = 5) -> DataFrame:
+    """The k rows of an index whose hashed vectors are nearest to those of the queries' texts, by cosine."""
+    terms = query_terms(queries, query).withColumnRenamed("qtf", "tf")
+    asked = providers.hashed_embeddings(terms, [query]).select(F.col(query).alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = vectors(providers.hashed_embeddings(index.postings, index.key), asked, "cosine", k, tuple(index.key))
+    return found.withColumnRenamed("query_id", query).withColumnRenamed("distance", "score")
+
+
+def hyde(index: Index, queries: DataFrame, query: str = "item_id", k: int = 5) -> DataFrame:
+    """The same for a passage that would answer the query, in place of the query."""
+    return text_vectors(index, queries.withColumn("text", providers.passage(F.col("text"))), query, k)
 
 
 def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -132,10 +221,10 @@ def hybrid(lists: dict[str, DataFrame], columns: list[str]) -> DataFrame:
     return out
 
 
-def single_metrics(hits: DataFrame, query: str, k: int = 5) -> DataFrame:
-    """hit_rate, mrr, precision and (unnormalised) ndcg of each query from rank and hit (0 or 1; null: no result)."""
+def single_metrics(hits: DataFrame, query: str | list[str], k: int = 5) -> DataFrame:
+    """hit_rate, mrr, precision and (unnormalised) ndcg of each query (or pair of columns) from rank and hit (0 or 1; null: no result)."""
     gain = F.col("hit") / F.log2(F.col("rank") + 1)
-    return hits.groupBy(query).agg(
+    return hits.groupBy(*([query] if isinstance(query, str) else query)).agg(
         F.coalesce(F.max("hit"), F.lit(0)).cast("double").alias("hit_rate"),
         F.round(F.coalesce(1 / F.min(F.when(F.col("hit") == 1, F.col("rank"))), F.lit(0.0)), 6).alias("mrr"),
         F.round(F.coalesce(F.sum("hit"), F.lit(0)) / k, 6).alias("precision"),

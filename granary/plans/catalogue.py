@@ -11,6 +11,7 @@ from ..functions import providers
 from ..functions import text as T
 from ..operators import chunking, retrieval
 from ..sources import files
+from ..sources.work import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,10 +21,21 @@ def query(f: Callable) -> Callable:
     return f
 
 
+#: Files of up to so many bytes are dealt to all cores by their first column; larger ones come in splits of their own.
+SMALL_BYTES = 32_000_000
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents for work that is heavy on the processor: a small file is one split, and would be one task."""
+    df = _read(spark, sf_dir, "documents")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # of the files, without reading them
+    return df.repartition(spark.sparkContext.defaultParallelism, "doc_id") if size <= SMALL_BYTES else df
+
+
 @query
 def doc_load(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", F.length(T.trim(F.col("text"))).cast("long").alias("n_chars_trimmed")).where("n_chars_trimmed > 0")
@@ -31,30 +43,30 @@ def doc_load(spark, sf):
 
 @query
 def tokens_df(spark, sf):
-    postings = retrieval.term_frequencies(_read(spark, sf, "documents"), "doc_id")
+    postings = retrieval.term_frequencies(_documents(spark, sf), "doc_id")
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query
 def sentences(spark, sf):
-    df = _read(spark, sf, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    df = _documents(spark, sf).select("doc_id", T.sentences(F.col("text")).alias("s"))
     longest = F.coalesce(F.array_max(F.transform("s", lambda x: F.length(x))), F.lit(0))
     return df.select("doc_id", F.size("s").cast("long").alias("n_sentences"), longest.cast("long").alias("max_len"))
 
 
 @query
 def chunks_fixed(spark, sf):
-    return chunking.fixed(_read(spark, sf, "documents")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+    return chunking.fixed(_documents(spark, sf)).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
 
 
 @query
 def chunks_newline(spark, sf):
-    return chunking.newline(_read(spark, sf, "documents")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("text").cast("long").alias("n_chars"))
+    return chunking.newline(_documents(spark, sf)).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("text").cast("long").alias("n_chars"))
 
 
 @query
 def chunks_agentic_fallback(spark, sf):
-    out = chunking.planned(_read(spark, sf, "documents"))
+    out = chunking.planned(_documents(spark, sf))
     return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("n_sent").cast("long").alias("n_sent"), "text")
 
 
@@ -79,12 +91,12 @@ def chunks_semantic_ranges(spark, sf):
 
 @query
 def bm25_topk(spark, sf):
-    return retrieval.bm25(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"), ["doc_id"])
+    return retrieval.bm25(_documents(spark, sf), _read(spark, sf, "benchmark"), ["doc_id"])
 
 
 @query
 def bm25_chunk_topk(spark, sf):
-    return retrieval.bm25(chunking.fixed(_read(spark, sf, "documents")), _read(spark, sf, "benchmark"), ["doc_id", "chunk_index"])
+    return retrieval.bm25(chunking.fixed(_documents(spark, sf)), _read(spark, sf, "benchmark"), ["doc_id", "chunk_index"])
 
 
 def _asked(vectors: DataFrame) -> DataFrame:
@@ -95,13 +107,13 @@ def _asked(vectors: DataFrame) -> DataFrame:
 @query
 def vector_topk_l2(spark, sf):
     v = _read(spark, sf, "embeddings")
-    return retrieval.vectors(v, _asked(v), T.squared_l2)
+    return retrieval.vectors(v, _asked(v), "l2")
 
 
 @query
 def vector_topk_cosine(spark, sf):
     v = _read(spark, sf, "embeddings")
-    return retrieval.vectors(v, _asked(v), T.cosine, descending=True)
+    return retrieval.vectors(v, _asked(v), "cosine")
 
 
 @query
@@ -110,16 +122,24 @@ def hyde_topk(spark, sf):
     v = _read(spark, sf, "embeddings")
     means = v.select("label", F.posexplode("embedding").alias("at", "x")).groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
     passages = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("query_vector"))
-    out = retrieval.vectors(v, passages.select((-F.col("label").cast("long") - 1).alias("query_id"), "query_vector"), T.squared_l2)
+    out = retrieval.vectors(v, passages.select((-F.col("label").cast("long") - 1).alias("query_id"), "query_vector"), "l2")
     return out.select((-F.col("query_id") - 1).cast("int").alias("label"), "rank", "vec_id", "distance")
 
 
 @query
 def hybrid_union(spark, sf):
-    docs, items = _read(spark, sf, "documents"), _read(spark, sf, "benchmark")
-    chunks = retrieval.bm25(chunking.fixed(docs), items, ["doc_id", "chunk_index"])
-    out = retrieval.hybrid({"documents": retrieval.bm25(docs, items, ["doc_id"]), "chunks": chunks}, ["item_id", "rank", "doc_id"])
-    return retrieval.first_of(out, ["item_id", "doc_id"], ["method_order", "rank"]).select("item_id", "method", "rank", "doc_id")
+    """What BM25 finds among the chunks, and then what vectors find, of one index."""
+    items, key = _read(spark, sf, "benchmark"), ["doc_id", "chunk_index"]
+    index = retrieval.lexical_index(chunking.fixed(_documents(spark, sf)), key)
+    lists = {"bm25": retrieval.bm25(index, items, key), "vector": retrieval.text_vectors(index, items)}
+    return retrieval.hybrid(lists, ["item_id", "rank", *key, "score"]).drop("method_order")
+
+
+@query
+def vector_chunk_topk(spark, sf):
+    """Chunks whose hashed vectors are nearest to an item's."""
+    index = retrieval.lexical_index(chunking.fixed(_documents(spark, sf)), ["doc_id", "chunk_index"])
+    return retrieval.text_vectors(index, _read(spark, sf, "benchmark"))
 
 
 def _hits(spark, sf, ranked: DataFrame, bodies: DataFrame, key: list[str]) -> DataFrame:
@@ -135,16 +155,37 @@ def retrieval_metrics(spark, sf):
     return retrieval.single_metrics(_hits(spark, sf, bm25_topk(spark, sf), docs, ["doc_id"]), "item_id")
 
 
+#: Chunkings and retrieval methods of the experiments; every one of the nine pairs is a pipeline.
+CHUNKINGS = {
+    "fixed": chunking.fixed,
+    "semantic": lambda docs: chunking.semantic(docs, T.tokens, T.jaccard),
+    "agentic": lambda docs: chunking.agentic_eval(docs, providers.overlap_planner),
+}
+RETRIEVALS = {
+    "traditional": retrieval.text_vectors,
+    "bm25": lambda index, items: retrieval.bm25(index, items, index.key),
+    "hyde": retrieval.hyde,
+}
+
+
 @query
 def pipeline_summary(spark, sf):
-    docs = _read(spark, sf, "documents").select("doc_id", "text")
-    chunks = chunking.fixed(docs)
-    parts = [("documents+bm25", retrieval_metrics(spark, sf)), ("fixed+bm25", retrieval.single_metrics(_hits(spark, sf, bm25_chunk_topk(spark, sf), chunks, ["doc_id", "chunk_index"]), "item_id"))]
+    """All pipelines over one index for each chunking; a hit is a chunk of a document that has the item's text."""
+    docs, items = _documents(spark, sf).select("doc_id", "text"), _read(spark, sf, "benchmark")
     rows = None
-    for name, df in parts:
-        df = df.withColumn("pipeline", F.lit(name))
-        rows = df if rows is None else rows.unionByName(df)
-    return rows.groupBy("pipeline").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("hit_rate", "mrr", "precision", "ndcg")])
+    for chunks, cut in CHUNKINGS.items():
+        index = retrieval.lexical_index(cut(docs), ["doc_id", "chunk_index"])
+        for method, search in RETRIEVALS.items():
+            found = search(index, items).select("item_id", "rank", "doc_id", F.lit(f"{chunks}+{method}").alias("pipeline"))
+            rows = found if rows is None else rows.unionByName(found)
+    rows = materialize(rows, "ranked")  # nine times k rows for each item
+    wanted = F.broadcast(rows.select("doc_id").distinct()) if rows.count() <= retrieval.BROADCAST_ROWS else rows.select("doc_id").distinct()
+    hits = rows.join(docs.join(wanted, "doc_id", "left_semi"), "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
+    hits = hits.select("pipeline", "item_id", "rank", F.coalesce(F.contains("text", "item").cast("int"), F.lit(0)).alias("hit"))
+    names = spark.createDataFrame([(f"{c}+{m}",) for c in CHUNKINGS for m in RETRIEVALS], "pipeline string")
+    every = items.select("item_id").join(F.broadcast(names), F.lit(True)).join(hits, ["pipeline", "item_id"], "left")  # nine rows
+    scores = retrieval.single_metrics(every, ["pipeline", "item_id"])
+    return scores.groupBy("pipeline").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("hit_rate", "mrr", "precision", "ndcg")])
 
 
 @query
@@ -191,7 +232,7 @@ def context_blocks(spark, sf):
 @query
 def previews(spark, sf):
     text = F.col("text")
-    return _read(spark, sf, "documents").select("doc_id", T.preview(text).alias("preview"), T.hard_cut(text).alias("cut"), T.prompt_sentence(text).alias("for_prompt"), F.sha2(T.sanitize(text), 256).alias("clean_sha256"))
+    return _documents(spark, sf).select("doc_id", T.preview(text).alias("preview"), T.hard_cut(text).alias("cut"), T.prompt_sentence(text).alias("for_prompt"), F.sha2(T.sanitize(text), 256).alias("clean_sha256"))
 
 
 @query
@@ -238,32 +279,33 @@ def unique_sources(spark, sf):
 @query
 def chunks_agentic_eval(spark, sf):
     """The planner is stood in for by word overlap of neighbouring sentences."""
-    out = chunking.agentic_eval(_read(spark, sf, "documents"), providers.overlap_planner)
+    out = chunking.agentic_eval(_documents(spark, sf), providers.overlap_planner)
     return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
 
 
 @query
 def chunks_semantic(spark, sf):
     """Likeness of sentences is that of their sets of tokens, which SQL can also tell."""
-    out = chunking.semantic(_read(spark, sf, "documents"), T.tokens, T.jaccard)
+    out = chunking.semantic(_documents(spark, sf), T.tokens, T.jaccard)
     return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
 
 
 @query
 def bm25_padded(spark, sf):
-    return retrieval.bm25(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"), ["doc_id"], pad=True)
+    docs = _documents(spark, sf)
+    return retrieval.bm25(docs, _read(spark, sf, "benchmark"), ["doc_id"], pad=docs)
 
 
 @query
 def agentic_retrieval(spark, sf):
     """The agent is stood in for by two calls: one asks for the first half of an item's tokens, one for the second."""
-    docs, items = _read(spark, sf, "documents"), _read(spark, sf, "benchmark")
+    docs, items = _documents(spark, sf), _read(spark, sf, "benchmark")
     bag = items.select("item_id", T.tokens(F.coalesce("text", F.lit(""))).alias("bag")).withColumn("half", F.floor(F.size("bag") / 2).cast("int"))
-    calls = None
+    index, calls = retrieval.lexical_index(docs, ["doc_id"]), None
     for n, part in ((1, F.slice("bag", F.lit(1), F.col("half"))), (2, F.slice("bag", F.col("half") + 1, F.size("bag")))):
-        got = retrieval.bm25(docs, bag.select("item_id", F.array_join(part, " ").alias("text")), ["doc_id"]).withColumn("call", F.lit(n))
+        got = retrieval.bm25(index, bag.select("item_id", F.array_join(part, " ").alias("text")), ["doc_id"]).withColumn("call", F.lit(n))
         calls = got if calls is None else calls.unionByName(got)
-    return retrieval.agentic(calls, bm25_topk(spark, sf), "item_id", ["doc_id"])
+    return retrieval.agentic(calls, retrieval.text_vectors(index, items), "item_id", ["doc_id"])
 
 
 @query
@@ -276,9 +318,10 @@ def grounded_answers(spark, sf):
 
 @query
 def search_reports(spark, sf):
-    chunks = chunking.fixed(_read(spark, sf, "documents"))
-    sources = _read(spark, sf, "documents").select("doc_id", "source")
-    hits = bm25_chunk_topk(spark, sf).join(chunks, ["doc_id", "chunk_index"]).join(sources, "doc_id")
+    docs = _documents(spark, sf)
+    best = materialize(bm25_chunk_topk(spark, sf), "ranked")
+    found = docs.join(F.broadcast(best.select("doc_id").distinct()), "doc_id", "left_semi") if best.count() <= retrieval.BROADCAST_ROWS else docs
+    hits = best.join(chunking.fixed(found), ["doc_id", "chunk_index"]).join(found.select("doc_id", "source"), "doc_id")
     hits = hits.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "source", F.col("chunk_index").alias("chunk"), "text"))).alias("hits"))
     return hits.select("item_id", T.search_report("BM25", F.col("hits")).alias("report"))
 

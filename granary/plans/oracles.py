@@ -30,6 +30,19 @@ def _bm25(name: str, rows: str, key: str, asked: str = "benchmark") -> str:
   qualify row_number() over (partition by item_id order by score desc, {key}) <= 5)"""
 
 
+def _vectors(name: str, rows: str, key: str, asked: str = "benchmark") -> str:
+    """Common table expressions up to `name`: item_id, rank, key, score, by the cosine of hashed counts of tokens."""
+    n, bucket = name, "cast('0x' || substr(md5(term), 1, 8) as bigint) % 64"
+    return f"""{n}_d as (select {key}, {bucket} as slot, count(*)::double as x from (select {key}, unnest({_TOKENS.format("text")}) as term from {rows}) group by all),
+{n}_q as (select item_id, {bucket} as slot, count(*)::double as x from (select item_id, unnest({_TOKENS.format("text")}) as term from {asked}) group by all),
+{n}_dn as (select {key}, sqrt(sum(x * x)) as norm from {n}_d group by all), {n}_qn as (select item_id, sqrt(sum(x * x)) as norm from {n}_q group by all),
+{n}_dots as (select item_id, {key}, sum(q.x * d.x) as dot from {n}_q q join {n}_d d using (slot) group by all),
+{n}_near as (select q.item_id, {", ".join("d." + c.strip() for c in key.split(","))}, round(coalesce(dot, 0) / (q.norm * d.norm), 6) + 0.0 as score from {n}_qn q cross join {n}_dn d
+  left join {n}_dots s on s.item_id = q.item_id and {" and ".join(f"s.{c.strip()} = d.{c.strip()}" for c in key.split(","))}),
+{n} as (select item_id, cast(row_number() over (partition by item_id order by score desc, {key}) as int) as rank, {key}, score from {n}_near
+  qualify row_number() over (partition by item_id order by score desc, {key}) <= 5)"""
+
+
 def _metrics(name: str, ranked: str, bodies: str, key: str) -> str:
     return f"""{name}_hits as (select b.item_id, r.rank, case when r.rank is null then null else cast(coalesce(contains(d.text, b.text), false) as int) end as hit
   from benchmark b left join {ranked} r on r.item_id = b.item_id left join {bodies} d using ({key})),
@@ -85,6 +98,21 @@ _HALVES = f"""bags as (select item_id, {_TOKENS.format("text")} as bag from benc
 one as (select item_id, array_to_string(list_slice(bag, 1, len(bag) // 2), ' ') as text from bags), two as (select item_id, array_to_string(list_slice(bag, len(bag) // 2 + 1, len(bag)), ' ') as text from bags)"""
 _FLAT = r"regexp_replace(c.text, '[\s\p{Z}]+', ' ', 'g')"
 
+_AGENTIC = f"""with recursive {_PAIRS}, marks as (select doc_id, i, shared < 0.15 * either as brk from pairs), {_walk("doc_id", 6, 1)}, {_text_chunks(3)}"""
+_SEMANTIC = f"""with recursive {_PAIRS}, sims as (select doc_id, i, round(shared::double / either, 6) as sim from pairs),
+cuts as (select doc_id, round(quantile_cont(sim, 0.7), 9) as cut from sims group by doc_id),
+marks as (select doc_id, i, sim <= cut as brk from sims join cuts using (doc_id)), {_walk("doc_id", 8, 2)}, {_text_chunks(2)}"""
+
+
+def _pipeline(chunks: str, method: str) -> str:
+    """The metrics of a pipeline, as common table expressions; a hit is a document that has the item's text."""
+    name, rows, key = f"p_{chunks[0]}{method[0]}", "chunks" if chunks == "fixed" else chunks, "doc_id, chunk_index"
+    ranked = _bm25(name, rows, key) if method == "bm25" else _vectors(name, rows, key, "asked_for" if method == "hyde" else "benchmark")
+    return ranked + ", " + _metrics(name + "_m", name, "documents", "doc_id")
+
+
+_NINE = ", ".join(_pipeline(c, m) for c in ("fixed", "semantic", "agentic") for m in ("traditional", "bm25", "hyde"))
+
 SQL: dict[str, str] = {
     "doc_load": f"select doc_id, length({_TRIM.format('text')}) as n_chars_trimmed from documents where length({_TRIM.format('text')}) > 0",
     "tokens_df": f"""with tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest({_TOKENS.format("text")}) as term from documents) group by all)
@@ -100,10 +128,8 @@ select doc_id, j as chunk_index, len(part) as n_sent, array_to_string(part, ' ')
 marks as (select label, row_number() over (partition by label order by vec_id) - 1 as i, sim <= threshold as brk from {_CUT}),
 sizes as (select label, max(i) + 2 as n from marks group by label), {_walk("label", 8, 2)}
 select label, row_number() over (partition by label order by last, first) - 1 as chunk_index, first, last from ranges""",
-    "chunks_agentic_eval": f"""with recursive {_PAIRS}, marks as (select doc_id, i, shared < 0.15 * either as brk from pairs), {_walk("doc_id", 6, 1)}, {_text_chunks(3)}""",
-    "chunks_semantic": f"""with recursive {_PAIRS}, sims as (select doc_id, i, round(shared::double / either, 6) as sim from pairs),
-cuts as (select doc_id, round(quantile_cont(sim, 0.7), 9) as cut from sims group by doc_id),
-marks as (select doc_id, i, sim <= cut as brk from sims join cuts using (doc_id)), {_walk("doc_id", 8, 2)}, {_text_chunks(2)}""",
+    "chunks_agentic_eval": _AGENTIC,
+    "chunks_semantic": _SEMANTIC,
     "bm25_topk": f"with {_bm25('top', 'documents', 'doc_id')} select * from top",
     "bm25_chunk_topk": f"with {_CHUNKS}, {_bm25('top', 'chunks', 'doc_id, chunk_index')} select item_id, rank, doc_id, cast(chunk_index as int) as chunk_index, score from top",
     "vector_topk_l2": f"with {_nearest(_EACH_100, _L2, 'asc')} select * from top",
@@ -111,12 +137,13 @@ marks as (select doc_id, i, sim <= cut as brk from sims join cuts using (doc_id)
     "hyde_topk": "with means as (select label, pos, avg(x) as x from (select label, unnest(range(1, len(embedding) + 1)) as pos, unnest(embedding)::double as x from embeddings) group by all), "
     + _nearest("select -label - 1 as query_id, list(x order by pos) as v from means group by label", _L2, "asc")
     + " select cast(-query_id - 1 as int) as label, rank, vec_id, distance from top",
-    "hybrid_union": f"""with {_CHUNKS}, {_bm25("a", "documents", "doc_id")}, {_bm25("b", "chunks", "doc_id, chunk_index")},
-both_lists as (select item_id, 'documents' as method, 0 as o, rank, doc_id from a union all select item_id, 'chunks', 1, rank, doc_id from b)
-select item_id, method, rank, doc_id from both_lists qualify row_number() over (partition by item_id, doc_id order by o, rank) = 1""",
+    "hybrid_union": f"""with {_CHUNKS}, {_bm25("a", "chunks", "doc_id, chunk_index")}, {_vectors("b", "chunks", "doc_id, chunk_index")}
+select item_id, 'bm25' as method, rank, doc_id, cast(chunk_index as int) as chunk_index, score from a union all select item_id, 'vector', rank, doc_id, cast(chunk_index as int), score from b""",
+    "vector_chunk_topk": f"with {_CHUNKS}, {_vectors('top', 'chunks', 'doc_id, chunk_index')} select item_id, rank, doc_id, cast(chunk_index as int) as chunk_index, score from top",
     "retrieval_metrics": f"with {_bm25('top', 'documents', 'doc_id')}, {_metrics('m', 'top', 'documents', 'doc_id')} select * from m",
-    "pipeline_summary": f"""with {_CHUNKS}, {_bm25("a", "documents", "doc_id")}, {_bm25("b", "chunks", "doc_id, chunk_index")}, {_metrics("ma", "a", "documents", "doc_id")}, {_metrics("mb", "b", "chunks", "doc_id, chunk_index")},
-rows as (select 'documents+bm25' as pipeline, * from ma union all select 'fixed+bm25', * from mb)
+    "pipeline_summary": f"""with recursive {_CHUNKS}, asked_for as (select item_id, 'The following passage answers the question. ' || text as text from benchmark),
+semantic as materialized ({_SEMANTIC}), agentic as materialized ({_AGENTIC}), {_NINE},
+rows as ({" union all ".join(f"select '{c}+{m}' as pipeline, * from p_{c[0]}{m[0]}_m" for c in ("fixed", "semantic", "agentic") for m in ("traditional", "bm25", "hyde"))})
 select pipeline, round(avg(hit_rate), 4) as hit_rate, round(avg(mrr), 4) as mrr, round(avg(precision), 4) as precision, round(avg(ndcg), 4) as ndcg from rows group by pipeline""",
     "retrieval_metrics_multi": f"""with {_nearest(_EACH_100, _COSINE, "desc")},
 rel as (select a.vec_id as query_id, a.label, (select count(*) from embeddings b where b.label = a.label) - 1 as n from embeddings a where a.vec_id % 100 = 0),
@@ -147,7 +174,7 @@ case when length(text) <= 500 then text else regexp_replace(substring(text, 1, 4
     "unique_sources": f"with {_bm25('top', 'documents', 'doc_id')} select item_id, count(distinct source) as n_sources from top join documents using (doc_id) group by item_id",
     "bm25_padded": f"""with {_bm25("top", "documents", "doc_id")}, every as (select b.item_id, d.doc_id, coalesce(s.score, 0) as score from benchmark b, documents d left join top_scored s on s.item_id = b.item_id and s.doc_id = d.doc_id)
 select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from every qualify row_number() over (partition by item_id order by score desc, doc_id) <= 5""",
-    "agentic_retrieval": f"""with {_HALVES}, {_bm25("a", "documents", "doc_id", "one")}, {_bm25("b", "documents", "doc_id", "two")}, {_bm25("f", "documents", "doc_id")},
+    "agentic_retrieval": f"""with {_HALVES}, {_bm25("a", "documents", "doc_id", "one")}, {_bm25("b", "documents", "doc_id", "two")}, {_vectors("f", "documents", "doc_id")},
 calls as (select item_id, doc_id, rank, 1 as call from a union all select item_id, doc_id, rank, 2 from b),
 found as (select * from calls qualify row_number() over (partition by item_id, doc_id order by call, rank) = 1),
 everything as (select * from found union all select item_id, doc_id, rank, 0 from f where item_id not in (select item_id from calls))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -31,7 +32,8 @@ def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
 
 
 def keep(df: DataFrame, path: str, rebuild: bool = False, partition: str | None = None) -> DataFrame:
-    """The table at path; written from df first if it isn't there, or a rebuild is asked for."""
+    """The table at path; written from df first if it isn't there or is empty, or a rebuild is asked for."""
+    rebuild = rebuild or not count_rows(df.sparkSession, path)
     writer = df.write.mode("overwrite" if rebuild else "ignore")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -46,10 +48,46 @@ def open_existing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chunk_rows(df: DataFrame, method: str) -> DataFrame:
-    """Chunks with source and chunk_index filled in where they are missing or no number, blank ones left out."""
-    index = F.coalesce(F.expr("try_cast(chunk_index as int)"), F.monotonically_increasing_id().cast("int"))
-    kept = df.where(F.coalesce(T.trim(F.col("text")), F.lit("")) != "")
-    return kept.withColumn("source", F.coalesce("source", F.lit("unknown"))).withColumn("chunk_index", index).withColumn("chunk_method", F.lit(method))
+    """Chunks with source and chunk_index filled in, blank ones left out.
+
+    Where chunk_index is missing or no number, a chunk gets the number after the source's highest, in order of the text.
+    """
+    kept = df.where(F.coalesce(T.trim(F.col("text")), F.lit("")) != "").withColumn("source", F.coalesce("source", F.lit("unknown")))
+    kept = kept.withColumn("chunk_index", F.expr("try_cast(chunk_index as int)"))
+    known, unknown = kept.where("chunk_index is not null"), kept.where("chunk_index is null")
+    top = known.groupBy("source").agg(F.max("chunk_index").alias("_top"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("text"))
+    numbered = unknown.join(top, "source", "left").withColumn("chunk_index", F.coalesce("_top", F.lit(-1)) + place)
+    return known.unionByName(numbered.select(*known.columns)).withColumn("chunk_method", F.lit(method))
+
+
+def add_rows(df: DataFrame, path: str) -> int:
+    """Adds rows to a kept table and gives the number that it has then; raises if that isn't the sum."""
+    spark = df.sparkSession
+    before, n = count_rows(spark, path), df.count()
+    df.write.mode("append").parquet(path)
+    after = count_rows(spark, path)
+    if after != before + n:
+        raise ValueError(f"{path} has {after} rows in place of {before + n}")
+    return after
+
+
+def count_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a kept table; 0 if there is none."""
+    try:
+        return spark.read.parquet(path).count()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return 0
+
+
+def setting(name: str, given: dict, environment: dict, default=None):
+    """What a caller gave, else what the environment says, else the default; empty strings count as nothing."""
+    for source in (given, environment):
+        if source.get(name) not in (None, ""):
+            return source[name]
+    return default
 
 
 def write_results(df: DataFrame, path: str, label: str, metrics: list[str]) -> None:

@@ -137,7 +137,7 @@ def test_padding(spark):
     docs = spark.createDataFrame([(i, "word" if i == 3 else "other thing" if i % 2 else None) for i in range(9)], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "word"), (2, "unknown"), (3, None)], "item_id long, text string")
     got: dict = {}
-    for r in retrieval.bm25(docs, asked, ["doc_id"], pad=True).orderBy("item_id", "rank").collect():
+    for r in retrieval.bm25(docs, asked, ["doc_id"], pad=docs).orderBy("item_id", "rank").collect():
         got.setdefault(r["item_id"], []).append(r["doc_id"])
     assert got == {1: [3, 0, 1, 2, 4], 2: [0, 1, 2, 3, 4], 3: [0, 1, 2, 3, 4]}
 
@@ -169,3 +169,68 @@ def test_questions(spark):
     assert files.sample(few, "id", 3).count() == 3
     with pytest.raises(ValueError):
         files.sample(few, "id", 6)
+
+
+def test_chunk_rows(spark):
+    data = [("a", "0", "x"), ("a", None, "q"), ("a", "zz", "p"), (None, None, "y"), ("a", "1", " "), ("a", "4", None)]
+    df = spark.createDataFrame(data, "source string, chunk_index string, text string").repartition(5)
+    got = sorted((r["source"], r["chunk_index"], r["text"], r["chunk_method"]) for r in files.chunk_rows(df, "fixed").collect())
+    assert got == [("a", 0, "x", "fixed"), ("a", 1, "p", "fixed"), ("a", 2, "q", "fixed"), ("unknown", 0, "y", "fixed")]
+
+
+def test_kept_tables_grow(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
+    assert files.count_rows(spark, path) == 0
+    assert files.keep(df.limit(0), path).count() == 0 and files.keep(df, path).count() == 2  # an empty table is built again
+    assert files.add_rows(df, path) == 4 and files.keep(df.limit(1), path).count() == 4
+    assert files.keep(df.limit(1), path, rebuild=True).count() == 1
+
+
+def test_files_round_trip(spark, tmp_path):
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    for name, text in (("a.md", " # one \n"), ("b.md", "two"), ("c.md", "  "), ("d.txt", "no")):
+        (folder / name).write_text(text)
+    got = {r["source"]: r["text"] for r in files.markdown(spark, str(folder)).collect()}
+    assert got == {"a.md": "# one", "b.md": "two"}
+    (tmp_path / "set.json").write_text('[{"query": "q1", "reference_answer": "r", "source": "a.md"}, {"query": ""}]')
+    assert [tuple(r) for r in files.test_set(spark, str(tmp_path / "set.json")).collect()] == [("q1", "r", "a.md")]
+    scores = spark.createDataFrame([("b", 0.5, None), ("a", 1 / 3, 2.0)], "pipeline string, mrr double, ndcg double")
+    files.write_results(scores, str(tmp_path / "out"), "pipeline", ["mrr", "ndcg"])
+    lines = [x for f in sorted((tmp_path / "out").glob("*.csv")) for x in f.read_text().splitlines()]
+    assert lines == ["pipeline,mrr,ndcg", "a,0.333333,2.000000", "b,0.500000,0.000000"]
+    files.write_rows(scores, str(tmp_path / "rows"))
+    assert {tuple(r) for r in spark.read.schema(scores.schema).json(str(tmp_path / "rows.json")).collect()} == {tuple(r) for r in scores.collect()}
+    merged = files.merge_results(scores, spark.createDataFrame([("a", 0.9), ("c", 0.1)], "pipeline string, mrr double"), "pipeline")
+    assert sorted(map(tuple, merged.collect())) == [("a", 0.9, 2.0), ("b", 0.5, None), ("c", 0.1, None)]
+    assert [r["pipeline"] for r in files.sorted_results(scores, "ndcg", "pipeline").collect()] == ["b", "a"]
+    assert [files.setting("k", g, e, 5) for g, e in (({"k": 1}, {"k": 2}), ({"k": ""}, {"k": 2}), ({}, {}))] == [1, 2, 5]
+
+
+def test_trim_and_tokens_of_odd_texts(spark):
+    texts = ["  a b \u00a0", "\u2003x\n", "", "a" + " " * 20_000 + "b", "a_b c1 _d e", "Café ROI über_x 5th", "\u212a1 k", "9a_ 9b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = [tuple(r) for r in df.orderBy("id").select(T.trim(F.col("text")), T.tokens(F.col("text"))).collect()]
+    import regex
+
+    for t, (trimmed, tokens) in zip(texts, got, strict=True):
+        assert trimmed == t.strip()
+        assert tokens == regex.findall(r"(?<![\p{L}\p{N}_])[a-z0-9]++(?![\p{L}\p{N}_])", t.lower())
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 8)).round(2)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(99, None)], "vec_id long, embedding array<float>").repartition(3)
+    asked = df.where("vec_id < 20").selectExpr("vec_id as query_id", "embedding as query_vector")
+    want = {}
+    for q in range(20):
+        d = np.round(((x.astype(np.float32).astype(float) - x[q].astype(np.float32).astype(float)) ** 2).sum(axis=1), 6)
+        want[q] = [i for i in np.lexsort((np.arange(60), d)).tolist() if i != q][:5]
+    for cells in (4_000_000, 40):
+        monkeypatch.setattr(retrieval, "MATRIX_CELLS", cells)
+        rows = retrieval.vectors(df, asked, "l2").collect()
+        assert {q: [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q] for q in range(20)} == want
