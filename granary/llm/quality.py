@@ -1,34 +1,40 @@
 """Quality rules with risk-controlled thresholds.
 
-Base counters of each text give ratios (the higher, the worse). A ratio gets a cutoff in a stratum (the language column)
-from labelled documents (quality 1: good, 0: bad): one half of them proposes the cutoff that separates best, the other,
-held-out half tests it. With k of its n good documents beyond the cutoff, the exact binomial tail P(Bin(n, a) <= k) is
-the p-value of "the cutoff rejects more than a share a of good documents"; Holm's correction over all strata and ratios
-keeps the chance of any wrong cutoff under DELTA. A cutoff that isn't certified isn't used. Each ratio may reject
-ALPHA / (number of ratios) of a stratum's good documents, so that all ratios together reject at most ALPHA.
-
-The labels enter as a histogram of fixed bins, counted over all labelled documents in Spark; only that reaches the driver.
-
-Defined results: a null text has no words; texts of under MIN_WORDS words fail the base rule; a null language is a
-stratum of its own; a stratum without certified cutoffs keeps all that pass the base rule; labels of one document that
-contradict each other count as bad; without labels no ratio rejects anything. Repeated rows each give their row.
+Base counters of each text give ratios (the higher, the worse). The evidence of a ratio is the logarithm of how much more
+often bad documents reach it than good ones do, from labelled documents (quality 1: good, 0: bad); a document's evidence is
+the strongest of its ratios. Each stratum (the language column) gets a cutoff of the evidence: one half of its labelled
+documents, those that also tell the evidence, proposes the cutoff that parts bad from good best (the greatest difference of
+the shares that go), of those that the half itself would certify; the other, held-out half tests it. With k of its n good
+documents at or beyond the cutoff, the exact binomial tail P(Bin(n, ALPHA) <= k) is the p-value of "the cutoff rejects more
+than a share ALPHA of good documents"; Holm's correction over all strata keeps the chance of any wrong cutoff under DELTA. A
+cutoff that isn't certified isn't used.
+
+The labels enter as histograms of fixed bins, counted over all labelled documents in Spark; only these reach the driver.
+
+Defined results: a null text has no words; texts of under MIN_WORDS words fail the base rule; texts of any length are counted
+whole; a null language is a stratum of its own, as the empty one; a stratum without a certified cutoff keeps all that pass
+the base rule; labels of one document that contradict each other count as bad, null labels count for nothing; without labels
+no evidence rejects anything. Repeated rows, and rows of one doc_id, each are judged by their own text. Other columns stay as
+they are in keep_good, whatever their names, and are left out by judge.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import WORD, filter_batches, map_batches, materialize, share_order
+from .common import ROWS_AT_ONCE, WORD, materialize, share_order
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-ALPHA, DELTA = 0.05, 0.1
-#: A good document lost in the proposing half outweighs so many bad ones found.
-WEIGHT = 50
+ALPHA, DELTA = 0.02, 0.1
 BINS = 200
 RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "exclaim_ratio")
 SYMBOLS = "#*$%&|<>"
@@ -69,22 +75,31 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """The counters and ratios of every row of docs."""
-    schema = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, " + ", ".join(f"{r} double" for r in RATIOS)
-    names = [x.split()[0] for x in schema.split(", ")]
+COUNTERS = [
+    *[StructField(c, LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+    StructField("base_failed", BooleanType()),
+    *[StructField(r, DoubleType()) for r in RATIOS],
+]
 
-    def make():
-        def step(batch: dict) -> dict:
-            rows = []
-            for doc_id, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"], strict=True):
-                *base, ratios = counters(text)
-                rows.append((doc_id, lang or NO_STRATUM, *base, base_failed(base[0], base[4]), *ratios))
-            return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
 
-        return step
+def with_counters(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """The rows of docs with the counters and ratios of their text."""
+    fields = [StructField(prefix + f.name, f.dataType) for f in COUNTERS]
+    added = to_arrow_schema(StructType(fields))
 
-    return map_batches(docs.select("doc_id", "text", "lang"), make, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(begin, ROWS_AT_ONCE)
+                rows = []
+                for text in part.column("text").to_pylist():
+                    *base, ratios = counters(text)
+                    rows.append((*base, base_failed(base[0], base[4]), *ratios))
+                for field, values in zip(added, zip(*rows, strict=True), strict=True):
+                    part = part.append_column(field, pa.array(values, field.type))
+                yield part
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -96,68 +111,84 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def histogram(feats: DataFrame, labels: DataFrame) -> list:
-    """Counts of labelled documents by stratum, ratio, bin, label and half."""
+def bin_of(ratio) -> Column:
+    return F.least(F.floor(ratio * BINS), F.lit(BINS)).cast("int")
+
+
+def labelled(feats: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows that pass the base rule, with their label and half."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    bins = F.array(*[F.struct(F.lit(i).alias("ratio"), F.least(F.floor(F.col(r) * BINS), F.lit(BINS)).cast("int").alias("bin")) for i, r in enumerate(RATIOS)])
-    rows = feats.where("not base_failed").select("doc_id", "stratum", F.explode(bins).alias("x"), (share_order("doc_id") < 0.5).alias("proposes"))
-    return rows.join(labels, "doc_id").groupBy("stratum", "x.ratio", "x.bin", "quality", "proposes").count().collect()
+    rows = feats.where("not base_failed").select("doc_id", "stratum", *RATIOS, (share_order("doc_id") < 0.5).alias("proposes"))
+    return rows.join(labels, "doc_id").withColumn("good", F.col("quality") > 0)
+
+
+def weigh(counts: list) -> np.ndarray:
+    """The evidence of each ratio's bins, from counts of documents by ratio, bin and label."""
+    hist = np.zeros((len(RATIOS), 2, BINS + 1), np.int64)
+    for r in counts:
+        hist[r["ratio"], int(r["good"]), r["bin"]] += r["count"]
+    reach = hist[:, :, ::-1].cumsum(axis=2)[:, :, ::-1]  # documents in this bin or a higher one
+    share = (reach + 1) / (reach[:, :, :1] + 1)
+    return np.round(np.log(share[:, 0] / share[:, 1]), 6)
 
 
-def certify(counts: list, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, int], int]:
-    """The cutoffs, as first rejected bin, by stratum and number of the ratio, that pass the test."""
-    hist: dict = {}
+def certify(counts: list, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, float]:
+    """The cutoffs that pass the test, by stratum, from counts of documents by stratum, half, label and evidence."""
+    strata: dict = {}
     for r in counts:
-        h = hist.setdefault((r["stratum"], r["ratio"]), np.zeros((2, 2, BINS + 1), np.int64))
-        h[int(r["proposes"]), int(r["quality"] > 0), r["bin"]] += r["count"]
+        own = strata.setdefault(r["stratum"], {}).setdefault((r["proposes"], r["good"]), Counter())
+        own[r["evidence"]] += r["count"]
+
+    def beyond(own: dict, half: bool, good: bool, cut: float) -> tuple[int, int]:
+        some = own.get((half, good), Counter())
+        return sum(n for x, n in some.items() if x >= cut), some.total()
+
     tests = []
-    for key, h in sorted(hist.items()):
-        beyond = h[:, :, ::-1].cumsum(axis=2)[:, :, ::-1]  # documents in this bin or a higher one
-        gain = beyond[1, 0] - WEIGHT * beyond[1, 1]
-        gain[0] = 0
-        if gain.max() <= 0:
-            continue
-        best = np.flatnonzero(gain == gain.max())
-        cut = int(best[0] + (best[-1] - best[0]) // 2) if best[-1] - best[0] == len(best) - 1 else int(best[-1])
-        tests.append((binomial_tail(int(beyond[0, 1, cut]), int(h[0, 1].sum()), alpha / len(RATIOS)), key, cut))
+    for stratum, own in sorted(strata.items()):
+        best = (0.0, 0.0)
+        for cut in sorted(x for x in set().union(*own.values()) if x > 0):
+            (bad, n_bad), (good, n_good) = beyond(own, True, False, cut), beyond(own, True, True, cut)
+            if binomial_tail(good, n_good, alpha) <= delta / len(strata):
+                best = max(best, (bad / max(n_bad, 1) - good / n_good, cut))
+        if best[0] > 0:
+            tests.append((binomial_tail(*beyond(own, False, True, best[1]), alpha), stratum, best[1]))
     out = {}
-    for i, (p, key, cut) in enumerate(sorted(tests)):
+    for i, (p, stratum, cut) in enumerate(sorted(tests)):
         if p > delta / (len(tests) - i):
             break
-        out[key] = cut
+        out[stratum] = cut
     return out
 
 
-def fit(feats: DataFrame, labels: DataFrame) -> dict[tuple[str, int], int]:
-    return certify(histogram(feats, labels))
+def evidence(weights: np.ndarray) -> Column:
+    """The strongest evidence of a row's ratios."""
+    return F.greatest(*[F.element_at(F.array(*map(F.lit, w.tolist())), bin_of(F.col(r)) + 1) for r, w in zip(RATIOS, weights, strict=True)])
 
 
-def is_kept(stratum: str, failed: bool, ratios: list[float], cutoffs: dict[tuple[str, int], int]) -> bool:
-    return not failed and all(min(int(math.floor(x * BINS)), BINS) < cutoffs.get((stratum, i), BINS + 1) for i, x in enumerate(ratios))
-
-
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Counters, ratios and verdict of every row of docs."""
-    feats = materialize(features(docs), "quality")
-    cutoffs = fit(feats, labels)
+def with_verdict(feats: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds evidence and kept to rows that have counters, ratios and stratum."""
+    rows = labelled(feats, labels)
+    bins = F.array(*[F.struct(F.lit(i).alias("ratio"), bin_of(F.col(r)).alias("bin")) for i, r in enumerate(RATIOS)])
+    weights = weigh(rows.where("proposes").select("good", F.explode(bins).alias("x")).groupBy("x.ratio", "x.bin", "good").count().collect())
+    feats, rows = (df.withColumn("evidence", evidence(weights)) for df in (feats, rows))
+    cutoffs = certify(rows.groupBy("stratum", "proposes", "good", "evidence").count().collect())  # bounded by the bins of all ratios
     bad = F.col("base_failed")
-    for (stratum, i), cut in sorted(cutoffs.items()):
-        bad = bad | ((F.col("stratum") == stratum) & (F.least(F.floor(F.col(RATIOS[i]) * BINS), F.lit(BINS)) >= cut))
+    for stratum, cut in sorted(cutoffs.items()):
+        bad = bad | ((F.col("stratum") == stratum) & (F.col("evidence") >= cut))
     return feats.withColumn("kept", ~bad)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
-    cutoffs = fit(features(docs), labels)
-
-    def make():
-        def step(batch) -> list[bool]:
-            out = []
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                *base, ratios = counters(text)
-                out.append(is_kept(lang or NO_STRATUM, base_failed(base[0], base[4]), ratios, cutoffs))
-            return out
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Counters, ratios, evidence and verdict of every row of docs."""
+    feats = with_counters(docs.select("doc_id", "text", F.coalesce("lang", F.lit(NO_STRATUM)).alias("stratum"))).drop("text")
+    return with_verdict(materialize(feats, "quality"), labels)
 
-        return step
 
-    return filter_batches(docs, make)
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns; texts are counted once, into a work table."""
+    free = "_" * (1 + max(map(len, docs.columns)))
+    written = materialize(with_counters(docs, free), "counted")
+    names = [f"{free}{f.name}" for f in COUNTERS]
+    renamed = {n: F.col(n).alias(n[len(free) :]) for n in names}
+    feats = written.select("doc_id", F.coalesce("lang", F.lit(NO_STRATUM)).alias("stratum"), F.struct(*docs.columns).alias("row"), *renamed.values())
+    return with_verdict(feats, labels).where("kept").select("row.*")
