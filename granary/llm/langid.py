@@ -6,16 +6,22 @@ gets the language of the lowest cross-entropy per character. It is rejected if t
 language's calibrated limit, or if it has no letters. The score is the best language's share of the likelihoods, at a
 temperature fitted so that scores are right as often as they say.
 
+Limits: calibration texts go to the language they are taken for, as labels may be wrong. Their cross-entropies have a mean
+there, and a variance a + b / characters, fitted by least squares. The limit, in such standard deviations, is the largest
+distance to the mean of all n calibration texts: a further text of the same kind lies beyond it with a chance of at most
+1 / (n + 1), whatever the distribution. LEAST_LIMIT keeps it apart from the mean where n is small.
+
 Training takes a bounded sample: at most about MAX_TRAIN documents of each language for counts and MAX_CALIBRATE for
-limits and temperature, picked by a hash of the doc_id, whole texts. A language with fewer documents than both bounds
+limits and temperature, picked by a hash of the doc_id, whole texts of up to MAX_CHARS characters. A language with fewer documents than both bounds
 together learns from all of them, and is calibrated by cross-fitting: each of FOLDS parts is scored by a model of the
-others. Where a language has fewer than ENOUGH calibration texts its limit is at least that of the calibration texts of
-all languages together; without any such text it is that of a guess among the language's letters. So every language
-has a limit, at any size of the input. Texts are scored whole.
+others. Where a language has fewer than ENOUGH calibration texts its mean and variance are at least those of the calibration texts
+of all languages together; without any such text the limit is that
+of a guess among the language's letters. So every language has a limit, at any size of the input. Texts are scored whole,
+of any length.
 
 Defined results: a null text, or one without letters, is `und` with score 0 and rejected; a language that is null or
 empty teaches nothing; no labelled text at all: everything is `und`. Repeated rows each give their row; ties go to the
-first language in alphabetical order.
+first language in alphabetical order. Columns but doc_id, text and lang have no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,20 +36,30 @@ from pyspark.sql import functions as F
 from .common import filter_batches, held_out, map_batches, share_order
 
 ORDER = 5
-MAX_TRAIN, MAX_CALIBRATE = 400, 200
+MAX_TRAIN, MAX_CALIBRATE = 400, 400
 FOLDS, ENOUGH = 3, 10
-#: Limit of the cross-entropy: the mean of calibration texts plus so many standard deviations, and SLACK nats.
-DEVIATIONS, SLACK = 6.0, 0.5
-#: The same in shorter texts, whose cross-entropy scatters more: SPREAD / sqrt(characters) more.
-SPREAD = 12.0
+#: Texts beyond this aren't learned from.
+MAX_CHARS = 200_000
+#: Temperatures that are tried, and the least limit and standard deviation of cross-entropies.
+TEMPERATURES, LEAST_LIMIT, LEAST_DEVIATION = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0), 4.0, 0.01
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: What Python takes for a word's character but isn't a letter: numbers such as a superscript two.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+#: A search for all of them at once, with those beyond U+FFFF, would be many times slower.
+_LETTERS, _NUMBER = re.compile(r"[^\W\d_]+"), re.compile(f"[{''.join(c for c in _NUMBERS if c <= chr(0xFFFF))}]")
+_FAR, _FAR_NUMBER = re.compile("[\U00010000-\U0010ffff]"), re.compile(f"[{''.join(c for c in _NUMBERS if c > chr(0xFFFF))}]")
 _BOUND = 0x110000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    low = (text or "").lower()
+    if not low.isascii():
+        if _NUMBER.search(low):
+            low = _NUMBER.sub(" ", low)
+        if _FAR.search(low):
+            low = _FAR_NUMBER.sub(" ", low)
+    return _LETTERS.findall(low)
 
 
 def _points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +237,7 @@ class Scorer:
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN, max_calibrate: int = MAX_CALIBRATE) -> dict:
     """Models, limits and temperature from the rows of docs that aren't held out and have a language."""
-    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang <> ''").where(~held_out())
+    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang <> ''").where(F.length("text") <= MAX_CHARS).where(~held_out())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
@@ -241,27 +257,21 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, max_calibrate: int = MAX_
 
     models = learn(set(counts))
     names = sorted(models)
-    limits, temperature = {k: (float(np.log(models[k].letters)), 0.0) for k in names}, 1.0
-    scored = []  # of calibration texts: cross-entropies under all languages, and the right one
+    guess = [(float(np.log(models[k].letters)), 0.0, 0.0) for k in names]
+    limits, temperature = {k: (*x, 0.0) for k, x in zip(names, guess, strict=True)}, 1.0
+    scored = []  # of calibration texts: cross-entropies under all languages, the right one, and their characters
     for fold in [None, *(range(FOLDS) if small else [])]:
         fresh = models if fold is None else learn(small, fold)
         rest = [r for r in picked if r["lang"] in fresh and (r["lang"] not in small and r["part"] >= split if fold is None else int(r["part"] * FOLDS) == fold)]
         if rest:
             got = Scorer(models | fresh).score([r["text"] for r in rest])
             use = got[:, -1] > 0
-            scored.append((got[use, :-1] / got[use, -1:], np.array([names.index(r["lang"]) for r in rest])[use]))
-    if scored and sum(map(len, (t for _, t in scored))):
-        per, truth = (np.concatenate(x) for x in zip(*scored, strict=True))
-        right = -per[np.arange(len(per)), truth]
-        spread = {k: (float(x.mean()), float(x.std())) for k, x in ((k, right[truth == i]) for i, k in enumerate(names)) if len(x)}
-        enough = np.isin(truth, np.flatnonzero(np.bincount(truth, minlength=len(names)) >= ENOUGH))
-        common = right[enough] if enough.any() else right
-        pooled = float(common.mean()), float(common.std())
-        for i, k in enumerate(names):
-            mean, deviation = spread.get(k, pooled)
-            limits[k] = (mean, deviation) if (truth == i).sum() >= ENOUGH else (max(mean, pooled[0]), max(deviation, pooled[1]))
+            scored.append((got[use, :-1] / got[use, -1:], np.array([names.index(r["lang"]) for r in rest])[use], got[use, -1]))
+    if scored and sum(map(len, (t for _, t, _ in scored))):
+        per, truth, sizes = (np.concatenate(x) for x in zip(*scored, strict=True))
+        limits = calibrate(names, -per.max(axis=1), per.argmax(axis=1), sizes)  # what a text is taken for, as labels may be wrong
         losses = []
-        for t in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
+        for t in TEMPERATURES:
             z = per / t
             z -= z.max(axis=1, keepdims=True)
             losses.append((-(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(axis=1))).mean() if len(z) else 0.0, t))
@@ -269,6 +279,34 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, max_calibrate: int = MAX_
     return {"models": models, "limits": limits, "temperature": temperature}
 
 
+def spread(entropies: np.ndarray, sizes: np.ndarray) -> tuple[float, float, float]:
+    """Mean of cross-entropies, and a and b of their variance a + b / characters."""
+    mean = float(entropies.mean())
+    square, inverse = (entropies - mean) ** 2, 1.0 / sizes
+    (a, b), *_ = np.linalg.lstsq(np.stack((np.ones(len(sizes)), inverse), axis=1), square, rcond=None)
+    if a < 0:
+        a, b = 0.0, float(square @ inverse / (inverse @ inverse))
+    elif b < 0:
+        a, b = float(square.mean()), 0.0
+    return mean, max(float(a), LEAST_DEVIATION**2), float(b)
+
+
+def calibrate(names: list[str], entropies: np.ndarray, truth: np.ndarray, sizes: np.ndarray) -> dict[str, tuple[float, ...]]:
+    """Mean, a and b of the variance, and the limit in standard deviations, of each language."""
+    counts = np.bincount(truth, minlength=len(names))
+    enough = np.isin(truth, np.flatnonzero(counts >= ENOUGH))
+    pooled = spread(entropies[enough], sizes[enough]) if enough.any() else spread(entropies, sizes)
+    spreads, distances = [], np.zeros(len(truth))
+    for i in range(len(names)):
+        own = truth == i
+        found = spread(entropies[own], sizes[own]) if counts[i] else pooled
+        spreads.append(found if counts[i] >= ENOUGH else tuple(map(max, found, pooled)))
+        mean, a, b = spreads[-1]
+        distances[own] = (entropies[own] - mean) / np.sqrt(a + b / sizes[own])
+    limit = max(float(distances.max()), LEAST_LIMIT)
+    return {k: (*spreads[i], limit) for i, k in enumerate(names)}
+
+
 def judge_texts(scorer: Scorer, model: dict, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
     """Language, score, cross-entropy and rejection of each text."""
     names, out = sorted(model["models"]), []
@@ -280,8 +318,8 @@ def judge_texts(scorer: Scorer, model: dict, texts: list[str | None]) -> list[tu
         per = row[:-1] / n
         best = int(np.argmax(per))
         z = np.exp((per - per[best]) / model["temperature"])
-        mean, deviation = model["limits"][names[best]]
-        limit = mean + DEVIATIONS * deviation + SLACK + SPREAD / np.sqrt(n)
+        mean, a, b, deviations = model["limits"][names[best]]
+        limit = mean + deviations * np.sqrt(a + b / n)
         out.append((names[best], float(1.0 / z.sum()), float(-per[best]), bool(-per[best] > limit)))
     return out
 

@@ -65,7 +65,7 @@ def test_pipeline(spark, docs, rows):
     known = {r["doc_id"] for r in langid.predict(docs, langid.train(docs)).where("not rejected").collect()}
     assert 0 < len(known) <= len(good) < len(rows)
     left = [(i, t) for i, t in rows if i in known]
-    low = plain_components({i: plain_fingerprint(t) for i, t in left})
+    low = plain_components({i: plain_wide(t) for i, t in left}, simhash.wide_radius())
     left = [(i, t) for i, t in left if low[i] == i]
     assert len(left) < len(known)
     want, some_gone = {}, False
@@ -102,19 +102,53 @@ def test_sentencepieces(docs, rows):
         assert codec.decode(np.array(ids, np.int64)).decode() == library.decode(ids)
 
 
+def plain_counters(text):
+    words = WORD.findall(text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often: dict = {}
+    for w in windows:
+        often[w] = often.get(w, 0) + 1
+    marked = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
+    lines = (text or "").split("\n")
+    dup = sum(bool(WORD.search(x)) and x in lines[:i] for i, x in enumerate(lines))
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(marked)
+
+
 def test_quality(spark, docs):
-    for r in quality.features(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
-        words = WORD.findall(r["text"])
-        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-        marked = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)} if len(words) < 400 else None
-        assert r["n_words"] == len(words) and r["word_chars"] == sum(map(len, words))
-        assert marked is None or r["n_repeat_words"] == len(marked)
-    assert quality.binomial_tail(0, 10, 0.1) == pytest.approx(0.9**10)
-    assert quality.binomial_tail(1, 10, 0.1) == pytest.approx(0.9**10 + 10 * 0.1 * 0.9**9)
-    counts = [{"stratum": "en", "ratio": 0, "bin": b, "quality": q, "proposes": h, "count": n} for h in (True, False) for b, q, n in ((0, 1, 1000), (100, 0, 50))]
-    assert 0 < quality.certify(counts)["en", 0] <= 100
-    few = [c | {"count": c["count"] // 100} for c in counts]
-    assert quality.certify([c for c in few if c["count"]]) == {}
+    """All counters and the verdict against plain ones, on whole texts."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    many = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    texts = {r["doc_id"]: r["text"] for r in many.collect()}
+    out = {r["doc_id"]: r for r in quality.judge(many, labels).collect()}
+    assert len(out) == len(texts)
+    for doc_id, r in out.items():
+        want = plain_counters(texts[doc_id])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r["kept"] and r["base_failed"])
+    good = {r["doc_id"]: r["quality"] for r in labels.where("quality is not null").collect()}
+    passed = [r for i, r in out.items() if not r["base_failed"] and i in good]
+    for stratum in ("en", "de", "fr"):  # a cutoff each, that loses few good documents and finds bad ones
+        lost = [not r["kept"] for r in passed if r["stratum"] == stratum and good[r["doc_id"]]]
+        found = [not r["kept"] for r in passed if r["stratum"] == stratum and not good[r["doc_id"]]]
+        assert any(found) and np.mean(lost) <= quality.ALPHA, stratum
+    kept = {r["doc_id"] for r in quality.keep_good(many.withColumn("n_words", many["doc_id"]), labels).select("doc_id").collect()}
+    assert kept == {i for i, r in out.items() if r["kept"]}
+
+
+def test_quality_cutoffs():
+    from fractions import Fraction
+    from math import comb
+
+    for k, n, p in ((0, 10, 0.1), (1, 10, 0.1), (7, 400, 0.05)):
+        exact = sum(comb(n, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k + 1))
+        assert quality.binomial_tail(k, n, p) == pytest.approx(float(exact))
+    row = lambda half, good, x, n: {"stratum": "en", "proposes": half, "good": good, "evidence": x, "count": n}
+    counts = [row(h, g, x, n) for h in (True, False) for g, x, n in ((True, 0.0, 1000), (True, 1.0, 1), (False, 0.0, 10), (False, 2.0, 50))]
+    assert quality.certify(counts) == {"en": 2.0}
+    assert quality.certify([c | {"count": -(-c["count"] // 50)} for c in counts]) == {}
+    # good documents of the held-out half beyond the cutoff: not certified
+    assert quality.certify([*counts, row(False, True, 3.0, 60)]) == {}
 
 
 def test_langid(spark):
@@ -128,6 +162,63 @@ def test_langid(spark):
     assert 0.5 < total <= 1.0
 
 
+def test_langid_model_is_plain_kneser_ney():
+    """Against a version with dictionaries of strings."""
+    from collections import Counter
+
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdé"), rng.integers(1, 7))) for _ in range(300)]
+    order, bound = langid.ORDER, "#"
+    padded = [bound * (order - 1) + w + bound for w in words]
+    counts = Counter(p[i - order + 1 : i + 1] for p in padded for i in range(order - 1, len(p)))
+    levels = []
+    for n in range(order, 0, -1):
+        values = list(counts.values())
+        ones, twos = values.count(1), values.count(2)
+        levels.insert(0, (counts, ones / (ones + 2 * twos) if ones and twos else 0.5))
+        counts = Counter(g[1:] for g in counts)  # in how many longer ones
+    letters = len(set("".join(padded))) + 1
+
+    def probability(gram):
+        if not gram:
+            return 1 / letters
+        counts, discount = levels[len(gram) - 1]
+        after = [c for g, c in counts.items() if g[:-1] == gram[:-1]]
+        lower = probability(gram[1:])
+        return max(counts[gram] - discount, 0) / sum(after) + discount * len(after) / sum(after) * lower if after else lower
+
+    model = langid.CharModel(words)
+    for word in [*words[:10], "dbé", "zz", "aazb"]:
+        points, starts = langid._points([word])
+        got = model.log_probabilities(points, np.arange(order - 1, len(points)))
+        text = bound * (order - 1) + word + bound
+        want = [np.log(probability(text[i - order + 1 : i + 1])) for i in range(order - 1, len(text))]
+        assert got == pytest.approx(want)
+
+
+def test_langid_limits_reject_as_few_as_they_say():
+    rng = np.random.default_rng(13)
+    sizes = rng.integers(50, 5000, 3000).astype(float)
+    truth = rng.integers(0, 2, 3000)
+    entropies = 1.5 + truth + rng.normal(0, 1, 3000) * np.sqrt(0.0009 + (1.0 + truth) / sizes)
+    limits = langid.calibrate(["a", "b"], entropies[:1000], truth[:1000], sizes[:1000])
+    beyond = [e > limits["ab"[t]][0] + limits["ab"[t]][3] * np.sqrt(limits["ab"[t]][1] + limits["ab"[t]][2] / n) for e, t, n in zip(entropies[1000:], truth[1000:], sizes[1000:], strict=True)]
+    assert np.mean(beyond) <= 0.002
+    assert all(3 < limits[k][3] < 8 for k in "ab")
+
+
+def test_langid_letters_and_small_tables(spark):
+    assert [langid.words_of(t) for t in ("a² ½b Ⅷ 3 _", "²", None, "Éß日本 ñ", "x\U00010107y𝒳 🎉")] == [["a", "b"], [], [], ["éß日本", "ñ"], ["x", "y𝒳"]]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = ["Быстрая коричневая лиса прыгает через ленивую собаку и бежит домой", "²", "½ Ⅷ 12"]
+    both = docs.union(spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(odd)], docs.schema))
+    model = langid.train(both)
+    assert all(a > 0 and deviations > 0 for _, a, _, deviations in model["limits"].values()) and len(model["limits"]) == 4
+    out = {r["doc_id"]: r for r in langid.predict(both, model).collect()}
+    assert out[10**6]["rejected"] and [(out[10**6 + i]["lang_pred"], out[10**6 + i]["score"]) for i in (1, 2)] == [("und", 0.0)] * 2
+    assert sum(r["rejected"] for i, r in out.items() if i < 10**6) == 0
+
+
 def test_langid_without_languages(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, None, None), (3, "more", "")], "doc_id long, text string, lang string")
     model = langid.train(docs)
@@ -195,13 +286,30 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(fps):
+def plain_wide(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    hashes = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(max(len(words) - 4, min(len(words), 1)))}
+    mix, full = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    out = 0
+    for k in range(4):
+        some = []
+        for h in hashes:
+            if k:
+                h = (h ^ k) * mix & full
+                h = (h ^ h >> 29) * mix & full
+                h ^= h >> 32
+            some.append(h)
+        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in some) > len(some)) << 64 * k
+    return out
+
+
+def plain_components(fps, radius=4):
     low, changed = {i: i for i in fps}, True
     while changed:
         changed = False
         for a in fps:
             for b in fps:
-                if (fps[a] ^ fps[b]).bit_count() <= 4 and low[b] < low[a]:
+                if (fps[a] ^ fps[b]).bit_count() <= radius and low[b] < low[a]:
                     low[a], changed = low[b], True
     return low
 
@@ -226,12 +334,12 @@ def test_simhash(docs, rows):
 def test_tiles():
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 1 << 62, 700) & 0xFF
-    fps = np.concatenate((fps, fps[:300] ^ (1 << 40)))
-    pops = np.bitwise_count(fps).astype(np.int64)
+    fps = np.concatenate((fps, fps[:300] ^ (1 << 40), fps[200:400] | np.int64(-1 << 63)))  # the highest bit too
+    pops = np.bitwise_count(fps.view(np.uint64)).astype(np.int64)
     order = np.argsort(pops, kind="stable")
     fps, pops = fps[order], pops[order]
     low = simhash.tile_links(fps, pops, np.zeros(len(fps), np.int64), 1)
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 1
+    near = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= 1
     want = np.arange(len(fps))
     while True:
         new = np.where(near, want[None, :], len(fps)).min(axis=1)
@@ -241,6 +349,41 @@ def test_tiles():
     assert (low == want).all()
 
 
+def test_keep_first(spark, docs, rows):
+    """One row of each group stays: by row, not by id; nulls come last; texts without words are copies of one another."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    text, near = " ".join(words), " ".join([*words[:200], "other", *words[201:]])
+    far = " ".join([*words[:100], *(f"v{i}" for i in range(300))])
+    long = " ".join(f"x{i}" for i in range(60_000))
+    data = [(None, text), (1, text), (3, text), (3, far), (5, near), (6, "one two"), (6, "one two"), (7, ""), (8, None), (9, " \n"), (10, long), (11, long + " end")]
+    df = spark.createDataFrame([(i, t, n, "r") for n, (i, t) in enumerate(data)], "doc_id long, text string, w0 int, row string")
+    out = simhash.keep_first(df)
+    assert out.columns == df.columns
+    got = sorted((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == [(1, text), (3, far), (6, "one two"), (7, ""), (10, long)]
+    assert simhash.keep_first(df.where("doc_id is null")).count() == 1 and simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_wide_fingerprints_find_near_copies(spark):
+    """Texts that share 0.8 of their shingles are found nine times of ten, those that share half of them aren't."""
+    rng = np.random.default_rng(10)
+    base = [[f"w{i}" for i in rng.integers(0, 9000, 300)] for _ in range(150)]
+
+    def edited(words, n):
+        words = list(words)
+        for k in np.linspace(5, 290, n).astype(int):
+            words[k] = f"new{k}"
+        return " ".join(words)
+
+    # each changed word spoils five of about 296 shingles: 6 leave 0.82, 20 leave 0.5
+    data = [(i, " ".join(w)) for i, w in enumerate(base)] + [(1000 + i, edited(w, 6)) for i, w in enumerate(base)] + [(2000 + i, edited(w, 20)) for i, w in enumerate(base)]
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert len([i for i in kept if i < 1000]) == 150
+    assert len([i for i in kept if 1000 <= i < 2000]) <= 15
+    assert len([i for i in kept if i >= 2000]) >= 145
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
@@ -273,6 +416,36 @@ def test_passages(spark, docs, rows, monkeypatch):
         assert tuple(got[doc_id])[1:] == (len(b), len(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("hot", [0, 3, 5_000])
+def test_passages_in_every_document(spark, monkeypatch, hot):
+    """Nulls, repeated ids, runs of one byte, several runs, a passage in every document, with and without hot anchors."""
+    monkeypatch.setattr(passages, "RUN_DOCS", 20)
+    monkeypatch.setattr(passages, "HOT", hot)
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(map(chr, rng.integers(97, 105, rng.integers(1, 7))))
+    passage = " ".join(word() for _ in range(40)) + "é日"
+    texts = [" ".join(word() for _ in range(int(n))) + passage + " ".join(word() for _ in range(int(n))) for n in rng.integers(0, 60, 90)]
+    texts += [None, "", "a" * 49, "a" * 50, "a" * 300, "ab" * 100, passage[:60], passage[5:70], texts[3], texts[3], texts[4][:200] + "z" + texts[5]]
+    data = [(int(i) if i % 17 else None, t) for i, t in enumerate(texts)] + [(5, texts[5]), (5, texts[6]), (7, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    last = np.iinfo(np.int64).max
+    owners: dict = {}
+    for i, t in data:
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            owners[b[k : k + 50]] = min(owners.get(b[k : k + 50], last), last if i is None else i)
+    want = []
+    for i, t in data:
+        b = (t or "").encode()
+        gone = {x for k in range(len(b) - 49) if owners[b[k : k + 50]] < (last if i is None else i) for x in range(k, k + 50)}
+        kept = bytes(c for k, c in enumerate(b) if k not in gone)
+        want.append((str(i), len(b), len(gone), sum(k - 1 not in gone for k in gone), hashlib.sha256(kept).hexdigest()))
+    tables = {t.name for t in spark.catalog.listTables()}
+    got = [(str(r[0]), *r[1:]) for r in map(tuple, passages.cut_passages(df, digest=True).collect())]
+    assert sorted(got) == sorted(want)
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
 def test_merge():
     rng = np.random.default_rng(5)
     runs = [sorted({bytes(rng.integers(97, 99, rng.integers(1, 9)).tolist()) for _ in range(30)}) for _ in range(5)] + [[]]
