@@ -65,10 +65,49 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def quality_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 counts, for comparison with SQL."""
+    return op2_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 says by rules alone, for comparison with SQL."""
+    out = op6_urls(spark, sf_dir)
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's edited texts, for comparison with SQL."""
+    return op4_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    compared = {f.__name__: f for f in (quality_counters, url_rules, edited_texts)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()} | compared
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_RULES = sorted(URL_RULES, key=lambda r: (-len(r), r))
+_FITS = " ".join(f"when (host = '{d}' or ends_with(host, '.{d}')) and starts_with(path, '/{p}') then '{d}/{p}'" for d, _, p in (r.partition("/") for r in _RULES))
+
+SQL = {
+    "quality_counters": f"""with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as words from documents),
+windows as (select doc_id, s, count(*) over (partition by doc_id, words[s], words[s + 1], words[s + 2]) as n from (select doc_id, words, unnest(range(1, len(words) - 1)) as s from t)),
+repeats as (select doc_id, count(distinct s + k) as n_repeat_words from windows, range(3) as r(k) where n > 1 group by doc_id),
+lines as (select doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) as l from t)
+select doc_id, len(words) as n_words, coalesce(cast(list_sum(list_transform(words, lambda w: length(w))) as bigint), 0) as word_chars,
+length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+len(words) < 50 or 100 * coalesce(n_repeat_words, 0) > 50 * len(words) as base_failed from t join lines using (doc_id) left join repeats using (doc_id)""",
+    "url_rules": f"""with u as (select page_id, case when contains(url, '://') then substring(url, position('://' in url) + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+r as (select page_id, host, path, case {_FITS} end as rule from p)
+select page_id, host, path, rule, case {" ".join(f"when rule = '{r}' then '{v}'" for r, v in URL_RULES.items())} end as rule_verdict from r""",
+    "edited_texts": """with t as (select doc_id, coalesce(text, '') as text from documents),
+n as (select doc_id, text, length(text) as n_chars, coalesce(lead(text) over (order by doc_id desc), first_value(text) over (order by doc_id desc)) as follower from t)
+select doc_id, n_chars, sha256(substring(text, 1, n_chars - n_chars // 3) || substring(follower, 1, n_chars // 3)) as edited_sha256 from n""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of them can be written in SQL; tests/llm holds brute-force versions."""
-    return {}
+    """Of the opN queries SQL tells some columns only; these are queries of their own. tests/llm holds brute-force versions."""
+    return SQL
