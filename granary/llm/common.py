@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -57,6 +58,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns the memory that this Python worker has freed to the system; a C library without malloc_trim keeps its own.
+
+    Workers outlive tasks: what a step has freed, but its allocators hold, would count beside the need of all later steps.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function of a task's batches, with give_back at its end."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
+def frugal_group(step: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """step, a function of a group's rows, with give_back at its end."""
+
+    def tidy(table: pa.Table) -> pa.Table:
+        try:
+            return step(table)
+        finally:
+            give_back()
+
+    return tidy
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
     """Applies a function of one Arrow batch, as lists of values by column, in every task.
 
@@ -73,7 +109,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
@@ -86,7 +122,7 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
                 part = batch.slice(begin, ROWS_AT_ONCE)
                 yield part.filter(pa.array(step(part), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(frugal(run), df.schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

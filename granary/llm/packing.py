@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import map_batches, materialize
+from .common import frugal, map_batches, materialize
 
 CAPACITY, END = 2048, 0
 #: Pieces of a length that are numbered in one part, or so many as make PARTS of all pieces.
@@ -186,7 +186,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
             arrays = [(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, target, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), schema)
 
 
 class _Available:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import materialize, work_dir
+from .common import frugal, frugal_group, give_back, materialize, work_dir
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM
@@ -387,7 +387,7 @@ def _runs(docs: DataFrame, buckets: int) -> DataFrame:
     assert "doc_id" in arrow.names and "text" in arrow.names
     name = f"granary_runs_{uuid.uuid4().hex}"
     spark = docs.sparkSession
-    docs.mapInArrow(pack, "run long, blob binary").write.bucketBy(buckets, "run").option("path", f"{work_dir(spark)}/granary/{name}").saveAsTable(name)
+    docs.mapInArrow(frugal(pack), "run long, blob binary").write.bucketBy(buckets, "run").option("path", f"{work_dir(spark)}/granary/{name}").saveAsTable(name)
     runs = spark.table(name)
     spark.sql(f"drop table {name}")  # its files stay, and so do its buckets in the plan
     return runs
@@ -397,7 +397,10 @@ def _over_runs(runs: DataFrame, told: DataFrame, step: Callable[[pa.Table, pa.Ta
     """Applies step to each run's row and what it has been told."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return step(_read(left["blob"][0].as_py()), right)
+        try:
+            return step(_read(left["blob"][0].as_py()), right)
+        finally:
+            give_back()
 
     return runs.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(both, schema)
 
@@ -440,7 +443,7 @@ def cut_passages(docs: DataFrame, digest: bool = False) -> DataFrame:
         hots = [np.packbits(x).tobytes() if (x := hot[back[a:b]]).any() else b"" for a, b in bounds]
         return pa.table({"run": table["run"], "part": table["part"], "bits": pa.array(bits, pa.binary()), "hots": pa.array(hots, pa.binary())})
 
-    marks = runs.mapInArrow(send_hashes, "part int, run long, hashes binary, twice binary, times binary").groupBy("part").applyInArrow(mark, "run long, part int, bits binary, hots binary")
+    marks = runs.mapInArrow(frugal(send_hashes), "part int, run long, hashes binary, twice binary, times binary").groupBy("part").applyInArrow(frugal_group(mark), "run long, part int, bits binary, hots binary")
     marks = materialize(marks, "marks")
 
     def told_marks(told: pa.Table) -> dict[int, tuple[bytes, bytes]]:
@@ -458,7 +461,7 @@ def cut_passages(docs: DataFrame, digest: bool = False) -> DataFrame:
         return pa.table({"run": table["run"], "part": table["part"], "flags": pa.array(flags, pa.binary())})
 
     sent = _over_runs(runs, marks, send_suffixes, "part int, run long, suffixes binary")
-    flags = materialize(sent.groupBy("part").applyInArrow(sort, "run long, part int, flags binary"), "flags")
+    flags = materialize(sent.groupBy("part").applyInArrow(frugal_group(sort), "run long, part int, flags binary"), "flags")
     told = marks.withColumn("flags", F.lit(None).cast("binary")).unionByName(flags.selectExpr("run", "part", "null as bits", "null as hots", "flags"))
 
     target = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string") if digest else docs.schema

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import ROWS_AT_ONCE, WORD, materialize, share_order
+from .common import ROWS_AT_ONCE, WORD, frugal, materialize, share_order
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 ALPHA, DELTA = 0.02, 0.1
@@ -99,7 +99,7 @@ def with_counters(docs: DataFrame, prefix: str = "") -> DataFrame:
                     part = part.append_column(field, pa.array(values, field.type))
                 yield part
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(frugal(run), StructType([*docs.schema.fields, *fields]))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ROWS_AT_ONCE, WORD, ascii_lower, map_batches, materialize
+from .common import ROWS_AT_ONCE, WORD, ascii_lower, frugal, map_batches, materialize
 from .graph import components, forest
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
@@ -218,7 +218,7 @@ def links(nodes: DataFrame, bands: list[list[int]], radius: int) -> DataFrame:
         if len(held["node"]):
             yield found(held)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(frugal(run), "a long, b long")
 
 
 def with_roots(nodes: DataFrame, bands: list[list[int]], radius: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _numbered(docs: DataFrame, row: str, words: list[str]) -> DataFrame:
                 yield part
 
     schema = StructType([*docs.schema.fields, *[StructField(w, LongType()) for w in words]])
-    return materialize(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    return materialize(docs.mapInArrow(frugal(run), schema).withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
