@@ -8,7 +8,9 @@ other words, against known negatives: generic sentences about licences, and of a
 paragraphs of the corpus those that a rule (`known_negative`) says are none, as they share little with any template. The
 unknown class is calibrated for each family by itself: a paragraph belongs to a family only if its probability is beyond
 THRESHOLD and beyond that of TOLERATED of the negatives of the calibration half. A template comparison confirms: the share of the template's word
-bigrams that the paragraph has must reach CONFIRM.
+bigrams that the paragraph has must reach CONFIRM, and where other versions or siblings of a licence have nearly the same
+words, the paragraph must have the words in NEEDS. BSD-3-Clause isn't confirmed in texts that have its second condition but
+not its third, as those are notices of two clauses.
 
 All n-grams of the templates are features, however common in the corpus. A family's score can't pass the threshold by n-grams
 whose positive weights sum up to too little; the commonest that do are no triggers, and only lines and windows with one of
@@ -51,6 +53,17 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+# What tells versions and siblings apart, in normal form between spaces.
+NEEDS = {
+    "Apache-2.0": " apache license version 2 0 ",
+    "CC-BY-4.0": " (by|attribution) 4 0 ",
+    "CC-BY-NC-4.0": " (by nc|attribution noncommercial) 4 0 ",
+    "CC-BY-SA-4.0": " (by sa|attribution sharealike) 4 0 ",
+    "GPL-3.0": " gnu general public license (.* )?version 3 ",
+    "LGPL-3.0": " gnu lesser general public license (.* )?version 3 ",
+    "MPL-2.0": " mozilla public license v 2 0 ",
+}
+SECOND_CONDITION, THIRD_CONDITION = "redistributions in binary form must reproduce", "neither the name"
 # Sentences about licences that name none.
 GENERIC = ["All rights reserved.", "Please read the license terms before use.", "A license is required to drive.", "This work is under review.", "Released last year to the public.", "The driver's license was lost.", "He is licensed to sell cars.", "Version 2.0 of the plan was released.", "The software is free of charge.", "This program is shown on television.", "The general public is welcome.", "Terms and conditions apply.", "The source code is not available.", "You may not use this file."]
 #: Words of a window and from one to the next: one and a half of the longest template's length stand whole in a window.
@@ -195,7 +208,11 @@ def scan(docs: DataFrame, max_negative: int = MAX_NEGATIVE) -> DataFrame:
     docs = docs.withColumn("_known", F.filter("_each", lambda e: e["best"]["over"]))
     cases = " ".join(f"when {-i} then {shared(f)}" for i, f in enumerate(families))
     names = ", ".join(map(quoted, families))
-    found = f"struct((case e.best.at {cases} end) >= {CONFIRM}D as confirmed, e.best.score as score, e.best.at as at, get(array({names}), -e.best.at) as family, e.run as run, e.line as line)"
+    needs = " ".join(f"when {-i} then rlike(concat(' ', e.p, ' '), {quoted(NEEDS[f])})" for i, f in enumerate(families) if f in NEEDS)
+    told = f"case e.best.at {needs} when {-families.index('BSD-3-Clause')} then not _two_clauses else true end"
+    has = lambda words: F.lower("text").rlike(words.replace(" ", "[^a-z0-9]+"))
+    docs = docs.withColumn("_two_clauses", F.when(F.size("_known") > 0, has(SECOND_CONDITION) & ~has(THIRD_CONDITION)).otherwise(F.lit(False)))
+    found = f"struct((case e.best.at {cases} end) >= {CONFIRM}D and {told} as confirmed, e.best.score as score, e.best.at as at, get(array({names}), -e.best.at) as family, e.run as run, e.line as line)"
     docs = docs.withColumn("_found", F.expr(f"transform(_known, e -> {found})"))
     docs = docs.withColumn("_top", F.array_max("_found"))
     sure = F.filter("_found", lambda e: e["confirmed"])

@@ -510,6 +510,24 @@ def test_wrapped_licenses(spark, docs):
     assert all(f in got[i]["licenses"].split(",") and got[i]["n_license"] > 0 for i, _, f in data)
 
 
+def test_other_versions_are_no_confirmed_licenses(spark, docs):
+    two = "Redistributions in binary form must reproduce the\nabove copyright notice."
+    third = "Neither the name of the holder nor the names of its contributors may be used."
+    other = [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        WRAPPED["GPL-3.0"].replace("version 3", "version 2"),
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+        WRAPPED["MPL-2.0"].replace("2.0", "1.1"),
+        f"{WRAPPED['BSD-3-Clause']}\n\n{two}",
+    ]
+    data = list(enumerate([*other, f"{WRAPPED['BSD-3-Clause']}\n\n{two}\n\n{third}"]))
+    df = spark.createDataFrame(data, "doc_id long, text string").union(docs.selectExpr("doc_id + 1000", "text"))
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(data))] == [""] * len(other) + ["BSD-3-Clause"]
+
+
 def test_common_license_words_stay_features():
     hot = [f"Copyright {1900 + i} Name{i}. Licensed under the Apache License 2.0" for i in range(100)]
     vocabulary, *_ = licenses.fit(hot + [f"some text {i}" for i in range(100)])
