@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, passages, quality, sentencepieces, simhash, sketches, toxicity, urls
+from . import alignment, audit, discriminant, langid, licenses, packing, passages, quality, sentencepieces, simhash, sketches, toxicity, urls
 from .common import documents
 
 
@@ -65,6 +65,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def quality_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2 counts, for comparison with SQL."""
     return op2_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -91,6 +103,22 @@ _RULES = sorted(URL_RULES, key=lambda r: (-len(r), r))
 _FITS = " ".join(f"when (host = '{d}' or ends_with(host, '.{d}')) and starts_with(path, '/{p}') then '{d}/{p}'" for d, _, p in (r.partition("/") for r in _RULES))
 
 SQL = {
+    "op11_filter_audit": f"""with recursive t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '{_WORD}') as words from t),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+f as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
++ 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int
++ 16 * coalesce(doc_id > min(doc_id) over (partition by text), false)::int as fails from w left join l using (doc_id)),
+g as (select part, fails, good, toxic, count(*) as n from f group by all),
+x as (select unnest(range(5)) as i),
+o as (select '' as filter_order, 0 as used, 0 as step, 0 as first, 0 as own union all
+select filter_order || chr(65 + i::int), used | (1 << i)::int, step + 1, used, (1 << i)::int from o, x where used & (1 << i)::int = 0),
+s as (select d.filter_order, k.step, k.first, k.own from o d join o k on starts_with(d.filter_order, k.filter_order) where d.step = 5 and k.step > 0),
+c as (select part, filter_order, step, own, cast(sum(case when fails & (first | own) = 0 then n else 0 end) as bigint) as kept,
+cast(sum(case when fails & own > 0 and fails & first = 0 then n else 0 end) as bigint) as removed, cast(sum(case when fails & own > 0 and fails & first > 0 then n else 0 end) as bigint) as redundant,
+cast(sum(case when fails = own then n else 0 end) as bigint) as unique_fails, cast(sum(case when fails & own > 0 and fails & first = 0 then n * good else 0 end) as bigint) as good_lost,
+cast(sum(case when fails & own > 0 and fails & first = 0 then n * toxic else 0 end) as bigint) as toxic_lost from g, s group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from c""",
     "quality_counters": f"""with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as words from documents),
 windows as (select doc_id, s, count(*) over (partition by doc_id, words[s], words[s + 1], words[s + 2]) as n from (select doc_id, words, unnest(range(1, len(words) - 1)) as s from t)),
 repeats as (select doc_id, count(distinct s + k) as n_repeat_words from windows, range(3) as r(k) where n > 1 group by doc_id),
