@@ -78,11 +78,32 @@ def name_tokens(text: Column) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))), F.array(*map(F.lit, NAME_STOP_WORDS)))
 
 
-def parsed_breaks(answer: Column, size: Column | None = None) -> Column:
-    """Break positions from a model's answer, with or without a code fence; anything else gives none."""
-    body = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)
-    found = F.coalesce(F.from_json(body, "break_after array<int>")["break_after"], F.array().cast("array<int>"))
-    return F.filter(found, lambda b: b.isNotNull() & (b >= 0) & (F.lit(True) if size is None else b < size))
+def parsed_breaks(answer: Column, size: Column | None = None, coerce: bool = False) -> Column:
+    """Break positions from a model's answer, an object with a list break_after; any other answer gives none.
+
+    A code fence may stand around the object, and of the list whole numbers count, and true and false as 1 and 0. With coerce
+    there must be no fence, and every entry is turned to a whole number: fractions lose what is behind the point, strings may
+    hold a whole number; one entry that can't be turned, null too, makes the list void.
+    """
+    fenced = F.regexp_replace(F.get(F.split(answer, "```"), F.lit(1)), "^json", "")
+    body = answer if coerce else F.when(F.contains(answer, F.lit("```")), fenced).otherwise(answer)
+    entries = F.try_variant_get(F.try_parse_json(body), "$.break_after", "array<variant>")
+
+    def number(e: Column) -> Column:
+        kind, of = F.schema_of_variant(e), lambda t: F.try_variant_get(e, "$", t)
+        plain = F.when(kind == "BIGINT", of("bigint")).when(kind == "BOOLEAN", of("boolean").cast("bigint"))
+        if not coerce:
+            return plain
+        said = trim(of("string"))
+        cut = of("double")
+        return F.when(kind == "STRING", F.when(said.rlike("^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(said, F.lit("_"), F.lit("")).try_cast("bigint"))).when(
+            kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.when(cut < 0, F.ceil(cut)).otherwise(F.floor(cut)).cast("bigint")
+        ).otherwise(plain)
+
+    numbers = F.transform(entries, number)
+    usable = F.lit(True) if not coerce else ~F.exists(numbers, lambda b: b.isNull())
+    found = F.when(entries.isNotNull() & usable, numbers).otherwise(F.array().cast("array<bigint>"))
+    return F.filter(found, lambda b: b.isNotNull() & (b >= 0) & (b < (F.lit(2**31 - 1) if size is None else size))).cast("array<int>")
 
 
 def safe_file_name(url: Column) -> Column:

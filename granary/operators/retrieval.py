@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import providers
 from ..functions import text as T
 from ..sources.work import materialize
+from .index import FILE_OPTIONS, Cosine, Index, Okapi, best_rows, lexical_index, query_blocks
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Terms of queries that are broadcast, at most; more are joined by a shuffle.
+#: Rows that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Numbers of query vectors that go to every task at once, and rows that a task compares with them at once.
 MATRIX_CELLS, ROWS_AT_ONCE = 4_000_000, 4_096
@@ -25,38 +25,9 @@ MATRIX_CELLS, ROWS_AT_ONCE = 4_000_000, 4_096
 
 def term_frequencies(docs: DataFrame, *key: str) -> DataFrame:
     """key, length, term, tf of every term of every row of docs."""
-    return _postings(docs, *key).where("term is not null").drop("first")
-
-
-def _postings(docs: DataFrame, *key: str) -> DataFrame:
-    """The same, and whether a posting has the row's first token; a row without tokens has one of a null term."""
     bags = docs.select(*key, T.tokens(F.coalesce("text", F.lit(""))).alias("bag"))
-    each = bags.select(*key, F.size("bag").alias("length"), F.posexplode_outer("bag").alias("at", "term"))
-    return each.groupBy(*key, "length", "term").agg(F.count("at").alias("tf"), (F.coalesce(F.min("at"), F.lit(0)) == 0).alias("first"))
-
-
-class Index(NamedTuple):
-    """Postings (key, length, term, tf) in a work table, and what else BM25 needs of all rows."""
-
-    postings: DataFrame
-    key: list[str]
-    rows: int
-    mean_length: float
-
-
-def lexical_index(docs: DataFrame, key: list[str]) -> Index:
-    """Reads and cuts all texts once; every search and statistic comes from the postings."""
-    postings = materialize(_postings(docs, *key), "postings")
-    n, tokens = postings.agg(F.count(F.when(F.col("first"), 1)), F.sum("tf")).first()
-    return Index(postings.where("term is not null").drop("first"), key, n, max(tokens or 0, 1) / max(n, 1))
-
-
-def term_statistics(index: Index) -> DataFrame:
-    """term, df and idf; a negative idf becomes EPSILON times the mean over the vocabulary."""
-    stats = index.postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = stats.withColumn("idf0", F.log(F.lit(index.rows + 0.5) - F.col("df")) - F.log(F.col("df") + 0.5))
-    mean = F.broadcast(stats.agg(F.avg("idf0").alias("mean_idf")))  # one row
-    return stats.join(mean, F.lit(True)).withColumn("idf", F.when(F.col("idf0") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf0"))).drop("idf0", "mean_idf")
+    each = bags.select(*key, F.size("bag").alias("length"), F.explode("bag").alias("term"))
+    return each.groupBy(*key, "length", "term").agg(F.count("*").alias("tf"))
 
 
 def top_k(scored: DataFrame, query: str, order: list[Column], k: int) -> DataFrame:
@@ -68,38 +39,18 @@ def query_terms(queries: DataFrame, query: str) -> DataFrame:
     return queries.select(query, F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(docs: DataFrame | Index, queries: DataFrame, key: list[str], query: str = "item_id", k: int = 5, pad: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame | Index, queries: DataFrame, key: list[str], query: str = "item_id", k: int = 5, pad: bool = False) -> DataFrame:
     """The k best rows of docs, or of their index, for every query, by Okapi BM25.
 
-    Rows that share no term with a query are no matches; given as pad they have score 0 and fill up the k, in order of the key.
+    Rows that share no term with a query are no matches; with pad they have score 0 and fill up the k, in order of the key.
     """
     index = docs if isinstance(docs, Index) else lexical_index(docs, key)
-    asked = query_terms(queries, query)
-    few = asked.count() <= BROADCAST_ROWS  # then the postings aren't shuffled to meet them
-    terms = term_statistics(index).join(F.broadcast(asked) if few else asked, "term").select(query, "term", "qtf", "idf")
-    terms = F.broadcast(terms) if few else terms
-    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / index.mean_length))
-    scored = index.postings.join(terms, "term").groupBy(query, *key).agg(F.round(F.sum(weight), 6).alias("score"))
-    if pad is not None:
-        scored = padded(scored, pad, queries, key, query, k)
+    terms = query_terms(queries, query).join(index.statistics, "term")
+    terms = terms.select(query, "term", F.col("qtf").alias("count"), (F.col("qtf") * F.col("idf")).alias("weight"))
+    scored = best_rows(index, query_blocks(terms, queries, query), Okapi(index.mean_length), query, k, pad)
     return top_k(scored, query, [F.desc("score"), *map(F.asc, key)], k).select(query, "rank", *key, "score")
 
 
-def padded(scored: DataFrame, docs: DataFrame, queries: DataFrame, key: list[str], query: str, k: int) -> DataFrame:
-    """Adds score 0 for rows of docs without a score, as many as the k best of a query can need.
-
-    A query lacks at most k rows; they are among the first k + (its matches) rows of docs in order of the key.
-    """
-    found = queries.select(query).distinct().join(scored.groupBy(query).agg(F.count("*").alias("n"), F.count(F.when(F.col("score") >= 0, 1)).alias("good")), query, "left")
-    lacking = found.where(F.coalesce("good", F.lit(0)) < k)
-    most = lacking.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] if not lacking.isEmpty() else None
-    if most is None:
-        return scored
-    first = docs.select(*key).orderBy(*key).limit(k + most).withColumn("_at", F.lit(0))
-    zeros = lacking.select(query, F.lit(0).alias("_at")).join(first, "_at").drop("_at").join(scored, [query, *key], "left_anti")
-    return scored.unionByName(zeros.withColumn("score", F.lit(0.0)))
-
-
 def agentic(searches: DataFrame, fallback: DataFrame, query: str, key: list[str]) -> DataFrame:
     """What an agent found in all its calls (query, call, rank, key), each row once where it came first.
 
@@ -137,67 +88,105 @@ def retrieve(method: str, *args, **options) -> DataFrame:
 def vectors(corpus: DataFrame, queries: DataFrame, distance: str, k: int = 5, key: tuple[str, ...] = ("vec_id",)) -> DataFrame:
     """The k nearest rows (key, embedding) for every query (query_id, query_vector), exactly; distance: cosine or l2.
 
-    Few queries go to every task as a matrix, in work tables' Arrow batches, and each batch hands on its k best of each query;
-    more queries than MATRIX_CELLS numbers make are taken in blocks of so many, a pass over the rows for each. A row is no
-    neighbour of the query with its own vec_id. Cosine with a vector of zeros is 0; rows without a vector are left out.
+    Queries of up to MATRIX_CELLS numbers go to every task as a matrix, and each batch hands on its k best of each query; more
+    are cut into blocks of so many, and every block meets every tile of ROWS_AT_ONCE rows. A row is no neighbour of the query
+    with its own vec_id. Cosine with a vector of zeros is 0; rows and queries without a vector are left out; a shorter vector
+    counts as if zeros followed. Without queries there are no rows.
     """
     asked = queries.select("query_id", "query_vector").where("query_vector is not null")
-    dims = asked.agg(F.max(F.size("query_vector"))).first()[0] or 1
-    block = max(MATRIX_CELLS // dims, 1)
-    n = asked.count()
-    if n > block:
-        numbered = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block) * 2)))
-        parts = [numbered.where(F.col("_block") == i).drop("_block") for i in range(-(-n // block) * 2)]
+    n, dims = asked.agg(F.count("*"), F.max(F.size("query_vector"))).first()
+    if n * max(dims or 0, 1) <= MATRIX_CELLS:
+        out = _nearest(corpus, asked, distance, k, key)
     else:
-        parts = [asked]
-    out = None
-    for part in parts:
-        got = _nearest(corpus, part.collect(), distance, k, key)  # MATRIX_CELLS numbers or so
-        out = got if out is None else out.unionByName(got)
+        out = _nearest_by_blocks(corpus, asked, -(-n * dims // MATRIX_CELLS), distance, k, key)
     order = [F.desc("distance") if distance == "cosine" else F.asc("distance"), *map(F.asc, key)]
     return top_k(out, "query_id", order, k).select("query_id", "rank", *key, "distance")
 
 
-def _nearest(corpus: DataFrame, asked: list, distance: str, k: int, key: tuple[str, ...]) -> DataFrame:
-    """The k best rows of each batch for each query, and those that are as near as the last of them."""
-    ids = np.array([r["query_id"] for r in asked], np.int64)
-    matrix = np.array([r["query_vector"] for r in asked], np.float64).reshape(len(asked), -1)
-    schema = StructType([StructField("query_id", LongType()), *[corpus.schema[c] for c in key], StructField("distance", DoubleType())])
-    arrow = to_arrow_schema(schema)
+def matrix_of(lists: pa.Array, dims: int = 0) -> np.ndarray:
+    """Vectors as rows of a matrix, with zeros after the shorter ones; it has dims columns at least."""
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.zeros((len(lists), max(int(sizes.max(initial=0)), dims)))
+    row = np.repeat(np.arange(len(lists)), sizes)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.nan_to_num(flat)
+    return out
+
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _near_schema(corpus: DataFrame, asked: DataFrame, key: tuple[str, ...]) -> StructType:
+    return StructType([asked.schema["query_id"], *[corpus.schema[c] for c in key], StructField("distance", DoubleType())])
+
+
+def _best_of(keys: list[pa.Array], rows: pa.Array, ids: pa.Array, matrix: np.ndarray, distance: str, k: int, own: bool, schema: pa.Schema) -> pa.RecordBatch:
+    """The k best rows for each query, and those that are as near as the last of them; own: the key is a vec_id."""
+    x = matrix_of(rows, matrix.shape[1])
+    matrix = np.pad(matrix, ((0, 0), (0, x.shape[1] - matrix.shape[1])))
+    if distance == "cosine":
+        near = -np.round(_unit(matrix) @ _unit(x).T, 6)
+    else:
+        near = np.round(np.stack([((x - q) ** 2).sum(axis=1) for q in matrix]), 6)
+    if own and keys[0].type == ids.type:
+        at = pc.fill_null(pc.index_in(keys[0], value_set=ids), -1).to_numpy(zero_copy_only=False)
+        near[at[at >= 0], np.flatnonzero(at >= 0)] = np.inf
+    last = np.partition(near, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+    q, at = np.nonzero((near <= last[:, None]) & np.isfinite(near))
+    found = -near[q, at] if distance == "cosine" else near[q, at]
+    columns = [ids.take(pa.array(q)), *[c.take(pa.array(at)) for c in keys], pa.array(found + 0.0)]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _nearest(corpus: DataFrame, asked: DataFrame, distance: str, k: int, key: tuple[str, ...]) -> DataFrame:
+    schema = _near_schema(corpus, asked, key)
+    arrow, got = to_arrow_schema(schema), asked.toArrow()  # MATRIX_CELLS numbers at most
+    ids, matrix = got.column("query_id").combine_chunks(), matrix_of(got.column("query_vector").combine_chunks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(begin, ROWS_AT_ONCE)
                 part = part.filter(part.column("embedding").is_valid())
-                if not part.num_rows or not len(ids):
-                    continue
-                rows = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                if distance == "cosine":
-                    near = -np.round(unit(matrix) @ unit(rows).T, 6)
-                else:
-                    near = np.round(np.stack([((rows - q) ** 2).sum(axis=1) for q in matrix]), 6)
-                if key == ("vec_id",):
-                    near[ids[:, None] == part.column("vec_id").to_numpy(zero_copy_only=False)[None]] = np.inf
-                last = np.partition(near, min(k, part.num_rows) - 1, axis=1)[:, min(k, part.num_rows) - 1]
-                q, at = np.nonzero((near <= last[:, None]) & np.isfinite(near))
-                found = -near[q, at] if distance == "cosine" else near[q, at]
-                columns = [pa.array(ids[q]), *[part.column(c).take(pa.array(at)) for c in key], pa.array(found + 0.0)]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                if part.num_rows and len(ids):
+                    yield _best_of([part.column(c) for c in key], part.column("embedding"), ids, matrix, distance, k, key == ("vec_id",), arrow)
 
     return corpus.select(*key, "embedding").mapInArrow(run, schema)
 
 
+def _nearest_by_blocks(corpus: DataFrame, asked: DataFrame, blocks: int, distance: str, k: int, key: tuple[str, ...]) -> DataFrame:
+    """The same for more queries: blocks of queries and tiles of rows in work tables, a row each, that all meet."""
+    schema = _near_schema(corpus, asked, key)
+    arrow = to_arrow_schema(schema)
+    tile = StructType([StructField("tile", ArrayType(StructType([corpus.schema[c] for c in (*key, "embedding")])))])
+    tile_arrow = to_arrow_schema(tile)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(begin, ROWS_AT_ONCE)
+                rows = pa.StructArray.from_arrays(part.columns, names=part.schema.names)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows).cast(tile_arrow[0].type)], schema=tile_arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, queries = batch.column("tile")[i].values, batch.column("asked")[i].values
+                ids, matrix = queries.field("query_id"), matrix_of(queries.field("query_vector"))
+                yield _best_of([rows.field(c) for c in key], rows.field("embedding"), ids, matrix, distance, k, key == ("vec_id",), arrow)
+
+    tiles = materialize(corpus.select(*key, "embedding").where("embedding is not null").mapInArrow(packed, tile), "tiles", FILE_OPTIONS)
+    parts = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "query_vector")).alias("asked"))
+    return tiles.crossJoin(materialize(parts, "asked", FILE_OPTIONS).select("asked")).mapInArrow(run, schema)  # tiles x blocks of the query set
+
+
 def text_vectors(index: Index, queries: DataFrame, query: str = "item_id", k: int = 5) -> DataFrame:
     """The k rows of an index whose hashed vectors are nearest to those of the queries' texts, by cosine."""
-    terms = query_terms(queries, query).withColumnRenamed("qtf", "tf")
-    asked = providers.hashed_embeddings(terms, [query]).select(F.col(query).alias("query_id"), F.col("embedding").alias("query_vector"))
-    found = vectors(providers.hashed_embeddings(index.postings, index.key), asked, "cosine", k, tuple(index.key))
-    return found.withColumnRenamed("query_id", query).withColumnRenamed("distance", "score")
+    terms = query_terms(queries, query).select(query, "term", F.col("qtf").alias("count"), F.lit(0.0).alias("weight"))
+    scored = best_rows(index, query_blocks(terms, queries, query), Cosine(), query, k)
+    return top_k(scored, query, [F.desc("score"), *map(F.asc, index.key)], k).select(query, "rank", *index.key, "score")
 
 
 def hyde(index: Index, queries: DataFrame, query: str = "item_id", k: int = 5) -> DataFrame:

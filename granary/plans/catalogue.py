@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import providers
 from ..functions import text as T
-from ..operators import chunking, retrieval
+from ..operators import ann, chunking, retrieval
 from ..sources import files
 from ..sources.work import materialize
 
@@ -116,6 +116,21 @@ def vector_topk_cosine(spark, sf):
     return retrieval.vectors(v, _asked(v), "cosine")
 
 
+@query
+def ann_topk(spark, sf):
+    """The same by cells and product codes; near all of the exact neighbours, see ann_recall."""
+    v = _read(spark, sf, "embeddings")
+    return ann.search(ann.build(v, "cosine"), _asked(v))
+
+
+@query
+def ann_recall(spark, sf):
+    """How many of the exact neighbours the approximate search finds."""
+    v = _read(spark, sf, "embeddings")
+    parts = [ann.recall(ann.search(ann.build(v, d), _asked(v)), retrieval.vectors(v, _asked(v), d)).withColumn("measure", F.lit(d)) for d in ("cosine", "l2")]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def hyde_topk(spark, sf):
     """The passage's vector is stood in for by the mean vector of a label."""
@@ -293,7 +308,7 @@ def chunks_semantic(spark, sf):
 @query
 def bm25_padded(spark, sf):
     docs = _documents(spark, sf)
-    return retrieval.bm25(docs, _read(spark, sf, "benchmark"), ["doc_id"], pad=docs)
+    return retrieval.bm25(docs, _read(spark, sf, "benchmark"), ["doc_id"], pad=True)
 
 
 @query

@@ -22,8 +22,8 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Writes df as Parquet and reads it again, so that what follows computes it once, and lost executors don't matter."""
     path, schema = f"{folder(df.sparkSession)}/granary/{name}-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
