@@ -45,10 +45,15 @@ def bm25(docs: DataFrame | Index, queries: DataFrame, key: list[str], query: str
     Rows that share no term with a query are no matches; with pad they have score 0 and fill up the k, in order of the key.
     """
     index = docs if isinstance(docs, Index) else lexical_index(docs, key)
-    terms = query_terms(queries, query).join(index.statistics, "term")
-    terms = terms.select(query, "term", F.col("qtf").alias("count"), (F.col("qtf") * F.col("idf")).alias("weight"))
-    scored = best_rows(index, query_blocks(terms, queries, query), Okapi(index.mean_length), query, k, pad)
-    return top_k(scored, query, [F.desc("score"), *map(F.asc, key)], k).select(query, "rank", *key, "score")
+    return bm25_terms(index, query_terms(queries, query), query, k, pad, queries)
+
+
+def bm25_terms(index: Index, terms: DataFrame, query: str, k: int = 5, pad: bool = False, queries: DataFrame | None = None) -> DataFrame:
+    """The same for queries given as query, term and qtf; queries: all of them, if some have no term."""
+    asked = terms.join(index.statistics, "term")
+    asked = asked.select(query, "term", F.col("qtf").alias("count"), (F.col("qtf") * F.col("idf")).alias("weight"))
+    scored = best_rows(index, query_blocks(asked, terms if queries is None else queries, query), Okapi(index.mean_length), query, k, pad)
+    return top_k(scored, query, [F.desc("score"), *map(F.asc, index.key)], k).select(query, "rank", *index.key, "score")
 
 
 def agentic(searches: DataFrame, fallback: DataFrame, query: str, key: list[str]) -> DataFrame:
@@ -264,34 +269,65 @@ def judge_pass(*scores: Column) -> Column:
     return out.cast("int")
 
 
-def match_names(names: DataFrame, catalog: DataFrame, shared: int = 3) -> DataFrame:
-    """Catalogue entries (file) that may belong to each name: one normalised form holds the other, or enough words agree.
+#: Characters of the pieces by which one name is looked for in another.
+GRAM = 4
 
-    Candidates come from equal words, and from the first four characters of the normalised form that is held (or all of
-    it, if it is shorter), met with all pieces of up to four characters of the form that holds it.
-    """
-    head = 4
-
-    def words(df: DataFrame, column: str) -> DataFrame:
-        return df.select(column, F.explode(T.name_tokens(F.col(column))).alias("key"))
-
-    def held(df: DataFrame, column: str) -> DataFrame:
-        return df.select(column, F.substring(T.normal_name(F.col(column)), 1, head).alias("key")).where("key <> ''")
-
-    def holder(df: DataFrame, column: str) -> DataFrame:
-        whole = T.normal_name(F.col(column))
-        pieces = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - (k - 1), F.lit(1))), lambda s, k=k: F.substring(whole, s, F.lit(k))) for k in range(1, head + 1)]
-        return df.select(column, F.explode(F.array_distinct(F.concat(*pieces))).alias("key"))
 
+def match_names(names: DataFrame, catalog: DataFrame, shared: int = 3) -> DataFrame:
+    """Catalogue entries (file) that may belong to each name: one normalised form holds the other, or enough words agree."""
     n, f = names.select("name").distinct().where("name is not null"), catalog.select("file").distinct().where("file is not null")
-    pairs = None
-    for left, right in ((words(n, "name"), words(f, "file")), (held(n, "name"), holder(f, "file")), (holder(n, "name"), held(f, "file"))):
-        found = left.join(right, "key").select("name", "file")
-        pairs = found if pairs is None else pairs.union(found)
-    pairs = pairs.distinct()
+    pairs = name_candidates(n, f, shared)
     a, b = T.normal_name(F.col("name")), T.normal_name(F.col("file"))
     alike = a.contains(b) | b.contains(a) | (F.size(F.array_intersect(T.name_tokens(F.col("name")), T.name_tokens(F.col("file")))) >= shared)
     found = pairs.where(alike & (a != "") & (b != "")).groupBy("name").agg(F.array_sort(F.collect_set("file")).alias("files"))
-    out = names.select("name").distinct().join(found, "name", "left").withColumn("n_files", F.coalesce(F.size("files"), F.lit(0)))
+    out = n.join(found, "name", "left").withColumn("n_files", F.coalesce(F.size("files"), F.lit(0)))
     kind = F.when(F.col("n_files") == 1, "confident").when(F.col("n_files") > 1, "ambiguous").otherwise("unmatched")
     return out.select("name", F.coalesce(F.array_join("files", "|"), F.lit("")).alias("files"), "n_files", kind.alias("match_class"))
+
+
+def name_candidates(names: DataFrame, files: DataFrame, shared: int = 3) -> DataFrame:
+    """Pairs (name, file) among which are all that match_names looks for, from distinct names and files.
+
+    Words are in order of rarity over both sides. Two sets with `shared` words in common have one of them among all but the
+    shared - 1 most common words of each, so only these meet. One form that another holds is looked for by the piece of GRAM
+    characters that fewest forms of the other side have (shorter forms: by themselves); a piece that none has ends the search.
+    """
+
+    def prefixes(df: DataFrame, column: str, rarity: DataFrame) -> DataFrame:
+        each = df.select(column, F.explode(T.name_tokens(F.col(column))).alias("key")).join(rarity, "key")
+        place = F.row_number().over(Window.partitionBy(column).orderBy("n", "key"))
+        size = F.count("*").over(Window.partitionBy(column))  # a name's words
+        return each.withColumns({"place": place, "size": size}).where(F.col("place") <= F.col("size") - (shared - 1)).select(column, "key")
+
+    def pieces(df: DataFrame, column: str, size: Column) -> Column:
+        whole = T.normal_name(F.col(column))
+        last = F.length(whole) - size + 1
+        return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda s: F.substring(whole, s, size))))
+
+    def held_in(inner: DataFrame, one: str, outer: DataFrame, other: str) -> DataFrame:
+        own = inner.select(one, T.normal_name(F.col(one)).alias("whole")).where("whole <> ''")
+        sizes = [r[0] for r in own.where(F.length("whole") < GRAM).select(F.length("whole")).distinct().collect()]  # at most GRAM - 1
+        held = None
+        for size in [*sorted(sizes), GRAM]:
+            mine = own.where(F.length("whole") >= size if size == GRAM else F.length("whole") == size)
+            postings = outer.select(other, F.explode(pieces(outer, other, F.lit(size))).alias("key"))
+            counts = postings.groupBy("key").agg(F.count("*").alias("n"))
+            keys = mine.select(one, F.explode(pieces(mine, one, F.lit(size))).alias("key")).join(counts, "key", "left")
+            rarest = keys.groupBy(one).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k")).where("k.n > 0").select(one, F.col("k.key").alias("key"))
+            got = rarest.join(postings, "key").select("name", "file")
+            held = got if held is None else held.union(got)
+        return held
+
+    rarity = names.select(F.explode(T.name_tokens(F.col("name"))).alias("key")).union(files.select(F.explode(T.name_tokens(F.col("file"))))).groupBy("key").agg(F.count("*").alias("n"))
+    words = prefixes(names, "name", rarity).join(prefixes(files, "file", rarity), "key").select("name", "file")
+    return words.union(held_in(names, "name", files, "file")).union(held_in(files, "file", names, "name")).distinct()
+
+
+def unique_list(items: Column) -> Column:
+    """Entries of an array, each where it comes first; nulls and empty strings are left out."""
+    return F.array_distinct(F.filter(items, lambda s: s.isNotNull() & (s != "")))
+
+
+def count_report(n: Column) -> Column:
+    """What a counting tool answers."""
+    return F.concat(F.lit("Total chunks in knowledge base: "), n.cast("string"))

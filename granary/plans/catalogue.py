@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import providers
 from ..functions import text as T
-from ..operators import ann, chunking, retrieval
+from ..operators import ann, chunking, experiments, retrieval
+from ..operators.index import KeptIndex
 from ..sources import files
-from ..sources.work import materialize
+from ..sources.versions import Collection, Results
+from ..sources.work import folder, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -183,24 +186,121 @@ RETRIEVALS = {
 }
 
 
-@query
-def pipeline_summary(spark, sf):
-    """All pipelines over one index for each chunking; a hit is a chunk of a document that has the item's text."""
+def _indexes(docs: DataFrame, names: list[str]) -> dict:
+    return {c: retrieval.lexical_index(CHUNKINGS[c](docs), ["doc_id", "chunk_index"]) for c in names}
+
+
+def _pipeline_scores(spark, sf, pipelines: list[str], k: int = 5) -> DataFrame:
+    """pipeline, item_id and metrics of every item; a hit is a chunk of a document that has the item's text."""
     docs, items = _documents(spark, sf).select("doc_id", "text"), _read(spark, sf, "benchmark")
+    indexes = _indexes(docs, list(dict.fromkeys(p.split("+")[0] for p in pipelines)))
     rows = None
-    for chunks, cut in CHUNKINGS.items():
-        index = retrieval.lexical_index(cut(docs), ["doc_id", "chunk_index"])
-        for method, search in RETRIEVALS.items():
-            found = search(index, items).select("item_id", "rank", "doc_id", F.lit(f"{chunks}+{method}").alias("pipeline"))
-            rows = found if rows is None else rows.unionByName(found)
-    rows = materialize(rows, "ranked")  # nine times k rows for each item
+    for name in pipelines:
+        chunks, method = name.split("+")
+        found = RETRIEVALS[method](indexes[chunks], items).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", F.lit(name).alias("pipeline"))
+        rows = found if rows is None else rows.unionByName(found)
+    rows = materialize(rows, "ranked")  # k rows for each item and pipeline
     wanted = F.broadcast(rows.select("doc_id").distinct()) if rows.count() <= retrieval.BROADCAST_ROWS else rows.select("doc_id").distinct()
     hits = rows.join(docs.join(wanted, "doc_id", "left_semi"), "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
     hits = hits.select("pipeline", "item_id", "rank", F.coalesce(F.contains("text", "item").cast("int"), F.lit(0)).alias("hit"))
-    names = spark.createDataFrame([(f"{c}+{m}",) for c in CHUNKINGS for m in RETRIEVALS], "pipeline string")
-    every = items.select("item_id").join(F.broadcast(names), F.lit(True)).join(hits, ["pipeline", "item_id"], "left")  # nine rows
-    scores = retrieval.single_metrics(every, ["pipeline", "item_id"])
-    return scores.groupBy("pipeline").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("hit_rate", "mrr", "precision", "ndcg")])
+    names = spark.createDataFrame([(p,) for p in pipelines], "pipeline string")
+    every = items.select("item_id").join(F.broadcast(names), F.lit(True)).join(hits, ["pipeline", "item_id"], "left")  # nine names at most
+    return retrieval.single_metrics(every, ["pipeline", "item_id"], k)
+
+
+METRICS = ["hit_rate", "mrr", "precision", "ndcg"]
+NINE = [f"{c}+{m}" for c in CHUNKINGS for m in RETRIEVALS]
+
+
+def _pipeline_means(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("pipeline").agg(*[F.round(F.avg(c), 4).alias(c) for c in METRICS])
+
+
+@query
+def pipeline_summary(spark, sf):
+    """All pipelines over one index for each chunking."""
+    return _pipeline_means(_pipeline_scores(spark, sf, NINE))
+
+
+#: Pipelines that are run again, with fewer ranks.
+RERUN, RERUN_RANKS = ["fixed+bm25", "fixed+hyde"], 3
+
+
+@query
+def pipeline_rerun(spark, sf):
+    """Kept results of the pipelines over one chunking; two of them are run again and take the place of their old rows."""
+    kept = Results(spark, f"{folder(spark)}/granary/results-{uuid.uuid4().hex}", "pipeline string, item_id long, hit_rate double, mrr double, precision double, ndcg double")
+    three = [f"fixed+{m}" for m in RETRIEVALS]
+    kept.replace(_pipeline_scores(spark, sf, three), three)
+    kept.replace(_pipeline_scores(spark, sf, RERUN, RERUN_RANKS), RERUN)
+    return _pipeline_means(kept.rows())
+
+
+@query
+def timed_jobs(spark, sf):
+    """Two searches as jobs over two batches of items each, with an item's seconds; one more job always fails."""
+    docs, items = _documents(spark, sf), _read(spark, sf, "benchmark")
+    index = retrieval.lexical_index(docs, ["doc_id"])
+    found = lambda search: lambda part: search(part).groupBy("item_id").agg(F.count("*").alias("found"))
+    jobs = {"bm25": found(lambda part: retrieval.bm25(index, part, ["doc_id"])), "vector": found(lambda part: retrieval.text_vectors(index, part)), "broken": lambda part: part.select("item_id", "found")}
+    kept = Results(spark, f"{folder(spark)}/granary/results-{uuid.uuid4().hex}", experiments.RESULT.format(metrics="found double"))
+    experiments.run_jobs(kept, jobs, items, ["found"], batches=2)
+    return experiments.job_summary(kept.rows(), ["found"])
+
+
+@query
+def search_rounds(spark, sf):
+    """A search with feedback over the documents: what its rounds find."""
+    docs = _documents(spark, sf)
+    return experiments.search_rounds(retrieval.lexical_index(docs, ["doc_id"]), docs, _read(spark, sf, "benchmark"), rounds=2)
+
+
+@query
+def context_scores(spark, sf):
+    """Scores of the best documents as contexts of an item, whose text is the reference; the answer is stood in for by the best context's first sentence."""
+    docs, items = _read(spark, sf, "documents"), _read(spark, sf, "benchmark")
+    found = retrieval.answers(bm25_topk(spark, sf), docs, items, ["doc_id"], lambda asked, contexts: F.get(T.sentences(F.get(contexts, F.lit(0))), F.lit(0)))
+    rows = found.join(items.select("item_id", F.col("text").alias("reference")), "item_id").withColumnRenamed("retrieved_contexts", "contexts")
+    return experiments.context_scores(rows, "item_id")
+
+
+@query
+def context_score_means(spark, sf):
+    return retrieval.means(context_scores(spark, sf), ["context_precision", "context_recall", "faithfulness", "answer_relevancy"])
+
+
+@query
+def planner_answers(spark, sf):
+    """Break positions of answers with mixed lists, built of events' columns, by both rules."""
+    odd = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit('"'), (F.col("event_id") % 9).cast("string"), F.lit('"'))).when(F.col("user_id") % 4 == 1, F.concat((F.col("event_id") % 9).cast("string"), F.lit(".5")))
+    odd = F.when(odd.isNotNull(), odd).when(F.col("user_id") % 4 == 2, F.lit("null")).otherwise(F.lit("true"))
+    answer = F.concat(F.lit('{"break_after": ['), (F.col("event_id") % 10).cast("string"), F.lit(", "), odd, F.lit(", "), (F.col("event_id") % 7 - 1).cast("string"), F.lit("]}"))
+    fenced = F.when(F.col("event_type") == "click", F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).otherwise(answer)
+    breaks = lambda c: F.array_join(T.parsed_breaks(fenced, F.lit(8), coerce=c), ",")
+    return _read(spark, sf, "events").select("event_id", breaks(False).alias("breaks"), breaks(True).alias("coerced"))
+
+
+@query
+def collection_growth(spark, sf):
+    """Documents added in two overlapping parts, one of them twice: rows by source, and what a counting tool answers."""
+    docs = _read(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
+    kept = Collection(spark, f"{folder(spark)}/granary/kept-{uuid.uuid4().hex}", "doc_id long, source string, digest string")
+    low, high = docs.where("doc_id % 3 < 2"), docs.where("doc_id % 3 > 0")
+    for part in (low, high, high):
+        kept.add(part)
+    rows = kept.rows().groupBy("source").agg(F.count("*").alias("n_rows"), F.max("doc_id").alias("last"))
+    return rows.withColumn("report", retrieval.count_report(F.lit(kept.count())))
+
+
+@query
+def index_growth(spark, sf):
+    """BM25 over an index that grew by two batches, the second of which came twice, and was compacted."""
+    docs, items = _documents(spark, sf).select("doc_id", "text"), _read(spark, sf, "benchmark")
+    kept = KeptIndex(spark, f"{folder(spark)}/granary/index-{uuid.uuid4().hex}", "doc_id long, text string", ["doc_id"])
+    for batch in (0, 1, 1):
+        kept.add(docs.where(F.col("doc_id") % 2 == batch), batch=str(batch))
+    kept.compact()
+    return retrieval.bm25(kept.open(), items, ["doc_id"])
 
 
 @query
@@ -234,7 +334,7 @@ def dedupe_first(spark, sf):
 
 @query
 def last_message(spark, sf):
-    return _read(spark, sf, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    return _read(spark, sf, "conversations").groupBy("conv_id").agg(T.message_text(F.max_by("text", "turn")).alias("text"))
 
 
 @query
@@ -274,8 +374,8 @@ def judge_rank(spark, sf):
 @query
 def sample_rows(spark, sf):
     """A seeded sample of 50 documents without replacement, sorted by id."""
-    key = F.pmod(F.col("doc_id") * 48271 + 42, F.lit(2147483647))
-    return _read(spark, sf, "documents").select("doc_id", key.alias("key")).orderBy("key", "doc_id").limit(50).select("doc_id").orderBy("doc_id")
+    order = F.pmod(F.col("doc_id") * 48271 + 42, F.lit(2147483647))
+    return files.sample(_read(spark, sf, "documents").select("doc_id"), "doc_id", 50, order=order)
 
 
 @query

@@ -43,11 +43,11 @@ def _vectors(name: str, rows: str, key: str, asked: str = "benchmark") -> str:
   qualify row_number() over (partition by item_id order by score desc, {key}) <= 5)"""
 
 
-def _metrics(name: str, ranked: str, bodies: str, key: str) -> str:
+def _metrics(name: str, ranked: str, bodies: str, key: str, k: int = 5) -> str:
     return f"""{name}_hits as (select b.item_id, r.rank, case when r.rank is null then null else cast(coalesce(contains(d.text, b.text), false) as int) end as hit
-  from benchmark b left join {ranked} r on r.item_id = b.item_id left join {bodies} d using ({key})),
+  from benchmark b left join {ranked} r on r.item_id = b.item_id and r.rank <= {k} left join {bodies} d using ({key})),
 {name} as (select item_id, cast(coalesce(max(hit), 0) as double) as hit_rate, round(coalesce(1.0::double / min(case when hit = 1 then rank end), 0), 6) as mrr,
-  round(coalesce(sum(hit), 0)::double / 5, 6) as precision, round(coalesce(sum(hit / log2(rank + 1)), 0), 6) as ndcg from {name}_hits group by item_id)"""
+  round(coalesce(sum(hit), 0)::double / {k}, 6) as precision, round(coalesce(sum(hit / log2(rank + 1)), 0), 6) as ndcg from {name}_hits group by item_id)"""
 
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::double * p[2]::double))"
@@ -104,11 +104,27 @@ cuts as (select doc_id, round(quantile_cont(sim, 0.7), 9) as cut from sims group
 marks as (select doc_id, i, sim <= cut as brk from sims join cuts using (doc_id)), {_walk("doc_id", 8, 2)}, {_text_chunks(2)}"""
 
 
-def _pipeline(chunks: str, method: str) -> str:
+def _pipeline(chunks: str, method: str, k: int = 5) -> str:
     """The metrics of a pipeline, as common table expressions; a hit is a document that has the item's text."""
     name, rows, key = f"p_{chunks[0]}{method[0]}", "chunks" if chunks == "fixed" else chunks, "doc_id, chunk_index"
     ranked = _bm25(name, rows, key) if method == "bm25" else _vectors(name, rows, key, "asked_for" if method == "hyde" else "benchmark")
-    return ranked + ", " + _metrics(name + "_m", name, "documents", "doc_id")
+    return ranked + ", " + _metrics(name + "_m", name, "documents", "doc_id", k)
+
+
+def _rounds(rounds: int) -> str:
+    """found1, found2, ...: what each round of a search with feedback finds first, the terms of a round from all hits before it."""
+    base = _bm25("r1", "documents", "doc_id")
+    out = [base, "found1 as (select item_id, 1 as round, rank, doc_id, score from r1)"]
+    for n in range(2, rounds + 1):
+        before = " union all ".join(f"select item_id, doc_id from found{i}" for i in range(1, n))
+        out.append(f"""hits{n} as (select distinct h.item_id, h.doc_id from ({before}) h where h.item_id in (select item_id from found{n - 1})),
+more{n} as (select item_id, term from (select item_id, term, round(sum(tf) * any_value(idf), 6) as w from hits{n} join r1_tf using (doc_id) join r1_idf using (term) group by item_id, term)
+  qualify row_number() over (partition by item_id order by w desc, term) <= 5),
+asked{n} as (select item_id, term, cast(sum(qtf) as bigint) as qtf from (select item_id, term, qtf from r1_asked where item_id in (select item_id from found{n - 1}) union all select item_id, term, 1 from more{n}) group by all),
+scored{n} as (select item_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) as score from r1_tf join asked{n} using (term) join r1_idf using (term), r1_size group by item_id, doc_id),
+ranked{n} as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from scored{n} qualify row_number() over (partition by item_id order by score desc, doc_id) <= 5),
+found{n} as (select item_id, {n} as round, rank, doc_id, score from ranked{n} r where not exists (select 1 from ({before}) h where h.item_id = r.item_id and h.doc_id = r.doc_id))""")
+    return ", ".join(out)
 
 
 _NINE = ", ".join(_pipeline(c, m) for c in ("fixed", "semantic", "agentic") for m in ("traditional", "bm25", "hyde"))
@@ -170,6 +186,17 @@ case when length(text) <= 500 then text else regexp_replace(substring(text, 1, 4
     "judge_summary": f"with {_JUDGE} select * from judged",
     "judge_rank": f"with {_JUDGE} select lang, label, avg_pass, cast(row_number() over (partition by lang order by avg_pass desc, label) as int) as place from judged",
     "sample_rows": "select doc_id from documents order by (doc_id * 48271 + 42) % 2147483647, doc_id limit 50",
+    "pipeline_rerun": f"""with {_CHUNKS}, asked_for as (select item_id, 'The following passage answers the question. ' || text as text from benchmark),
+{_pipeline("fixed", "traditional")}, {_pipeline("fixed", "bm25", 3)}, {_pipeline("fixed", "hyde", 3)}
+select pipeline, round(avg(hit_rate), 4) as hit_rate, round(avg(mrr), 4) as mrr, round(avg(precision), 4) as precision, round(avg(ndcg), 4) as ndcg from (
+select 'fixed+traditional' as pipeline, * from p_ft_m union all select 'fixed+bm25', * from p_fb_m union all select 'fixed+hyde', * from p_fh_m) group by pipeline""",
+    "search_rounds": f"with {_rounds(2)} select * from found1 union all select * from found2",
+    "index_growth": f"with {_bm25('top', 'documents', 'doc_id')} select * from top",
+    "collection_growth": """with r as (select source, count(*) as n_rows, max(doc_id) as last from documents group by source)
+select source, n_rows, last, 'Total chunks in knowledge base: ' || (select count(*) from documents) as report from r""",
+    "planner_answers": """with e as (select event_id, event_id % 10 as a, event_id % 7 - 1 as c, user_id % 4 as kind, cast(event_id % 9 as bigint) as b, event_type = 'click' as fenced from events),
+k as (select event_id, fenced, case when kind = 3 then [a, 1, c] else [a, c] end as plain, case kind when 0 then [a, b, c] when 1 then [a, b, c] when 2 then [] else [a, 1, c] end as turned from e)
+select event_id, array_to_string(list_filter(plain, lambda x: x >= 0 and x < 8), ',') as breaks, case when fenced then '' else array_to_string(list_filter(turned, lambda x: x >= 0 and x < 8), ',') end as coerced from k""",
     "json_breaks": "select event_id, array_to_string(list_filter([event_id % 10, event_id % 7 - 1], lambda b: b >= 0 and b < 8), ',') as breaks from events",
     "unique_sources": f"with {_bm25('top', 'documents', 'doc_id')} select item_id, count(distinct source) as n_sources from top join documents using (doc_id) group by item_id",
     "bm25_padded": f"""with {_bm25("top", "documents", "doc_id")}, every as (select b.item_id, d.doc_id, coalesce(s.score, 0) as score from benchmark b, documents d left join top_scored s on s.item_id = b.item_id and s.doc_id = d.doc_id)

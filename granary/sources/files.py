@@ -90,6 +90,24 @@ def setting(name: str, given: dict, environment: dict, default=None):
     return default
 
 
+def flag(name: str, given: dict, environment: dict, default: bool | None = None) -> bool | None:
+    """A setting as true or false, however it is written; anything else is the default."""
+    said = str(setting(name, given, environment, "")).strip().lower()
+    return True if said in ("1", "true", "t", "yes", "y", "on") else False if said in ("0", "false", "f", "no", "n", "off") else default
+
+
+def env_file(text: str) -> dict[str, str]:
+    """NAME=value lines of an .env file; quotes around a value go, comments and other lines are left out."""
+    out = {}
+    for line in text.splitlines():
+        name, sign, value = line.strip().removeprefix("export ").partition("=")
+        if sign and name.strip() and not name.startswith("#"):
+            value = value.strip()
+            quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "'\""
+            out[name.strip()] = value[1:-1] if quoted else value.split(" #")[0].strip()
+    return out
+
+
 def write_results(df: DataFrame, path: str, label: str, metrics: list[str]) -> None:
     """A CSV of labels and metrics with six decimals, sorted by label; missing metrics are 0."""
     fixed: list[Column] = [F.format_string("%.6f", F.coalesce(F.col(m).cast("double"), F.lit(0.0))).alias(m) for m in metrics]
@@ -129,9 +147,9 @@ def eval_examples(items: DataFrame) -> DataFrame:
     return has.select(F.struct("query").alias("inputs"), F.struct(F.coalesce("reference_answer", F.lit("")).alias("reference_answer")).alias("outputs"), F.struct(F.coalesce("source", F.lit("")).alias("source")).alias("metadata"))
 
 
-def sample(rows: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
-    """A seeded sample without replacement, sorted by key; raises if there are too few rows."""
-    out = rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(size)
+def sample(rows: DataFrame, key: str, size: int, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """A seeded sample without replacement, sorted by key; raises if there are too few rows. order: in place of a hash of the key."""
+    out = rows.orderBy(F.xxhash64(F.lit(seed), key) if order is None else order, key).limit(size)
     if (n := out.count()) < size:
         raise ValueError(f"{size} rows were asked for, there are {n}")
     return out.orderBy(key)
