@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -158,14 +159,15 @@ def test_alignment_of_documents(spark, libraries):
     assert sorted(tuple(r) for r in queries.op12_alignment(spark, SF).collect()) == want
 
 
-@pytest.mark.parametrize("block_bytes", [50, 4_000_000])
-def test_alignment_of_odd_rows(odd, libraries, monkeypatch, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "most_pairs"), [(50, 4_000_000), (24_000_000, 4_000_000), (500, 0)])
+def test_alignment_of_odd_rows(odd, libraries, monkeypatch, block_bytes, most_pairs):
     docs, rows, *_ = odd
     monkeypatch.setattr(alignment, "BLOCK_BYTES", block_bytes)
-    key = lambda r: (r[0] is None, r)
+    monkeypatch.setattr(alignment, "MOST_PAIRS", most_pairs)
     want = sorted(((r[0], *x) for r, x in zip(rows, plain_alignment(libraries, [r[1] for r in rows]), strict=True)), key=str)
     assert sorted((tuple(r) for r in alignment.align(docs, *PATHS).collect()), key=str) == want
-    assert want[0] is not None and sum(r[7] == "" for r in want) == 4, key  # null twice, empty, and U+2581
+    assert sum(r[7] == "" for r in want) == 4  # null twice, empty, and U+2581
+    assert alignment.align(docs.limit(0), *PATHS).collect() == []
 
 
 @pytest.fixture(scope="module")
@@ -184,6 +186,10 @@ def test_breaks_are_those_the_vocabularies_allow(tools):
 def test_segments_tokenise_like_the_text(tools, libraries, text):
     segments = alignment.segment_pattern(tools.safe_breaks()).findall(" " + text)
     assert "".join(segments) == " " + text
+    cutter = alignment._Cutter(tools.safe_breaks())
+    codes = cutter.cut(pa.array(["", text, "other words", text]))
+    known = list(cutter.index)
+    assert [[known[i] for i in c] for c in codes] == [[], segments, [" other", " words"], segments]
     a, b = libraries
     assert [i for s in segments for i in tools.a.encode(s, add_special_tokens=False).ids] == a.encode(" " + text, add_special_tokens=False).ids
     assert [i for s in segments for i in tools.b.encode(s)] == b.encode(text)
