@@ -122,15 +122,18 @@ def _lists(values: list[np.ndarray | list]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Aligned(NamedTuple):
-    """Of each segment: whether both tokenizers give its bytes back, and if so its counts, groups as text, and linked ids."""
+    """Of each segment: whether both tokenizers give its bytes back, and if so its counts and links in order.
+
+    A link is its ids, and says whether its token of A is another one than that of the link before, its token of B, its group.
+    """
 
     fits: np.ndarray
     n_a: np.ndarray
     n_b: np.ndarray
     n_groups: np.ndarray
     n_links: np.ndarray
-    groups: pa.Array
     links: np.ndarray
+    fresh: np.ndarray
 
 
 def _exact(ids: np.ndarray, owner: np.ndarray, sizes: np.ndarray, raw: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -156,21 +159,27 @@ def aligned(tools: Tokenizers, segments: pa.Array) -> Aligned:
     a_size, b_size = tools.a_sizes[a_flat], tools.b_sizes[b_flat]
     a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
     cuts = a_end[np.isin(a_end, b_end, assume_unique=True)]
-    a_cut, b_cut = np.searchsorted(a_end, cuts) + 1, np.searchsorted(b_end, cuts) + 1  # tokens up to each cut
     # the tokens of B that end after a token of A starts, and start before it ends
     low = np.searchsorted(b_end, a_end - a_size, "right")
     width = np.searchsorted(b_end - b_size, a_end, "left") - low
-    links = np.repeat(a_flat, width) << 32 | b_flat[np.repeat(low, width) + _places(width)]
+    at_a, at_b, group = np.repeat(np.arange(len(a_flat)), width), np.repeat(low, width) + _places(width), np.repeat(np.searchsorted(cuts, a_end), width)
+    fresh = sum((np.diff(x, prepend=-1) != 0).astype(np.uint8) << i for i, x in enumerate((at_a, at_b, group))).astype(np.uint8) if len(at_a) else np.zeros(0, np.uint8)
     each = lambda own, weight=None: np.bincount(own, weight, n).astype(np.int64)
-    n_groups = each(a_own[a_cut - 1])
+    n_groups = each(a_own[np.searchsorted(a_end, cuts)])
+    return Aligned(fits, each(a_own), each(b_own), n_groups, each(a_own, width), a_flat[at_a] << 32 | b_flat[at_b], fresh)
+
+
+def group_texts(links: np.ndarray, fresh: np.ndarray, n_groups: np.ndarray) -> list[bytes]:
+    """Groups as text of segments that lie end to end: ids of A by commas, |, ids of B by commas; groups by semicolons."""
+    group = np.cumsum(fresh >> 2 & 1) - 1
 
-    def said(ids: np.ndarray, cut: np.ndarray) -> pa.Array:
-        decimal = pa.array(ids).cast(pa.string())
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, cut), pa.int32()), decimal), ",")
+    def said(ids: np.ndarray, new: np.ndarray) -> pa.Array:
+        ends = np.cumsum(np.bincount(group[new], minlength=int(n_groups.sum())))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids[new]).cast(pa.string())), ",")
 
-    groups = pc.binary_join_element_wise(said(a_flat, a_cut), said(b_flat, b_cut), "|")
-    groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_groups)), pa.int32()), groups), ";")
-    return Aligned(fits, each(a_own), each(b_own), n_groups, each(a_own, width), groups, links)
+    each = pc.binary_join_element_wise(said(links >> 32, fresh & 1 == 1), said(links & 0xFFFFFFFF, fresh >> 1 & 1 == 1), "|")
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_groups)), pa.int32()), each), ";")
+    return whole.cast(pa.binary()).to_pylist()
 
 
 class _Cutter:
@@ -290,7 +299,7 @@ def tools_of(a_json: str, b_model: bytes) -> Tokenizers:
     return _TOOLS[key]
 
 
-#: packed: places, fits, the four SUMS, lengths of the groups' texts, those texts, and the ids of A and of B of all links.
+#: packed: places, fits, the four SUMS, and of all links the ids of A, those of B, and what is fresh.
 ALIGNED = "in_block long, packed binary"
 SUMS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -306,15 +315,12 @@ def aligned_buckets(dealt: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
         words = _words(np.concatenate([_from_planes(r[1]) for r in rows]), b"".join(r[2] for r in rows)).dictionary_encode()
         distinct = words.dictionary.cast(pa.string())
         parts = [aligned(tools, distinct.slice(i, SEGMENTS_AT_ONCE)) for i in range(0, len(distinct), SEGMENTS_AT_ONCE)]
-        fits, *sums = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        links, text = np.concatenate([p.links for p in parts]), [p.groups.cast(pa.binary()) for p in parts]
-        lengths = np.concatenate([pc.binary_length(t).to_numpy(zero_copy_only=False) for t in text]).astype(np.int64)
-        said = np.frombuffer(b"".join(x for t in text for x in t.to_pylist()), np.uint8)
+        fits, *sums, links, fresh = (np.concatenate([p[i] for p in parts]) for i in range(7))
         out = []
         for row, at in zip(rows, np.split(words.indices.to_numpy(zero_copy_only=False), np.cumsum(sizes)[:-1]), strict=True):
             own = _gather(links, sums[3], at)
-            numbers = [_to_planes(x[at]) for x in (*sums, lengths)]
-            out.append(_packed(row[0], fits[at].astype(np.uint8).tobytes(), *numbers, _gather(said, lengths, at).tobytes(), _to_planes(own >> 32), _to_planes(own & 0xFFFFFFFF)))
+            numbers = [_to_planes(x[at]) for x in sums]
+            out.append(_packed(row[0], fits[at].astype(np.uint8).tobytes(), *numbers, _to_planes(own >> 32), _to_planes(own & 0xFFFFFFFF), _gather(fresh, sums[3], at).tobytes()))
         return pa.Table.from_arrays([table.column("block").combine_chunks(), pa.array(out, pa.binary())], schema=schema)
 
     return dealt.groupBy("bucket").applyInArrow(frugal_group(align_bucket), ALIGNED)
@@ -324,15 +330,15 @@ class _Segments:
     """The alignments of a block's segments, by place."""
 
     def __init__(self, rows: list[bytes]):
-        parts = [_unpacked(r, 10) for r in rows]
+        parts = [_unpacked(r, 9) for r in rows]
         column = lambda i: np.concatenate([_from_planes(p[i]) for p in parts]) if parts else np.zeros(0, np.int64)
         order = np.argsort(column(0))
         self.fits = np.frombuffer(b"".join(p[1] for p in parts), np.uint8)[order] > 0
-        unsorted, lengths = column(5), column(6)
+        unsorted = column(5)
         self.sums = [column(i)[order] for i in (2, 3, 4, 5)]
-        said, ends = b"".join(p[7] for p in parts), np.cumsum(lengths)
-        self.groups = [said[a:b] for a, b in zip((ends - lengths)[order].tolist(), ends[order].tolist(), strict=True)]
-        self.links = _gather(column(8) << 32 | column(9), unsorted, order)
+        self.links = _gather(column(6) << 32 | column(7), unsorted, order)
+        fresh = np.frombuffer(b"".join(p[8] for p in parts), np.uint8)
+        self.groups = group_texts(self.links, _gather(fresh, unsorted, order), self.sums[2])
 
 
 COMPOSED = "block long, doc_ids array<long>, codes binary, bounds array<int>, " + ", ".join(f"{c} array<long>" for c in SUMS) + ", digests array<string>, links binary, pairs array<long>, n_docs array<long>"
