@@ -7,14 +7,15 @@ documents, those that also tell the evidence, proposes the cutoff that parts bad
 the shares that go), of those that the half itself would certify; the other, held-out half tests it. With k of its n good
 documents at or beyond the cutoff, the exact binomial tail P(Bin(n, ALPHA) <= k) is the p-value of "the cutoff rejects more
 than a share ALPHA of good documents"; Holm's correction over all strata keeps the chance of any wrong cutoff under DELTA. A
-cutoff that isn't certified isn't used.
+cutoff that isn't certified isn't used. As the tail is that of independent draws, copies are one document: texts with the same
+words (whatever the case, white space, digits and signs) count once in a stratum, and are in the same half.
 
 The labels enter as histograms of fixed bins, counted over all labelled documents in Spark; only these reach the driver.
 
 Defined results: a null text has no words; texts of under MIN_WORDS words fail the base rule; texts of any length are counted
 whole; a null language is a stratum of its own, as the empty one; a stratum without a certified cutoff keeps all that pass
-the base rule; labels of one document that contradict each other count as bad, null labels count for nothing; without labels
-no evidence rejects anything. Repeated rows, and rows of one doc_id, each are judged by their own text. Other columns stay as
+the base rule; labels of one document, or of one text in a stratum, that contradict each other count as bad, null labels
+count for nothing; without labels no evidence rejects anything. Repeated rows, and rows of one doc_id, each are judged by their own text. Other columns stay as
 they are in keep_good, whatever their names, and are left out by judge.
 """
 
@@ -115,11 +116,18 @@ def bin_of(ratio) -> Column:
     return F.least(F.floor(ratio * BINS), F.lit(BINS)).cast("int")
 
 
+def same_words(text) -> Column:
+    """A hash of a text's letters in lower case; copies that differ in white space, digits and signs have the same."""
+    return F.xxhash64(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
+
+
 def labelled(feats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows that pass the base rule, with their label and half."""
+    """Rows that pass the base rule, one for each text of a stratum, with their label and half."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = feats.where("not base_failed").select("doc_id", "stratum", *RATIOS, (share_order("doc_id") < 0.5).alias("proposes"))
-    return rows.join(labels, "doc_id").withColumn("good", F.col("quality") > 0)
+    rows = feats.where("not base_failed").select("doc_id", "stratum", "copy", *RATIOS).join(labels, "doc_id")
+    worst = F.min(F.struct("quality", *RATIOS, "doc_id")).alias("own")  # partial sums in each task: copies don't meet as rows
+    rows = rows.groupBy("stratum", "copy").agg(worst).select("stratum", "own.*", (share_order("copy") < 0.5).alias("proposes"))
+    return rows.withColumn("good", F.col("quality") > 0)
 
 
 def weigh(counts: list) -> np.ndarray:
@@ -180,8 +188,8 @@ def with_verdict(feats: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counters, ratios, evidence and verdict of every row of docs."""
-    feats = with_counters(docs.select("doc_id", "text", F.coalesce("lang", F.lit(NO_STRATUM)).alias("stratum"))).drop("text")
-    return with_verdict(materialize(feats, "quality"), labels)
+    feats = with_counters(docs.select("doc_id", "text", same_words(F.col("text")).alias("copy"), F.coalesce("lang", F.lit(NO_STRATUM)).alias("stratum"))).drop("text")
+    return with_verdict(materialize(feats, "quality"), labels).drop("copy")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -190,5 +198,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     written = materialize(with_counters(docs, free), "counted")
     names = [f"{free}{f.name}" for f in COUNTERS]
     renamed = {n: F.col(n).alias(n[len(free) :]) for n in names}
-    feats = written.select("doc_id", F.coalesce("lang", F.lit(NO_STRATUM)).alias("stratum"), F.struct(*docs.columns).alias("row"), *renamed.values())
+    feats = written.select("doc_id", same_words(F.col("text")).alias("copy"), F.coalesce("lang", F.lit(NO_STRATUM)).alias("stratum"), F.struct(*docs.columns).alias("row"), *renamed.values())
     return with_verdict(feats, labels).where("kept").select("row.*")
