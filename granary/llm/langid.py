@@ -7,9 +7,14 @@ language's calibrated limit, or if it has no letters. The score is the best lang
 temperature fitted so that scores are right as often as they say.
 
 Limits: calibration texts go to the language they are taken for, as labels may be wrong. Their cross-entropies have a mean
-there, and a variance a + b / characters, fitted by least squares. The limit, in such standard deviations, is the largest
-distance to the mean of all n calibration texts: a further text of the same kind lies beyond it with a chance of at most
-1 / (n + 1), whatever the distribution. LEAST_LIMIT keeps it apart from the mean where n is small.
+there, and a variance a + b / characters, fitted by least squares; both without the texts beyond the TRIMMED share. The
+distances to the mean, in such standard deviations, have their 75th and 95th percentile; the limit is where the tail through
+both, which falls exponentially, leaves BEYOND of the texts, and LEAST_LIMIT at least. Percentiles and tail are a language's
+own where it has OWN_TAIL calibration texts, else those of all languages together. So no single text sets a limit.
+
+A text with a token, a name list or a second language in it lies beyond that limit too, and is no other language. So the limit
+is also at least half-way from the mean to what the models say of known negatives: calibration texts with their letters
+shuffled, of which the median counts. The fewer letters a text has, the more of the way it may go (by 1 / square root).
 
 Training takes a bounded sample: at most about MAX_TRAIN documents of each language for counts and MAX_CALIBRATE for
 limits and temperature, picked by a hash of the doc_id, whole texts of up to MAX_CHARS characters. A language with fewer documents than both bounds
@@ -26,6 +31,8 @@ first language in alphabetical order. Columns but doc_id, text and lang have no
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -38,6 +45,10 @@ from .common import filter_batches, held_out, map_batches, share_order
 ORDER = 5
 MAX_TRAIN, MAX_CALIBRATE = 400, 400
 FOLDS, ENOUGH = 3, 10
+#: For limits: texts beyond this share are odd; a limit leaves so many of the usual texts; texts for a tail of one's own.
+TRIMMED, BEYOND, OWN_TAIL = 0.95, 1e-4, 100
+#: Calibration texts of each language whose letters are shuffled, at most.
+SHUFFLED, SEED = 50, 5
 #: Texts beyond this aren't learned from.
 MAX_CHARS = 200_000
 #: Temperatures that are tried, and the least limit and standard deviation of cross-entropies.
@@ -267,6 +278,14 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, max_calibrate: int = MAX_
             got = Scorer(models | fresh).score([r["text"] for r in rest])
             use = got[:, -1] > 0
             scored.append((got[use, :-1] / got[use, -1:], np.array([names.index(r["lang"]) for r in rest])[use], got[use, -1]))
+    shuffled = []  # of known negatives: cross-entropy under the language they are taken for, and that language
+    rng = random.Random(SEED)
+    for lang in names:
+        some = [r["text"] for r in picked if r["lang"] == lang][:SHUFFLED]
+        got = Scorer(models).score([shuffle_letters(t, rng) for t in some])
+        got = got[got[:, -1] > 0]
+        per = got[:, :-1] / got[:, -1:]
+        shuffled += [(-float(p.max()), int(p.argmax())) for p in per]
     if scored and sum(map(len, (t for _, t, _ in scored))):
         per, truth, sizes = (np.concatenate(x) for x in zip(*scored, strict=True))
         limits = calibrate(names, -per.max(axis=1), per.argmax(axis=1), sizes)  # what a text is taken for, as labels may be wrong
@@ -276,7 +295,19 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, max_calibrate: int = MAX_
             z -= z.max(axis=1, keepdims=True)
             losses.append((-(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(axis=1))).mean() if len(z) else 0.0, t))
         temperature = min(losses)[1]
-    return {"models": models, "limits": limits, "temperature": temperature}
+    every = [h for h, _ in shuffled]
+    own = {k: [h for h, i in shuffled if i == names.index(k)] for k in names}
+    noise = {k: float(np.median(x if len(x) >= ENOUGH else every)) if every else limits[k][0] for k, x in own.items()}
+    return {"models": models, "limits": limits, "noise": noise, "temperature": temperature}
+
+
+def shuffle_letters(text: str, rng: random.Random) -> str:
+    """The text's words with all of its letters in another order."""
+    words = words_of(text)
+    letters = list("".join(words))
+    rng.shuffle(letters)
+    ends = np.cumsum(list(map(len, words))).tolist()
+    return " ".join("".join(letters[b - len(w) : b]) for w, b in zip(words, ends, strict=True))
 
 
 def spread(entropies: np.ndarray, sizes: np.ndarray) -> tuple[float, float, float]:
@@ -291,20 +322,37 @@ def spread(entropies: np.ndarray, sizes: np.ndarray) -> tuple[float, float, floa
     return mean, max(float(a), LEAST_DEVIATION**2), float(b)
 
 
+def usual(entropies: np.ndarray) -> np.ndarray:
+    """Which cross-entropies are no odd ones: up to the quantile of TRIMMED, and as far again from the median."""
+    middle, high = np.quantile(entropies, (0.5, TRIMMED))
+    return entropies <= middle + 2 * max(high - middle, LEAST_DEVIATION)
+
+
+def tail_limit(distances: np.ndarray) -> float:
+    """Where a tail that falls exponentially through the 75th and 95th percentile leaves BEYOND of the texts."""
+    low, high = np.quantile(distances, (0.75, 0.95))
+    return max(float(high + (high - low) * math.log(0.05 / BEYOND) / math.log(5)), LEAST_LIMIT)
+
+
 def calibrate(names: list[str], entropies: np.ndarray, truth: np.ndarray, sizes: np.ndarray) -> dict[str, tuple[float, ...]]:
     """Mean, a and b of the variance, and the limit in standard deviations, of each language."""
     counts = np.bincount(truth, minlength=len(names))
-    enough = np.isin(truth, np.flatnonzero(counts >= ENOUGH))
-    pooled = spread(entropies[enough], sizes[enough]) if enough.any() else spread(entropies, sizes)
+
+    def spread_of(rows: np.ndarray) -> tuple[float, float, float]:
+        rows = rows[usual(entropies[rows])]
+        return spread(entropies[rows], sizes[rows])
+
+    enough = np.flatnonzero(np.isin(truth, np.flatnonzero(counts >= ENOUGH)))
+    pooled = spread_of(enough if len(enough) else np.arange(len(truth)))
     spreads, distances = [], np.zeros(len(truth))
     for i in range(len(names)):
-        own = truth == i
-        found = spread(entropies[own], sizes[own]) if counts[i] else pooled
+        own = np.flatnonzero(truth == i)
+        found = spread_of(own) if len(own) else pooled
         spreads.append(found if counts[i] >= ENOUGH else tuple(map(max, found, pooled)))
         mean, a, b = spreads[-1]
         distances[own] = (entropies[own] - mean) / np.sqrt(a + b / sizes[own])
-    limit = max(float(distances.max()), LEAST_LIMIT)
-    return {k: (*spreads[i], limit) for i, k in enumerate(names)}
+    every = tail_limit(distances)
+    return {k: (*spreads[i], tail_limit(distances[truth == i]) if counts[i] >= OWN_TAIL else every) for i, k in enumerate(names)}
 
 
 def judge_texts(scorer: Scorer, model: dict, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
@@ -319,7 +367,8 @@ def judge_texts(scorer: Scorer, model: dict, texts: list[str | None]) -> list[tu
         best = int(np.argmax(per))
         z = np.exp((per - per[best]) / model["temperature"])
         mean, a, b, deviations = model["limits"][names[best]]
-        limit = mean + deviations * np.sqrt(a + b / n)
+        halfway = mean + (0.5 + 1 / np.sqrt(n)) * max(model["noise"][names[best]] - mean, 0.0)
+        limit = max(mean + deviations * np.sqrt(a + b / n), halfway)
         out.append((names[best], float(1.0 / z.sum()), float(-per[best]), bool(-per[best] > limit)))
     return out
 
