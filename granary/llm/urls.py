@@ -1,10 +1,15 @@
 """URL verdicts: host and path rules first, then gradient-boosted trees on lexical features.
 
 In DataFrame functions only. The trees learn from the URLs that a rule judges: at most about MAX_TRAIN distinct ones, picked
-by a hash of the URL, each with the number of its rows as weight. Their features (length, depth, digit ratio, entropy, parameter counts, host labels, and how often the
-host's suffixes are blocked among the labelled URLs) come to the driver, where histogram boosting fits shallow trees with
-the logistic loss; the trees become one SQL expression. The suffix statistics are of all labelled URLs; they are written to
-a work table, so that Spark joins them by broadcast only if they are small.
+by a hash of the URL, each with the number of its rows as weight. Their features (length, depth, digit ratio, entropy, parameter
+counts, host labels, and how often hosts are blocked whose suffix, domain or first section of the path is the same) come to the
+driver, where histogram boosting fits shallow trees with the logistic loss; the trees become one SQL expression.
+
+The statistics are of all labelled URLs. What the trees learn from is out of fold: each URL comes with statistics that leave
+out the URLs of its own fold, with those that leave out all URLs of its host's fold, and with those of the first kind without
+the section's. So the trees see what a known host, a new host and a new section will bring. The cut of the score is the one
+that judges most rows right when the hosts of each fold are scored by trees of the other hosts. The statistics are written to
+work tables, so that Spark joins them by broadcast only if they are small.
 
 Defined results: a null url, or one without `://`, has empty host and path, fits no rule, and gets the trees' verdict on
 an empty host; where the labelled URLs have no or only one verdict, that one (allow, if none) is given to all others.
@@ -22,7 +27,8 @@ from .common import materialize, share_order, sql_ascii_lower
 MAX_TRAIN = 20_000
 ROUNDS, DEPTH, RATE, BINS, RIDGE = 20, 3, 0.3, 16, 1.0
 PRIOR_WEIGHT = 5.0
-FEATURES = ("length", "depth", "digit_ratio", "entropy", "params", "labels", "hyphens", "path_length", "suffix_rate", "domain_rate")
+FEATURES = ("length", "depth", "digit_ratio", "entropy", "params", "labels", "hyphens", "path_length", "suffix_rate", "domain_rate", "section_rate", "domain_seen")
+STATISTICS, FOLDS = ("suffix", "domain", "section"), 5
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
@@ -61,15 +67,41 @@ def with_features(pages: DataFrame) -> DataFrame:
     return with_suffixes(df).drop("_url", "_chars")
 
 
-def with_suffixes(pages: DataFrame) -> DataFrame:
-    """Adds the host's suffixes of one and two labels."""
-    return pages.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
+#: How the rows that the trees learn from get their statistics: without the URLs of which fold, and without which statistic.
+VIEWS = (("url_fold", None), ("host_fold", None), ("url_fold", "section"))
 
 
-def suffix_rates(labelled: DataFrame, column: str, prior: float) -> DataFrame:
-    """How often labelled URLs (n rows of each) with this suffix are blocked, drawn towards the common rate."""
-    rate = (F.sum(F.col("blocked") * F.col("n")) + F.lit(PRIOR_WEIGHT * prior)) / (F.sum("n") + F.lit(PRIOR_WEIGHT))
-    return with_suffixes(labelled).groupBy(column).agg(rate.alias(f"{column}_rate"))
+def with_suffixes(pages: DataFrame) -> DataFrame:
+    """Adds the host's suffixes of one and two labels, the first section of the path, and the folds of host and url."""
+    fold = lambda c: F.pmod(F.xxhash64(c), F.lit(FOLDS)).cast("int")
+    section = F.regexp_extract("path", "^/([^/]*)/", 1)
+    return pages.withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2), "section": section, "host_fold": fold("host"), "url_fold": fold("url")})
+
+
+def statistics(labelled: DataFrame, column: str) -> DataFrame:
+    """Rows and blocked rows of each value of a column, by the folds of host and url; labelled: n rows of each url."""
+    return with_suffixes(labelled).groupBy(column, "host_fold", "url_fold").agg(F.sum("n").alias("seen"), F.sum(F.col("blocked") * F.col("n")).alias("blocked"))
+
+
+def with_rates(df: DataFrame, tables: dict[str, DataFrame], prior: float, without: str | None = None, blank: str | None = None) -> DataFrame:
+    """Adds the rates of df's suffix, domain and section, drawn towards the common rate, and how often the domain was seen.
+
+    without: the kind of fold of which a row's own is left out; blank: a statistic that is left out.
+    """
+    for c, table in tables.items():
+        sums = lambda *by, n: table.groupBy(*by).agg(F.sum("seen").alias(f"_seen{n}"), F.sum("blocked").alias(f"_blocked{n}"))  # noqa: B023, E731
+        df = df.join(sums(c, n=1), c, "left")
+        seen, blocked = (F.coalesce(x, F.lit(0)) for x in ("_seen1", "_blocked1"))
+        if without:
+            df = df.join(sums(c, without, n=2), [c, without], "left")
+            seen, blocked = (a - F.coalesce(b, F.lit(0)) for a, b in ((seen, "_seen2"), (blocked, "_blocked2")))
+        if c == blank:
+            seen = blocked = F.lit(0)
+        df = df.withColumn(f"{c}_rate", F.round((blocked + PRIOR_WEIGHT * prior) / (seen + PRIOR_WEIGHT), 9))
+        if c == "domain":
+            df = df.withColumn("domain_seen", F.round(F.log1p(seen.cast("double")), 9))
+        df = df.drop("_seen1", "_blocked1", "_seen2", "_blocked2")
+    return df
 
 
 def weighted_cuts(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -120,8 +152,36 @@ def tree_column(tree, names: tuple[str, ...] = FEATURES) -> Column:
     return F.when(F.col(names[j]) <= cut, tree_column(low, names)).otherwise(tree_column(high, names))
 
 
+def tree_scores(base: float, trees: list, x: np.ndarray) -> np.ndarray:
+    """What tree_column says, for rows of an array."""
+
+    def value(tree, rows: np.ndarray) -> np.ndarray:
+        if isinstance(tree, float):
+            return np.full(len(rows), tree)
+        j, cut, low, high = tree
+        return np.where(rows[:, j] <= cut, value(low, rows), value(high, rows))
+
+    return base + sum((value(t, x) for t in trees), np.zeros(len(x)))
+
+
+def calibrated_cut(x: np.ndarray, y: np.ndarray, weights: np.ndarray, folds: np.ndarray) -> float:
+    """The cut of scores that judges most rows right, each fold scored by trees of the others; of equal cuts the one nearest 0."""
+    scores = np.zeros(len(y))
+    for f in np.unique(folds):
+        rest = folds != f
+        if len(set(y[rest])) == 2:
+            scores[~rest] = tree_scores(*fit_trees(x[rest], y[rest], weights[rest]), x[~rest])
+    order = np.argsort(scores, kind="stable")
+    values, right = scores[order], np.where(y[order] > 0, -weights[order], weights[order])  # a cut above a row allows it
+    ends = np.flatnonzero(np.diff(values) > 0)
+    cuts = np.concatenate(([values[0] - 1], (values[ends] + values[ends + 1]) / 2, [values[-1] + 1], [0.0]))
+    gain = np.append(0, np.cumsum(right))[np.searchsorted(values, cuts, "right")]
+    best = cuts[gain == gain.max()]
+    return float(best[np.abs(best).argmin()])
+
+
 def judge(pages: DataFrame, rules: dict[str, str], max_train: int = MAX_TRAIN) -> DataFrame:
-    """page_id, host, path, rule, verdict and score (log-odds of block; null where no model could be trained)."""
+    """page_id, host, path, rule, verdict and score (log-odds of block above the cut; null where no model could be trained)."""
     rule, by_rule = rule_columns(rules)
     parts = with_parts(pages.select("page_id", "url")).withColumn("rule", rule).withColumn("by_rule", by_rule)
     known = parts.where("by_rule is not null").withColumn("blocked", (F.col("by_rule") == "block").cast("int"))
@@ -131,21 +191,18 @@ def judge(pages: DataFrame, rules: dict[str, str], max_train: int = MAX_TRAIN) -
     if len(sizes) < 2:
         only = "block" if sizes.get(1) else "allow"
         return parts.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    sample = with_features(labelled.where(share_order("url") < max_train / sum(r["distinct"] for r in totals)))
     prior = sizes[1] / sum(sizes.values())
-    rates = {c: materialize(suffix_rates(labelled, c, prior), f"{c}-rates") for c in ("suffix", "domain")}
-
-    def with_rates(df: DataFrame) -> DataFrame:
-        for c, table in rates.items():
-            df = df.join(table, c, "left").withColumn(f"{c}_rate", F.coalesce(f"{c}_rate", F.lit(prior)))
-        return df
-
-    rows = with_rates(sample).groupBy(*FEATURES, "blocked").agg(F.sum("n").alias("n")).orderBy(*FEATURES, "blocked").collect()
-    x, y = np.array([[r[f] for f in FEATURES] for r in rows]), np.array([float(r["blocked"]) for r in rows])
-    base, trees = fit_trees(x, y, np.array([r["n"] for r in rows]))
-    score = F.lit(base)
+    tables = {c: materialize(statistics(labelled, c), f"{c}-statistics") for c in STATISTICS}
+    sample = with_features(labelled.where(share_order("url") < max_train / sum(r["distinct"] for r in totals)).withColumnRenamed("blocked", "label"))
+    views = [with_rates(sample, tables, prior, *v).select(*FEATURES, "label", "host_fold", "n") for v in VIEWS]
+    views = views[0].unionByName(views[1]).unionByName(views[2]).groupBy(*FEATURES, "label", "host_fold").agg(F.sum("n").alias("n"))
+    rows = views.orderBy(*FEATURES, "label", "host_fold").collect()  # max_train URLs for each view, about
+    x, y = np.array([[r[f] for f in FEATURES] for r in rows]), np.array([float(r["label"]) for r in rows])
+    weights, folds = np.array([r["n"] for r in rows]), np.array([r["host_fold"] for r in rows])
+    base, trees = fit_trees(x, y, weights)
+    score = F.lit(base - calibrated_cut(x, y, weights, folds))
     for tree in trees:
         score = score + tree_column(tree)
-    scored = with_rates(with_features(parts)).withColumn("score", score)
+    scored = with_rates(with_features(parts), tables, prior).withColumn("score", score)
     verdict = F.coalesce("by_rule", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
