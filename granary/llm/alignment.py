@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import frugal, frugal_group, materialize
+from .common import frugal, frugal_group, kept, materialize
 
 #: Bytes of texts in a block, and of those that a task cuts at once, about; bytes of input for each bucket.
 BLOCK_BYTES, BYTES_AT_ONCE, BUCKET_BYTES = 24_000_000, 4_000_000, 8_000_000
@@ -287,16 +287,10 @@ def blocks(docs: DataFrame, breaks: str, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), BLOCK)
 
 
-_TOOLS: dict[tuple, Tokenizers] = {}
-
-
 def tools_of(a_json: str, b_model: bytes) -> Tokenizers:
     """One pair of tokenizers a Python worker."""
-    if (key := (hash(a_json), hash(b_model))) not in _TOOLS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _TOOLS.clear()
-        _TOOLS[key] = Tokenizers(a_json, b_model)
-    return _TOOLS[key]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return kept("tokenizers", (hash(a_json), hash(b_model)), lambda: Tokenizers(a_json, b_model))
 
 
 #: packed: places, fits, the four SUMS, and of all links the ids of A, those of B, and what is fresh.
@@ -323,7 +317,7 @@ def aligned_buckets(dealt: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
             out.append(_packed(row[0], fits[at].astype(np.uint8).tobytes(), *numbers, _to_planes(own >> 32), _to_planes(own & 0xFFFFFFFF), _gather(fresh, sums[3], at).tobytes()))
         return pa.Table.from_arrays([table.column("block").combine_chunks(), pa.array(out, pa.binary())], schema=schema)
 
-    return dealt.groupBy("bucket").applyInArrow(frugal_group(align_bucket), ALIGNED)
+    return dealt.groupBy("bucket").applyInArrow(frugal_group(align_bucket, "tokenizers"), ALIGNED)
 
 
 class _Segments:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import folder as work_dir
+from ..sources.work import materialize
+
 #: A word: what stands between space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: The same for Spark's regular expressions.
@@ -21,7 +22,6 @@ GAP_SQL = r"[\x20\x09-\x0D]+"
 ROWS_AT_ONCE = 1_000
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_local_dir: list[str] = []
 
 
 def ascii_lower(text: str) -> str:
@@ -34,30 +34,6 @@ def sql_ascii_lower(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset, a local run (as in tests) gets a temporary folder; on a cluster it is an error.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local_dir:
-        _local_dir.append(tempfile.mkdtemp(prefix="granary-"))
-    return f"file://{_local_dir[0]}"
-
-
-def materialize(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def give_back() -> None:
     """Returns the memory that this Python worker has freed to the system; a C library without malloc_trim keeps its own.
 
@@ -69,10 +45,27 @@ def give_back() -> None:
         trim(0)
 
 
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, a function of a task's batches, with give_back at its end."""
+_kept: dict[str, tuple] = {}
+
+
+def kept(name: str, of, make: Callable):
+    """What make() gives, once a Python worker for each `of`; it goes when a task comes that doesn't keep it (frugal)."""
+    if name not in _kept or _kept[name][0] != of:
+        _kept[name] = of, make()
+    return _kept[name][1]
+
+
+def forget(but: str | None) -> None:
+    """Drops what earlier tasks of this worker have kept; a stage after them would carry it along."""
+    for name in [n for n in _kept if n != but]:
+        del _kept[name]
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function of a task's batches, with give_back at its end, and forget at its beginning."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         try:
             yield from run(batches)
         finally:
@@ -81,10 +74,11 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return tidy
 
 
-def frugal_group(step: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
-    """step, a function of a group's rows, with give_back at its end."""
+def frugal_group(step: Callable[[pa.Table], pa.Table], keeps: str | None = None) -> Callable[[pa.Table], pa.Table]:
+    """step, a function of a group's rows, with give_back at its end, and forget at its beginning."""
 
     def tidy(table: pa.Table) -> pa.Table:
+        forget(keeps)
         try:
             return step(table)
         finally:

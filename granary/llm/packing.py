@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import frugal, map_batches, materialize
+from .common import frugal, kept, map_batches, materialize
 
 CAPACITY, END = 2048, 0
 #: Pieces of a length that are numbered in one part, or so many as make PARTS of all pieces.
 RANKED, PARTS = 20_000, 20_000
 #: Words that a Python worker remembers, and bytes of texts that it works on at once.
-MAX_WORDS, BYTES_AT_ONCE = 400_000, 12_000_000
+MAX_WORDS, BYTES_AT_ONCE = 400_000, 6_000_000
 #: Characters up to here go the fast way, but for those that the tokenizer's lower case and Python's treat unlike.
 FAST_LIMIT = 0x180
 
@@ -138,15 +138,9 @@ def _gather(flat: np.ndarray, sizes: np.ndarray, number: np.ndarray) -> tuple[np
     return flat[np.repeat(starts[number] - bounds[:-1], own) + np.arange(bounds[-1])], bounds
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(tokenizer_json: str) -> Encoder:
-    """One encoder a Python worker, so that later tasks find the words of earlier ones."""
-    if tokenizer_json not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[tokenizer_json] = Encoder(tokenizer_json)
-    return _ENCODERS[tokenizer_json]
+    """One encoder a Python worker, so that later tasks of the stage find the words of earlier ones."""
+    return kept("encoder", hash(tokenizer_json), lambda: Encoder(tokenizer_json))
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -186,7 +180,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
             arrays = [(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, target, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run, "encoder"), schema)
 
 
 class _Available:
