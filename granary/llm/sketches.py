@@ -2,11 +2,12 @@
 
 A fingerprint is the sorted list of the K smallest distinct hashes of a text's shingles of SHINGLE words (A-Z in lower
 case). Fingerprints of parts merge to that of the whole, and estimate resemblance, containment and the number of distinct
-shingles; where both texts have fewer than K shingles the figures are exact.
+shingles; where both texts have fewer than K shingles the figures are exact. Texts of any length are read whole.
 
 Defined results: null texts are empty; a text of fewer words than a shingle has the whole sequence as its only one; an
 empty fingerprint resembles an empty one by 1 and any other by 0. Repeated rows each give their row. In the order of
-documents null ids come last, and equal ids follow each other by a hash of their texts.
+documents null ids come last, and equal ids follow each other by a hash of their texts. Columns other than doc_id and text are
+left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,9 +62,15 @@ def distinct_shingles(sketch: str, k: int = K) -> Column:
 
 
 def containment(a: str, b: str, k: int = K) -> Column:
-    """Estimated share of the distinct shingles of a that b has."""
+    """Estimated share of the distinct shingles of a that b has: of those hashes of a that both fingerprints would show.
+
+    Where there is none, from the resemblance.
+    """
+    last = lambda s: F.when(F.size(s) >= k, F.element_at(s, -1)).otherwise(F.lit((1 << 63) - 1))
+    seen = F.filter(a, lambda h: h <= F.least(last(a), last(b)))
     j, na, nb = resemblance(a, b, k), distinct_shingles(a, k), distinct_shingles(b, k)
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), j * (na + nb) / ((1 + j) * na)))
+    rough = F.least(F.lit(1.0), j * (na + nb) / ((1 + j) * na))
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.size(seen) == 0, rough).otherwise(F.size(F.array_intersect(seen, b)) / F.size(seen))
 
 
 def as_text(sketch: str) -> Column:
@@ -111,4 +118,4 @@ def compare_edited(docs: DataFrame, k: int = K) -> DataFrame:
         return rows.withColumn("_c", following("_a"))
 
     out = with_next(docs, ["doc_id", "text"], finish)
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text("_a").alias("fingerprint"), as_text("_b").alias("edited_fingerprint"), resemblance("_a", "_b", k).alias("near_edited"), resemblance("_a", "_c", k).alias("near_next"))
+    return out.select("doc_id", "n_chars", "edited_sha256", as_text("_a").alias("fingerprint"), as_text("_b").alias("edited_fingerprint"), resemblance("_a", "_b", k).alias("near_edited"), resemblance("_a", "_c", k).alias("near_next"), F.round(distinct_shingles("_a", k), 3).alias("n_shingles"), F.round(containment("_a", "_b", k), 6).alias("kept_in_edited"))
