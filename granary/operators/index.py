@@ -165,10 +165,9 @@ def query_blocks(terms: DataFrame, queries: DataFrame, query: str) -> DataFrame:
 
     A query without terms is in a block too.
     """
-    n = queries.select(query).distinct()
-    size = -(-(terms.count() + n.count()) // BLOCK_TERMS) or 1
-    block = F.pmod(F.xxhash64(query), F.lit(size)).alias("block")
-    each = n.join(terms, query, "left").groupBy(query).agg(F.filter(F.sort_array(F.collect_list(F.struct("term", "count", "weight"))), lambda t: t["term"].isNotNull()).alias("terms"))
+    each = queries.select(query).distinct().join(terms, query, "left").groupBy(query).agg(F.filter(F.sort_array(F.collect_list(F.struct("term", "count", "weight"))), lambda t: t["term"].isNotNull()).alias("terms"))
+    n = each.agg(F.sum(F.size("terms") + 1)).first()[0] or 0
+    block = F.pmod(F.xxhash64(query), F.lit(-(-n // BLOCK_TERMS) or 1)).alias("block")
     blocks = each.groupBy(block).agg(F.sort_array(F.collect_list(F.struct(query, "terms"))).alias("q"))
     return materialize(blocks.select(F.struct("block", F.col(f"q.{query}").alias("ids"), F.col("q.terms").alias("terms")).alias("asked")), "asked")
 
