@@ -9,8 +9,9 @@ paragraphs of the corpus those that a rule (`known_negative`) says are none, as
 unknown class is calibrated for each family by itself: a paragraph belongs to a family only if its probability is beyond
 THRESHOLD and beyond that of TOLERATED of the negatives of the calibration half. A template comparison confirms: the share of the template's word
 bigrams that the paragraph has must reach CONFIRM, and where other versions or siblings of a licence have nearly the same
-words, the paragraph must have the words in NEEDS. BSD-3-Clause isn't confirmed in texts that have its second condition but
-not its third, as those are notices of two clauses.
+words, the paragraph must have the words in NEEDS, the version right behind the name, and none of NEGATED before it. BSD-3-Clause isn't
+confirmed in texts that have its second condition but not its third, or the advertising clause, as those are notices of two or
+four clauses; nor MIT in texts that grant its rights without its conditions.
 
 All n-grams of the templates are features, however common in the corpus. A family's score can't pass the threshold by n-grams
 whose positive weights sum up to too little; the commonest that do are no triggers, and only lines and windows with one of
@@ -43,27 +44,48 @@ OVERLAP, MANY, OWN = 0.25, 5, 0.4
 RARE = 0.01
 # Short notices and opening paragraphs of well-known licences.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License."],
+    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0", "Licensed under AGPLv3."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "License: Apache 2.0", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSD-4-Clause": ["All advertising materials mentioning features or use of this software must display the following acknowledgement", "SPDX-License-Identifier: BSD-4-Clause"],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Released under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-2.0", "Licensed under GPLv2."],
+    "GPL-3.0": ["GNU General Public License version 3 or later", "SPDX-License-Identifier: GPL-3.0", "Licensed under GPLv3.", "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1"],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
+    "MIT": ["MIT licensed.", "SPDX-License-Identifier: MIT", "Licensed under the MIT License.", "Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
+    "MIT-0": ["Released under the MIT No Attribution License.", "SPDX-License-Identifier: MIT-0"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
 # What tells versions and siblings apart, in normal form between spaces.
 NEEDS = {
-    "Apache-2.0": " apache license version 2 0 ",
+    "AGPL-3.0": " (gnu affero general public license (as published by the free software foundation )?(either )?(version )?3|agpl(v| v)?( version)? ?3( 0)?) ",
+    "Apache-2.0": " apache (license )?(version )?2 0 ",
+    "BSD-3-Clause": " (bsd 3 clause|redistribution and use in source and binary forms) ",
+    "BSD-4-Clause": " (bsd 4 clause|all advertising materials mentioning features or use of this software) ",
     "CC-BY-4.0": " (by|attribution) 4 0 ",
     "CC-BY-NC-4.0": " (by nc|attribution noncommercial) 4 0 ",
     "CC-BY-SA-4.0": " (by sa|attribution sharealike) 4 0 ",
-    "GPL-3.0": " gnu general public license (.* )?version 3 ",
-    "LGPL-3.0": " gnu lesser general public license (.* )?version 3 ",
-    "MPL-2.0": " mozilla public license v 2 0 ",
+    "CC0-1.0": " (cc0( 1 0)?|waived all copyright and related or neighboring rights) ",
+    "GPL-2.0": " ((?<!affero |lesser |library )general public license (as published by the free software foundation )?(either )?(version |v )?2|(?<![al])gpl(v| v)? ?2( 0)?) ",
+    "GPL-3.0": " ((?<!affero |lesser |library )general public license (as published by the free software foundation )?(either )?(version |v )?3|(?<![al])gpl(v| v)? ?3( 0)?) ",
+    "ISC": " (isc( license)?|permission to use copy modify and or distribute this software for any purpose) ",
+    "LGPL-2.1": " (gnu lesser general public license (as published by the free software foundation )?(either )?(version )?2 1|lgpl(v| v)? ?2 1) ",
+    "LGPL-3.0": " (gnu lesser general public license (as published by the free software foundation )?(either )?(version )?3|lgpl(v| v)? ?3( 0)?) ",
+    "MIT": " (mit(?! 0 | no attribution)|permission is hereby granted free of charge) ",
+    "MIT-0": " mit (0|no attribution) ",
+    "MPL-2.0": " mozilla public license v 2 0 | mpl 2 0 ",
 }
+# Words before a name that say that it isn't the licence.
+NEGATED = " (not|never|no longer|isn t|rather than|instead of) ((be|been|currently|being) )?((re)?(licensed|released|distributed|available|covered|published) )?(under )?"
 SECOND_CONDITION, THIRD_CONDITION = "redistributions in binary form must reproduce", "neither the name"
+#: A text with the first words of its last clause but not the next is no MIT notice, but one without the conditions.
+NO_CONDITIONS, CONDITIONS = "furnished to do so", "subject to the following conditions"
+ADVERTISING = "all advertising materials mentioning features"
 # Sentences about licences that name none.
 GENERIC = ["All rights reserved.", "Please read the license terms before use.", "A license is required to drive.", "This work is under review.", "Released last year to the public.", "The driver's license was lost.", "He is licensed to sell cars.", "Version 2.0 of the plan was released.", "The software is free of charge.", "This program is shown on television.", "The general public is welcome.", "Terms and conditions apply.", "The source code is not available.", "You may not use this file."]
 #: Words of a window and from one to the next: one and a half of the longest template's length stand whole in a window.
@@ -209,9 +231,12 @@ def scan(docs: DataFrame, max_negative: int = MAX_NEGATIVE) -> DataFrame:
     cases = " ".join(f"when {-i} then {shared(f)}" for i, f in enumerate(families))
     names = ", ".join(map(quoted, families))
     needs = " ".join(f"when {-i} then rlike(concat(' ', e.p, ' '), {quoted(NEEDS[f])})" for i, f in enumerate(families) if f in NEEDS)
-    told = f"case e.best.at {needs} when {-families.index('BSD-3-Clause')} then not _two_clauses else true end"
+    told = f"(case e.best.at {needs} else true end) and not rlike(concat(' ', e.p, ' '), {quoted(NEGATED + '(the |an? )?(terms of the )?(gnu |mit|apache|bsd|cc|isc|mozilla|creative|gpl|lgpl|agpl)')})"
+    told += f" and not (e.best.at = {-families.index('BSD-3-Clause')} and _other_clauses) and not (e.best.at = {-families.index('MIT')} and _no_conditions)"
     has = lambda words: F.lower("text").rlike(words.replace(" ", "[^a-z0-9]+"))
-    docs = docs.withColumn("_two_clauses", F.when(F.size("_known") > 0, has(SECOND_CONDITION) & ~has(THIRD_CONDITION)).otherwise(F.lit(False)))
+    some = lambda c: F.when(F.size("_known") > 0, c).otherwise(F.lit(False))
+    docs = docs.withColumn("_other_clauses", some((has(SECOND_CONDITION) & ~has(THIRD_CONDITION)) | has(ADVERTISING)))
+    docs = docs.withColumn("_no_conditions", some(has(NO_CONDITIONS) & ~has(CONDITIONS)))
     found = f"struct((case e.best.at {cases} end) >= {CONFIRM}D and {told} as confirmed, e.best.score as score, e.best.at as at, get(array({names}), -e.best.at) as family, e.run as run, e.line as line)"
     docs = docs.withColumn("_found", F.expr(f"transform(_known, e -> {found})"))
     docs = docs.withColumn("_top", F.array_max("_found"))
