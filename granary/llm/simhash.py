@@ -7,8 +7,9 @@ skipped. A task hands on a spanning forest of what it finds, never all pairs. Ba
 cut into blocks, and all pairs of blocks are compared in tasks of their own, so no group lands in one task. There are at
 most as many such values as blocks, so their counts may go to the driver.
 
-classes: 64 bits over SHINGLE words, repeats included. radius + 1 bands that share out the bits: two that differ in at most
-radius bits agree on a band, so no link is lost.
+classes: 64 bits over SHINGLE words, repeats included. The bits are shared out to radius + m blocks, and every m of them are a
+band: two that differ in at most radius bits agree on m blocks, so no link is lost, whatever m is. The more nodes there are,
+the larger the m that costs least, as larger bands have fewer rows of a value and there are more of them.
 
 keep_first: WIDE bits over WIDE_SHINGLE words, each shingle once, for texts that share SIMILARITY of their shingles or more.
 Two texts of Jaccard likeness J differ in a bit with a chance of acos(2 J / (1 + J)) / pi; the radius is what SIMILARITY
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,8 @@ TILE = 256
 #: Rows that a task compares at once before it hands on its links, unless one group has more.
 CHUNK = 65_536
 LEAST_BLOCK = 512
+#: Comparisons that a row of a band costs as much as.
+ROW_COST = 64
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -137,10 +141,16 @@ def tile_links(fps: np.ndarray, pops: np.ndarray, groups: np.ndarray, radius: in
     return forest(n, np.concatenate(a), np.concatenate(b)) if a else np.arange(n)
 
 
-def sharing_bands(radius: int) -> list[list[int]]:
-    """radius + 1 bands that share out the bits of a fingerprint of one word."""
-    edges = np.linspace(0, BITS, radius + 2).astype(int).tolist()
-    return [list(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+def sharing_bands(radius: int, nodes: int = 0, most: int = 4) -> list[list[int]]:
+    """Bands of a fingerprint of one word, of which two that differ in at most radius bits share one; see the module's text."""
+
+    def bands(m: int) -> list[list[int]]:
+        edges = np.linspace(0, BITS, radius + m + 1).astype(int).tolist()
+        blocks = [list(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+        return [sum(some, []) for some in combinations(blocks, m)]
+
+    cost = lambda made: sum(ROW_COST + nodes / 2 ** len(b) for b in made)
+    return min((bands(m) for m in range(1, most + 1)), key=cost)
 
 
 def random_bands(nodes: int, radius: int) -> list[list[int]]:
@@ -158,7 +168,7 @@ def wide_radius() -> int:
 
 def _band_value(words: list[str], number: int, band: list[int]):
     """The band's bits of the fingerprint behind the band's number."""
-    out = F.lit(number)
+    out = F.lit(number).cast("long")
     runs = [[band[0], 0]] if band else []
     for bit in band:  # neighbouring bits of a word at once
         if bit == sum(runs[-1]) and bit % 64:
@@ -231,7 +241,7 @@ def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Da
     """doc_id, fp and component_id (the smallest doc_id of all that links reach) of every row of docs."""
     each = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    nodes = with_roots(nodes.select(F.col("fp").alias("node"), F.col("fp").alias("w0"), "first"), sharing_bands(radius), radius)
+    nodes = with_roots(nodes.select(F.col("fp").alias("node"), F.col("fp").alias("w0"), "first"), sharing_bands(radius, nodes.count()), radius)
     firsts = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     return each.join(nodes.join(firsts, "root").select(F.col("node").alias("fp"), "component_id"), "fp").select("doc_id", "fp", "component_id")
 
