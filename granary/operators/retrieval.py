@@ -79,15 +79,28 @@ def answers(ranked: DataFrame, bodies: DataFrame, queries: DataFrame, key: list[
     return out.select(query, answer(F.col("_asked"), F.col("retrieved_contexts")).alias("answer"), "retrieved_contexts", "retrieved_sources")
 
 
-#: Retrieval methods by name; each takes (docs, queries, ...) and gives ranked rows.
-METHODS = {"bm25": lambda *a, **k: bm25(*a, **k), "traditional-rag": lambda *a, **k: vectors(*a, **k), "agentic-rag": lambda *a, **k: agentic(*a, **k)}
-
-
-def retrieve(method: str, *args, **options) -> DataFrame:
-    """Plans the method of this name; an unknown one raises."""
-    if method not in METHODS:
-        raise ValueError(f"unknown method {method}; there are {', '.join(sorted(METHODS))}")
-    return METHODS[method](*args, **options)
+def half_queries(queries: DataFrame, query: str = "item_id") -> list[DataFrame]:
+    """Stand-ins for an agent's calls: one asks for the first half of a query's tokens, one for the second."""
+    bag = queries.select(query, T.tokens(F.coalesce("text", F.lit(""))).alias("bag")).withColumn("half", F.floor(F.size("bag") / 2).cast("int"))
+    parts = F.slice("bag", F.lit(1), F.col("half")), F.slice("bag", F.col("half") + 1, F.size("bag"))
+    return [bag.select(query, F.array_join(p, " ").alias("text")) for p in parts]
+
+
+def agentic_search(index: Index, queries: DataFrame, query: str = "item_id", k: int = 5, calls=half_queries) -> DataFrame:
+    """What an agent's calls find by BM25, and the nearest vectors for queries whose calls find nothing."""
+    found = None
+    for n, asked in enumerate(calls(queries, query)):
+        got = bm25(index, asked, index.key, query, k).withColumn("call", F.lit(n + 1))
+        found = got if found is None else found.unionByName(got)
+    return agentic(found, text_vectors(index, queries, query, k), query, index.key)
+
+
+def retrieve(method: str, index: Index | None = None, queries: DataFrame | None = None, query: str = "item_id", k: int = 5) -> DataFrame:
+    """What the method of this name finds in an index; an unknown one raises."""
+    methods = {"bm25": lambda: bm25(index, queries, index.key, query, k), "traditional-rag": lambda: text_vectors(index, queries, query, k), "hyde": lambda: hyde(index, queries, query, k), "agentic-rag": lambda: agentic_search(index, queries, query, k)}
+    if method not in methods:
+        raise ValueError(f"unknown method {method}; there are {', '.join(sorted(methods))}")
+    return methods[method]()
 
 
 def vectors(corpus: DataFrame, queries: DataFrame, distance: str, k: int = 5, key: tuple[str, ...] = ("vec_id",)) -> DataFrame:

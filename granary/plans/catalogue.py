@@ -179,11 +179,7 @@ CHUNKINGS = {
     "semantic": lambda docs: chunking.semantic(docs, T.tokens, T.jaccard),
     "agentic": lambda docs: chunking.agentic_eval(docs, providers.overlap_planner),
 }
-RETRIEVALS = {
-    "traditional": retrieval.text_vectors,
-    "bm25": lambda index, items: retrieval.bm25(index, items, index.key),
-    "hyde": retrieval.hyde,
-}
+RETRIEVALS = {"traditional": "traditional-rag", "bm25": "bm25", "hyde": "hyde"}
 
 
 def _indexes(docs: DataFrame, names: list[str]) -> dict:
@@ -197,7 +193,7 @@ def _pipeline_scores(spark, sf, pipelines: list[str], k: int = 5) -> DataFrame:
     rows = None
     for name in pipelines:
         chunks, method = name.split("+")
-        found = RETRIEVALS[method](indexes[chunks], items).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", F.lit(name).alias("pipeline"))
+        found = retrieval.retrieve(RETRIEVALS[method], indexes[chunks], items).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", F.lit(name).alias("pipeline"))
         rows = found if rows is None else rows.unionByName(found)
     rows = materialize(rows, "ranked")  # k rows for each item and pipeline
     wanted = F.broadcast(rows.select("doc_id").distinct()) if rows.count() <= retrieval.BROADCAST_ROWS else rows.select("doc_id").distinct()
@@ -414,13 +410,7 @@ def bm25_padded(spark, sf):
 @query
 def agentic_retrieval(spark, sf):
     """The agent is stood in for by two calls: one asks for the first half of an item's tokens, one for the second."""
-    docs, items = _documents(spark, sf), _read(spark, sf, "benchmark")
-    bag = items.select("item_id", T.tokens(F.coalesce("text", F.lit(""))).alias("bag")).withColumn("half", F.floor(F.size("bag") / 2).cast("int"))
-    index, calls = retrieval.lexical_index(docs, ["doc_id"]), None
-    for n, part in ((1, F.slice("bag", F.lit(1), F.col("half"))), (2, F.slice("bag", F.col("half") + 1, F.size("bag")))):
-        got = retrieval.bm25(index, bag.select("item_id", F.array_join(part, " ").alias("text")), ["doc_id"]).withColumn("call", F.lit(n))
-        calls = got if calls is None else calls.unionByName(got)
-    return retrieval.agentic(calls, retrieval.text_vectors(index, items), "item_id", ["doc_id"])
+    return retrieval.retrieve("agentic-rag", retrieval.lexical_index(_documents(spark, sf), ["doc_id"]), _read(spark, sf, "benchmark"))
 
 
 @query
