@@ -156,11 +156,15 @@ def semantic(docs: DataFrame, prepare, likeness, percentile: float = 0.7, most:
     return _joined(df, fold_ranges(F.size("sentences"), F.col("breaks"), most, 2, overlap), 2)
 
 
-def planned(docs: DataFrame, planner=None) -> DataFrame:
-    """Chunks at the breaks that a planner proposes window by window; none: after every sixth sentence."""
+def planned(docs: DataFrame, planner=None, small: int = 6) -> DataFrame:
+    """Chunks at the breaks that a planner proposes window by window; none: after every sixth sentence.
+
+    A window of up to `small` sentences isn't asked about, and its last sentence is no break.
+    """
     df = docs.select("doc_id", T.sentences(F.col("text")).alias("sentences"))
     n = F.size("sentences")
     if planner is None:
         return from_breaks(df, fallback_breaks(n))
-    df = df.withColumn("plan", normal_breaks(window_breaks(F.col("sentences"), planner), n))
+    asked = lambda s: F.when(F.size(s) <= small, F.array().cast("array<int>")).otherwise(normal_breaks(planner(s), F.size(s)))
+    df = df.withColumn("plan", normal_breaks(window_breaks(F.col("sentences"), asked), n))
     return from_breaks(df, F.when(F.size("plan") == 0, fallback_breaks(n)).otherwise(enforced_breaks(F.col("plan"), n)))

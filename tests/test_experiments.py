@@ -109,3 +109,16 @@ def test_tolerant_booleans(given, want):
     from granary.sources.files import flag
 
     assert flag("k", {"k": given}, {}, None) is want
+
+
+def test_planner_of_small_windows(spark):
+    """Windows of six sentences aren't asked about; the last sentence of a window is no break."""
+    from granary.operators import chunking
+
+    docs = spark.createDataFrame([(1, " ".join(f"S{i}." for i in range(76))), (2, " ".join(f"S{i}." for i in range(7)))], "doc_id long, text string")
+    planner = lambda s: F.array(F.lit(2), F.lit(5), F.size(s) - 1)
+    got: dict = {}
+    for r in chunking.planned(docs, planner).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"].split(" ")[-1])
+    assert got[2] == ["S2.", "S5.", "S6."]
+    assert "S72." not in got[1][:-1]  # break 2 of a second window of six sentences, which starts at 70
