@@ -39,11 +39,13 @@ def query_terms(queries: DataFrame, query: str) -> DataFrame:
     return queries.select(query, F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(docs: DataFrame | Index, queries: DataFrame, key: list[str], query: str = "item_id", k: int = 5, pad: bool = False) -> DataFrame:
+def bm25(docs: DataFrame | Index, queries: DataFrame, key: list[str], query: str = "item_id", k: int = 5, pad: bool | DataFrame = False) -> DataFrame:
     """The k best rows of docs, or of their index, for every query, by Okapi BM25.
 
-    Rows that share no term with a query are no matches; with pad they have score 0 and fill up the k, in order of the key.
+    Rows that share no term with a query are no matches; with pad (true, or the rows of docs) they have score 0 and fill up the
+    k, in order of the key.
     """
+    pad = isinstance(pad, DataFrame) or pad
     index = docs if isinstance(docs, Index) else lexical_index(docs, key)
     return bm25_terms(index, query_terms(queries, query), query, k, pad, queries)
 
