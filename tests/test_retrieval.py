@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,14 @@ def test_text_vectors_are_cosines_of_hashed_counts(spark, words, monkeypatch):
     assert 3 not in got
 
 
+def test_slots_are_the_providers_buckets(spark):
+    from granary.functions import providers
+
+    terms = ["a", "word", "x9", "zeta0"]
+    got = [r["b"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "i int, t string").select("i", providers.bucket(F.col("t")).alias("b")).orderBy("i").collect()]
+    assert got == index._slots(pa.array(terms)).tolist()
+
+
 # Growth
 
 
