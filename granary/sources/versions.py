@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 COMMIT = "version long, batch string, folder string, replaces array<string>, keys array<string>, numbers map<string, double>"
 
@@ -41,7 +42,7 @@ class Versions:
         gone = {f for c in commits for f in c["replaces"]}
         return [c for c in commits if c["folder"] not in gone]
 
-    def read(self, table: str, schema: str, commits: list[Row] | None = None) -> DataFrame:
+    def read(self, table: str, schema: str | StructType, commits: list[Row] | None = None) -> DataFrame:
         """The rows of a table in all current commits, or in the given ones."""
         paths = [f"{self.path}/data/{c['folder']}/{table}" for c in (self.current() if commits is None else commits)]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)

@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,20 @@ def test_bm25_over_groups_and_blocks(spark, words, monkeypatch, rows, block, pad
     assert same(by_query(retrieval.bm25(docs, queries, ["doc_id"], k=4, pad=pad).collect()), plain_bm25(words, asked, 4, pad))
 
 
+def test_files_of_groups_have_small_row_groups(spark, monkeypatch):
+    """Also of fewer groups than the hundred from which on a Parquet writer looks at the bytes by itself."""
+    monkeypatch.setattr(index, "GROUP_ROWS", 50)
+    monkeypatch.setitem(index.FILE_OPTIONS, "parquet.block.size", "40000")
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{n}" for n in rng.integers(0, 5000, 80))) for i in range(2000)]
+    table = index.lexical_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), ["doc_id"]).groups
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in table.inputFiles()]
+    sizes = [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(sizes) == 40 and max(sizes) <= 5
+    found = [pc.sum(pc.list_value_length(table.select("sizes").toArrow().column("sizes"))).as_py(), sum(len(index.unpacked(v)["terms"]) for v in table.select("packed").toArrow().column("packed"))]
+    assert found[0] == found[1] > 0
+
+
 def test_rows_of_one_key_are_rows(spark):
     docs = [(1, "a b"), (1, "a b"), (2, "c d e f")]
     asked = [(7, "a c")]
