@@ -48,6 +48,8 @@ SPAN = LENGTH - GRAM
 RUN_BYTES, RUN_DOCS = 3_000_000, 4_000
 #: Different surroundings of an anchor from which on its windows are sorted by themselves, and runs that a part is made for.
 HOT, RUNS_A_PART = 5_000, 32
+#: Places of a run whose hashes are made at once.
+PLACES_AT_ONCE = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
 
@@ -69,6 +71,30 @@ def _unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each place on."""
+    n = len(data)
+    h, four = (data.astype(np.uint64) + np.uint64(1)) * _MIX, None
+    for k in (1, 2, 4, 8):  # hashes of 2, 4, 8 and 16 bytes
+        h = h[: n - 2 * k + 1] * (_MIX + np.uint64(4 * k)) + h[k : n - k + 1]
+        four = h if k == 2 else four
+    gram = h[: n - GRAM + 1] * (_MIX + np.uint64(2)) + four[16:]
+    gram ^= gram >> np.uint64(31)
+    gram *= _MIX
+    return gram
+
+
+def _sliding_min(least: np.ndarray) -> np.ndarray:
+    """The smallest of each SPAN + 1 neighbours."""
+    reach = 1
+    while 2 * reach <= SPAN + 1:
+        least = np.minimum(least[: len(least) - reach], least[reach:])
+        reach *= 2
+    if rest := SPAN + 1 - reach:
+        least = np.minimum(least[: len(least) - rest], least[rest:])
+    return least
+
+
 class Run:
     """Documents of a run: their bytes end to end, and the anchors of all windows."""
 
@@ -90,27 +116,22 @@ class Run:
             self.places = self.first = self.last = self.doc = np.zeros(0, np.int64)
             self.grams = self.around = self.gram = np.zeros(0, np.uint64)
             return
-        h = {1: (self.bytes.astype(np.uint64) + np.uint64(1)) * _MIX}
-        for k in (1, 2, 4, 8):  # hashes of 2, 4, 8 and 16 bytes
-            h[2 * k] = h[k][: n - 2 * k + 1] * (_MIX + np.uint64(4 * k)) + h[k][k : n - k + 1]
-        gram = h[16][: n - GRAM + 1] * (_MIX + np.uint64(2)) + h[4][16:]
-        del h
-        gram ^= gram >> np.uint64(31)
-        gram *= _MIX
+        small = np.int32 if n < 1 << 30 else np.int64
+        gram, least = np.empty(n - GRAM + 1, np.uint64), np.empty(n - LENGTH + 1, small)
+        for begin in range(0, len(gram), PLACES_AT_ONCE):
+            gram[begin : begin + PLACES_AT_ONCE] = _gram_hashes(self.bytes[begin : begin + PLACES_AT_ONCE + GRAM - 1])
         low = (np.uint64(1) << np.uint64(n.bit_length())) - np.uint64(1)
-        least = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
-        reach = 1
-        while 2 * reach <= SPAN + 1:
-            least = np.minimum(least[: len(least) - reach], least[reach:])
-            reach *= 2
-        if rest := SPAN + 1 - reach:
-            least = np.minimum(least[: len(least) - rest], least[rest:])
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        window = np.repeat(self.starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        owner = (least[window] & low).astype(np.int64)
+        for begin in range(0, len(least), PLACES_AT_ONCE):
+            part = gram[begin : begin + PLACES_AT_ONCE + SPAN]
+            least[begin : begin + PLACES_AT_ONCE] = (_sliding_min((part & ~low) | np.arange(begin, begin + len(part), dtype=np.uint64)) & low).astype(small)
+        doc = np.repeat(np.arange(len(sizes), dtype=small), sizes)
+        window = np.repeat((self.starts - (np.cumsum(sizes) - sizes)).astype(small), sizes)
+        window += np.arange(len(window), dtype=small)
+        owner = least[window]
+        del least
         fresh = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1]))))
-        self.places, self.doc = owner[fresh], doc[fresh]
-        self.first, self.last = window[fresh], window[np.append(fresh[1:], len(owner)) - 1]
+        self.places, self.doc = owner[fresh].astype(np.int64), doc[fresh].astype(np.int64)
+        self.first, self.last = window[fresh].astype(np.int64), window[np.append(fresh[1:], len(owner)) - 1].astype(np.int64)
         self.gram, self.grams = gram, gram[self.places] >> np.uint64(24)
         self.around = self._window_hash(self.first) ^ (self._window_hash(self.last) * _MIX)
 
@@ -326,7 +347,7 @@ def merge_part(blobs: list[bytes], hot: bool = False) -> list[np.ndarray]:
 def _cut(run: Run, marks: dict[int, tuple[bytes, bytes]], flags: dict[int, bytes], parts: int) -> np.ndarray:
     """Which bytes of the run go."""
     s = _marked(run, marks, parts)
-    gone = np.zeros(len(run.bytes) + 1, np.int64)
+    gone = np.zeros(len(run.bytes) + 1, np.int32)
     local = s["own"] > s["ids"][s["back"]]
     np.add.at(gone, s["first"][local], 1)
     np.add.at(gone, s["last"][local] + LENGTH, -1)
@@ -339,7 +360,15 @@ def _cut(run: Run, marks: dict[int, tuple[bytes, bytes]], flags: dict[int, bytes
         hit = s["place"][~local & ((mine >> np.uint32(o)) & np.uint32(1) > 0)] - o
         np.add.at(gone, hit, 1)
         np.add.at(gone, hit + LENGTH, -1)
-    return np.cumsum(gone)[:-1] > 0
+    np.cumsum(gone, out=gone)
+    return gone[:-1] > 0
+
+
+def _before(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place, and before the end."""
+    out = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 30 else np.int64)
+    np.cumsum(flags, out=out[1:])
+    return out
 
 
 def _marked(run: Run, marks: dict[int, tuple[bytes, bytes]], parts: int) -> dict:
@@ -417,6 +446,7 @@ def cut_passages(docs: DataFrame, digest: bool = False) -> DataFrame:
     def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column("run").to_pylist(), batch.column("blob"), strict=True):
+                give_back()  # of the run before
                 distinct, part, _, twice, times = Run(_read(blob.as_py())).hashes(parts)
                 bounds = np.searchsorted(part, np.arange(parts + 1))
                 rows = [(p, distinct[a:b], twice[a:b], times[a:b]) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
@@ -472,15 +502,15 @@ def cut_passages(docs: DataFrame, digest: bool = False) -> DataFrame:
         is_mark = pc.is_valid(told["bits"])
         flagged = told.filter(pc.invert(is_mark))
         gone = _cut(run, told_marks(told.filter(is_mark)), dict(zip(flagged["part"].to_pylist(), flagged["flags"].to_pylist(), strict=True)), parts)
-        total = np.concatenate(([0], np.cumsum(gone)))
+        total = _before(gone)
         begins = gone & ~np.concatenate(([False], gone[:-1]))
         inside = run.starts[run.starts < run.ends]
         begins[inside] = gone[inside]
-        spans = np.concatenate(([0], np.cumsum(begins)))
-        kept, kept_at = run.bytes[~gone].tobytes(), np.concatenate(([0], np.cumsum(~gone)))
-        texts = [kept[a:b] for a, b in zip(kept_at[run.starts].tolist(), kept_at[run.ends].tolist(), strict=True)]
+        spans = _before(begins)
+        kept = run.bytes[~gone].tobytes()
+        texts = [kept[a:b] for a, b in zip((run.starts - total[run.starts]).tolist(), (run.ends - total[run.ends]).tolist(), strict=True)]
         if digest:
-            columns = [docs["doc_id"], run.ends - run.starts, total[run.ends] - total[run.starts], spans[run.ends] - spans[run.starts], [hashlib.sha256(t).hexdigest() for t in texts]]
+            columns = [docs["doc_id"], run.ends - run.starts, (total[run.ends] - total[run.starts]).astype(np.int64), (spans[run.ends] - spans[run.starts]).astype(np.int64), [hashlib.sha256(t).hexdigest() for t in texts]]
             return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], names=arrow.names).cast(arrow)
         lost = total[run.ends] > total[run.starts]
         new = [t.decode("utf-8", "ignore") if x else old for t, x, old in zip(texts, lost.tolist(), docs["text"].to_pylist(), strict=True)]

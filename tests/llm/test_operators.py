@@ -458,6 +458,22 @@ def test_passages_in_every_document(spark, monkeypatch, hot):
     assert {t.name for t in spark.catalog.listTables()} == tables
 
 
+def test_anchors_need_little_memory(monkeypatch):
+    """A run of 3 MB needs less than 35 times its bytes at once; hashes don't depend on how many places are taken together."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    table = pa.table({"doc_id": list(range(1000)), "text": [" ".join(f"w{i}" for i in rng.integers(0, 3000, 520)) for _ in range(1000)]})
+    tracemalloc.start()
+    run = passages.Run(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 35 * len(run.bytes)
+    monkeypatch.setattr(passages, "PLACES_AT_ONCE", 1000)
+    again = passages.Run(table)
+    assert all(np.array_equal(getattr(run, name), getattr(again, name)) for name in ("gram", "places", "first", "last", "doc", "around"))
+
+
 def test_merge():
     rng = np.random.default_rng(5)
     runs = [sorted({bytes(rng.integers(97, 99, rng.integers(1, 9)).tolist()) for _ in range(30)}) for _ in range(5)] + [[]]
