@@ -84,6 +84,19 @@ def test_files_of_groups_have_small_row_groups(spark, monkeypatch):
     assert found[0] == found[1] > 0
 
 
+@pytest.mark.parametrize("far", [0.0, 1e6])
+def test_nearest_rows_are_weighed_exactly(far):
+    """Products of matrices only say which rows may be among the k: also far from zero, and with ties, the result is exact."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate((far + rng.normal(size=(200, 8)), far + rng.integers(0, 2, (100, 8))))
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())])
+    got = retrieval._best_of([pa.array(range(300), pa.int64())], pa.array(x.tolist()), pa.array([0, 250], pa.int64()), x[[0, 250]], "l2", 5, True, schema).to_pylist()
+    for q in (0, 250):
+        each = {i: round(float(((x[i] - x[q]) ** 2).sum()), 6) for i in range(300) if i != q}
+        last = sorted(each.values())[4]
+        assert {r["vec_id"]: r["distance"] for r in got if r["query_id"] == q} == {i: d for i, d in each.items() if d <= last}
+
+
 def test_rows_of_one_key_are_rows(spark):
     docs = [(1, "a b"), (1, "a b"), (2, "c d e f")]
     asked = [(7, "a c")]
