@@ -13,9 +13,9 @@ the larger the m that costs least, as larger bands have fewer rows of a value an
 
 keep_first: WIDE bits over WIDE_SHINGLE words, each shingle once, for texts that share SIMILARITY of their shingles or more.
 Two texts of Jaccard likeness J differ in a bit with a chance of acos(2 J / (1 + J)) / pi; the radius is what SIMILARITY
-gives, and SLACK standard deviations. As no few bands could promise an agreement at that radius, there are as many bands
-of random bits as bring two texts at the very radius together with a chance of RECALL; nearer ones meet almost surely.
-The bits of a band grow with the logarithm of the number of nodes, and so do the bands, for the same chance at any size.
+gives, and SLACK standard deviations. As no few bands could promise an agreement at that radius, all distinct fingerprints are
+compared: nodes are dealt to blocks of BLOCK at most, and every pair of blocks is a group of rows of its own. The comparisons
+grow as the square of the nodes; a tile looks at half of the words first, and at the others where these leave a pair.
 
 Defined results: null texts and texts without words have fingerprint zero, which links like any other; fewer words than
 a shingle: the whole sequence; texts of any length are read whole; empty tables give no rows. classes: repeated rows each
@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ROWS_AT_ONCE, WORD, ascii_lower, frugal, map_batches, materialize
+from .common import ROWS_AT_ONCE, WORD, ascii_lower, frugal, frugal_group, map_batches, materialize
 from .graph import components, forest
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
-WIDE, WIDE_SHINGLE, SIMILARITY, SLACK, RECALL = 256, 5, 0.8, 1.3, 0.9
-#: Rows that a band value of random bits has about, and the fewest bits of such a band.
-BAND_ROWS, LEAST_BITS = 512, 13
+WIDE, WIDE_SHINGLE, SIMILARITY, SLACK = 256, 5, 0.8, 1.3
+#: Nodes of a block, of which every pair is compared; rows and columns of a tile of such a pair; links that are held at once.
+BLOCK, TILE_ROWS, TILE_COLUMNS, HELD_LINKS = 131_072, 128, 512, 1_000_000
 #: Row numbers that may be broadcast.
 MAX_BROADCAST = 4_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -153,14 +153,6 @@ def sharing_bands(radius: int, nodes: int = 0, most: int = 4) -> list[list[int]]
     return min((bands(m) for m in range(1, most + 1)), key=cost)
 
 
-def random_bands(nodes: int, radius: int) -> list[list[int]]:
-    """Bands of random bits of a wide fingerprint, for so many nodes; see the module's text."""
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(nodes, 1) / BAND_ROWS)))
-    agree = math.prod((WIDE - radius - i) / (WIDE - i) for i in range(bits))
-    rng = np.random.default_rng(bits)
-    return [sorted(rng.choice(WIDE, bits, replace=False).tolist()) for _ in range(math.ceil(math.log(1 - RECALL) / math.log1p(-agree)))]
-
-
 def wide_radius() -> int:
     share = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
     return int(WIDE * share + SLACK * math.sqrt(WIDE * share * (1 - share)))
@@ -231,17 +223,79 @@ def links(nodes: DataFrame, bands: list[list[int]], radius: int) -> DataFrame:
     return dealt.mapInArrow(frugal(run), "a long, b long")
 
 
-def with_roots(nodes: DataFrame, bands: list[list[int]], radius: int) -> DataFrame:
+def block_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the columns of left and those of right that differ in at most radius bits, enough to connect all of them.
+
+    left, right: a row for each word, a column for each fingerprint. right's columns are numbered after left's; without right,
+    left's columns are compared with each other.
+    """
+    other = left if right is None else right
+    n, m, shift = left.shape[1], other.shape[1], 0 if right is None else left.shape[1]
+    first = max(1, len(left) // 2)  # words that are looked at first
+    bits, some, more = (np.empty((TILE_ROWS, TILE_COLUMNS), t) for t in (np.uint64, np.uint8, np.uint8))
+    a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for j in range(0, m, TILE_COLUMNS):
+        end = min(j + TILE_COLUMNS, m)
+        for i in range(0, min(n, end) if right is None else n, TILE_ROWS):
+            last = min(i + TILE_ROWS, n)
+            tile = np.s_[: last - i, : end - j]
+            for w in range(first):
+                np.bitwise_xor(left[w, i:last, None], other[w, None, j:end], out=bits[tile])
+                np.bitwise_count(bits[tile], out=more[tile] if w else some[tile])
+                if w:
+                    some[tile] += more[tile]
+            x, y = np.divmod(np.flatnonzero(some[tile] <= radius), end - j)
+            x, y = x + i, y + j
+            if right is None:
+                x, y = x[x < y], y[x < y]
+            if len(x):
+                near = np.bitwise_count(left[:, x] ^ other[:, y]).sum(axis=0, dtype=np.int64) <= radius
+                a.append(x[near])
+                b.append(y[near] + shift)
+                held += len(a[-1])
+        if held > HELD_LINKS:  # only what keeps them connected
+            low = forest(shift + m, np.concatenate(a), np.concatenate(b))
+            y = np.flatnonzero(low != np.arange(len(low)))
+            a, b, held = [low[y]], [y], 0
+    return np.concatenate(a), np.concatenate(b)
+
+
+def all_links(nodes: DataFrame, n: int, radius: int) -> DataFrame:
+    """Links a, b between the n nodes (as for links), enough to connect all that differ in at most radius bits."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = [c for c in nodes.columns if c != "node"]
+    # as many blocks as their size asks for, or as give each task some pairs of blocks
+    blocks = max(-(-n // BLOCK), min(-(-n // LEAST_BLOCK), math.isqrt(8 * parts)), 1)
+    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    rows = nodes.select("node", *words, own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("node", *words, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def found(table: pa.Table) -> pa.Table:
+        node, right = table.column("node").to_numpy(), table.column("right").to_numpy()
+        fps = np.stack([table.column(w).to_numpy() for w in words]).view(np.uint64)
+        one = table.column("i")[0] == table.column("j")[0]
+        left = np.arange(len(node)) if one else np.flatnonzero(~right)
+        order = left if one else np.append(left, np.flatnonzero(right))
+        a, b = block_links(fps[:, left], None if one else fps[:, right], radius)
+        low = forest(len(node), a, b)
+        b = np.flatnonzero(low != np.arange(len(low)))
+        return pa.table({"a": node[order[low[b]]], "b": node[order[b]]}, schema=schema)
+
+    return rows.repartition(parts, "i", "j").groupBy("i", "j").applyInArrow(frugal_group(found), "a long, b long")
+
+
+def with_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds root, the smallest node that links reach."""
-    roots = components(links(nodes.select("node", *[c for c in nodes.columns if c.startswith("w")]), bands, radius))
-    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of all that links reach) of every row of docs."""
     each = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    nodes = with_roots(nodes.select(F.col("fp").alias("node"), F.col("fp").alias("w0"), "first"), sharing_bands(radius, nodes.count()), radius)
+    nodes = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("w0"), "first")
+    nodes = with_roots(nodes, links(nodes.select("node", "w0"), sharing_bands(radius, nodes.count()), radius))
     firsts = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     return each.join(nodes.join(firsts, "root").select(F.col("node").alias("fp"), "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -272,8 +326,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     short = [f"w{k}" for k in range(len(words))]
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     nodes = materialize(each.groupBy(*short).agg(best.alias("best"), F.min("row").alias("node")), "nodes")
-    radius = wide_radius()
-    rooted = with_roots(nodes, random_bands(nodes.count(), radius), radius)
+    rooted = with_roots(nodes, all_links(nodes.select("node", *short), nodes.count(), wide_radius()))
     stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
     later = materialize(each.select("row").join(stay, "row", "left_anti").withColumnRenamed("row", row), "later")
     later = F.broadcast(later) if later.count() <= MAX_BROADCAST else later.hint("shuffle_merge")

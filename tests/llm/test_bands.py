@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from granary.llm import simhash
-from granary.llm.graph import components
+from granary.llm.graph import components, forest
 
 
 @pytest.mark.parametrize(("nodes", "blocks"), [(0, 1), (1_000_000, 2), (10**9, 3), (10**12, 4)])
@@ -40,3 +40,51 @@ def test_links_equal_all_pairs(spark, nodes):
     for i, f in enumerate(signed.tolist()):
         groups.setdefault(root.get(f, f), set()).add(int(low[i]))
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(low.tolist()))
+
+
+def test_all_links_lose_none_at_the_radius(spark, monkeypatch):
+    """Pairs at the very radius are found, one more bit is too far; also across blocks, and in groups whose links are cut down."""
+    monkeypatch.setattr(simhash, "BLOCK", 100)
+    monkeypatch.setattr(simhash, "HELD_LINKS", 50)
+    rng = np.random.default_rng(5)
+    radius = simhash.wide_radius()
+
+    def flipped(words, n):
+        flips = rng.choice(256, n, replace=False)
+        out = words.copy()
+        for f in flips.tolist():
+            out[f // 64] ^= np.uint64(1) << np.uint64(f % 64)
+        return out
+
+    base = rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64)
+    at, beyond = [np.array([flipped(w, radius + more) for w in base]) for more in (0, 1)]
+    crowd = np.array([flipped(base[0], 3) for _ in range(60)])
+    fps = np.concatenate((base, at, beyond, crowd)).view(np.int64)
+    df = spark.createDataFrame([(n, *map(int, w)) for n, w in enumerate(fps)], "node long, w0 long, w1 long, w2 long, w3 long")
+    root = {r["node"]: r["root"] for r in components(simhash.all_links(df, len(fps), radius)).collect()}
+    assert [root.get(n) for n in range(300, 600)] == list(range(300))
+    near = np.bitwise_count((fps[:, None] ^ fps[None]).view(np.uint64)).sum(axis=2) <= radius
+    low = np.arange(len(fps))
+    while True:
+        new = np.where(near, low[None], len(fps)).min(axis=1)
+        if (new == low).all():
+            break
+        low = new
+    assert [root.get(n, n) for n in range(len(fps))] == low.tolist()
+
+
+@pytest.mark.parametrize("held", [10, 1_000_000])
+def test_block_links_of_tiles(monkeypatch, held):
+    monkeypatch.setattr(simhash, "HELD_LINKS", held)
+    monkeypatch.setattr(simhash, "TILE_ROWS", 8)
+    monkeypatch.setattr(simhash, "TILE_COLUMNS", 16)
+    rng = np.random.default_rng(6)
+    left, right = (rng.integers(0, 8, (2, n), dtype=np.uint64) for n in (45, 70))
+    for other in (None, right):
+        every = left if other is None else np.concatenate((left, right), axis=1)
+        a, b = simhash.block_links(left, other, 1)
+        near = np.bitwise_count(every[:, :, None] ^ every[:, None]).sum(axis=0) <= 1
+        if other is not None:
+            near[:45, :45] = near[45:, 45:] = False
+        x, y = np.nonzero(near)
+        assert (forest(every.shape[1], a, b) == forest(every.shape[1], x, y)).all()
