@@ -43,7 +43,7 @@ CAPACITY, END = 2048, 0
 #: Pieces of a length that are numbered in one part, or so many as make PARTS of all pieces.
 RANKED, PARTS = 20_000, 20_000
 #: Words that a Python worker remembers, and bytes of texts that it works on at once.
-MAX_WORDS, BYTES_AT_ONCE = 400_000, 6_000_000
+MAX_WORDS, BYTES_AT_ONCE = 400_000, 1_000_000
 #: Characters up to here go the fast way, but for those that the tokenizer's lower case and Python's treat unlike.
 FAST_LIMIT = 0x180
 
