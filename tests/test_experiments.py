@@ -8,6 +8,7 @@ from pyspark.sql import types as t
 
 from granary.functions import text as T
 from granary.operators import experiments, index, retrieval
+from granary.plans import catalogue
 from granary.sources.versions import Results
 
 
@@ -122,3 +123,11 @@ def test_planner_of_small_windows(spark):
         got.setdefault(r["doc_id"], []).append(r["text"].split(" ")[-1])
     assert got[2] == ["S2.", "S5.", "S6."]
     assert "S72." not in got[1][:-1]  # break 2 of a second window of six sentences, which starts at 70
+
+
+def test_rerun_searches_the_index_that_is_there(spark, monkeypatch):
+    """Texts are cut and packed once; the second run of two pipelines searches the same chunks."""
+    made, build = [], catalogue.retrieval.lexical_index
+    monkeypatch.setattr(catalogue.retrieval, "lexical_index", lambda *a: made.append(build(*a)) or made[-1])
+    rows = {r["pipeline"]: r for r in catalogue.pipeline_rerun(spark, "/root/testdata/sf0.001").collect()}
+    assert len(made) == 1 and set(rows) == {"fixed+traditional", "fixed+bm25", "fixed+hyde"}
