@@ -14,8 +14,10 @@ the larger the m that costs least, as larger bands have fewer rows of a value an
 keep_first: WIDE bits over WIDE_SHINGLE words, each shingle once, for texts that share SIMILARITY of their shingles or more.
 Two texts of Jaccard likeness J differ in a bit with a chance of acos(2 J / (1 + J)) / pi; the radius is what SIMILARITY
 gives, and SLACK standard deviations. As no few bands could promise an agreement at that radius, all distinct fingerprints are
-compared: nodes are dealt to blocks of BLOCK at most, and every pair of blocks is a group of rows of its own. The comparisons
-grow as the square of the nodes; a tile looks at half of the words first, and at the others where these leave a pair.
+compared: nodes are dealt to blocks of about BLOCK at most, each of them one packed row of a work table, and every block meets
+every other in a Cartesian product that reads this table, so a node is shuffled once, however many blocks there are. The
+comparisons grow as the square of the nodes; a tile looks at half of the words first, and at the others where these leave a
+pair.
 
 Defined results: null texts and texts without words have fingerprint zero, which links like any other; fewer words than
 a shingle: the whole sequence; texts of any length are read whole; empty tables give no rows. classes: repeated rows each
@@ -263,26 +265,37 @@ def block_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tupl
 def all_links(nodes: DataFrame, n: int, radius: int) -> DataFrame:
     """Links a, b between the n nodes (as for links), enough to connect all that differ in at most radius bits."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = [c for c in nodes.columns if c != "node"]
+    columns = ["node", *[c for c in nodes.columns if c != "node"]]
     # as many blocks as their size asks for, or as give each task some pairs of blocks
     blocks = max(-(-n // BLOCK), min(-(-n // LEAST_BLOCK), math.isqrt(8 * parts)), 1)
-    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
-    rows = nodes.select("node", *words, own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("node", *words, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def found(table: pa.Table) -> pa.Table:
-        node, right = table.column("node").to_numpy(), table.column("right").to_numpy()
-        fps = np.stack([table.column(w).to_numpy() for w in words]).view(np.uint64)
-        one = table.column("i")[0] == table.column("j")[0]
-        left = np.arange(len(node)) if one else np.flatnonzero(~right)
-        order = left if one else np.append(left, np.flatnonzero(right))
-        a, b = block_links(fps[:, left], None if one else fps[:, right], radius)
-        low = forest(len(node), a, b)
-        b = np.flatnonzero(low != np.arange(len(low)))
-        return pa.table({"a": node[order[low[b]]], "b": node[order[b]]}, schema=schema)
-
-    return rows.repartition(parts, "i", "j").groupBy("i", "j").applyInArrow(frugal_group(found), "a long, b long")
+    def pack(table: pa.Table) -> pa.Table:
+        held = np.stack([table.column(c).to_numpy() for c in columns])
+        return pa.table({"block": table.column("block")[:1], "packed": pa.array([held.tobytes()], pa.binary())})
+
+    def unpack(value: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
+        held = np.frombuffer(value.as_buffer(), np.int64).reshape(len(columns), -1)
+        return held[0], held[1:].view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                node, left = unpack(batch.column("left")[k])
+                right = None
+                if batch.column("i")[k] != batch.column("j")[k]:
+                    more, right = unpack(batch.column("right")[k])
+                    node = np.append(node, more)
+                low = forest(len(node), *block_links(left, right, radius))
+                b = np.flatnonzero(low != np.arange(len(low)))
+                yield pa.RecordBatch.from_pydict({"a": node[low[b]], "b": node[b]}, schema=schema)
+
+    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block")
+    dealt = nodes.select(own, *columns).repartition(parts, "block")
+    packed = materialize(dealt.groupBy("block").applyInArrow(frugal_group(pack), "block int, packed binary"), "blocks")
+    left, right = (packed.select(F.col("block").alias(i), F.col("packed").alias(side)) for i, side in (("i", "left"), ("j", "right")))
+    # a grid of blocks, which tasks read from the work table: nothing is sent once for each block that it meets
+    return left.hint("shuffle_replicate_nl").join(right, F.col("i") <= F.col("j")).mapInArrow(frugal(run), "a long, b long")
 
 
 def with_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:

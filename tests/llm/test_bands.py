@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from granary.llm import simhash
+from granary.llm.common import materialize
 from granary.llm.graph import components, forest
 
 
@@ -88,3 +89,15 @@ def test_block_links_of_tiles(monkeypatch, held):
             near[:45, :45] = near[45:, 45:] = False
         x, y = np.nonzero(near)
         assert (forest(every.shape[1], a, b) == forest(every.shape[1], x, y)).all()
+
+
+def test_all_links_send_no_node_for_each_block(spark, monkeypatch):
+    """A pair of blocks reads both from the work table: nodes are packed once each, and no shuffle lies behind the blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", 100)
+    written = []
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: written.append(materialize(df, name)) or written[-1])
+    df = spark.range(1500).selectExpr("id as node", "xxhash64(id) as w0", "xxhash64(id, 1) as w1")
+    links = simhash.all_links(df, 1500, 3)
+    assert "Exchange" not in links._jdf.queryExecution().executedPlan().toString()
+    assert written[0].count() == 15 and written[0].selectExpr("sum(length(packed))").first()[0] == 1500 * 3 * 8
+    assert links.count() == 0
